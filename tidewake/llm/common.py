@@ -111,3 +111,26 @@ def gram_hashes(word_hashes: np.ndarray, n: int) -> np.ndarray:
 def shingle_hashes(word_hashes: np.ndarray, n: int) -> np.ndarray:
     """As ``gram_hashes``, but fewer words than ``n``, if any, make one shingle."""
     return gram_hashes(word_hashes, min(n, len(word_hashes))) if len(word_hashes) else np.empty(0, np.uint64)
+
+
+class Bloom:
+    """A bit set of 2**bits places and two probes for each hash; its size does not depend on what it holds."""
+
+    def __init__(self, bits: int, seen: np.ndarray | None = None):
+        self.bits = bits
+        self.seen = np.zeros(1 << (bits - 3), np.uint8) if seen is None else seen
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        one = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        two = (h & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+        return ((self.seen[one >> 3] >> (one & 7)) & (self.seen[two >> 3] >> (two & 7)) & 1).astype(bool)
+
+
+def bloom_of(tokens: DataFrame, bits: int) -> Bloom:
+    """The filter of a column of hashes, put together in tasks as sorted distinct places and read in parts."""
+    places = tokens.select(F.explode(F.array(F.shiftrightunsigned("hash", 64 - bits), F.col("hash").bitwiseAND((1 << bits) - 1))).alias("p")).distinct()
+    out = Bloom(bits)
+    bytes_ = places.groupBy(F.shiftright("p", 3).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(p & 7 as int))")).alias("b"))
+    got = bytes_.toArrow()  # at most 2**bits / 8 rows
+    out.seen[got["at"].to_numpy()] = got["b"].to_numpy().astype(np.uint8)
+    return out

@@ -18,24 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import ROW, WordHashes, byte_values, gram_hashes, materialise, with_row_key, words
+from tidewake.llm.common import ROW, Bloom, WordHashes, bloom_of, byte_values, gram_hashes, materialise, with_row_key, words
 
 WINDOW, SHINGLE = 10, 5
 
 
-class Bloom:
-    """A bit set of 2**bits places and two probes for each hash; its size does not depend on what it holds."""
-
-    def __init__(self, bits: int, seen: np.ndarray | None = None):
-        self.bits = bits
-        self.seen = np.zeros(1 << (bits - 3), np.uint8) if seen is None else seen
-
-    def holds(self, h: np.ndarray) -> np.ndarray:
-        one = (h >> np.uint64(64 - self.bits)).astype(np.int64)
-        two = (h & np.uint64((1 << self.bits) - 1)).astype(np.int64)
-        return ((self.seen[one >> 3] >> (one & 7)) & (self.seen[two >> 3] >> (two & 7)) & 1).astype(bool)
-
-
 def item_windows(items: DataFrame, key: str, text: str, window: int, shingle: int) -> DataFrame:
     """(item, m, body, tokens): each window's word count, words and shingle hashes in order."""
 
@@ -90,16 +77,6 @@ def _scan(docs: DataFrame, text: str, lengths: list[int], bloom: Bloom, count_on
     return docs.select(ROW, text).mapInArrow(run, schema)
 
 
-def _bloom(tokens: DataFrame, bits: int) -> Bloom:
-    """The filter of a column of hashes, put together in tasks as sorted distinct places and read in parts."""
-    places = tokens.select(F.explode(F.array(F.shiftrightunsigned("hash", 64 - bits), F.col("hash").bitwiseAND((1 << bits) - 1))).alias("p")).distinct()
-    out = Bloom(bits)
-    bytes_ = places.groupBy(F.shiftright("p", 3).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(p & 7 as int))")).alias("b"))
-    got = bytes_.toArrow()  # at most 2**bits / 8 rows
-    out.seen[got["at"].to_numpy()] = got["b"].to_numpy().astype(np.uint8)
-    return out
-
-
 def find_passages(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, bits: int = 23) -> tuple[DataFrame, DataFrame]:
     """(documents, passages): (row key, n_words) and (row key, item, start, m) of windows found.
 
@@ -109,12 +86,12 @@ def find_passages(docs: DataFrame, items: DataFrame, text: str = "text", item_ke
     parts = materialise(item_windows(items, item_key, item_text, window, shingle), "windows")
     lengths = sorted(r.n for r in parts.select(F.least("m", F.lit(shingle)).alias("n")).distinct().collect())
     tokens = parts.select(F.explode("tokens").alias("hash"))
-    counts = _scan(docs, text, lengths, _bloom(tokens, bits), True, 0).groupBy("hash").agg(F.sum("n").alias("df"))
+    counts = _scan(docs, text, lengths, bloom_of(tokens, bits), True, 0).groupBy("hash").agg(F.sum("n").alias("df"))
     exploded = parts.withColumn("window", F.monotonically_increasing_id()).select("window", "item", "m", "body", F.posexplode("tokens").alias("offset", "hash"))
     # hash order settles ties, so that neighbouring windows choose the same token
     rarest = exploded.join(counts, "hash", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), "hash", "offset", "item", "m", "body")).alias("x"))
     prefix = materialise(rarest.select("x.*").groupBy("hash", "body", "offset", "m").agg(F.collect_set("item").alias("items")).groupBy("hash").agg(F.collect_list(F.struct("items", "offset", "m", "body")).alias("windows")), "prefix")
-    hits = materialise(_scan(docs, text, lengths, _bloom(prefix.select("hash"), bits), False, window), "hits")
+    hits = materialise(_scan(docs, text, lengths, bloom_of(prefix.select("hash"), bits), False, window), "hits")
     met = hits.select(ROW, "n_words", F.explode("hits").alias("hit")).select(ROW, "n_words", "hit.*").join(prefix, "hash")
     fits = F.filter(
         "windows",

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewake.llm import decontamination, html_text, quality, sharding, topk, warc
+from tidewake.llm import decontamination, html_text, jaccard, quality, sharding, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": warc.op2_warc,
     "op3_html": html_text.op3_html,
+    "op4_jaccard": jaccard.op4_jaccard,
     "op6_decontamination": decontamination.op6_decontamination,
     "op8_sharding": sharding.op8_sharding,
     "op9_quality": quality.op9_quality,
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": warc.OP2_SQL,
+    "op4_jaccard": jaccard.OP4_SQL,
     "op6_decontamination": decontamination.OP6_SQL,
     "op10_topk": topk.OP10_SQL,
 }
