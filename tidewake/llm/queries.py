@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewake.llm import decontamination, html_text, jaccard, language_model, licenses, quality, sharding, topk, warc
+from tidewake.llm import decontamination, html_text, jaccard, language_model, licenses, pieces, quality, sharding, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_model": language_model.op1_language_model,
     "op2_warc": warc.op2_warc,
     "op3_html": html_text.op3_html,
     "op4_jaccard": jaccard.op4_jaccard,
+    "op5_pieces": pieces.op5_pieces,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_licenses": licenses.op7_licenses,
     "op8_sharding": sharding.op8_sharding,
