@@ -4,9 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from tidewake.llm.common import new_path
+from tidewake.llm.decontamination import contamination
+from tidewake.llm.jaccard import one_of_each_group
+from tidewake.llm.pieces import sample_segmentations
+from tidewake.llm.quality import fit_voters, score_quality
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts, learned from all labels."""
+    voters = fit_voters(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_quality(docs, voters).where("predicted = 1").select(docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near or exact copies."""
+    return one_of_each_group(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no window of words with a benchmark item."""
+    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(~F.col("contaminated")).select(docs.columns)
+
+
+def segmented(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of each document, a row each: ids, probabilities and the round trip."""
+    rows = sample_segmentations(docs.select("doc_id", "text")).select("doc_id", F.posexplode("samples").alias("rank", "s"))
+    return rows.select("doc_id", (F.col("rank") + 1).alias("rank"), "s.*")
+
 
-STAGES: list = []
+STAGES = [
+    ("quality", good_documents),
+    ("near_copies", without_near_copies),
+    ("decontamination", without_benchmark),
+    ("segmentation", segmented),
+]
 
 #: SQL cannot express the stages; tests hold them against brute-force versions.
 ORACLE_SQL = None
