@@ -4,7 +4,719 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from tidewake.functions import keys, sketch
+from tidewake.operators import access, archive, capture, freshness, rates, state, validate, windows
+from tidewake.plans import fixtures as fx
+from tidewake.plans.fixtures import SIZE, duck_with, duck_windows
+from tidewake.sources import codec, sinks
+from tidewake.sources.shared import new_path
+from tidewake.streaming import jobs
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+EMISSION = ", ".join(windows.EMISSION)
+STATE = "user_id, device_id, count, error_count, bytes, p95_nanos, p99_nanos, last_window_id, last_seen_unix_nanos"
+TIME = "strftime(make_timestamp({0} // 1000000000 * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+# --- keys and projections
+
+
+KEY_TEXT = "'{' || user_id || '}:' || device_id || ':' || CAST(process_id AS VARCHAR) || ':' || pod_id"
+
+
+@query("prj_1_correlation_key", duck_with("telemetry") + f"SELECT arrival, {KEY_TEXT} AS correlation_key, '{{' || user_id || '}}:' || device_id AS device_scope FROM telemetry")
+def _(spark, sf):
+    return keys.with_correlation_key(fx.telemetry(spark, sf)).select("arrival", "correlation_key", "device_scope")
+
+
+@query("prj_2_identity", duck_with("telemetry", "emissions") + f"SELECT {KEY_TEXT} || '#' || window_id AS window_key, {KEY_TEXT} || '#' || window_id || '#' || sequence AS identity FROM emissions")
+def _(spark, sf):
+    return keys.with_identity(fx.emissions(spark, sf)).select("window_key", "identity")
+
+
+@query("prj_3_window", duck_with("telemetry") + "SELECT arrival, observed_at_unix_nanos // 10000000000 AS window_id, observed_at_unix_nanos // 10000000000 * 10000000000 AS window_start_unix_nanos, (observed_at_unix_nanos // 10000000000 + 1) * 10000000000 AS window_end_unix_nanos FROM telemetry")
+def _(spark, sf):
+    return keys.with_window(fx.telemetry(spark, sf), 10_000_000_000).select("arrival", "window_id", "window_start_unix_nanos", "window_end_unix_nanos")
+
+
+PAIRS = """pairs AS (SELECT *, lag(side) OVER w AS before, lag(ts_ns) OVER w AS began FROM trace WINDOW w AS (PARTITION BY pid_tgid ORDER BY ts_ns, seq)),
+exits AS (SELECT cpu, pid_tgid, tgid, ts_ns, ret, syscall_nr, seq, coalesce(before = 'enter', false) AS paired, CASE WHEN before = 'enter' THEN ts_ns - began END AS latency_nanos, ret BETWEEN -4095 AND -1 AS failed FROM pairs WHERE side = 'exit')
+"""
+
+
+@query("prj_4_event_from_kernel", duck_with("telemetry", "trace").rstrip() + ",\n" + PAIRS + "SELECT seq, 'device-' || tgid AS device_id, CASE WHEN tgid % 9 = 0 THEN '' ELSE 'user-1' END AS user_id, CAST(tgid AS INTEGER) AS process_id, 'pod-a' AS pod_id, CAST(1 AS INTEGER) AS kind, 1000000 + ts_ns AS observed_at_unix_nanos, latency_nanos, CAST(0 AS BIGINT) AS bytes, failed, CASE WHEN tgid % 9 = 0 THEN 'no user' END AS reason FROM exits WHERE paired")
+def _(spark, sf):
+    decoded, tgid = capture.decode_kernel_records(_kernel_records(spark, sf)), F.col("tgid")
+    return capture.event_from_kernel(decoded, F.concat(F.lit("device-"), tgid.cast("string")), F.when(tgid % 9 == 0, "").otherwise("user-1"), F.lit("pod-a"), F.lit(1_000_000).cast("long"), keep=("seq",))
+
+
+def _little(column: str, size: int) -> Column:
+    hexed = F.lpad(F.hex(F.col(column).cast("long")), 16, "0")
+    return F.concat(*(F.substring(hexed, 17 - 2 * (i + 1), 2) for i in range(size)))
+
+
+def _kernel_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Paired exits packed as 40-byte little-endian records, with their sequence beside."""
+    exits = capture.pair_syscalls(fx.trace(spark, sf)).where("paired").withColumn("flag", F.col("failed").cast("long"))
+    packed = F.concat(_little("ts_ns", 8), _little("latency_nanos", 8), _little("ret", 8), _little("pid_tgid", 4), _little("tgid", 4), _little("syscall_nr", 4), _little("flag", 1), F.lit("000000"))
+    return exits.select("seq", F.unhex(packed).alias("raw"))
+
+
+@query("src_4_decode_kernel_records", duck_with("telemetry", "trace").rstrip() + ",\n" + PAIRS + "SELECT seq, ts_ns AS timestamp_nanos, latency_nanos, ret, CAST(pid_tgid AS INTEGER) AS pid, CAST(tgid AS INTEGER) AS tgid, syscall_nr, failed FROM exits WHERE paired")
+def _(spark, sf):
+    return capture.decode_kernel_records(_kernel_records(spark, sf)).where("reason is null").drop("raw", "reason")
+
+
+@query("prj_5_classify_failed", duck_with("telemetry", "trace") + "SELECT seq, ret BETWEEN -4095 AND -1 AS failed FROM trace WHERE side = 'exit'")
+def _(spark, sf):
+    return fx.trace(spark, sf).where("side = 'exit'").select("seq", keys.classify_failed(F.col("ret")).alias("failed"))
+
+
+@query("prj_7_names", duck_with("telemetry", "invalid") + "SELECT arrival, CASE kind WHEN 1 THEN 'syscall' WHEN 2 THEN 'network' WHEN 3 THEN 'process_exec' WHEN 4 THEN 'process_exit' ELSE 'unknown' END AS kind_name, CASE kind WHEN 1 THEN 'reset_counters' WHEN 2 THEN 'quarantine_device' ELSE 'unknown' END AS command_name FROM invalid")
+def _(spark, sf):
+    return fx.invalid(spark, sf).select("arrival", keys.kind_name(F.col("kind")).alias("kind_name"), keys.command_name(F.col("kind")).alias("command_name"))
+
+
+@query("prj_8_state_output", duck_with("telemetry", "emissions", "state") + f"SELECT user_id, device_id, count, error_count, bytes, p95_nanos, p99_nanos, last_window_id, {TIME.format('last_seen_unix_nanos')} AS last_seen, false AS stale FROM state")
+def _(spark, sf):
+    return state.state_output(state.device_state(fx.emissions(spark, sf)))
+
+
+@query("prj_9_metric_export_name", "SELECT p_partkey, 'tidewake_' || CASE WHEN t = '' THEN 'unnamed' ELSE t END || '_total' AS name FROM (SELECT p_partkey, lower(trim(regexp_replace(p_name || ' -', '[^a-zA-Z0-9_]', '_', 'g'), '_')) AS t FROM part)")
+def _(spark, sf):
+    return fx.table(spark, sf, "part").select("p_partkey", keys.metric_export_name(F.concat("p_name", F.lit(" -"))).alias("name"))
+
+
+@query("prj_10_window_day", duck_with("telemetry") + "SELECT arrival, strftime(make_timestamp(observed_at_unix_nanos // 1000), '%Y%m%d') AS window_day FROM telemetry")
+def _(spark, sf):
+    return fx.telemetry(spark, sf).select("arrival", keys.window_day(F.col("observed_at_unix_nanos")).alias("window_day"))
+
+
+@query("prj_11_resolve_actor", duck_with("requests", "principals") + "SELECT request_id, CASE WHEN p.principal IS NULL OR (list_contains(p.scopes, 'admin') AND claimed_actor <> '') THEN claimed_actor ELSE p.user_id END AS actor FROM requests r LEFT JOIN principals p USING (principal)")
+def _(spark, sf):
+    return keys.resolve_actor(fx.requests(spark, sf), fx.principals(spark, sf)).select("request_id", "actor")
+
+
+@query("prj_12_shard", "SELECT user_id, count(*) AS n, 1 AS partitions FROM events GROUP BY user_id")
+def _(spark, sf):
+    dealt = fx.table(spark, sf, "events").repartition(16, "user_id").withColumn("p", F.spark_partition_id())
+    return dealt.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p").cast("int").alias("partitions"))
+
+
+@query("scn_1_parse_principals", "SELECT 't' || n_nationkey AS token, 'user' || n_regionkey AS user_id, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE 'read,ns:' || n_name END AS scopes FROM nation WHERE n_nationkey % 5 <> 0 UNION ALL SELECT 'x' || n_nationkey, 'u', '' FROM nation")
+def _(spark, sf):
+    n = fx.table(spark, sf, "nation")
+    spec = F.expr("concat(case when n_nationkey % 5 = 0 then '' else concat('t', n_nationkey) end, ':user', n_regionkey, case when n_nationkey % 3 = 0 then '' else concat(':read|ns:', n_name) end, ', x', n_nationkey, ':u,nobody')")
+    return keys.parse_principals(n.select(spec.alias("spec"))).withColumn("scopes", F.array_join("scopes", ","))
+
+
+# --- validation
+
+
+REASON = "CASE WHEN device_id = '' THEN 'empty device' WHEN user_id = '' THEN 'empty user' WHEN kind NOT BETWEEN 0 AND 4 THEN 'unknown kind' WHEN latency_nanos < 0 THEN 'negative latency' WHEN bytes < 0 THEN 'negative bytes' WHEN observed_at_unix_nanos IS NULL THEN 'zero timestamp' END"
+
+
+@query("val_1_validate_events", duck_with("telemetry", "invalid") + f"SELECT arrival, {REASON} AS reason FROM invalid")
+def _(spark, sf):
+    good, bad = validate.validate_events(fx.invalid(spark, sf))
+    return good.select("arrival", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("arrival", "reason"))
+
+
+def _batches(spark: SparkSession, sf: str) -> DataFrame:
+    """25 events a batch, by original device; some events invalid or foreign, some batches of another identity."""
+    events = fx.invalid(spark, sf).withColumn("own", F.concat(F.lit("device-"), F.lpad((F.col("arrival") % 20).cast("string"), 3, "0")))
+    events = events.withColumn("device_id", F.when(F.col("device_id") == "", "").when(F.col("arrival") % 131 == 0, "device-999").otherwise(F.col("own")))
+    fields = ["arrival", "device_id", "user_id", "process_id", "kind", "observed_at_unix_nanos", "latency_nanos", "bytes", "failed"]
+    batch = F.floor(F.col("arrival") / 500).cast("long")
+    grouped = events.groupBy(F.col("own").alias("device_id"), batch.alias("batch_no")).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("events"))
+    return grouped.withColumn("authenticated_device_id", F.when(F.col("batch_no") % 13 == 0, "").when(F.col("batch_no") % 7 == 0, "device-998").otherwise(F.col("device_id")))
+
+
+DUCK_BATCHES = """ev AS (SELECT *, CASE WHEN device_id = '' THEN '' WHEN arrival % 131 = 0 THEN 'device-999' ELSE own END AS dev, arrival // 500 AS batch_no FROM (SELECT *, 'device-' || lpad(CAST(arrival % 20 AS VARCHAR), 3, '0') AS own FROM invalid))
+"""
+
+
+@query("val_2_validate_batches", duck_with("telemetry", "invalid").rstrip() + ",\n" + DUCK_BATCHES + f"SELECT own AS device_id, batch_no, min_by(coalesce({REASON}, CASE WHEN device_id <> own THEN 'foreign event' END), arrival) FILTER (coalesce({REASON}, CASE WHEN device_id <> own THEN 'foreign event' END) IS NOT NULL) AS reason FROM (SELECT * REPLACE (dev AS device_id) FROM ev) GROUP BY 1, 2")
+def _(spark, sf):
+    return validate.validate_batches(_batches(spark, sf)).select("device_id", "batch_no", "reason")
+
+
+@query("val_3_verify_identity", duck_with("telemetry", "invalid").rstrip() + ",\n" + DUCK_BATCHES + "SELECT own AS device_id, batch_no, CASE WHEN batch_no % 13 = 0 THEN 'no identity' WHEN batch_no % 7 = 0 OR bool_or(dev <> own) THEN 'identity mismatch' END AS identity_reason FROM ev GROUP BY 1, 2")
+def _(spark, sf):
+    return validate.verify_identity(_batches(spark, sf)).select("device_id", "batch_no", "identity_reason")
+
+
+def _edge_requests(spark: SparkSession, sf: str) -> DataFrame:
+    batches = fx.telemetry(spark, sf).groupBy("device_id", F.floor(F.col("arrival") / 500).cast("long").alias("batch_no")).agg(
+        F.array_sort(F.collect_list(F.struct("arrival", "user_id", "process_id", F.when(F.col("arrival") % 37 == 0, 77).otherwise(F.col("kind")).alias("kind"), F.when(F.col("arrival") % 41 == 0, 0).otherwise(F.col("observed_at_unix_nanos")).alias("observed_at_unix_nanos"), F.when(F.col("arrival") % 997 == 0, -5).otherwise(F.col("latency_nanos")).alias("latency_nanos"), "bytes", "failed"))).alias("events")
+    )
+    b = F.col("batch_no")
+    body = F.to_json(F.struct(F.when(b % 5 == 0, F.lit(None)).otherwise(F.when(b % 3 == 0, F.lit("device-000")).otherwise(F.col("device_id"))).alias("device_id"), F.transform("events", lambda e: e.dropFields("arrival")).alias("events")))
+    return batches.select(
+        "device_id", "batch_no", F.when(b % 17 == 0, "stranger").otherwise("edge").alias("peer_cn"), F.when(b % 13 == 0, "").otherwise(F.col("device_id")).alias("authenticated_device_id"), F.when(b % 11 == 0, "{").otherwise(body).alias("body"), F.lit(1_700_000_000_000_000_000).alias("received_at_unix_nanos")
+    )
+
+
+EDGE_STATUS = "CASE WHEN batch_no % 17 = 0 OR batch_no % 13 = 0 THEN CASE WHEN batch_no % 17 = 0 THEN 403 ELSE 401 END WHEN batch_no % 11 = 0 THEN 400 WHEN batch_no % 5 <> 0 AND batch_no % 3 = 0 AND device_id <> 'device-000' THEN 403 WHEN bool_or(arrival % 997 = 0 OR user_id = '') THEN 400 ELSE 202 END"
+
+
+@query("val_4_accept_edge", duck_with("telemetry") + f"SELECT device_id, batch_no, CAST(status AS INTEGER) AS status, CASE WHEN status = 202 THEN 'http_ingest_accepted' WHEN status = 401 OR batch_no % 17 = 0 THEN 'http_ingest_unauthenticated' ELSE 'http_ingest_rejected' END AS counter FROM (SELECT device_id, batch_no, {EDGE_STATUS} AS status FROM (SELECT *, arrival // 500 AS batch_no FROM telemetry) GROUP BY device_id, batch_no)")
+def _(spark, sf):
+    allowed = spark.createDataFrame([("edge",)], "peer_cn string")
+    return validate.accept_edge(_edge_requests(spark, sf), "pod-a", allowed).select("device_id", "batch_no", "status", "counter")
+
+
+NORMAL = "SELECT device_id, user_id, process_id, 'pod-a' AS pod_id, CAST(CASE WHEN arrival % 37 = 0 THEN 1 ELSE kind END AS INTEGER) AS kind, CASE WHEN arrival % 41 = 0 THEN 1700000000000000000 ELSE observed_at_unix_nanos END AS observed_at_unix_nanos, CASE WHEN arrival % 997 = 0 THEN -5 ELSE latency_nanos END AS latency_nanos, bytes, failed FROM telemetry WHERE (arrival // 500) % 11 <> 0 AND (arrival // 500) % 13 <> 0"
+
+
+@query("prj_6_normalise_edge", duck_with("telemetry") + NORMAL)
+def _(spark, sf):
+    decoded = validate.normalise_edge(validate.decode_edge(_edge_requests(spark, sf)), "pod-a")
+    return decoded.where("authenticated_device_id <> ''").select(F.explode("events").alias("e")).select("e.*")
+
+
+@query("src_3_read_edge_batches", duck_with("telemetry") + "SELECT device_id, arrival // 500 AS batch_no, (arrival // 500) % 11 = 0 AS malformed, CASE WHEN (arrival // 500) % 11 = 0 THEN 0 ELSE count(*) END AS n_events FROM telemetry GROUP BY device_id, arrival // 500")
+def _(spark, sf):
+    d = validate.decode_edge(_edge_requests(spark, sf))
+    return d.select("device_id", "batch_no", "malformed", F.when(F.col("malformed"), 0).otherwise(F.size("payload.events")).cast("long").alias("n_events"))
+
+
+@query("val_5_accept_device_events", duck_with("telemetry", "invalid") + f"SELECT arrival, {REASON} IS NULL AND device_id = 'device-' || lpad(CAST(arrival % 20 AS VARCHAR), 3, '0') AS accepted FROM invalid")
+def _(spark, sf):
+    return validate.accept_device_events(fx.invalid(spark, sf), F.concat(F.lit("device-"), F.lpad((F.col("arrival") % 20).cast("string"), 3, "0"))).select("arrival", "accepted")
+
+
+IDENT = "CASE WHEN octet_length(encode({0})) > 256 THEN 'too long' WHEN regexp_matches({0}, '[\\x00-\\x1f\\x7f]') THEN 'invalid' END"
+
+
+@query("val_6_validate_identifiers", duck_with("requests") + f"SELECT request_id, coalesce({IDENT.format('user_id')}, {IDENT.format('device_id')}) AS reason FROM requests")
+def _(spark, sf):
+    return validate.validate_identifiers(fx.requests(spark, sf), ["user_id", "device_id"]).select("request_id", "reason")
+
+
+@query("val_7_validate_commands", duck_with("commands") + "SELECT command_id, CASE WHEN kind NOT IN (1, 2) THEN 'unknown kind' WHEN user_id = '' THEN 'empty user' WHEN device_id = '' THEN 'empty device' WHEN actor = '' THEN 'empty actor' END AS reason FROM commands")
+def _(spark, sf):
+    return validate.validate_commands(fx.commands(spark, sf)).select("command_id", "reason")
+
+
+@query("snk_6_dead_letter", duck_with("telemetry", "invalid") + f"SELECT device_id AS key, CAST(arrival AS VARCHAR) AS value, 'events.raw' AS origin, {REASON} AS reason FROM invalid WHERE {REASON} IS NOT NULL")
+def _(spark, sf):
+    marked = fx.invalid(spark, sf).select(F.col("device_id").alias("key"), F.col("arrival").cast("string").alias("value"), validate.event_reason().alias("reason"))
+    return validate.dead_letter(marked, "events.raw")[1]
+
+
+# --- windows
+
+
+@query("agg_1_aggregate_windows", duck_with("telemetry") + duck_windows("telemetry"))
+def _(spark, sf):
+    return windows.aggregate_windows(fx.telemetry(spark, sf), SIZE)
+
+
+@query("agg_1_aggregate_feed", duck_with("feed") + duck_windows("feed"))
+def _(spark, sf):
+    return windows.aggregate_windows(fx.feed(spark, sf), SIZE)
+
+
+@query("agg_2_sketch_build", duck_with("telemetry") + f"SELECT user_id, device_id, CAST(CASE WHEN latency_nanos > 0 THEN ceil(ln(latency_nanos) / CAST({fx.LN_G} AS DOUBLE)) END AS INTEGER) AS bucket, count(*) AS n FROM telemetry WHERE latency_nanos > 0 GROUP BY ALL")
+def _(spark, sf):
+    built = sketch.sketch_build(fx.telemetry(spark, sf), ["user_id", "device_id"], "latency_nanos")
+    return built.select("user_id", "device_id", F.explode("sketch.buckets").alias("bucket", "n"))
+
+
+DUCK_Q = duck_windows("(SELECT device_id AS user_id, device_id, 0 AS process_id, '' AS pod_id, 0 AS observed_at_unix_nanos, latency_nanos, bytes, failed FROM telemetry)")
+
+
+@query("agg_3_sketch_quantile", duck_with("telemetry") + f"SELECT device_id, p95_nanos, p99_nanos FROM ({DUCK_Q})")
+def _(spark, sf):
+    return sketch.quantiles(fx.telemetry(spark, sf), ["device_id"], "latency_nanos", {"p95_nanos": 0.95, "p99_nanos": 0.99})
+
+
+@query("agg_4_sketch_merge", duck_with("telemetry") + f"SELECT device_id, p95_nanos, p99_nanos, count FROM ({DUCK_Q})")
+def _(spark, sf):
+    parts = sketch.sketch_build(fx.telemetry(spark, sf), ["device_id", "process_id"], "latency_nanos")
+    merged = sketch.sketch_merge(parts, ["device_id"])
+    s = F.col("sketch")
+    return merged.select("device_id", sketch.sketch_quantile(s, 0.95).alias("p95_nanos"), sketch.sketch_quantile(s, 0.99).alias("p99_nanos"), s["count"].alias("count"))
+
+
+def _exact(q: float, name: str, by: str = "device_id") -> str:
+    return f"min(latency_nanos) FILTER (r - 1 = CAST(floor(CAST({q} AS DOUBLE) * (n - 1)) AS BIGINT)) AS {name}"
+
+
+RANKED = "(SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY latency_nanos) AS r, count(*) OVER (PARTITION BY device_id) AS n FROM telemetry)"
+
+
+@query("agg_5_exact_quantile", duck_with("telemetry") + f"SELECT device_id, {_exact(0.5, 'p50')}, {_exact(0.95, 'p95')}, {_exact(0.99, 'p99')} FROM {RANKED} GROUP BY device_id")
+def _(spark, sf):
+    return sketch.exact_quantiles(fx.telemetry(spark, sf), ["device_id"], "latency_nanos", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+
+
+@query("agg_6_sketch_error", duck_with("telemetry") + f"SELECT a.device_id, a.p95_nanos AS p95, a.p99_nanos AS p99, b.exact_p95, b.exact_p99, abs(a.p95_nanos - b.exact_p95) <= CAST(0.01 AS DOUBLE) * b.exact_p95 + 0.5 AS p95_ok, abs(a.p99_nanos - b.exact_p99) <= CAST(0.01 AS DOUBLE) * b.exact_p99 + 0.5 AS p99_ok FROM ({DUCK_Q}) a JOIN (SELECT device_id, {_exact(0.95, 'exact_p95')}, {_exact(0.99, 'exact_p99')} FROM {RANKED} GROUP BY device_id) b USING (device_id)")
+def _(spark, sf):
+    return sketch.sketch_error(fx.telemetry(spark, sf), ["device_id"], "latency_nanos", {"p95": 0.95, "p99": 0.99})
+
+
+@query("win_1_number_emissions", duck_with("telemetry") + f"SELECT user_id, device_id, process_id, pod_id, window_id, count, 100 + row_number() OVER (PARTITION BY user_id, device_id ORDER BY window_id, process_id, pod_id) AS sequence FROM ({duck_windows('telemetry')})")
+def _(spark, sf):
+    w = windows.aggregate_windows(fx.telemetry(spark, sf), SIZE)
+    return windows.number_emissions(w, 100).select(*keys.KEY, "window_id", "count", "sequence")
+
+
+@query("lim_3_key_ceiling", duck_with("telemetry").rstrip() + f", t AS (SELECT *, observed_at_unix_nanos // {SIZE} AS window_id FROM telemetry), held AS (SELECT user_id, device_id, process_id, pod_id, window_id, min(arrival) AS first FROM t GROUP BY ALL ORDER BY first LIMIT 100) SELECT arrival, held.first IS NOT NULL AS admitted FROM t LEFT JOIN held USING (user_id, device_id, process_id, pod_id, window_id)")
+def _(spark, sf):
+    return windows.key_ceiling(fx.telemetry(spark, sf), 100, SIZE).select("arrival", "admitted")
+
+
+@query("lim_4_order_emissions", duck_with("telemetry", "emissions") + f"SELECT {EMISSION} FROM emissions ORDER BY window_id, user_id, device_id, process_id, pod_id")
+def _(spark, sf):
+    return windows.order_emissions(fx.emissions(spark, sf))
+
+
+@query("set_1_with_retained", duck_with("telemetry", "emissions") + "SELECT user_id, device_id, process_id, pod_id, window_id, sequence, count, sequence = 2 AS retained FROM emissions WHERE sequence = 1 OR (sequence = 2 AND window_id % 2 = 1)")
+def _(spark, sf):
+    e = fx.emissions(spark, sf)
+    out = windows.with_retained(e.where("sequence = 1"), e.where("sequence = 2"), e.where("sequence = 2 and window_id % 2 = 0"))
+    return out.select(*keys.IDENTITY, "count", "retained")
+
+
+@query("snk_1_publish_batches", duck_with("telemetry") + "SELECT device_id, batch_no, count(*) AS n_events, max(observed_at_unix_nanos) AS created_at_unix_nanos, min(arrival) AS first_arrival, CAST(sum(latency_nanos) AS BIGINT) AS latency FROM (SELECT *, (row_number() OVER (PARTITION BY device_id ORDER BY arrival) - 1) // 25 AS batch_no FROM telemetry) GROUP BY ALL")
+def _(spark, sf):
+    b = windows.publish_batches(fx.telemetry(spark, sf), 25)
+    return b.select("device_id", "batch_no", F.size("events").cast("long").alias("n_events"), "created_at_unix_nanos", F.get("events.arrival", F.lit(0)).alias("first_arrival"), F.aggregate("events.latency_nanos", F.lit(0).cast("long"), lambda a, x: a + x).alias("latency"))
+
+
+@query("src_1_batches_round_trip", duck_with("telemetry") + "SELECT device_id AS batch_device_id, device_id, user_id, process_id, pod_id, kind, observed_at_unix_nanos, latency_nanos, bytes, failed FROM telemetry")
+def _(spark, sf):
+    b = windows.publish_batches(fx.telemetry(spark, sf), 25)
+    with_device = b.withColumn("events", F.transform("events", lambda e: F.struct(F.col("device_id").alias("device_id"), *(e[c].alias(c) for c in ("user_id", "process_id", "pod_id", "kind", "observed_at_unix_nanos", "latency_nanos", "bytes", "failed")))))
+    return codec.decode_batches(codec.encode_batches(with_device))
+
+
+@query("snk_2_windows_round_trip", duck_with("telemetry", "emissions") + f"SELECT {EMISSION} FROM emissions")
+def _(spark, sf):
+    return codec.decode_windows(codec.encode_windows(fx.emissions(spark, sf)))
+
+
+@query("src_5_read_windows", duck_with("telemetry", "emissions") + f"SELECT {EMISSION} FROM emissions")
+def _(spark, sf):
+    return codec.read_windows(spark, _files(codec.encode_windows(fx.emissions(spark, sf)), "windows"), stream=False)
+
+
+@query("src_6_read_commands", duck_with("commands") + "SELECT kind, user_id, device_id, actor, command_id AS issued_at_unix_nanos FROM commands")
+def _(spark, sf):
+    c = fx.commands(spark, sf).withColumnRenamed("command_id", "issued_at_unix_nanos")
+    return codec.read_commands(spark, _files(codec.encode_commands(c), "commands"), stream=False)
+
+
+def _files(df: DataFrame, label: str, files: int = 1, by: str | None = None) -> str:
+    path = new_path(df.sparkSession, label)
+    (df.repartitionByRange(files, by) if by else df.coalesce(files) if files == 1 else df.repartition(files)).write.parquet(path)
+    return path
+
+
+# --- state
+
+
+@query("agg_7_device_state", duck_with("telemetry", "emissions", "state") + f"SELECT {STATE} FROM state")
+def _(spark, sf):
+    return state.device_state(fx.redelivered(spark, sf)).select(*STATE.split(", "))
+
+
+ARCHIVED = f"""arch AS (SELECT s.*, p.p95_nanos, p.p99_nanos, p.window_end_unix_nanos AS last_seen_unix_nanos FROM (
+  SELECT user_id, device_id, CAST(sum(count) AS BIGINT) AS count, CAST(sum(error_count) AS BIGINT) AS error_count, CAST(sum(bytes) AS BIGINT) AS bytes, max(window_id) AS last_window_id FROM emissions GROUP BY ALL) s
+  JOIN (SELECT *, row_number() OVER (PARTITION BY user_id, device_id ORDER BY window_id DESC, count DESC, sequence DESC, process_id DESC, pod_id DESC) AS r FROM emissions) p ON p.r = 1 AND s.user_id = p.user_id AND s.device_id = p.device_id)
+"""
+
+
+@query("agg_8_archive_device_state", duck_with("telemetry", "emissions").rstrip() + ",\n" + ARCHIVED + f"SELECT {STATE}, true AS stale FROM arch")
+def _(spark, sf):
+    return state.archive_device_state(fx.emissions(spark, sf)).select(*STATE.split(", "), "stale")
+
+
+RESET_SQL = duck_with("telemetry", "emissions", "log", "resets").rstrip() + """,
+newest AS (SELECT user_id, device_id, max(window_id) AS last_window_id, max(window_end_unix_nanos) AS last_seen_unix_nanos FROM log GROUP BY ALL),
+fresh AS (SELECT l.* FROM log l LEFT JOIN resets r USING (user_id, device_id) WHERE r.arrival IS NULL OR l.arrival > r.arrival),
+sums AS (SELECT user_id, device_id, CAST(sum(count) AS BIGINT) AS count, CAST(sum(error_count) AS BIGINT) AS error_count, CAST(sum(bytes) AS BIGINT) AS bytes FROM fresh GROUP BY ALL),
+top AS (SELECT *, row_number() OVER (PARTITION BY user_id, device_id ORDER BY window_id DESC, count DESC, arrival) AS r FROM fresh)
+SELECT n.user_id, n.device_id, coalesce(s.count, 0) AS count, coalesce(s.error_count, 0) AS error_count, coalesce(s.bytes, 0) AS bytes,
+  coalesce(CASE WHEN t.window_id = n.last_window_id THEN t.p95_nanos END, 0) AS p95_nanos, coalesce(CASE WHEN t.window_id = n.last_window_id THEN t.p99_nanos END, 0) AS p99_nanos, n.last_window_id, n.last_seen_unix_nanos
+FROM newest n LEFT JOIN sums s USING (user_id, device_id) LEFT JOIN top t ON t.r = 1 AND t.user_id = n.user_id AND t.device_id = n.device_id"""
+
+
+@query("agg_9_device_state_with_resets", RESET_SQL)
+def _(spark, sf):
+    return state.device_state_with_resets(*fx.log(spark, sf)).select(*STATE.split(", "))
+
+
+@query("agg_10_user_devices", duck_with("telemetry") + "SELECT user_id, array_to_string(list_sort(list(DISTINCT device_id)), ',') AS devices FROM telemetry GROUP BY user_id")
+def _(spark, sf):
+    return state.user_devices(fx.telemetry(spark, sf)).select("user_id", F.array_join("devices", ",").alias("devices"))
+
+
+@query("lim_1_list_devices", duck_with("telemetry") + "SELECT user_id, array_to_string(list_sort(list(device_id) FILTER (r <= 2)), ',') AS devices, count(*) FILTER (r <= 2) AS count, max(r) > 2 AS truncated FROM (SELECT user_id, device_id, row_number() OVER (PARTITION BY user_id ORDER BY device_id) AS r FROM (SELECT DISTINCT user_id, device_id FROM telemetry)) GROUP BY user_id")
+def _(spark, sf):
+    out = state.list_devices(fx.telemetry(spark, sf), 2)
+    return out.select("user_id", F.array_join("devices", ",").alias("devices"), F.col("count").cast("long").alias("count"), "truncated")
+
+
+@query("lim_2_latest_percentiles", duck_with("telemetry", "emissions").rstrip() + ",\n" + ARCHIVED + "SELECT user_id, device_id, last_window_id, p95_nanos, p99_nanos FROM arch")
+def _(spark, sf):
+    return state.latest_percentiles(fx.emissions(spark, sf))
+
+
+@query("set_3_distinct_devices", duck_with("telemetry") + "SELECT DISTINCT user_id, device_id FROM telemetry")
+def _(spark, sf):
+    return fx.telemetry(spark, sf).select("user_id", "device_id").distinct()
+
+
+GLOBAL = duck_windows("(SELECT user_id, device_id, 0 AS process_id, '' AS pod_id, 0 AS observed_at_unix_nanos, latency_nanos, bytes, failed FROM telemetry)")
+
+
+@query("agg_14_global_view", duck_with("telemetry") + f"SELECT g.user_id, g.device_id, g.count, g.error_count, g.bytes, m.last_window_id, g.p95_nanos, g.p99_nanos FROM ({GLOBAL}) g JOIN (SELECT user_id, device_id, max(observed_at_unix_nanos // {SIZE}) AS last_window_id FROM telemetry GROUP BY ALL) m USING (user_id, device_id)")
+def _(spark, sf):
+    e = fx.emissions(spark, sf, True)
+    return state.global_view(e.where("sequence <= 2"), e.where("sequence >= 2"))
+
+
+# --- archive
+
+
+@query("snk_3_write_archive", duck_with("telemetry", "emissions") + f"SELECT {EMISSION}, strftime(make_timestamp(window_start_unix_nanos // 1000), '%Y%m%d') AS window_day FROM emissions")
+def _(spark, sf):
+    path = new_path(spark, "archive")
+    archive.write_archive(fx.redelivered(spark, sf), path)
+    archive.write_archive(fx.emissions(spark, sf), path)  # again: nothing is new
+    return archive.scan_archive(spark, path).select(*windows.EMISSION, "window_day")
+
+
+@query("src_7_scan_archive", duck_with("telemetry", "emissions") + f"SELECT {EMISSION}, '20240105' AS window_day FROM emissions WHERE strftime(make_timestamp(window_start_unix_nanos // 1000), '%Y%m%d') = '20240105'")
+def _(spark, sf):
+    path = new_path(spark, "archive")
+    archive.write_archive(fx.emissions(spark, sf), path)
+    return archive.scan_archive(spark, path, ["20240105"]).select(*windows.EMISSION, "window_day")
+
+
+@query("join_5_archive_dedupe", duck_with("telemetry", "emissions") + "SELECT user_id, device_id, process_id, pod_id, window_id, sequence FROM emissions WHERE sequence = 3")
+def _(spark, sf):
+    held = archive.with_day(fx.emissions(spark, sf).where("sequence < 3"))
+    return archive.new_rows(fx.redelivered(spark, sf), held).select(*keys.IDENTITY)
+
+
+@query("arc_1_repartition_by_day", duck_with("telemetry", "emissions") + "SELECT user_id, device_id, process_id, pod_id, window_id, sequence, strftime(make_timestamp(window_start_unix_nanos // 1000), '%Y%m%d') AS window_day FROM emissions")
+def _(spark, sf):
+    misfiled = fx.redelivered(spark, sf).withColumn("window_day", F.lit("19700101"))
+    return archive.repartition_by_day(misfiled).select(*keys.IDENTITY, "window_day")
+
+
+@query("arc_2_drop_days_before", duck_with("telemetry", "emissions") + "SELECT user_id, device_id, process_id, pod_id, window_id, sequence FROM emissions WHERE strftime(make_timestamp(window_start_unix_nanos // 1000), '%Y%m%d') >= '20240115'")
+def _(spark, sf):
+    return archive.drop_days_before(archive.with_day(fx.emissions(spark, sf)), "20240115")[0].select(*keys.IDENTITY)
+
+
+@query("arc_3_erase_device", duck_with("telemetry", "emissions") + "SELECT user_id, device_id, process_id, pod_id, window_id, sequence FROM emissions WHERE NOT (user_id = 'user-003' AND device_id = 'device-003')")
+def _(spark, sf):
+    return archive.erase_device(archive.with_day(fx.emissions(spark, sf)), "user-003", "device-003")[0].select(*keys.IDENTITY)
+
+
+@query("str_9_rebuild_state", duck_with("telemetry", "emissions", "state") + f"SELECT {STATE} FROM state")
+def _(spark, sf):
+    path = new_path(spark, "archive")
+    archive.write_archive(fx.emissions(spark, sf), path)
+    return state.device_state(archive.scan_archive(spark, path)).select(*STATE.split(", "))
+
+
+# --- access and commands
+
+
+ALLOWED = "asked AS (SELECT r.*, p.user_id AS own, CASE WHEN p.principal IS NULL THEN false ELSE list_contains(p.scopes, 'admin') OR (r.user_id <> '' AND p.user_id = r.user_id) END AS allowed FROM requests r LEFT JOIN principals p USING (principal))\n"
+REFUSED = f"coalesce(CASE WHEN user_id = '' OR device_id = '' THEN 'missing identifier' END, {IDENT.format('user_id')}, {IDENT.format('device_id')}, CASE WHEN NOT allowed THEN 'forbidden' END)"
+
+
+@query("join_3_authorise", duck_with("requests", "principals").rstrip() + ",\n" + ALLOWED + "SELECT request_id, allowed FROM asked")
+def _(spark, sf):
+    return access.authorise(fx.requests(spark, sf), fx.principals(spark, sf)).select("request_id", "allowed")
+
+
+@query("flt_2_tenant_filter", duck_with("requests", "principals").rstrip() + ",\n" + ALLOWED + "SELECT request_id FROM asked WHERE allowed")
+def _(spark, sf):
+    return access.tenant_filter(fx.requests(spark, sf), fx.principals(spark, sf)).select("request_id")
+
+
+@query("join_2_read_with_fallback", duck_with("telemetry", "emissions", "requests").rstrip() + ",\n" + ARCHIVED + "SELECT request_id, a.count, a.p99_nanos, CASE WHEN a.count IS NOT NULL THEN true END AS stale, a.count IS NOT NULL AS found FROM requests r LEFT JOIN arch a ON a.user_id = r.user_id AND a.device_id = r.device_id")
+def _(spark, sf):
+    e = fx.emissions(spark, sf)
+    out = access.read_with_fallback(fx.requests(spark, sf), state.device_state(e), state.archive_device_state(e), hot_available=False)
+    return out.select("request_id", "count", "p99_nanos", "stale", "found")
+
+
+@query("join_4_apply_commands", duck_with("telemetry", "commands") + "SELECT command_id, CASE WHEN kind <> 1 THEN 'unsupported' WHEN t.device_id IS NULL THEN 'not found' ELSE 'applied' END AS outcome FROM commands c LEFT JOIN (SELECT DISTINCT user_id, device_id FROM telemetry) t ON t.user_id = c.user_id AND t.device_id = c.device_id")
+def _(spark, sf):
+    return access.apply_commands(fx.commands(spark, sf), fx.telemetry(spark, sf)).select("command_id", "outcome")
+
+
+@query("cmd_1_issue_resets", duck_with("requests", "principals").rstrip() + ",\n" + ALLOWED + f", acted AS (SELECT a.*, CASE WHEN a.own IS NULL OR (principal = 'p-009' AND claimed_actor <> '') THEN claimed_actor ELSE own END AS actor FROM asked a) SELECT request_id, actor, coalesce({REFUSED}, CASE WHEN actor = '' THEN 'empty actor' END, 'accepted') AS verdict FROM acted")
+def _(spark, sf):
+    return access.issue_resets(fx.requests(spark, sf), fx.principals(spark, sf)).select("request_id", "actor", "verdict")
+
+
+@query("api_1_get_device_state", duck_with("telemetry", "emissions", "state", "requests", "principals").rstrip() + ",\n" + ALLOWED + f"SELECT request_id, coalesce({REFUSED.replace('user_id', 'a.user_id').replace('device_id', 'a.device_id')}, CASE WHEN s.count IS NULL THEN 'not found' ELSE 'ok' END) AS status, CASE WHEN {REFUSED.replace('user_id', 'a.user_id').replace('device_id', 'a.device_id')} IS NULL THEN s.count END AS count, CASE WHEN {REFUSED.replace('user_id', 'a.user_id').replace('device_id', 'a.device_id')} IS NULL THEN {TIME.format('s.last_seen_unix_nanos')} END AS last_seen FROM asked a LEFT JOIN state s ON s.user_id = a.user_id AND s.device_id = a.device_id")
+def _(spark, sf):
+    e = fx.emissions(spark, sf)
+    out = access.get_device_state(fx.requests(spark, sf), fx.principals(spark, sf), state.device_state(e), state.archive_device_state(e))
+    return out.select("request_id", "status", "count", "last_seen")
+
+
+@query("api_2_get_user_devices", duck_with("telemetry", "requests", "principals").rstrip() + ",\n" + ALLOWED + f", lists AS (SELECT user_id, array_to_string(list_sort(list(device_id) FILTER (r <= 2)), ',') AS devices, count(*) FILTER (r <= 2) AS count, max(r) > 2 AS truncated FROM (SELECT user_id, device_id, row_number() OVER (PARTITION BY user_id ORDER BY device_id) AS r FROM (SELECT DISTINCT user_id, device_id FROM telemetry)) GROUP BY user_id), judged AS (SELECT request_id, user_id, coalesce(CASE WHEN user_id = '' THEN 'missing identifier' END, {IDENT.format('user_id')}, CASE WHEN NOT allowed THEN 'forbidden' END, 'ok') AS status FROM asked) SELECT request_id, status, CASE WHEN status = 'ok' THEN coalesce(devices, '') END AS devices, CASE WHEN status = 'ok' THEN coalesce(count, 0) END AS count, CASE WHEN status = 'ok' THEN coalesce(truncated, false) END AS truncated FROM judged LEFT JOIN lists USING (user_id)")
+def _(spark, sf):
+    out = access.get_user_devices(fx.requests(spark, sf), fx.principals(spark, sf), fx.telemetry(spark, sf), 2)
+    return out.select("request_id", "status", F.array_join("devices", ",").alias("devices"), F.col("count").cast("long").alias("count"), "truncated")
+
+
+# --- counters over time
+
+
+DELTAS = "SELECT metric AS name, CAST(value AS BIGINT) % 3 AS delta FROM samples"
+
+
+def _deltas(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.samples(spark, sf).select(F.col("metric").alias("name"), (F.col("value").cast("long") % 3).alias("delta"))
+
+
+KNOWN_VALUES = ", ".join(f"('{n}')" for n in rates.KNOWN_COUNTERS)
+
+
+@query("agg_11_pipeline_metrics", duck_with("samples") + f"SELECT name, CAST(coalesce(value, 0) AS BIGINT) AS value FROM (VALUES {KNOWN_VALUES}) k(name) FULL JOIN (SELECT name, sum(delta) AS value FROM ({DELTAS}) WHERE delta <> 0 GROUP BY name) USING (name)")
+def _(spark, sf):
+    return rates.pipeline_metrics(_deltas(spark, sf), True)
+
+
+@query("api_3_get_pipeline_metrics", duck_with("samples", "requests", "principals").rstrip() + f", m AS (SELECT name, CAST(sum(delta) AS BIGINT) AS value FROM ({DELTAS}) WHERE delta <> 0 GROUP BY name) SELECT request_id, principal = 'p-009' AS allowed, name, value FROM requests LEFT JOIN m ON principal = 'p-009'")
+def _(spark, sf):
+    return access.get_pipeline_metrics(fx.requests(spark, sf), fx.principals(spark, sf), rates.pipeline_metrics(_deltas(spark, sf)))
+
+
+@query("set_4_counter_coverage", duck_with("samples") + f"SELECT DISTINCT metric || '_x' AS name, 'unlisted' AS problem FROM samples UNION ALL SELECT name, 'never emitted' FROM (VALUES {KNOWN_VALUES}) k(name)")
+def _(spark, sf):
+    listed = spark.createDataFrame([(n,) for n in rates.KNOWN_COUNTERS], "name string")
+    return rates.counter_coverage(fx.samples(spark, sf).select(F.concat("metric", F.lit("_x")).alias("name")), listed)
+
+
+RATE = """grown AS (SELECT *, CASE WHEN p IS NULL THEN 0 WHEN value < p THEN value ELSE value - p END AS up FROM (SELECT *, lag(value) OVER (PARTITION BY metric, series ORDER BY ts) AS p FROM samples)),
+rated AS (SELECT metric, ts, sum(r) AS rate FROM (SELECT metric, series, ts, sum(up) OVER (PARTITION BY metric, series ORDER BY CAST(epoch(ts) AS BIGINT) RANGE BETWEEN 10799 PRECEDING AND CURRENT ROW) / 10800 AS r FROM grown) GROUP BY metric, ts)
+"""
+
+
+@query("win_5_counter_rate", duck_with("samples").rstrip() + ",\n" + RATE + "SELECT metric, epoch_us(ts) AS at, round(rate * 1000000) AS micro_rate FROM rated")
+def _(spark, sf):
+    return rates.counter_rate(fx.samples(spark, sf), 10_800).select("metric", F.unix_micros("ts").alias("at"), F.round(F.col("rate") * 1_000_000).alias("micro_rate"))
+
+
+WIDE = "wide AS (SELECT ts, " + ", ".join(f"coalesce(max(rate) FILTER (metric = '{m}'), 0) AS {m}" for m in ("http_ingest_accepted", "http_ingest_rejected", "aggregator_batches_consumed", "aggregator_windows_emitted", "windows_applied")) + " FROM rated GROUP BY ts)\n"
+
+
+@query("win_6_ingest_failure_ratio", duck_with("samples").rstrip() + ",\n" + RATE + ",\n" + WIDE + "SELECT epoch_us(ts) AS at, round(http_ingest_rejected / greatest(http_ingest_accepted + http_ingest_rejected, 1) * 1000000000) AS ratio FROM wide WHERE ts IN (SELECT ts FROM samples WHERE metric LIKE 'http%')")
+def _(spark, sf):
+    return rates.ingest_failure_ratio(fx.samples(spark, sf), 10_800).select(F.unix_micros("ts").alias("at"), F.round(F.col("ratio") * 1_000_000_000).alias("ratio"))
+
+
+@query("win_7_drain_time", duck_with("samples").rstrip() + ",\n" + RATE + "SELECT epoch_us(ts) AS at, round(lag / greatest(rate, 1) * 1000) AS millis FROM (SELECT ts, CAST(sum(value) AS DOUBLE) AS lag FROM samples WHERE metric = 'http_ingest_accepted' GROUP BY ts) JOIN (SELECT * FROM rated WHERE metric = 'aggregator_batches_consumed') USING (ts)")
+def _(spark, sf):
+    s = fx.samples(spark, sf)
+    lag = s.where("metric = 'http_ingest_accepted'").groupBy("ts").agg(F.sum("value").alias("lag"))
+    return rates.drain_time(lag, s, "aggregator_batches_consumed", 10_800).select(F.unix_micros("ts").alias("at"), F.round(F.col("seconds") * 1000).alias("millis"))
+
+
+ALERT_SQL = (
+    duck_with("samples").rstrip()
+    + ",\n"
+    + RATE
+    + ",\n"
+    + WIDE
+    + """, f AS (SELECT *, http_ingest_rejected / greatest(http_ingest_accepted + http_ingest_rejected, 1) AS ratio FROM wide),
+marks AS (SELECT ts, 'IngestErrorBudgetBurningFast' AS rule, ratio > 0.0001 AS is_on, 7200 AS hold FROM f UNION ALL SELECT ts, 'WindowEmissionStalled', aggregator_batches_consumed > 0 AND aggregator_windows_emitted = 0, 3600 FROM f UNION ALL SELECT ts, 'HotStateWritesStopped', aggregator_windows_emitted > 0 AND windows_applied = 0, 3600 FROM f),
+runs AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY rule ORDER BY ts) AS run FROM (SELECT *, is_on <> coalesce(lag(is_on) OVER (PARTITION BY rule ORDER BY ts), false) AS fresh FROM marks))
+SELECT rule, epoch_us(ts) AS at, CASE WHEN epoch(ts) - epoch(min(ts) OVER (PARTITION BY rule, run)) >= hold THEN 'firing' ELSE 'pending' END AS state FROM runs WHERE is_on"""
+)
+
+
+@query("win_8_alerts", ALERT_SQL)
+def _(spark, sf):
+    wide = rates.rates_wide(fx.samples(spark, sf), {"3h": 10_800}, rates.ALERT_METRICS)
+    bad, ok = F.col("http_ingest_rejected_3h"), F.col("http_ingest_accepted_3h")
+    wide = wide.withColumn("failure_ratio", bad / F.greatest(ok + bad, F.lit(1.0)))
+    rules = [
+        ("IngestErrorBudgetBurningFast", "failure_ratio > 0.0001D", 7200),
+        ("WindowEmissionStalled", "aggregator_batches_consumed_3h > 0 and aggregator_windows_emitted_3h = 0", 3600),
+        ("HotStateWritesStopped", "aggregator_windows_emitted_3h > 0 and windows_applied_3h = 0", 3600),
+    ]
+    return rates.alert_states(wide, rules).select("rule", F.unix_micros("ts").alias("at"), "state")
+
+
+@query("win_8_alert_rules")
+def _(spark, sf):
+    """All fourteen rules with their own spans; the samples are hourly, so most rates of minutes are 0."""
+    return rates.alerts(fx.samples(spark, sf)).select("rule", F.unix_micros("ts").alias("at"), "state")
+
+
+@query("win_2_flood_report", duck_with("telemetry") + "SELECT arrival, count(*) OVER w AS in_span, count(*) OVER w > 3 AS denied FROM (SELECT *, observed_at_unix_nanos // 1000000000 AS ts_unix FROM telemetry) WINDOW w AS (PARTITION BY device_id ORDER BY ts_unix RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)")
+def _(spark, sf):
+    r = fx.telemetry(spark, sf).withColumn("ts_unix", F.expr("observed_at_unix_nanos div 1000000000"))
+    return rates.flood_report(r, 3, 3600).select("arrival", "in_span", "denied")
+
+
+@query("win_4_trim_backlog", duck_with("backlog") + "SELECT device_id, ordinal, sum(size_bytes) OVER w <= 2000000 AND row_number() OVER w <= 1953 AS kept FROM backlog WINDOW w AS (PARTITION BY device_id ORDER BY ordinal DESC, sequence DESC ROWS UNBOUNDED PRECEDING)")
+def _(spark, sf):
+    return rates.trim_backlog(fx.backlog(spark, sf), 2_000_000).select("device_id", "ordinal", "kept")
+
+
+@query("agg_15_batch_stats", duck_with("outcomes") + "SELECT device_id, CAST(coalesce(sum(events) FILTER (outcome = 'sent'), 0) AS BIGINT) AS events_accepted, CAST(coalesce(sum(events) FILTER (outcome = 'rejected'), 0) AS BIGINT) AS events_rejected, CAST(coalesce(sum(events) FILTER (outcome = 'dropped'), 0) AS BIGINT) AS events_dropped, count(*) FILTER (outcome <> 'dropped') AS batches_enqueued, count(*) FILTER (outcome = 'dropped') AS batches_dropped, count(*) FILTER (outcome = 'sent') AS batches_sent, count(*) FILTER (outcome = 'rejected') AS failures FROM outcomes GROUP BY device_id")
+def _(spark, sf):
+    return rates.batch_stats(fx.outcomes(spark, sf), ["device_id"])
+
+
+@query("agg_13_freshness_report", duck_with("telemetry", "freshness").rstrip() + f", d AS (SELECT device_id, visible_nanos - sent_nanos AS latency_nanos FROM freshness), r AS (SELECT device_id, {_exact(0.5, 'p50_nanos')}, {_exact(0.95, 'p95_nanos')}, {_exact(0.99, 'p99_nanos')} FROM (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY latency_nanos) AS r, count(*) OVER (PARTITION BY device_id) AS n FROM d WHERE latency_nanos IS NOT NULL) GROUP BY device_id), s AS (SELECT device_id, count(*) AS sent, count(*) FILTER (latency_nanos IS NULL) AS lost, CAST(coalesce(sum(latency_nanos) // count(latency_nanos), 0) AS BIGINT) AS mean_nanos, coalesce(max(latency_nanos), 0) AS max_nanos FROM d GROUP BY device_id) SELECT s.*, p50_nanos, p95_nanos, p99_nanos, lost = 0 AND p99_nanos <= 5000000000 AS passed FROM s JOIN r USING (device_id)")
+def _(spark, sf):
+    return freshness.freshness_report(fx.freshness(spark, sf), 5_000_000_000, ["device_id"])
+
+
+@query("join_6_reconcile", duck_with("telemetry", "emissions") + "SELECT t.device_id, t.n AS ingested, e.n AS counted, a.n AS archived, t.n - least(t.n, e.n, a.n) AS diff FROM (SELECT device_id, count(*) AS n FROM telemetry GROUP BY 1) t JOIN (SELECT device_id, CAST(sum(count) AS BIGINT) AS n FROM emissions GROUP BY 1) e USING (device_id) JOIN (SELECT device_id, CAST(sum(count) AS BIGINT) AS n FROM emissions WHERE window_id % 4 <> 0 GROUP BY 1) a USING (device_id)")
+def _(spark, sf):
+    t, e = fx.telemetry(spark, sf).withColumn("n", F.lit(1)), fx.emissions(spark, sf).withColumn("n", F.col("count"))
+    return freshness.reconcile({"ingested": t, "counted": e, "archived": e.where("window_id % 4 <> 0")}, ["device_id"])
+
+
+# --- capture
+
+
+@query("join_1_pair_syscalls", duck_with("telemetry", "trace").rstrip() + ",\n" + PAIRS + "SELECT seq, paired, latency_nanos, failed FROM exits")
+def _(spark, sf):
+    return capture.pair_syscalls(fx.trace(spark, sf)).select("seq", "paired", "latency_nanos", "failed")
+
+
+@query("flt_1_capture_filter", duck_with("telemetry", "trace") + "SELECT seq, side = 'exit' OR tgid % 4 = 0 AS kept FROM trace")
+def _(spark, sf):
+    return capture.capture_filter(fx.trace(spark, sf), modulus=4).select("seq", "kept")
+
+
+STATS = duck_with("telemetry", "trace").replace("trace AS (", "trace AS (SELECT * FROM (").rstrip()[:-1] + ") WHERE side = 'exit' OR tgid % 4 = 0),\n"
+
+
+@query("agg_12_capture_stats", STATS + PAIRS + ", s AS (SELECT CASE WHEN NOT paired THEN 'unpaired' WHEN latency_nanos < 5000000 THEN 'filtered' ELSE 'emitted' END AS stat FROM exits) SELECT stat, count(*) AS count FROM s GROUP BY stat UNION ALL SELECT 'observed', count(*) FROM s")
+def _(spark, sf):
+    return capture.capture_stats(fx.trace(spark, sf), 5_000_000, modulus=4)
+
+
+@query("win_3_cap_per_second")
+def _(spark, sf):
+    """Whether each trace row fits its CPU's cap; tests hold it against a sequential version."""
+    return capture.cap_per_second(fx.trace(spark, sf), "cpu", 1).select("seq", "cpu", "ts_ns", "kept")
+
+
+# --- streams, run to the end of their input
+
+
+def _stream_of(df: DataFrame, label: str, files: int, by: str | None = None) -> DataFrame:
+    spark = df.sparkSession
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(_files(df, label, files, by))
+
+
+TOTALS = "SELECT user_id, device_id, process_id, pod_id, window_id, CAST(sum(count) AS BIGINT) AS count, CAST(sum(error_count) AS BIGINT) AS error_count, CAST(sum(bytes) AS BIGINT) AS bytes, max(max_nanos) AS max_nanos FROM emissions GROUP BY ALL"
+
+
+@query("str_1_emit_open_windows", duck_with("telemetry", "emissions") + TOTALS)
+def _(spark, sf):
+    out, check = new_path(spark, "emitted"), new_path(spark, "check")
+    jobs.emit_open_windows(_stream_of(fx.telemetry(spark, sf), "telemetry", 3, "arrival"), SIZE, sinks.append_parquet(out), check).awaitTermination()
+    emitted = spark.read.parquet(out)
+    return emitted.groupBy(*keys.KEY, "window_id").agg(F.sum("count").alias("count"), F.sum("error_count").alias("error_count"), F.sum("bytes").alias("bytes"), F.max("max_nanos").alias("max_nanos"))
+
+
+@query("str_3_flush", duck_with("telemetry") + duck_windows("(SELECT *, CAST(1 AS BIGINT) AS sequence FROM telemetry)", "sequence"))
+def _(spark, sf):
+    return jobs.flush(fx.telemetry(spark, sf), SIZE)
+
+
+@query("str_4_dedupe_emissions", duck_with("telemetry", "emissions") + "SELECT user_id, device_id, process_id, pod_id, window_id, sequence, count FROM emissions")
+def _(spark, sf):
+    rows = fx.redelivered(spark, sf).withColumn("applied_at", F.timestamp_seconds(F.lit(1_700_000_000)))
+    out, check = new_path(spark, "deduped"), new_path(spark, "check")
+    jobs.dedupe_emissions(_stream_of(rows, "redelivered", 3), "applied_at").writeStream.format("parquet").option("checkpointLocation", check).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out).select(*keys.IDENTITY, "count")
+
+
+def _changes(spark: SparkSession, sf: str) -> DataFrame:
+    events, resets = fx.log(spark, sf)
+    marked = events.withColumn("reset", F.lit(False)).unionByName(resets.withColumn("reset", F.lit(True)), allowMissingColumns=True).fillna(0).fillna("", ["pod_id"])
+    out, check = new_path(spark, "changes"), new_path(spark, "check")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
+    try:
+        feed = jobs.device_changes(_stream_of(marked, "log", 1))
+        feed.writeStream.foreachBatch(sinks.append_parquet(out)).outputMode("update").option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.schema(jobs.STATE).parquet(out)
+
+
+@query("str_5_live_device_state", RESET_SQL)
+def _(spark, sf):
+    return jobs.live_device_state(_changes(spark, sf)).select(*STATE.split(", "))
+
+
+@query("str_6_device_changes", duck_with("telemetry", "emissions", "log", "resets") + "SELECT user_id, device_id, count(*) AS changes FROM (SELECT user_id, device_id, arrival FROM log UNION ALL SELECT user_id, device_id, arrival FROM resets) GROUP BY ALL")
+def _(spark, sf):
+    return _changes(spark, sf).groupBy("user_id", "device_id").agg(F.count(F.lit(1)).alias("changes"))
+
+
+@query("snk_4_upsert_device_state", duck_with("telemetry", "emissions", "state") + "SELECT user_id, device_id, count, error_count, bytes, last_window_id FROM state")
+def _(spark, sf):
+    path, check = new_path(spark, "snapshots"), new_path(spark, "check")
+    snapshots = sinks.StateSnapshots(path)
+    _stream_of(fx.emissions(spark, sf), "emissions", 3, "window_id").writeStream.foreachBatch(snapshots).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    return snapshots.newest(spark).select("user_id", "device_id", "count", "error_count", "bytes", "last_window_id")
+
+
+@query("snk_7_write_metrics", duck_with("samples") + f"SELECT name, CAST(sum(delta) AS BIGINT) AS value FROM ({DELTAS}) WHERE delta <> 0 GROUP BY name")
+def _(spark, sf):
+    path, check = new_path(spark, "metrics"), new_path(spark, "check")
+    _stream_of(_deltas(spark, sf), "deltas", 2).writeStream.foreachBatch(sinks.fan_out({"metrics": sinks.write_metrics(path)})).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    return rates.pipeline_metrics(sinks.read_metrics(spark, path))
+
+
+@query("str_8_poison", duck_with("telemetry") + "SELECT device_id AS key, (arrival // 500) % 11 = 0 AS dead, count(DISTINCT arrival // 500) AS n FROM telemetry GROUP BY ALL")
+def _(spark, sf):
+    good, dead, check = new_path(spark, "good"), new_path(spark, "dead"), new_path(spark, "check")
+    messages = _edge_requests(spark, sf).select(F.col("device_id").alias("key"), F.col("body").alias("value"))
+    schema = validate.EDGE_SCHEMA.removesuffix(", _corrupt string")
+    jobs.split_poison(_stream_of(messages, "messages", 2), schema, sinks.append_parquet(good), sinks.append_parquet(dead), "events.raw", check).awaitTermination()
+    kept, lost = spark.read.parquet(good).select("key", F.lit(False).alias("dead")), spark.read.parquet(dead).select("key", F.lit(True).alias("dead"))
+    return kept.unionByName(lost).groupBy("key", "dead").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- pluggable summaries
+
+
+@query("ext_1_quantile_methods", duck_with("telemetry") + f"SELECT device_id, {_exact(0.95, 'p95')}, true AS kll_near, true AS approx_near FROM {RANKED} GROUP BY device_id")
+def _(spark, sf):
+    t, q = fx.telemetry(spark, sf), {"p95": 0.95}
+    exact, kll, approx = (sketch.quantiles(t, ["device_id"], "latency_nanos", q, m) for m in ("exact", "kll", "approx"))
+    both = exact.join(kll.withColumnRenamed("p95", "kll"), "device_id").join(approx.withColumnRenamed("p95", "approx"), "device_id")
+    near = lambda c: F.abs(F.col(c) - F.col("p95")) <= F.col("p95") * 0.25
+    return both.select("device_id", "p95", near("kll").alias("kll_near"), near("approx").alias("approx_near"))
