@@ -15,14 +15,14 @@ def freshness_report(samples: DataFrame, budget_nanos: int, by: list[str] | None
 
     A sample never seen is lost. The mean is cut to whole nanoseconds; without delays all are 0.
     """
-    by = by or ["__all"]
-    df = samples.withColumn("__all", F.lit(1)) if by == ["__all"] else samples
+    by = by or ["__one"]
+    df = samples.withColumn("__one", F.lit(1)) if by == ["__one"] else samples
     delays = df.withColumn("delay", F.col("visible_nanos") - F.col("sent_nanos"))
     sums = delays.groupBy(*by).agg(F.count(F.lit(1)).alias("sent"), F.count_if(F.col("delay").isNull()).alias("lost"), F.expr("coalesce(sum(delay) div count(delay), 0)").alias("mean_nanos"), F.coalesce(F.max("delay"), F.lit(0)).alias("max_nanos"))
     ranks = exact_quantiles(delays, by, "delay", {"p50_nanos": 0.5, "p95_nanos": 0.95, "p99_nanos": 0.99})
     out = sums.join(ranks, by, "left").fillna(0, ["p50_nanos", "p95_nanos", "p99_nanos"])
     out = out.withColumn("passed", (F.col("lost") == 0) & (F.col("p99_nanos") <= budget_nanos))
-    return out.drop("__all")
+    return out.drop("__one")
 
 
 def reconcile(stages: dict[str, DataFrame], by: list[str], value: str = "n") -> DataFrame:

@@ -523,24 +523,24 @@ rated AS (SELECT metric, ts, sum(r) AS rate FROM (SELECT metric, series, ts, sum
 """
 
 
-@query("win_5_counter_rate", duck_with("samples").rstrip() + ",\n" + RATE + "SELECT metric, epoch_us(ts) AS at, round(rate * 1000000) AS micro_rate FROM rated")
+@query("win_5_counter_rate", duck_with("samples").rstrip() + ",\n" + RATE + "SELECT metric, epoch_us(ts) AS at_us, round(rate * 1000000) AS micro_rate FROM rated")
 def _(spark, sf):
-    return rates.counter_rate(fx.samples(spark, sf), 10_800).select("metric", F.unix_micros("ts").alias("at"), F.round(F.col("rate") * 1_000_000).alias("micro_rate"))
+    return rates.counter_rate(fx.samples(spark, sf), 10_800).select("metric", F.unix_micros("ts").alias("at_us"), F.round(F.col("rate") * 1_000_000).alias("micro_rate"))
 
 
 WIDE = "wide AS (SELECT ts, " + ", ".join(f"coalesce(max(rate) FILTER (metric = '{m}'), 0) AS {m}" for m in ("http_ingest_accepted", "http_ingest_rejected", "aggregator_batches_consumed", "aggregator_windows_emitted", "windows_applied")) + " FROM rated GROUP BY ts)\n"
 
 
-@query("win_6_ingest_failure_ratio", duck_with("samples").rstrip() + ",\n" + RATE + ",\n" + WIDE + "SELECT epoch_us(ts) AS at, round(http_ingest_rejected / greatest(http_ingest_accepted + http_ingest_rejected, 1) * 1000000000) AS ratio FROM wide WHERE ts IN (SELECT ts FROM samples WHERE metric LIKE 'http%')")
+@query("win_6_ingest_failure_ratio", duck_with("samples").rstrip() + ",\n" + RATE + ",\n" + WIDE + "SELECT epoch_us(ts) AS at_us, round(http_ingest_rejected / greatest(http_ingest_accepted + http_ingest_rejected, 1) * 1000000000) AS ratio FROM wide WHERE ts IN (SELECT ts FROM samples WHERE metric LIKE 'http%')")
 def _(spark, sf):
-    return rates.ingest_failure_ratio(fx.samples(spark, sf), 10_800).select(F.unix_micros("ts").alias("at"), F.round(F.col("ratio") * 1_000_000_000).alias("ratio"))
+    return rates.ingest_failure_ratio(fx.samples(spark, sf), 10_800).select(F.unix_micros("ts").alias("at_us"), F.round(F.col("ratio") * 1_000_000_000).alias("ratio"))
 
 
-@query("win_7_drain_time", duck_with("samples").rstrip() + ",\n" + RATE + "SELECT epoch_us(ts) AS at, round(lag / greatest(rate, 1) * 1000) AS millis FROM (SELECT ts, CAST(sum(value) AS DOUBLE) AS lag FROM samples WHERE metric = 'http_ingest_accepted' GROUP BY ts) JOIN (SELECT * FROM rated WHERE metric = 'aggregator_batches_consumed') USING (ts)")
+@query("win_7_drain_time", duck_with("samples").rstrip() + ",\n" + RATE + "SELECT epoch_us(ts) AS at_us, round(lag / greatest(rate, 1) * 1000) AS millis FROM (SELECT ts, CAST(sum(value) AS DOUBLE) AS lag FROM samples WHERE metric = 'http_ingest_accepted' GROUP BY ts) JOIN (SELECT * FROM rated WHERE metric = 'aggregator_batches_consumed') USING (ts)")
 def _(spark, sf):
     s = fx.samples(spark, sf)
     lag = s.where("metric = 'http_ingest_accepted'").groupBy("ts").agg(F.sum("value").alias("lag"))
-    return rates.drain_time(lag, s, "aggregator_batches_consumed", 10_800).select(F.unix_micros("ts").alias("at"), F.round(F.col("seconds") * 1000).alias("millis"))
+    return rates.drain_time(lag, s, "aggregator_batches_consumed", 10_800).select(F.unix_micros("ts").alias("at_us"), F.round(F.col("seconds") * 1000).alias("millis"))
 
 
 ALERT_SQL = (
@@ -552,7 +552,7 @@ ALERT_SQL = (
     + """, f AS (SELECT *, http_ingest_rejected / greatest(http_ingest_accepted + http_ingest_rejected, 1) AS ratio FROM wide),
 marks AS (SELECT ts, 'IngestErrorBudgetBurningFast' AS rule, ratio > 0.0001 AS is_on, 7200 AS hold FROM f UNION ALL SELECT ts, 'WindowEmissionStalled', aggregator_batches_consumed > 0 AND aggregator_windows_emitted = 0, 3600 FROM f UNION ALL SELECT ts, 'HotStateWritesStopped', aggregator_windows_emitted > 0 AND windows_applied = 0, 3600 FROM f),
 runs AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY rule ORDER BY ts) AS run FROM (SELECT *, is_on <> coalesce(lag(is_on) OVER (PARTITION BY rule ORDER BY ts), false) AS fresh FROM marks))
-SELECT rule, epoch_us(ts) AS at, CASE WHEN epoch(ts) - epoch(min(ts) OVER (PARTITION BY rule, run)) >= hold THEN 'firing' ELSE 'pending' END AS state FROM runs WHERE is_on"""
+SELECT rule, epoch_us(ts) AS at_us, CASE WHEN epoch(ts) - epoch(min(ts) OVER (PARTITION BY rule, run)) >= hold THEN 'firing' ELSE 'pending' END AS state FROM runs WHERE is_on"""
 )
 
 
@@ -566,13 +566,13 @@ def _(spark, sf):
         ("WindowEmissionStalled", "aggregator_batches_consumed_3h > 0 and aggregator_windows_emitted_3h = 0", 3600),
         ("HotStateWritesStopped", "aggregator_windows_emitted_3h > 0 and windows_applied_3h = 0", 3600),
     ]
-    return rates.alert_states(wide, rules).select("rule", F.unix_micros("ts").alias("at"), "state")
+    return rates.alert_states(wide, rules).select("rule", F.unix_micros("ts").alias("at_us"), "state")
 
 
 @query("win_8_alert_rules")
 def _(spark, sf):
     """All fourteen rules with their own spans; the samples are hourly, so most rates of minutes are 0."""
-    return rates.alerts(fx.samples(spark, sf)).select("rule", F.unix_micros("ts").alias("at"), "state")
+    return rates.alerts(fx.samples(spark, sf)).select("rule", F.unix_micros("ts").alias("at_us"), "state")
 
 
 @query("win_2_flood_report", duck_with("telemetry") + "SELECT arrival, count(*) OVER w AS in_span, count(*) OVER w > 3 AS denied FROM (SELECT *, observed_at_unix_nanos // 1000000000 AS ts_unix FROM telemetry) WINDOW w AS (PARTITION BY device_id ORDER BY ts_unix RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)")
