@@ -6,7 +6,7 @@ scores are merge ranks. Backward sums over the lattice give the mass of every no
 completions, so the perturbed value of the best completion below any prefix can be drawn without
 visiting it. The search is A-star over prefixes: it always takes the prefix whose drawn value is
 largest, follows it to a complete segmentation, and draws truncated Gumbel values for the
-branches left behind. Segmentations come out distinct and in order of their perturbed values;
+branches left behind, those of one segmentation as a single set until it is the best. Segmentations come out distinct and in order of their perturbed values;
 the greatest value left over gives their inclusion probabilities.
 
 No piece spans a change between letters, other characters and the start of white space, so the
@@ -58,9 +58,12 @@ class Decoder:
         for b in range(256):
             self.data[first_byte + b] = bytes([b])
 
+    def bytes(self, ids: list[int]) -> bytes:
+        """The text's bytes without the space that encoding puts in front."""
+        return b"".join(map(self.data.__getitem__, ids))[1:]
+
     def text(self, ids: list[int]) -> str:
-        """The text without the space that encoding puts in front."""
-        return b"".join(map(self.data.__getitem__, ids)).decode("utf-8", "replace")[1:]
+        return self.bytes(ids).decode("utf-8", "replace")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -79,7 +82,7 @@ def uniform(seeds: np.ndarray, place: np.ndarray | int) -> np.ndarray:
 class Lattices:
     """Edges of all atoms seen, with their probabilities among the edges of their node."""
 
-    def __init__(self, pieces: list[str], first_byte: int, sharpness: float = 1.0, most_edges: int = 3_000_000):
+    def __init__(self, pieces: list[str], first_byte: int, sharpness: float = 1.0, most_edges: int = 8_000_000):
         self.logs = -sharpness * np.log(np.arange(len(pieces)) + 3.0)
         self.first_byte, self.most_edges = first_byte, most_edges
         self.by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # sorted hashes, ids, marks of low hash bits
@@ -104,11 +107,13 @@ class Lattices:
     def clear(self) -> None:
         self.start: dict[str, int] = {}  # first node of each atom
         self.nodes = self.edges = 0
-        self.first = np.zeros(1024, np.int32)  # first edge of a node
-        self.share = np.zeros(4096)  # probability of an edge at its node
-        self.upto = np.zeros(4096)  # node plus the shares up to and with the edge
-        self.goal = np.zeros(4096, np.int32)  # node that the edge leads to, or -1
-        self.piece = np.zeros(4096, np.int32)  # id, or -1 - code point of a character that only bytes can spell
+        self.first = np.zeros(1 << 17, np.int32)  # first edge of a node
+        self.likeliest = np.zeros(1 << 17, np.int32)  # its most probable edge
+        self.until = np.zeros(1 << 17)  # sum of its shares up to and with that edge
+        self.share = np.zeros(1 << 19)  # probability of an edge at its node
+        self.upto = np.zeros(1 << 19)  # node plus the shares up to and with the edge
+        self.goal = np.zeros(1 << 19, np.int32)  # node that the edge leads to, or -1
+        self.piece = np.zeros(1 << 19, np.int32)  # id, or -1 - code point of a character that only bytes can spell
 
     def _store(self, name: str, at: int, values: np.ndarray) -> None:
         held = getattr(self, name)
@@ -119,63 +124,70 @@ class Lattices:
 
     def add(self, atoms: list[str]) -> None:
         """Build the lattices of atoms not seen before; a node is a character's place."""
-        new = [a for a in dict.fromkeys(atoms) if a not in self.start]
-        if not new:
-            return
+        # by length, so that the tables of a part are as narrow as its atoms; in parts that fit the cache
+        new = sorted((a for a in dict.fromkeys(atoms) if a not in self.start), key=len)
+        for low in range(0, len(new), 2000):
+            self._build(new[low : low + 2000])
+
+    def _build(self, new: list[str]) -> None:
         codes = np.frombuffer("".join(new).encode("utf-32-le"), np.uint32).astype(np.uint64)
         sizes = np.fromiter(map(len, new), np.int64, len(new))
         starts = np.cumsum(sizes) - sizes
-        ends = np.repeat(starts + sizes, sizes)
-        source, goal, piece = [], [], []
+        remaining = np.repeat(starts + sizes, sizes) - np.arange(len(codes))
+        width = min(len(self.by_length), int(sizes.max()))
+        value = np.full((len(codes), width), -np.inf)  # of the edge of each length from each node
+        piece = np.zeros((len(codes), width), np.int32)
         at = np.arange(len(codes))
         h = np.zeros(len(codes), np.uint64)
-        for length, (hashes, ids, marks) in enumerate(self.by_length, 1):
-            fits = at + length <= ends[at]
+        for length, (hashes, ids, marks) in enumerate(self.by_length[:width], 1):
+            fits = remaining[at] >= length
             at, h = at[fits], h[fits]
-            if not len(at):
-                break
             h = (h ^ codes[at + length - 1]) * np.uint64(self.FACTOR)
             likely = np.flatnonzero(marks[(h >> np.uint64(48)).astype(np.int64)])
             if len(likely):
                 place = np.minimum(np.searchsorted(hashes, h[likely]), len(hashes) - 1)
                 found = hashes[place] == h[likely]
-                source.append(at[likely[found]])
-                goal.append(source[-1] + length)
-                piece.append(ids[place[found]])
-            if length == 1:  # characters that are no piece are spelled in bytes
-                alone = np.ones(len(codes), bool)
-                alone[source[0] if source else []] = False
-                alone = np.flatnonzero(alone)
-                source.append(alone)
-                goal.append(alone + 1)
-                piece.append(-1 - codes[alone].astype(np.int64))
-        source, goal, piece = map(np.concatenate, (source, goal, piece))
-        spelled = 1 + (-1 - piece > 0x7F) + (-1 - piece > 0x7FF).astype(int) + (-1 - piece > 0xFFFF)
-        value = np.where(piece >= 0, self.logs[np.maximum(piece, 0)], self.logs[-1] * spelled)
+                some, which = at[likely[found]], ids[place[found]]
+                value[some, length - 1] = self.logs[which]
+                piece[some, length - 1] = which
+        alone = np.flatnonzero(np.isneginf(value[:, 0]))  # characters that are no piece are spelled in bytes
+        code = codes[alone].astype(np.int64)
+        value[alone, 0] = self.logs[-1] * (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
+        piece[alone, 0] = -1 - code
         # sums over completions, from the ends of the atoms to their starts
-        remaining = ends[source] - source
-        order = np.lexsort((source, remaining))
-        source, goal, piece, value, remaining = (x[order] for x in (source, goal, piece, value, remaining))
-        mass, inner = np.zeros(len(codes) + 1), goal < ends[source]
-        bounds = np.flatnonzero(np.r_[True, remaining[1:] != remaining[:-1], True])
-        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-            some = slice(low, high)
-            value[some] += np.where(inner[some], mass[goal[some]], 0.0)
-            heads = np.flatnonzero(np.r_[True, source[low + 1 : high] != source[low : high - 1]])
-            top = np.maximum.reduceat(value[some], heads)
-            width = np.diff(np.r_[heads, high - low])
-            mass[source[low + heads]] = top + np.log(np.add.reduceat(np.exp(value[some] - np.repeat(top, width)), heads))
-        share = np.exp(value - mass[source])
-        order = np.lexsort((-share, source))
-        source, goal, piece, share, inner = (x[order] for x in (source, goal, piece, share, inner))
+        mass = np.zeros(len(codes) + width + 1)
+        order = np.argsort(remaining, kind="stable")
+        levels = np.searchsorted(remaining[order], np.arange(1, int(sizes.max()) + 2))
+        shares = np.zeros_like(value)
+        for r in range(1, len(levels)):
+            some = order[levels[r - 1] : levels[r]]
+            n = min(r, width)
+            sums = value[some, :n]
+            for k in range(1, min(n, r - 1) + 1):  # an edge of length r ends the atom
+                sums[:, k - 1] += mass[some + k]
+            top = sums.max(axis=1)
+            sums -= top[:, None]
+            np.exp(sums, out=sums)
+            total = sums.sum(axis=1)
+            mass[some] = top + np.log(total)
+            sums /= total[:, None]
+            shares[some, :n] = sums
+        best = shares.argmax(axis=1)
+        source, length = np.nonzero(shares > 0)
+        share = shares[source, length]
         heads = np.flatnonzero(np.r_[True, source[1:] != source[:-1]])
-        total = np.cumsum(share)
-        upto = total - np.repeat(total[heads] - share[heads], np.diff(np.r_[heads, len(share)]))
-        upto = np.minimum(upto, 1.0)
-        upto[np.r_[heads[1:] - 1, len(share) - 1]] = 1.0
-        for name, values in (("share", share), ("upto", upto + source + self.nodes), ("goal", np.where(inner, goal + self.nodes, -1)), ("piece", piece)):
+        lasts = np.r_[heads[1:] - 1, len(share) - 1]
+        upto = np.cumsum(share)  # the shares of a node add up to 1
+        likeliest = heads + np.add.reduceat((length < best[source]).astype(np.int64), heads)
+        upto = np.clip(upto, source, source + 1)
+        upto[lasts] = source[lasts] + 1
+        until = upto[likeliest] - source[likeliest]
+        inner = remaining[source] > length + 1
+        for name, values in (("share", share), ("upto", upto + self.nodes), ("goal", np.where(inner, source + length + 1 + self.nodes, -1)), ("piece", piece[source, length])):
             self._store(name, self.edges, values)
         self._store("first", self.nodes, heads + self.edges)
+        self._store("likeliest", self.nodes, likeliest + self.edges)
+        self._store("until", self.nodes, until)
         self.start.update(zip(new, (starts + self.nodes).tolist(), strict=True))
         self.nodes += len(codes)
         self.edges += len(share)
@@ -185,8 +197,9 @@ class Lattices:
         active, now, who, taken, step = np.arange(len(nodes)), nodes, [], [], 0
         while len(active):
             u = uniform(seeds[active], step)
-            e = self.first[now]
-            other = np.flatnonzero(u >= self.share[e])
+            e = self.likeliest[now]
+            until = self.until[now]
+            other = np.flatnonzero((u >= until) | (u < until - self.share[e]))
             if len(other):
                 e[other] = np.searchsorted(self.upto[: self.edges], now[other] + u[other], "right")
             who.append(active)
@@ -209,49 +222,64 @@ class Lattices:
     def spelled(self, edges: np.ndarray) -> np.ndarray:
         """Piece ids of edges, with bytes for characters that are no piece."""
         ids = self.piece[edges]
-        if len(ids) and ids.min() < 0:
-            return np.array([y for x in ids.tolist() for y in ([x] if x >= 0 else [self.first_byte + b for b in chr(-1 - x).encode()])], np.int32)
-        return ids
+        odd = np.flatnonzero(ids < 0)
+        if not len(odd):
+            return ids
+        if ids[odd].min() >= -128:  # one byte each
+            ids[odd] = self.first_byte - 1 - ids[odd]
+            return ids
+        spelled = [[self.first_byte + b for b in chr(-1 - x).encode()] for x in ids[odd].tolist()]
+        counts = np.ones(len(ids), np.int64)
+        counts[odd] = list(map(len, spelled))
+        out = np.repeat(ids, counts)
+        out[out < 0] = np.concatenate(spelled)
+        return out
+
+
+def _gumbel(loc: float | np.ndarray, u: float | np.ndarray) -> np.ndarray:
+    return loc - np.log(-np.log(u))
 
 
-def _truncated(loc: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Gumbel values at ``loc``, conditioned to lie below ``bound``."""
-    return -np.logaddexp(-bound, np.log(-np.log(u)) - loc)
+def _truncated(loc: float, bound: float, u: float) -> float:
+    """A Gumbel value at ``loc``, conditioned to lie below ``bound``."""
+    return float(-np.logaddexp(-bound, -_gumbel(loc, u)))
 
 
 class Found:
-    """A segmentation found, and the drawn values of the best completions that leave it at each step."""
+    """A segmentation found, and the best perturbed value among those that leave it at one of its own steps.
 
-    __slots__ = ("edges", "value", "log_prob", "before", "best", "out")
+    ``masses`` holds what leaves it at each step since ``since``, relative to the prefix before.
+    """
 
-    def __init__(self, edges: np.ndarray, value: float, before: np.ndarray, best: np.ndarray, log_prob: float):
-        self.edges, self.value, self.before, self.best, self.log_prob = edges, value, before, best, log_prob
-        self.out: dict[int, set[int]] = {}
+    __slots__ = ("edges", "value", "log_prob", "since", "prefix", "masses", "best", "out")
 
+    def __init__(self, edges: np.ndarray, value: float, log_prob: float, since: int, prefix: float, masses: np.ndarray):
+        self.edges, self.value, self.log_prob = edges, value, log_prob
+        self.since, self.prefix, self.masses = since, prefix, masses
+        self.best = -math.inf
+        self.out: dict[int, set[int]] = {}
 
-def _finish(lattices: Lattices, edges: list[np.ndarray], since: list[int], values: list[float], seeds: np.ndarray) -> list[Found]:
-    """Draw the values of all branches of new segmentations at once."""
-    sizes = np.array([len(e) for e in edges])
-    if not sizes.sum():
-        return [Found(e, v, np.empty(0), np.empty(0), 0.0) for e, v in zip(edges, values, strict=True)]
-    flat = np.concatenate(edges)
-    share = lattices.share[flat]
-    whose = np.repeat(np.arange(len(edges)), sizes)
-    first = np.cumsum(sizes) - sizes
-    place = np.arange(len(flat)) - first[whose]
-    with np.errstate(divide="ignore"):
-        log_share, rest = np.log(share), np.log1p(-np.minimum(share, 1.0))
-    total = np.cumsum(log_share)
-    begin = np.r_[0.0, total][first]
-    before = total - log_share - begin[whose]
-    best = np.full(len(flat), -np.inf)
-    # steps before ``since`` branch off from the segmentation that this one left
-    some = np.flatnonzero((place >= np.array(since)[whose]) & np.isfinite(rest))
-    best[some] = _truncated(before[some] + rest[some], np.array(values)[whose[some]], uniform(seeds[whose[some]], place[some] + (1 << 32)))
-    out = []
-    for k, (low, n) in enumerate(zip(first.tolist(), sizes.tolist(), strict=True)):
-        own = slice(low, low + n)
-        out.append(Found(edges[k], values[k], before[own], best[own], float(log_share[own].sum())))
+    def draw(self, u: float) -> None:
+        """Draw the best value of what leaves it, below its bound: all its branches as one set."""
+        total = float(self.masses.sum())
+        self.best = _truncated(self.prefix + math.log(total), self.value if self.best == -math.inf else self.best, u) if total > 0 else -math.inf
+
+
+def _finish(lattices: Lattices, edges: list[np.ndarray], since: list[int], values: list[float], u: np.ndarray) -> list[Found]:
+    """Segmentations with the masses of their branches, computed at once."""
+    flat = np.concatenate(edges) if edges else np.empty(0, np.int64)
+    log_share = np.log(lattices.share[flat])
+    out, high = [], 0
+    for k, e in enumerate(edges):
+        low, high = high, high + len(e)
+        total = np.cumsum(log_share[low:high])  # of this text alone, so that its batch makes no difference
+        prefix = float(total[since[k] - 1]) if since[k] else 0.0
+        own = np.exp(np.minimum(total[since[k] :] - prefix, 0.0))
+        # the share of the prefix that is lost at each step
+        masses = np.maximum(np.r_[1.0, own[:-1]] - own, 0.0) if len(own) else own
+        x = Found(e, values[k], float(total[-1]) if len(total) else 0.0, since[k], prefix, masses)
+        x.draw(float(u[k]))
+        out.append(x)
     return out
 
 
@@ -261,51 +289,54 @@ def top_segmentations(lattices: Lattices, texts: list[np.ndarray], seeds: np.nda
     They come in the order of their perturbed values, with the greatest value left over. Texts are
     independent of each other; they are taken together only to share array operations.
     """
-    with np.errstate(over="ignore"):
+    if not texts:
+        return []
+    with np.errstate(over="ignore", divide="ignore"):
         sizes = np.array([len(x) for x in texts], np.int64)
         whose = np.repeat(np.arange(len(texts)), sizes)
         index = np.arange(len(whose)) - (np.cumsum(sizes) - sizes)[whose]
-        atom_seeds = _mix(seeds[whose] ^ ((index + 1).astype(np.uint64) << np.uint64(20)))
-        edges, atom = lattices.walk(np.concatenate(texts).astype(np.int64) if len(texts) else np.empty(0, np.int64), atom_seeds)
-        parts = np.split(edges, np.cumsum(np.bincount(whose[atom], minlength=len(texts)))[:-1]) if len(texts) else []
-        values = -np.log(-np.log(uniform(seeds, 1 << 40)))
-        found = [[x] for x in _finish(lattices, parts, [0] * len(texts), values.tolist(), seeds)]
+        edges, atom = lattices.walk(np.concatenate(texts), _mix(seeds[whose] ^ ((index + 1).astype(np.uint64) << np.uint64(20))))
+        parts = np.split(edges, np.cumsum(np.bincount(whose[atom], minlength=len(texts)))[:-1])
+        values = _gumbel(0.0, uniform(seeds, 1 << 40))
+        found = [[x] for x in _finish(lattices, parts, [0] * len(texts), values.tolist(), uniform(seeds, 1 << 41))]
         for turn in range(1, k):
             own_seeds = _mix(seeds + np.uint64(turn))
-            todo, heads, starts, since, next_values, tail_seeds = [], [], [], [], [], []
+            u = np.stack([uniform(own_seeds, (1 << 42) + j) for j in range(4)], axis=1)
+            todo, heads, starts, since, next_values = [], [], [], [], []
             for i, have in enumerate(found):
-                source = max(have, key=lambda f: f.best.max(initial=-math.inf))
-                value = float(source.best.max(initial=-math.inf))
-                if len(have) < turn or value == -math.inf:
+                source = max(have, key=lambda f: f.best)
+                value = source.best
+                if value == -math.inf:
                     continue
-                at = int(source.best.argmax())
+                # the step at which the best one leaves, and the edge that it takes
+                upto = np.cumsum(source.masses)
+                step = min(int(np.searchsorted(upto, u[i, 0] * upto[-1], "right")), len(upto) - 1)
+                at = source.since + step
                 out = source.out.setdefault(at, {int(source.edges[at])})
                 left = lattices.others(int(source.edges[at]), out)
                 weights = np.cumsum(lattices.share[left])
-                u = uniform(own_seeds[i : i + 1], np.array([1 << 41, (1 << 41) + 1]))
-                chosen = left[min(int(np.searchsorted(weights, u[0] * weights[-1], "right")), len(left) - 1)]
+                chosen = left[min(int(np.searchsorted(weights, u[i, 1] * weights[-1], "right")), len(left) - 1)]
                 out.add(chosen)
-                remaining = float(lattices.share[[e for e in left if e != chosen]].sum())
-                source.best[at] = float(_truncated(np.array([source.before[at] + math.log(remaining)]), np.array([value]), u[1:])[0]) if remaining > 0 else -math.inf
+                source.masses[step] *= 1 - lattices.share[chosen] / weights[-1] if len(left) > 1 else 0.0
+                source.draw(float(u[i, 2]))
                 ahead = int(np.count_nonzero(lattices.goal[source.edges[:at]] < 0)) + 1  # atoms begun so far
                 goal = int(lattices.goal[chosen])
-                rest = texts[i][ahead:]
-                rest = np.concatenate([[goal], rest]) if goal >= 0 else rest
                 todo.append(i)
                 heads.append(np.append(source.edges[:at], chosen))
-                starts.append(rest)
+                starts.append(np.append(goal, texts[i][ahead:]) if goal >= 0 else texts[i][ahead:])
                 since.append(at + 1)
                 next_values.append(value)
-                tail_seeds.append(_mix(own_seeds[i] ^ ((np.arange(len(rest)) + 1).astype(np.uint64) << np.uint64(20))))
             if not todo:
                 break
-            whose = np.repeat(np.arange(len(todo)), [len(x) for x in starts])
-            edges, atom = lattices.walk(np.concatenate(starts).astype(np.int64), np.concatenate(tail_seeds))
+            sizes = np.array([len(x) for x in starts], np.int64)
+            whose = np.repeat(np.arange(len(todo)), sizes)
+            index = np.arange(len(whose)) - (np.cumsum(sizes) - sizes)[whose]
+            edges, atom = lattices.walk(np.concatenate(starts), _mix(own_seeds[todo][whose] ^ ((index + 1).astype(np.uint64) << np.uint64(20))))
             tails = np.split(edges, np.cumsum(np.bincount(whose[atom], minlength=len(todo)))[:-1])
-            fresh = _finish(lattices, [np.concatenate([a, b]).astype(np.int64) for a, b in zip(heads, tails, strict=True)], since, next_values, own_seeds[todo])
+            fresh = _finish(lattices, [np.concatenate([a, b]) for a, b in zip(heads, tails, strict=True)], since, next_values, u[todo, 3])
             for i, x in zip(todo, fresh, strict=True):
                 found[i].append(x)
-    return [(have, max(float(f.best.max(initial=-math.inf)) for f in have)) for have in found]
+    return [(have, max(f.best for f in have)) for have in found]
 
 
 def sample_segmentations(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2, model: str | None = None, seed: int = 1, sharpness: float = 1.0) -> DataFrame:
@@ -326,8 +357,8 @@ def sample_segmentations(docs: DataFrame, key: str = "doc_id", text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices, decoder = Lattices(*shared.value, sharpness), Decoder(*shared.value)
         for whole in batches:
-            for low in range(0, whole.num_rows, 256):
-                batch = whole.slice(low, 256)
+            for low in range(0, whole.num_rows, 64):
+                batch = whole.slice(low, 64)
                 if lattices.edges > lattices.most_edges:
                     lattices.clear()
                 texts = [x.as_py() or "" for x in batch.column(text_at)]
@@ -336,13 +367,13 @@ def sample_segmentations(docs: DataFrame, key: str = "doc_id", text: str = "text
                 sizes, ids, columns = [], [], ([], [], [], [])
                 seeds = np.array([xxhash.xxh3_64_intdigest(str(row.as_py()), seed) for row in batch.column(key_at)], np.uint64)
                 nodes = [np.fromiter(map(lattices.start.__getitem__, some), np.int64, len(some)) for some in atoms]
-                for body, (found, cut) in zip(texts, top_segmentations(lattices, nodes, seeds, k), strict=True):
+                for body, (found, cut) in zip(map(str.encode, texts), top_segmentations(lattices, nodes, seeds, k), strict=True):
                     sizes.append(len(found))
                     for f in found:
                         spelled = lattices.spelled(f.edges)
                         ids.append(spelled)
                         chance = 1.0 if cut == -math.inf else -math.expm1(-math.exp(min(700.0, f.log_prob - cut)))
-                        for column, item in zip(columns, (f.log_prob, f.value, chance, decoder.text(spelled.tolist()) == body if body else not len(spelled)), strict=True):
+                        for column, item in zip(columns, (f.log_prob, f.value, chance, decoder.bytes(spelled.tolist()) == body), strict=True):
                             column.append(item)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
