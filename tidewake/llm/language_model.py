@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,8 @@ from tidewake.llm.common import ROW, byte_values, crc_mod, materialise, with_row
 
 END = b""  # no word is empty
 OTHER = 1  # place of the words without one of their own; 0 is the end of a text
-EMBED, HIDDEN, CLASSES, WINDOW = 16, 24, 48, 32
+EMBED, HIDDEN, CLASSES, WINDOW = 12, 16, 32, 32
+PIECE = 1024  # tokens of a text that training reads with one state
 
 
 def tokens(data: bytes) -> list[bytes]:
@@ -31,32 +33,44 @@ def tokens(data: bytes) -> list[bytes]:
 
 
 class Lanes:
-    """Texts laid end to end in parallel lanes of about equal length, the state reset where one begins."""
+    """Texts laid end to end in parallel lanes of about equal length, the state reset where one begins.
 
-    def __init__(self, texts: list[np.ndarray], count: int):
-        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        count = max(1, min(count, len(texts)))
+    With ``piece``, longer texts are cut into pieces of so many tokens, each with a state of its
+    own. Lanes stand in the order of their lengths, so that those still running come first.
+    """
+
+    def __init__(self, texts: list[np.ndarray], count: int, piece: int | None = None):
+        whole = [(np.concatenate([[0], x]), np.concatenate([x, [0]]), i) for i, x in enumerate(texts)]
+        cut = [(a[k : k + piece], b[k : k + piece], i) for a, b, i in whole for k in range(0, len(a), piece)] if piece else whole
+        cut.sort(key=lambda x: -len(x[0]))
+        count = max(1, min(count, len(cut)))
         heap = [(0, k) for k in range(count)]
-        dealt: list[list[int]] = [[] for _ in range(count)]
-        for i in order:
+        dealt: list[list[tuple]] = [[] for _ in range(count)]
+        for x in cut:
             length, k = heapq.heappop(heap)
-            dealt[k].append(i)
-            heapq.heappush(heap, (length + len(texts[i]) + 1, k))
-        steps = max(x for x, _ in heap)
-        self.inputs = np.zeros((steps, count), np.int32)
-        self.targets = np.zeros((steps, count), np.int32)
-        self.keep = np.ones((steps, count, 1), np.float32)
-        self.text = np.full((steps, count), len(texts), np.int32)  # len(texts): filling
-        for k, some in enumerate(dealt):
+            dealt[k].append(x)
+            heapq.heappush(heap, (length + len(x[0]), k))
+        order = sorted(heap, reverse=True)
+        self.lengths = np.array([n for n, _ in order])
+        self.steps, self.count = int(self.lengths[0]), count
+        self.inputs = np.zeros((self.steps, count), np.int32)
+        self.targets = np.zeros((self.steps, count), np.int32)
+        self.keep = np.ones((self.steps, count, 1), np.float32)
+        self.text = np.full((self.steps, count), len(texts), np.int32)  # len(texts): filling
+        for lane, (_, k) in enumerate(order):
             at = 0
-            for i in some:
-                n = len(texts[i])
-                self.inputs[at + 1 : at + n + 1, k] = texts[i]
-                self.targets[at : at + n, k] = texts[i]
-                self.keep[at, k] = 0
-                self.text[at : at + n + 1, k] = i
-                at += n + 1
-        self.steps, self.count = steps, count
+            for given, wanted, i in dealt[k]:
+                n = len(given)
+                self.inputs[at : at + n, lane] = given
+                self.targets[at : at + n, lane] = wanted
+                self.keep[at, lane] = 0
+                self.text[at : at + n, lane] = i
+                at += n
+
+    def windows(self) -> Iterator[tuple[slice, slice]]:
+        """(steps, lanes still running) of each window."""
+        for t in range(0, self.steps, WINDOW):
+            yield slice(t, min(t + WINDOW, self.steps)), slice(0, int(np.count_nonzero(self.lengths > t)))
 
 
 class Network:
@@ -207,12 +221,11 @@ class Network:
     def train(self, texts: list[np.ndarray], moments: list[list[np.ndarray]], step: list[int], rate: float) -> int:
         """Adam steps over all windows of the texts; the number of tokens."""
         size = sum(len(x) + 1 for x in texts)
-        lanes = Lanes(texts, int(np.clip(size // 12288, 8, 384)))
+        lanes = Lanes(texts, int(np.clip(size // 4096, 8, 384)), PIECE)
         state = np.zeros((lanes.count, HIDDEN), np.float32)
-        for t in range(0, lanes.steps, WINDOW):
-            span = slice(t, t + WINDOW)
-            real = lanes.text[span] < len(texts)
-            grads, state = self.gradients(lanes.inputs[span], lanes.targets[span], lanes.keep[span], real, state)
+        for span, live in lanes.windows():
+            real = lanes.text[span, live] < len(texts)
+            grads, state = self.gradients(lanes.inputs[span, live], lanes.targets[span, live], lanes.keep[span, live], real, state[live])
             norm = float(np.sqrt(sum(float((g * g).sum()) for g in grads)))
             clip = min(1.0, 1.0 / max(norm, 1e-9))
             step[0] += 1
@@ -230,12 +243,11 @@ class Network:
             return np.empty(0)
         lanes = Lanes(texts, int(np.clip(sum(len(x) + 1 for x in texts) // 4096, 1, 384)))
         state, out = np.zeros((lanes.count, HIDDEN), np.float32), np.zeros(len(texts) + 1)
-        for t in range(0, lanes.steps, WINDOW):
-            span = slice(t, t + WINDOW)
-            states, state, _ = self.run(lanes.inputs[span], lanes.keep[span], state)
-            which = lanes.text[span].reshape(-1)
+        for span, live in lanes.windows():
+            states, state, _ = self.run(lanes.inputs[span, live], lanes.keep[span, live], state[live])
+            which = lanes.text[span, live].reshape(-1)
             real = np.flatnonzero(which < len(texts))
-            found, _ = self.log_likelihood(states.reshape(-1, HIDDEN)[real], lanes.targets[span].reshape(-1)[real])
+            found, _ = self.log_likelihood(states.reshape(-1, HIDDEN)[real], lanes.targets[span, live].reshape(-1)[real])
             out += np.bincount(which[real], weights=found, minlength=len(texts) + 1)
         return out[:-1]
 
@@ -291,7 +303,7 @@ def count_words(docs: DataFrame, text: str, most: int = 300_000) -> DataFrame:
 
 def _places(data: bytes, place: dict[bytes, int]) -> np.ndarray:
     found = tokens(data)
-    return np.fromiter((place.get(w, OTHER) for w in found), np.int32, len(found))
+    return np.fromiter(map(place.get, found, repeat(OTHER)), np.int32, len(found))
 
 
 def _batches(texts: Iterator, most: int = 4_000_000) -> Iterator[list]:
@@ -335,7 +347,7 @@ def train_round(docs: DataFrame, text: str, corpus: Corpus, net: Network, rate:
     return Network(weights, net.class_of, net.starts)
 
 
-def fit(docs: DataFrame, text: str = "text", most_places: int = 4096, frequent_share: int = 1_000_000, rounds: int = 3, rate: float = 0.01) -> tuple[Corpus, Network]:
+def fit(docs: DataFrame, text: str = "text", most_places: int = 4096, frequent_share: int = 2_000_000, rounds: int = 3, rate: float = 0.02) -> tuple[Corpus, Network]:
     """Count all words of ``docs`` and train a network on all its texts, each in one of the rounds."""
     corpus = Corpus(materialise(count_words(docs, text), "counts"), frequent_share, most_places)
     net = Network.begin(corpus.place_counts)
@@ -399,7 +411,7 @@ class _Text:
 
     def __init__(self, row: int, found: list[bytes], known: dict[bytes, int]):
         self.row = row
-        self.ids = np.fromiter((known.get(w, -1) for w in found), np.int32, len(found))
+        self.ids = np.fromiter(map(known.get, found, repeat(-1)), np.int32, len(found))
         self.rare = [found[i] for i in np.flatnonzero(self.ids < 0)]
 
     def __len__(self) -> int:
