@@ -65,13 +65,13 @@ def test_language_model_probabilities_sum_to_one_and_gradients_are_right():
     total = sum(np.exp(net.log_likelihood(states, np.full(3, k))[0]) for k in range(10))
     assert np.allclose(total, 1, atol=1e-5)
     inputs, targets = rng.integers(0, 10, (5, 3)), rng.integers(0, 10, (5, 3))
-    keep, real = np.ones((5, 3, 1)), np.ones((5, 3), bool)
-    keep[2, 1] = 0
-    zero = np.zeros((3, language_model.HIDDEN))
+    keep, real = np.ones((5, 1, 3)), np.ones((5, 3), bool)
+    keep[2, 0, 1] = 0
+    zero = np.zeros((language_model.HIDDEN, 3))
 
     def loss():
         s, _, _ = net.run(inputs, keep, zero)
-        return -float(net.log_likelihood(s.reshape(-1, language_model.HIDDEN).astype(np.float64), targets.reshape(-1))[0].astype(np.float64).mean())
+        return -float(net.log_likelihood(net.by_token(s), targets.reshape(-1))[0].astype(np.float64).mean())
 
     grads, _ = net.gradients(inputs, targets, keep, real, zero)
     for w, g in zip(net.weights, grads, strict=True):
@@ -93,8 +93,8 @@ def test_language_model_state_crosses_windows():
     texts = [rng.integers(0, 19, n).astype(np.int32) for n in (100, 3, 0, 70, 33)]
     together = net.scores(texts)
     assert np.allclose(together, [net.scores([t])[0] for t in texts], rtol=1e-4)
-    one = net.run(np.r_[0, texts[0]][:, None], np.ones((101, 1, 1), np.float32), np.zeros((1, language_model.HIDDEN), np.float32))[0]
-    assert together[0] == pytest.approx(float(net.log_likelihood(one[:, 0], np.r_[texts[0], 0])[0].sum()), rel=1e-4)
+    one = net.run(np.r_[0, texts[0]][:, None], np.ones((101, 1, 1), np.float32), np.zeros((language_model.HIDDEN, 1), np.float32))[0]
+    assert together[0] == pytest.approx(float(net.log_likelihood(net.by_token(one), np.r_[texts[0], 0])[0].sum()), rel=1e-4)
 
 
 def test_language_model_learns_beyond_counts(spark):

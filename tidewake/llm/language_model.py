@@ -55,7 +55,7 @@ class Lanes:
         self.steps, self.count = int(self.lengths[0]), count
         self.inputs = np.zeros((self.steps, count), np.int32)
         self.targets = np.zeros((self.steps, count), np.int32)
-        self.keep = np.ones((self.steps, count, 1), np.float32)
+        self.keep = np.ones((self.steps, 1, count), np.float32)
         self.text = np.full((self.steps, count), len(texts), np.int32)  # len(texts): filling
         for lane, (_, k) in enumerate(order):
             at = 0
@@ -63,7 +63,7 @@ class Lanes:
                 n = len(given)
                 self.inputs[at : at + n, lane] = given
                 self.targets[at : at + n, lane] = wanted
-                self.keep[at, lane] = 0
+                self.keep[at, 0, lane] = 0
                 self.text[at : at + n, lane] = i
                 at += n
 
@@ -109,41 +109,57 @@ class Network:
         return self
 
     def run(self, inputs: np.ndarray, keep: np.ndarray, state: np.ndarray, trace: bool = False):
-        """States after each step (steps, lanes, HIDDEN) and, to train, what the steps computed."""
+        """States after each step (steps, HIDDEN, lanes), the last one, and, to train, what the steps computed.
+
+        Lanes are the last axis, so that a step's operations run over unbroken memory.
+        """
         embed, into, recur, bias, *_ = self.weights
         steps, lanes = inputs.shape
-        given = (embed[inputs.reshape(-1)] @ into + bias).reshape(steps, lanes, 3 * HIDDEN)
-        out = np.empty((steps, lanes, HIDDEN), np.float32)
-        kept = np.empty((4, steps, lanes, HIDDEN), np.float32) if trace else None
-        two = 2 * HIDDEN
+        given = np.matmul(into.T, embed[inputs].transpose(0, 2, 1))
+        given += bias[:, None]
+        out = np.empty((steps, HIDDEN, lanes), embed.dtype)
+        kept = np.empty((steps if trace else 1, 4 * HIDDEN, lanes), embed.dtype)
+        turned = np.ascontiguousarray(recur.T)
+        one, two, three = HIDDEN, 2 * HIDDEN, 3 * HIDDEN
         for t in range(steps):
+            k, g = kept[t if trace else 0], given[t]
             before = state * keep[t]
-            pulled = before @ recur
-            g = given[t]
-            gates = g[:, :two] + pulled[:, :two]
-            np.multiply(gates, -1, out=gates)
+            pulled = turned @ before
+            gates, new, state = k[:two], k[two:three], out[t]
+            np.add(g[:two], pulled[:two], out=gates)
+            np.negative(gates, out=gates)
             np.exp(gates, out=gates)
             gates += 1
             np.reciprocal(gates, out=gates)
-            r, z = gates[:, :HIDDEN], gates[:, HIDDEN:]
-            new = np.tanh(g[:, two:] + r * pulled[:, two:])
-            state = new + z * (before - new)
-            out[t] = state
-            if trace:
-                kept[0, t], kept[1, t], kept[2, t], kept[3, t] = r, z, new, pulled[:, two:]
-        return out, state, kept
+            k[three:] = pulled[two:]
+            np.multiply(gates[:one], pulled[two:], out=new)
+            new += g[two:]
+            np.tanh(new, out=new)
+            np.subtract(before, new, out=state)
+            state *= gates[one:]
+            state += new
+        return out, state.copy(), kept
+
+    @staticmethod
+    def by_token(states: np.ndarray) -> np.ndarray:
+        """(steps, HIDDEN, lanes) as one row for each token."""
+        return states.transpose(0, 2, 1).reshape(-1, states.shape[1])
 
     def log_likelihood(self, states: np.ndarray, targets: np.ndarray, grads: list[np.ndarray] | None = None, weight: np.ndarray | None = None):
         """Natural log probability of each target, and with ``grads`` the states' gradient of the mean loss."""
         class_w, class_b, word_w, word_b = self.weights[4:]
+        # states lie within -1 and 1, so this bounds all scores
+        steep = max((np.abs(class_w).sum(axis=0) + class_b).max(), (np.abs(word_w).sum(axis=1) + word_b).max()) > 60
         target = self.rank[targets]
         order = np.argsort(target, kind="stable")  # by class, then by word
         states, target = states[order], target[order]
         kind, at = self.rank_class[target], np.arange(len(target))
         logits = states @ class_w
         logits += class_b
-        np.minimum(logits, 60, out=logits)
-        found = logits[at, kind]
+        if steep:
+            np.minimum(logits, 60, out=logits)
+        cell = at * logits.shape[1] + kind
+        found = logits.reshape(-1)[cell]
         np.exp(logits, out=logits)
         total = logits @ np.ones(logits.shape[1], np.float32)
         found -= np.log(total)
@@ -151,7 +167,7 @@ class Network:
         if grads is not None:
             weight = weight[order]
             logits *= (weight / total)[:, None]
-            logits[at, kind] -= weight
+            logits.reshape(-1)[cell] -= weight
             grads[4] += states.T @ logits
             grads[5] += logits.sum(axis=0)
             back = logits @ class_w.T
@@ -164,15 +180,16 @@ class Network:
             seen, w = states[some], word_w[lo:hi]
             scores = seen @ w.T
             scores += word_b[lo:hi]
-            np.minimum(scores, 60, out=scores)
-            which, k = target[some] - lo, at[: ends[c + 1] - ends[c]]
-            found[some] += scores[k, which]
+            if steep:
+                np.minimum(scores, 60, out=scores)
+            cell = at[: ends[c + 1] - ends[c]] * (hi - lo) + (target[some] - lo)
+            found[some] += scores.reshape(-1)[cell]
             np.exp(scores, out=scores)
             total = scores @ np.ones(hi - lo, np.float32)
             found[some] -= np.log(total)
             if grads is not None:
                 scores *= (weight[some] / total)[:, None]
-                scores[k, which] -= weight[some]
+                scores.reshape(-1)[cell] -= weight[some]
                 grads[6][lo:hi] = scores.T @ seen
                 grads[7][lo:hi] = scores.sum(axis=0)
                 back[some] += scores @ w
@@ -191,27 +208,42 @@ class Network:
         grads = [np.zeros_like(w) for w in self.weights]
         first = state
         states, state, kept = self.run(inputs, keep, state, True)
-        weight = (real / max(1, real.sum())).astype(np.float32).reshape(-1)
-        _, back = self.log_likelihood(states.reshape(-1, HIDDEN), targets.reshape(-1), grads, weight)
-        back = back.reshape(steps, lanes, HIDDEN)
-        d_given = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
-        later = np.zeros((lanes, HIDDEN), np.float32)
+        weight = (real / max(1, real.sum())).astype(embed.dtype).reshape(-1)
+        _, back = self.log_likelihood(self.by_token(states), targets.reshape(-1), grads, weight)
+        back = np.ascontiguousarray(back.reshape(steps, lanes, HIDDEN).transpose(0, 2, 1))
+        one, two, three = HIDDEN, 2 * HIDDEN, 3 * HIDDEN
+        d_given = np.empty((steps, three, lanes), embed.dtype)
+        d_pulled = np.empty((three, lanes), embed.dtype)
+        later = np.zeros((HIDDEN, lanes), embed.dtype)
         for t in range(steps - 1, -1, -1):
-            r, z, new, pulled = kept[:, t]
+            k, g = kept[t], d_given[t]
+            r, z, new, pulled = k[:one], k[one:two], k[two:three], k[three:]
             before = (states[t - 1] if t else first) * keep[t]
-            d = back[t] + later
-            d_new = d * (1 - z) * (1 - new * new)
-            d_z = d * (before - new) * z * (1 - z)
-            d_r = d_new * pulled * r * (1 - r)
-            g = d_given[t]
-            g[:, :HIDDEN], g[:, HIDDEN : 2 * HIDDEN], g[:, 2 * HIDDEN :] = d_r, d_z, d_new
-            d_pulled = np.concatenate([g[:, : 2 * HIDDEN], d_new * r], axis=1)
-            grads[2] += before.T @ d_pulled
-            later = (d * z + d_pulled @ recur.T) * keep[t]
-        flat = d_given.reshape(-1, 3 * HIDDEN)
+            d = back[t]
+            d += later
+            d_r, d_z, d_new = g[:one], g[one:two], g[two:]
+            np.multiply(new, new, out=d_new)
+            np.subtract(1, d_new, out=d_new)
+            d_new *= d
+            through = d * z
+            d_z[:] = before
+            d_z -= new
+            d_z *= through
+            rest = 1 - z
+            d_z *= rest
+            d_new *= rest
+            np.multiply(d_new, r, out=d_pulled[two:])
+            np.multiply(d_pulled[two:], pulled, out=d_r)
+            np.subtract(1, r, out=rest)
+            d_r *= rest
+            d_pulled[:two] = g[:two]
+            grads[2] += before @ d_pulled.T
+            later = recur @ d_pulled
+            later += through
+            later *= keep[t]
+        flat = self.by_token(d_given)
         ids = inputs.reshape(-1)
-        seen = embed[ids]
-        grads[1] += seen.T @ flat
+        grads[1] += embed[ids].T @ flat
         grads[3] += flat.sum(axis=0)
         order = np.argsort(ids, kind="stable")
         firsts = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
@@ -222,10 +254,10 @@ class Network:
         """Adam steps over all windows of the texts; the number of tokens."""
         size = sum(len(x) + 1 for x in texts)
         lanes = Lanes(texts, int(np.clip(size // 4096, 8, 384)), PIECE)
-        state = np.zeros((lanes.count, HIDDEN), np.float32)
+        state = np.zeros((HIDDEN, lanes.count), np.float32)
         for span, live in lanes.windows():
             real = lanes.text[span, live] < len(texts)
-            grads, state = self.gradients(lanes.inputs[span, live], lanes.targets[span, live], lanes.keep[span, live], real, state[live])
+            grads, state = self.gradients(lanes.inputs[span, live], lanes.targets[span, live], lanes.keep[span, :, live], real, state[:, live])
             norm = float(np.sqrt(sum(float((g * g).sum()) for g in grads)))
             clip = min(1.0, 1.0 / max(norm, 1e-9))
             step[0] += 1
@@ -242,12 +274,12 @@ class Network:
         if not texts:
             return np.empty(0)
         lanes = Lanes(texts, int(np.clip(sum(len(x) + 1 for x in texts) // 4096, 1, 384)))
-        state, out = np.zeros((lanes.count, HIDDEN), np.float32), np.zeros(len(texts) + 1)
+        state, out = np.zeros((HIDDEN, lanes.count), np.float32), np.zeros(len(texts) + 1)
         for span, live in lanes.windows():
-            states, state, _ = self.run(lanes.inputs[span, live], lanes.keep[span, live], state[live])
+            states, state, _ = self.run(lanes.inputs[span, live], lanes.keep[span, :, live], state[:, live])
             which = lanes.text[span, live].reshape(-1)
             real = np.flatnonzero(which < len(texts))
-            found, _ = self.log_likelihood(states.reshape(-1, HIDDEN)[real], lanes.targets[span, live].reshape(-1)[real])
+            found, _ = self.log_likelihood(self.by_token(states)[real], lanes.targets[span, live].reshape(-1)[real])
             out += np.bincount(which[real], weights=found, minlength=len(texts) + 1)
         return out[:-1]
 
