@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = "▁"
-ATOM = re.compile(r"▁*[^\W\d_²]+|▁*(?:(?!▁)[\W\d_²])+|▁+", re.S)
+ATOM = re.compile(r"▁*+[^\W\d_²]++|▁*+(?:(?!▁)[\W\d_²])++|▁++", re.S)
 
 
 def default_model() -> str:
@@ -60,7 +61,8 @@ class Decoder:
 
     def bytes(self, ids: list[int]) -> bytes:
         """The text's bytes without the space that encoding puts in front."""
-        return b"".join(map(self.data.__getitem__, ids))[1:]
+        found = itemgetter(*ids)(self.data) if len(ids) > 1 else [self.data[i] for i in ids]
+        return b"".join(found)[1:]
 
     def text(self, ids: list[int]) -> str:
         return self.bytes(ids).decode("utf-8", "replace")
