@@ -10,16 +10,16 @@ tokens. Scoring carries the state across windows, so a document's score covers a
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import ROW, byte_values, crc_mod, materialise, with_row_key
+from tidewake.llm.common import ROW, crc_mod, materialise, with_row_key
 
 END = b""  # no word is empty
 OTHER = 1  # place of the words without one of their own; 0 is the end of a text
@@ -27,9 +27,30 @@ EMBED, HIDDEN, CLASSES, WINDOW = 12, 16, 32, 32
 PIECE = 1024  # tokens of a text that training reads with one state
 
 
-def tokens(data: bytes) -> list[bytes]:
-    """Words between ASCII white space with A-Z lowered."""
-    return data.lower().split()
+class Words:
+    """The words of a column of texts, between ASCII white space and with A-Z lowered, and where each text's begin."""
+
+    def __init__(self, column: pa.Array):
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+        self.flat, self.starts = lists.flatten(), np.asarray(lists.offsets).astype(np.int64)
+        self.starts -= self.starts[0]
+        empty = pc.equal(pc.binary_length(self.flat), 0)  # before leading and after trailing white space
+        if pc.any(empty).as_py():
+            full = pc.invert(empty)
+            self.starts = np.r_[0, np.cumsum(full.to_numpy(zero_copy_only=False))][self.starts]
+            self.flat = self.flat.filter(full)
+
+    def places(self, known: pa.Array) -> np.ndarray:
+        """Position of each word among the known ones, or -1."""
+        return pc.fill_null(pc.index_in(self.flat, value_set=known), -1).to_numpy(zero_copy_only=False)
+
+    def parts(self, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+        """Ranges of texts with at most ``most`` words (or of a single longer text)."""
+        low, count = 0, len(self.starts) - 1
+        while low < count:
+            high = max(low + 1, int(np.searchsorted(self.starts, self.starts[low] + most, "right")) - 1)
+            yield low, min(high, count)
+            low = high
 
 
 class Lanes:
@@ -311,59 +332,36 @@ class Corpus:
         return {"words": b" ".join(self.words), "numbers": self.numbers, "placed": len(self.placed), "other_mass": self.other_mass, "ends": self.ends, "total": self.total, "distinct": self.distinct}
 
 
-def count_words(docs: DataFrame, text: str, most: int = 300_000) -> DataFrame:
-    """(word, n) over all texts, the end of each text counted as the empty word; summed in tasks first."""
+def count_words(docs: DataFrame, text: str) -> DataFrame:
+    """(word, n) over all texts, the end of each text counted as the empty word; each batch summed first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def take() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
-            held.clear()
-            return out
-
         for batch in batches:
-            for data in byte_values(batch.column(0)):
-                held.update(tokens(data))
-                held[END] += 1
-                if len(held) > most:
-                    yield take()
-        yield take()
+            counts = pc.value_counts(Words(batch.column(0)).flat)
+            yield pa.RecordBatch.from_arrays([counts.field("values").cast(pa.binary()), counts.field("counts")], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([batch.num_rows], pa.int64())], ["word", "n"])
 
     return docs.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _places(data: bytes, place: dict[bytes, int]) -> np.ndarray:
-    found = tokens(data)
-    return np.fromiter(map(place.get, found, repeat(OTHER)), np.int32, len(found))
-
-
-def _batches(texts: Iterator, most: int = 4_000_000) -> Iterator[list]:
-    """Lists of at most ``most`` tokens (or of a single longer text)."""
-    out, size = [], 0
-    for x in texts:
-        if out and size + len(x) > most:
-            yield out
-            out, size = [], 0
-        out.append(x)
-        size += len(x)
-    if out:
-        yield out
-
-
 def train_round(docs: DataFrame, text: str, corpus: Corpus, net: Network, rate: float) -> Network:
     """The token-weighted mean of the networks that the tasks train on their texts, from ``net``."""
     shared = docs.sparkSession.sparkContext.broadcast((b" ".join(corpus.placed), net.weights, net.class_of, net.starts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         placed, weights, class_of, starts = shared.value
-        place = {w: i + 2 for i, w in enumerate(placed.split())}
+        known = pa.array(placed.decode().split(" ") if placed else [], pa.string())
         own = Network([w.copy() for w in weights], class_of, starts).prepared()
         moments, step, size = [[np.zeros_like(w) for w in weights] for _ in range(2)], [0], 0
-        for some in _batches(_places(data, place) for batch in batches for data in byte_values(batch.column(0))):
-            size += own.train(some, moments, step, rate)
+        for batch in batches:
+            found = Words(batch.column(0))
+            place = found.places(known)
+            place = np.where(place >= 0, place + 2, OTHER).astype(np.int32)
+            for low, high in found.parts():
+                size += own.train([place[a:b] for a, b in pairwise(found.starts[low : high + 1])], moments, step, rate)
         if size:
-            parts = [(w.astype(np.float64) * size).tobytes() for w in own.weights]
+            flat = np.concatenate([w.reshape(-1) for w in own.weights]).astype(np.float64) * size
+            parts = [flat[k : k + 4096].tobytes() for k in range(0, len(flat), 4096)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([size] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["part", "size", "sum"])
 
     def add(table: pa.Table) -> pa.Table:
@@ -372,11 +370,14 @@ def train_round(docs: DataFrame, text: str, corpus: Corpus, net: Network, rate:
 
     schema = "part int, size long, sum binary"
     trained = docs.select(text).mapInArrow(run, schema).withColumn("way", F.spark_partition_id() % 64)
-    # in two steps, so that no task adds up the networks of all others
+    # stretches of 4 096 weights are added up apart, and in two steps, so that no task sees all networks
     some = trained.groupBy("part", "way").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema)
-    got = {r["part"]: (r["size"], np.frombuffer(bytes(r["sum"]), np.float64)) for r in some.collect()}
-    weights = [(got[i][1] / got[i][0]).astype(np.float32).reshape(w.shape) if i in got else w for i, w in enumerate(net.weights)]
-    return Network(weights, net.class_of, net.starts)
+    got = sorted((r["part"], r["size"], bytes(r["sum"])) for r in some.collect())  # as large as one network
+    if not got:
+        return net
+    flat = np.concatenate([np.frombuffer(x, np.float64) / n for _, n, x in got]).astype(np.float32)
+    ends = np.cumsum([w.size for w in net.weights])
+    return Network([flat[end - w.size : end].reshape(w.shape) for w, end in zip(net.weights, ends, strict=True)], net.class_of, net.starts)
 
 
 def fit(docs: DataFrame, text: str = "text", most_places: int = 4096, frequent_share: int = 2_000_000, rounds: int = 3, rate: float = 0.02) -> tuple[Corpus, Network]:
@@ -403,29 +404,29 @@ def score(docs: DataFrame, corpus: Corpus, net: Network, text: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, weights, class_of, starts = shared.value
         own = Network(weights, class_of, starts).prepared()
-        known = {w: i for i, w in enumerate(c["words"].split())}
+        known = pa.array(c["words"].decode().split(" ") if c["words"] else [], pa.string())
         logs = np.log10(c["numbers"] + 1.0)
         in_base, in_other = np.log10(c["total"] + c["distinct"] + 1.0), np.log10(float(c["other_mass"]))
         end_log = np.log10(c["ends"] + 1.0)
-
-        def texts() -> Iterator[tuple]:
-            for batch in batches:
-                for row, data in zip(batch.column(0).to_pylist(), byte_values(batch.column(1)), strict=True):
-                    yield _Text(row, tokens(data), known)
-
-        for some in _batches(texts()):
-            ids = [np.where((x.ids >= 0) & (x.ids < c["placed"]), x.ids + 2, OTHER).astype(np.int32) for x in some]
-            found = own.scores(ids) / np.log(10)
-            columns: list[list] = [[], [], [], [], [], []]
-            for x, place, value in zip(some, ids, found, strict=True):
-                have = x.ids[x.ids >= 0]
-                base = logs[have].sum() + end_log - (len(x.ids) + 1) * in_base
-                others = place == OTHER
-                rest = x.ids[others]
-                value += logs[rest[rest >= 0]].sum() - others.sum() * in_other
-                for column, item in zip(columns, (x.row, len(x.ids) + 1, len(have) + (c["ends"] > 0), base, value, x.rare), strict=True):
-                    column.append(item)
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.float64()), pa.array(columns[4], pa.float64()), pa.array(columns[5], pa.list_(pa.binary()))], [ROW, "n_tokens", "n", "base", "model", "rare"])
+        for batch in batches:
+            found = Words(batch.column(1))
+            id_ = found.places(known)
+            for low, high in found.parts():
+                starts = found.starts[low : high + 1]
+                first, last, n = starts[0], starts[-1], np.diff(starts)
+                some = id_[first:last]
+                whose = np.repeat(np.arange(high - low), n)
+                have, placed = some >= 0, (some >= 0) & (some < c["placed"])
+                log = np.where(have, logs[np.maximum(some, 0)] if len(logs) else 0.0, 0.0)
+                total = lambda w, whose=whose, size=high - low: np.bincount(whose, weights=w, minlength=size)
+                base = total(log) + end_log - (n + 1) * in_base
+                place = np.where(placed, some + 2, OTHER).astype(np.int32)
+                model = own.scores([place[a - first : b - first] for a, b in pairwise(starts)]) / np.log(10)
+                model += total(np.where(placed, 0.0, log - in_other))
+                rare = found.flat.slice(first, last - first).filter(pa.array(~have)).cast(pa.binary())
+                ends = np.r_[0, np.cumsum(np.bincount(whose[~have], minlength=high - low))].astype(np.int32)
+                columns = [batch.column(0).slice(low, high - low), pa.array(n + 1), pa.array(total(have).astype(np.int64) + (c["ends"] > 0)), pa.array(base), pa.array(model), pa.ListArray.from_arrays(pa.array(ends), rare)]
+                yield pa.RecordBatch.from_arrays(columns, [ROW, "n_tokens", "n", "base", "model", "rare"])
 
     scored = materialise(keyed.select(ROW, text).mapInArrow(run, f"{ROW} long, n_tokens long, n long, base double, model double, rare array<binary>"), "scores")
     # words too rare to be at hand were counted as unseen; the table of all counts makes up for it
@@ -436,20 +437,6 @@ def score(docs: DataFrame, corpus: Corpus, net: Network, text: str = "text") ->
     return keyed.join(whole, ROW).drop(ROW)
 
 
-class _Text:
-    """A text's places among the words at hand (-1: none) and the words that are not."""
-
-    __slots__ = ("row", "ids", "rare")
-
-    def __init__(self, row: int, found: list[bytes], known: dict[bytes, int]):
-        self.row = row
-        self.ids = np.fromiter(map(known.get, found, repeat(-1)), np.int32, len(found))
-        self.rare = [found[i] for i in np.flatnonzero(self.ids < 0)]
-
-    def __len__(self) -> int:
-        return len(self.ids)
-
-
 def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held_out = F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False))
