@@ -109,13 +109,15 @@ class Lattices:
     def clear(self) -> None:
         self.start: dict[str, int] = {}  # first node of each atom
         self.nodes = self.edges = 0
-        self.first = np.zeros(1 << 17, np.int32)  # first edge of a node
-        self.likeliest = np.zeros(1 << 17, np.int32)  # its most probable edge
-        self.until = np.zeros(1 << 17)  # sum of its shares up to and with that edge
-        self.share = np.zeros(1 << 19)  # probability of an edge at its node
-        self.upto = np.zeros(1 << 19)  # node plus the shares up to and with the edge
-        self.goal = np.zeros(1 << 19, np.int32)  # node that the edge leads to, or -1
-        self.piece = np.zeros(1 << 19, np.int32)  # id, or -1 - code point of a character that only bytes can spell
+        # room for all edges at once: pages that are never written cost nothing
+        edges = self.most_edges + (1 << 20)
+        self.first = np.zeros(edges // 2, np.int32)  # first edge of a node
+        self.likeliest = np.zeros(edges // 2, np.int32)  # its most probable edge
+        self.until = np.zeros(edges // 2)  # sum of its shares up to and with that edge
+        self.share = np.zeros(edges)  # probability of an edge at its node
+        self.upto = np.zeros(edges)  # node plus the shares up to and with the edge
+        self.goal = np.zeros(edges, np.int32)  # node that the edge leads to, or -1
+        self.piece = np.zeros(edges, np.int32)  # id, or -1 - code point of a character that only bytes can spell
 
     def _store(self, name: str, at: int, values: np.ndarray) -> None:
         held = getattr(self, name)
@@ -160,23 +162,25 @@ class Lattices:
         mass = np.zeros(len(codes) + width + 1)
         order = np.argsort(remaining, kind="stable")
         levels = np.searchsorted(remaining[order], np.arange(1, int(sizes.max()) + 2))
-        shares = np.zeros_like(value)
+        shares, best = np.zeros_like(value), np.zeros(len(codes), np.int64)
         for r in range(1, len(levels)):
             some = order[levels[r - 1] : levels[r]]
             n = min(r, width)
             sums = value[some, :n]
             for k in range(1, min(n, r - 1) + 1):  # an edge of length r ends the atom
                 sums[:, k - 1] += mass[some + k]
-            top = sums.max(axis=1)
+            best[some] = likeliest = sums.argmax(axis=1)
+            top = sums[np.arange(len(some)), likeliest]
             sums -= top[:, None]
             np.exp(sums, out=sums)
             total = sums.sum(axis=1)
             mass[some] = top + np.log(total)
             sums /= total[:, None]
             shares[some, :n] = sums
-        best = shares.argmax(axis=1)
-        source, length = np.nonzero(shares > 0)
-        share = shares[source, length]
+        cell = np.flatnonzero(shares.reshape(-1) > 0)
+        source = cell // width
+        length = cell - source * width
+        share = shares.reshape(-1)[cell]
         heads = np.flatnonzero(np.r_[True, source[1:] != source[:-1]])
         lasts = np.r_[heads[1:] - 1, len(share) - 1]
         upto = np.cumsum(share)  # the shares of a node add up to 1
@@ -185,7 +189,7 @@ class Lattices:
         upto[lasts] = source[lasts] + 1
         until = upto[likeliest] - source[likeliest]
         inner = remaining[source] > length + 1
-        for name, values in (("share", share), ("upto", upto + self.nodes), ("goal", np.where(inner, source + length + 1 + self.nodes, -1)), ("piece", piece[source, length])):
+        for name, values in (("share", share), ("upto", upto + self.nodes), ("goal", np.where(inner, source + length + 1 + self.nodes, -1)), ("piece", piece.reshape(-1)[cell])):
             self._store(name, self.edges, values)
         self._store("first", self.nodes, heads + self.edges)
         self._store("likeliest", self.nodes, likeliest + self.edges)
