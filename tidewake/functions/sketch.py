@@ -54,14 +54,18 @@ def collect_sketch(alpha: float = ALPHA) -> Column:
     return F.struct(F.lit(float(alpha)).alias("alpha"), zero.cast("long").alias("zero_count"), F.sum("__n").alias("count"), F.min("__min").cast("long").alias("min"), F.max("__max").cast("long").alias("max"), F.map_from_entries(entries).alias("buckets"))
 
 
-def sketch_quantile(sketch: Column, q: float, alpha: float = ALPHA) -> Column:
-    """The quantile's value; 0 for an empty sketch or where zeros reach the rank."""
-    rank = F.floor(F.lit(_check(q)) * (sketch["count"] - 1)).cast("long")
-    entries = F.array_sort(F.map_entries(sketch["buckets"]))
-    start = F.struct(sketch["zero_count"].alias("upto"), F.lit(None).cast("int").alias("at"))
+def entries_quantile(entries: Column, zero_count: Column, count: Column, most: Column, q: float, alpha: float = ALPHA) -> Column:
+    """The quantile of sorted (key, value) entries, bucket and count, beside ``zero_count`` values of zero or below."""
+    rank = F.floor(F.lit(_check(q)) * (count - 1)).cast("long")
+    start = F.struct(zero_count.cast("long").alias("upto"), F.lit(None).cast("int").alias("at"))
     step = lambda a, e: F.struct((a["upto"] + e["value"]).alias("upto"), F.when(a["at"].isNull() & (a["upto"] + e["value"] > rank), e["key"]).otherwise(a["at"]).alias("at"))
     at = F.aggregate(entries, start, step)["at"]
-    return F.when(F.coalesce(sketch["count"], F.lit(0)) == 0, F.lit(0)).when(rank < sketch["zero_count"], F.lit(0)).when(at.isNull(), sketch["max"]).otherwise(value_of(at, alpha)).cast("long")
+    return F.when(F.coalesce(count, F.lit(0)) == 0, F.lit(0)).when(rank < zero_count, F.lit(0)).when(at.isNull(), most).otherwise(value_of(at, alpha)).cast("long")
+
+
+def sketch_quantile(sketch: Column, q: float, alpha: float = ALPHA) -> Column:
+    """The quantile's value; 0 for an empty sketch or where zeros reach the rank."""
+    return entries_quantile(F.array_sort(F.map_entries(sketch["buckets"])), sketch["zero_count"], sketch["count"], sketch["max"], q, alpha)
 
 
 def sketch_merge(df: DataFrame, by: list[str], column: str = "sketch") -> DataFrame:

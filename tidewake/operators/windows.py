@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewake.functions.keys import IDENTITY, KEY, with_window
-from tidewake.functions.sketch import ALPHA, QUANTILE_METHODS, bucket_of, collect_sketch, exact_quantiles, quantiles, sketch_quantile
+from tidewake.functions.sketch import ALPHA, QUANTILE_METHODS, bucket_of, collect_sketch, entries_quantile, exact_quantiles, quantiles
 
 EMISSION = [*IDENTITY, "window_start_unix_nanos", "window_end_unix_nanos", "count", "error_count", "bytes", "p95_nanos", "p99_nanos", "max_nanos"]
 
@@ -28,9 +28,16 @@ def aggregate_windows(events: DataFrame, size_nanos: int, alpha: float = ALPHA,
     cells = numbered.groupBy(*by, bucket_of(latency, alpha).alias("__bucket")).agg(
         F.count(F.lit(1)).alias("__n"), F.min(latency).alias("__min"), F.max(latency).alias("__max"), F.count_if("failed").alias("__e"), F.sum("bytes").alias("__b")
     )
-    out = cells.groupBy(*by).agg(F.sum("__n").alias("count"), F.sum("__e").alias("error_count"), F.sum("__b").alias("bytes"), F.max("__max").alias("max_nanos"), collect_sketch(alpha).alias("sketch"))
+    sums = [F.sum("__n").alias("count"), F.sum("__e").alias("error_count"), F.sum("__b").alias("bytes"), F.max("__max").alias("max_nanos")]
+    if keep_sketch:
+        sums.append(collect_sketch(alpha).alias("sketch"))
     if method == "ddsketch":
-        out = out.withColumns({"p95_nanos": sketch_quantile(F.col("sketch"), 0.95, alpha), "p99_nanos": sketch_quantile(F.col("sketch"), 0.99, alpha)})
+        entries = F.collect_list(F.when(F.col("__bucket").isNotNull(), F.struct(F.col("__bucket").alias("key"), F.col("__n").alias("value"))))
+        sums += [F.sort_array(entries).alias("__cells"), F.coalesce(F.sum(F.when(F.col("__bucket").isNull(), F.col("__n"))), F.lit(0)).alias("__zeros")]
+    out = cells.groupBy(*by).agg(*sums)
+    if method == "ddsketch":
+        own = F.col("__cells"), F.col("__zeros"), F.col("count"), F.col("max_nanos")
+        out = out.withColumns({"p95_nanos": entries_quantile(*own, 0.95, alpha), "p99_nanos": entries_quantile(*own, 0.99, alpha)})
     else:
         both = {"p95_nanos": 0.95, "p99_nanos": 0.99}
         own = exact_quantiles(numbered, by, "latency_nanos", both) if method == "exact" else quantiles(numbered, by, "latency_nanos", both, method, alpha)
