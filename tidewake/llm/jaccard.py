@@ -207,7 +207,8 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     classes = all_rows.groupBy("text_hash").agg(F.min("k").alias("class_id"), F.min(ROW).alias("head"), F.first("root").alias("root"))
     classes = classes.withColumn("root", F.coalesce("root", "head"))
     groups = classes.groupBy("root").agg(F.min("class_id").alias("group_id"), F.min("head").alias("first_row"))
-    classes = classes.join(groups, "root").select("text_hash", "class_id", "group_id", "first_row")
+    # written apart, so that the join may split the rows of a text with many copies
+    classes = materialise(classes.join(groups, "root").select("text_hash", "class_id", "group_id", "first_row"), "classes")
     return all_rows.join(classes, "text_hash").select(ROW, F.col("k").alias(key), "class_id", "n_links", "group_id", (F.col(ROW) == F.col("first_row")).alias("first"))
 
 
