@@ -129,7 +129,7 @@ class Lattices:
     def add(self, atoms: list[str]) -> None:
         """Build the lattices of atoms not seen before; a node is a character's place."""
         # by length, so that the tables of a part are as narrow as its atoms; in parts that fit the cache
-        new = sorted((a for a in dict.fromkeys(atoms) if a not in self.start), key=len)
+        new = sorted(set(atoms).difference(self.start), key=len)
         for low in range(0, len(new), 2000):
             self._build(new[low : low + 2000])
 
