@@ -44,7 +44,7 @@ class Words:
         """Position of each word among the known ones, or -1."""
         return pc.fill_null(pc.index_in(self.flat, value_set=known), -1).to_numpy(zero_copy_only=False)
 
-    def parts(self, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    def parts(self, most: int = 3_000_000) -> Iterator[tuple[int, int]]:
         """Ranges of texts with at most ``most`` words (or of a single longer text)."""
         low, count = 0, len(self.starts) - 1
         while low < count:
@@ -338,6 +338,7 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = pc.value_counts(Words(batch.column(0)).flat)
+            pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_arrays([counts.field("values").cast(pa.binary()), counts.field("counts")], ["word", "n"])
             yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([batch.num_rows], pa.int64())], ["word", "n"])
 
@@ -359,6 +360,8 @@ def train_round(docs: DataFrame, text: str, corpus: Corpus, net: Network, rate:
             place = np.where(place >= 0, place + 2, OTHER).astype(np.int32)
             for low, high in found.parts():
                 size += own.train([place[a:b] for a, b in pairwise(found.starts[low : high + 1])], moments, step, rate)
+            del found, place
+            pa.default_memory_pool().release_unused()
         if size:
             flat = np.concatenate([w.reshape(-1) for w in own.weights]).astype(np.float64) * size
             parts = [flat[k : k + 4096].tobytes() for k in range(0, len(flat), 4096)]
@@ -415,7 +418,7 @@ def score(docs: DataFrame, corpus: Corpus, net: Network, text: str = "text") ->
                 starts = found.starts[low : high + 1]
                 first, last, n = starts[0], starts[-1], np.diff(starts)
                 some = id_[first:last]
-                whose = np.repeat(np.arange(high - low), n)
+                whose = np.repeat(np.arange(high - low, dtype=np.int32), n)
                 have, placed = some >= 0, (some >= 0) & (some < c["placed"])
                 log = np.where(have, logs[np.maximum(some, 0)] if len(logs) else 0.0, 0.0)
                 total = lambda w, whose=whose, size=high - low: np.bincount(whose, weights=w, minlength=size)
@@ -427,6 +430,9 @@ def score(docs: DataFrame, corpus: Corpus, net: Network, text: str = "text") ->
                 ends = np.r_[0, np.cumsum(np.bincount(whose[~have], minlength=high - low))].astype(np.int32)
                 columns = [batch.column(0).slice(low, high - low), pa.array(n + 1), pa.array(total(have).astype(np.int64) + (c["ends"] > 0)), pa.array(base), pa.array(model), pa.ListArray.from_arrays(pa.array(ends), rare)]
                 yield pa.RecordBatch.from_arrays(columns, [ROW, "n_tokens", "n", "base", "model", "rare"])
+                del columns, rare, some, whose, have, placed, log, place
+            del found, id_
+            pa.default_memory_pool().release_unused()
 
     scored = materialise(keyed.select(ROW, text).mapInArrow(run, f"{ROW} long, n_tokens long, n long, base double, model double, rare array<binary>"), "scores")
     # words too rare to be at hand were counted as unseen; the table of all counts makes up for it
