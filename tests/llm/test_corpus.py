@@ -97,6 +97,22 @@ def test_language_model_state_crosses_windows():
     assert together[0] == pytest.approx(float(net.log_likelihood(net.by_token(one), np.r_[texts[0], 0])[0].sum()), rel=1e-4)
 
 
+def test_language_model_trains_long_texts_with_one_state(monkeypatch):
+    assert language_model.EMBED >= 16 and language_model.HIDDEN >= 24
+    net = language_model.Network.begin(np.arange(1.0, 20)).prepared()
+    begun, whole = [], language_model.Network.gradients
+
+    def watched(self, inputs, targets, keep, real, state):
+        begun.append(int((keep == 0).sum()))
+        return whole(self, inputs, targets, keep, real, state)
+
+    monkeypatch.setattr(language_model.Network, "gradients", watched)
+    texts = [np.arange(n, dtype=np.int32) % 18 + 1 for n in (3000, 1500, 40)]
+    moments = [[np.zeros_like(w) for w in net.weights] for _ in range(2)]
+    assert net.train(texts, moments, [0], 0.01) == 4543
+    assert sum(begun) == 3  # the state begins anew once for each text
+
+
 def test_language_model_learns_beyond_counts(spark):
     rng = random.Random(4)
     half = [WORDS[:100], WORDS[100:200]]

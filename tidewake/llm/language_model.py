@@ -23,8 +23,7 @@ from tidewake.llm.common import ROW, crc_mod, materialise, with_row_key
 
 END = b""  # no word is empty
 OTHER = 1  # place of the words without one of their own; 0 is the end of a text
-EMBED, HIDDEN, CLASSES, WINDOW = 12, 16, 32, 32
-PIECE = 1024  # tokens of a text that training reads with one state
+EMBED, HIDDEN, CLASSES, WINDOW = 16, 24, 48, 32
 
 
 class Words:
@@ -56,18 +55,16 @@ class Words:
 class Lanes:
     """Texts laid end to end in parallel lanes of about equal length, the state reset where one begins.
 
-    With ``piece``, longer texts are cut into pieces of so many tokens, each with a state of its
-    own. Lanes stand in the order of their lengths, so that those still running come first.
+    Lanes stand in the order of their lengths, so that those still running come first.
     """
 
-    def __init__(self, texts: list[np.ndarray], count: int, piece: int | None = None):
+    def __init__(self, texts: list[np.ndarray], count: int):
         whole = [(np.concatenate([[0], x]), np.concatenate([x, [0]]), i) for i, x in enumerate(texts)]
-        cut = [(a[k : k + piece], b[k : k + piece], i) for a, b, i in whole for k in range(0, len(a), piece)] if piece else whole
-        cut.sort(key=lambda x: -len(x[0]))
-        count = max(1, min(count, len(cut)))
+        whole.sort(key=lambda x: -len(x[0]))
+        count = max(1, min(count, len(whole)))
         heap = [(0, k) for k in range(count)]
         dealt: list[list[tuple]] = [[] for _ in range(count)]
-        for x in cut:
+        for x in whole:
             length, k = heapq.heappop(heap)
             dealt[k].append(x)
             heapq.heappush(heap, (length + len(x[0]), k))
@@ -274,7 +271,7 @@ class Network:
     def train(self, texts: list[np.ndarray], moments: list[list[np.ndarray]], step: list[int], rate: float) -> int:
         """Adam steps over all windows of the texts; the number of tokens."""
         size = sum(len(x) + 1 for x in texts)
-        lanes = Lanes(texts, int(np.clip(size // 4096, 8, 384)), PIECE)
+        lanes = Lanes(texts, int(np.clip(size // 4096, 8, 384)))
         state = np.zeros((HIDDEN, lanes.count), np.float32)
         for span, live in lanes.windows():
             real = lanes.text[span, live] < len(texts)
