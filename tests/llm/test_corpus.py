@@ -113,6 +113,28 @@ def test_language_model_trains_long_texts_with_one_state(monkeypatch):
     assert sum(begun) == 3  # the state begins anew once for each text
 
 
+def test_language_model_places_follow_the_counts(spark):
+    docs = documents(spark, [" ".join(f"w{k}" for k in range(12000) if k < 9000 or i == 0) for i in range(8)])
+    corpus = language_model.Corpus(language_model.count_words(docs, "text"), 2_000_000)
+    assert len(corpus.placed) == 9000 and set(corpus.placed) == {b"w%d" % k for k in range(9000)}
+    assert corpus.unplaced_share == pytest.approx(3000 / 75000)
+    net = language_model.Network.begin(corpus.place_counts)
+    assert len(net.starts) - 1 > 2 * 48 / 1.1
+    small = language_model.Corpus(language_model.count_words(docs.limit(1), "text"), 2_000_000, 50)
+    assert len(small.placed) == 50
+
+
+def test_language_model_updates_the_rows_with_gradients():
+    rng = np.random.default_rng(5)
+    net = language_model.Network.begin(rng.integers(1, 1000, 5000).astype(float)).prepared()
+    inputs, targets = rng.integers(0, 5000, (2, 8, 3)).astype(np.int32)
+    grads, _ = net.gradients(inputs, targets, np.ones((8, 1, 3), np.float32), np.ones((8, 3), bool), np.zeros((language_model.HIDDEN, 3), np.float32))
+    for g, rows in zip(grads, net.touched(inputs, targets), strict=True):
+        rest = g.copy()
+        rest[rows] = 0
+        assert not rest.any()
+
+
 def test_language_model_learns_beyond_counts(spark):
     rng = random.Random(4)
     half = [WORDS[:100], WORDS[100:200]]

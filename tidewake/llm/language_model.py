@@ -1,8 +1,8 @@
 """A gated recurrent language model trained and applied by Spark tasks.
 
-Exact word counts come from the whole training corpus. The most frequent words get places of
-their own in a gated recurrent network with a class-factored softmax; the others share one place
-and are told apart by their counts. Training is truncated backpropagation in numpy: in each round
+Exact word counts come from the whole training corpus. The words above a frequency that falls
+with the corpus's size get places of their own in a gated recurrent network with a class-factored
+softmax; the others share one place and are told apart by their counts. Training is truncated backpropagation in numpy: in each round
 every task trains on its documents from common parameters, and the results are averaged by
 tokens. Scoring carries the state across windows, so a document's score covers all its words.
 """
@@ -23,7 +23,10 @@ from tidewake.llm.common import ROW, crc_mod, materialise, with_row_key
 
 END = b""  # no word is empty
 OTHER = 1  # place of the words without one of their own; 0 is the end of a text
-EMBED, HIDDEN, CLASSES, WINDOW = 16, 24, 48, 32
+EMBED, HIDDEN, WINDOW = 16, 24, 32
+CLASSES, PLACES = 48, 4096  # at least, with so many words
+SHARE = 64  # a word of a frequency of 1 / (SHARE * sqrt(all tokens)) or more has a place
+STRETCH = 32_768  # weights that are added up as one
 
 
 class Words:
@@ -104,7 +107,8 @@ class Network:
         rng = np.random.default_rng(seed)
         order = np.argsort(-counts, kind="stable")
         root = np.sqrt(counts[order] / counts.sum())
-        binned = np.minimum((np.cumsum(root) - root) / root.sum() * CLASSES, CLASSES - 1).astype(np.int64)
+        classes = max(CLASSES, round(len(counts) ** 0.5))
+        binned = np.minimum((np.cumsum(root) - root) / root.sum() * classes, classes - 1).astype(np.int64)
         binned = np.unique(binned, return_inverse=True)[1]
         class_of = np.empty(len(counts), np.int64)
         class_of[order] = binned
@@ -166,15 +170,14 @@ class Network:
     def log_likelihood(self, states: np.ndarray, targets: np.ndarray, grads: list[np.ndarray] | None = None, weight: np.ndarray | None = None):
         """Natural log probability of each target, and with ``grads`` the states' gradient of the mean loss."""
         class_w, class_b, word_w, word_b = self.weights[4:]
-        # states lie within -1 and 1, so this bounds all scores
-        steep = max((np.abs(class_w).sum(axis=0) + class_b).max(), (np.abs(word_w).sum(axis=1) + word_b).max()) > 60
+        steep = lambda w, b, axis: (np.abs(w).sum(axis=axis) + b).max() > 60  # states lie within -1 and 1, so this bounds all scores
         target = self.rank[targets]
         order = np.argsort(target, kind="stable")  # by class, then by word
         states, target = states[order], target[order]
         kind, at = self.rank_class[target], np.arange(len(target))
         logits = states @ class_w
         logits += class_b
-        if steep:
+        if steep(class_w, class_b, 0):
             np.minimum(logits, 60, out=logits)
         cell = at * logits.shape[1] + kind
         found = logits.reshape(-1)[cell]
@@ -198,7 +201,7 @@ class Network:
             seen, w = states[some], word_w[lo:hi]
             scores = seen @ w.T
             scores += word_b[lo:hi]
-            if steep:
+            if steep(w, word_b[lo:hi], 1):
                 np.minimum(scores, 60, out=scores)
             cell = at[: ends[c + 1] - ends[c]] * (hi - lo) + (target[some] - lo)
             found[some] += scores.reshape(-1)[cell]
@@ -223,7 +226,7 @@ class Network:
         """Gradients of a window's mean loss, by backpropagation to its first step, and the state after it."""
         embed, into, recur, *_ = self.weights
         steps, lanes = inputs.shape
-        grads = [np.zeros_like(w) for w in self.weights]
+        grads = [np.zeros(w.shape, w.dtype) for w in self.weights]
         first = state
         states, state, kept = self.run(inputs, keep, state, True)
         weight = (real / max(1, real.sum())).astype(embed.dtype).reshape(-1)
@@ -268,6 +271,15 @@ class Network:
         grads[0][ids[order][firsts]] = np.add.reduceat((flat @ into.T)[order], firsts, axis=0)
         return grads, state
 
+    def touched(self, inputs: np.ndarray, targets: np.ndarray) -> list[np.ndarray | slice]:
+        """Rows of each weight whose gradients a window can make; the others' steps wait, so that its work follows its words."""
+        kinds = np.unique(self.class_of[np.unique(targets)])
+        sizes = self.starts[kinds + 1] - self.starts[kinds]
+        rows: slice | np.ndarray = slice(None)
+        if 2 * sizes.sum() < len(self.class_of):
+            rows = np.repeat(self.starts[kinds] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return [np.unique(inputs), *[slice(None)] * 5, rows, rows]
+
     def train(self, texts: list[np.ndarray], moments: list[list[np.ndarray]], step: list[int], rate: float) -> int:
         """Adam steps over all windows of the texts; the number of tokens."""
         size = sum(len(x) + 1 for x in texts)
@@ -276,15 +288,20 @@ class Network:
         for span, live in lanes.windows():
             real = lanes.text[span, live] < len(texts)
             grads, state = self.gradients(lanes.inputs[span, live], lanes.targets[span, live], lanes.keep[span, :, live], real, state[:, live])
+            rows = self.touched(lanes.inputs[span, live], lanes.targets[span, live])
+            grads = [g[k] for g, k in zip(grads, rows, strict=True)]
             norm = float(np.sqrt(sum(float((g * g).sum()) for g in grads)))
             clip = min(1.0, 1.0 / max(norm, 1e-9))
             step[0] += 1
             scale = rate * min(1.0, step[0] / 20) * np.sqrt(1 - 0.99 ** step[0]) / (1 - 0.9 ** step[0])
-            for w, g, m, v in zip(self.weights, grads, *moments, strict=True):
+            for w, g, k, m, v in zip(self.weights, grads, rows, *moments, strict=True):
                 g *= clip
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                w -= scale * m / (np.sqrt(v) + 1e-7)
+                one, two = m[k], v[k]
+                one += 0.1 * (g - one)
+                two += 0.01 * (g * g - two)
+                w[k] -= scale * one / (np.sqrt(two) + 1e-7)
+                if not isinstance(k, slice):
+                    m[k], v[k] = one, two
         return size
 
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -303,9 +320,13 @@ class Network:
 
 
 class Corpus:
-    """Word counts of the training texts: totals and frequent words at hand, all words in a table."""
+    """Word counts of the training texts: totals and frequent words at hand, all words in a table.
+
+    Words of at least ``least_placed`` occurrences have places: their number grows with the corpus,
+    by the root of its tokens at most. ``unplaced_share`` is the share of tokens without a place.
+    """
 
-    def __init__(self, counts: DataFrame, frequent_share: int, most_places: int):
+    def __init__(self, counts: DataFrame, frequent_share: int, most_places: int | None = None):
         self.counts = counts
         total = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
         self.total, self.distinct = int(total[0] or 0), int(total[1])
@@ -318,11 +339,14 @@ class Corpus:
             self.ends = (counts.where(F.col("word") == F.lit(END)).agg(F.sum("n")).first()[0]) or 0
         self.words = list(found)
         self.numbers = np.array(list(found.values()), np.int64)
-        self.placed = self.words[:most_places]
+        self.least_placed = max(self.least, -(-self.total // max(1, int(SHARE * self.total**0.5))))
+        places = max(PLACES, int(np.count_nonzero(self.numbers >= self.least_placed)))
+        self.placed = self.words[: places if most_places is None else most_places]
         own = self.numbers[: len(self.placed)]
         # words without a place: each its count plus one, and one more for all that were never seen
         others = self.distinct - (self.ends > 0) - len(self.placed)
         self.other_mass = int(self.total - self.ends - own.sum()) + others + 1
+        self.unplaced_share = float(self.total - self.ends - own.sum()) / max(1, self.total - self.ends)
         self.place_counts = np.concatenate([[self.ends + 1, self.other_mass], own]).astype(np.float64)
 
     def plain(self) -> dict:
@@ -361,7 +385,7 @@ def train_round(docs: DataFrame, text: str, corpus: Corpus, net: Network, rate:
             pa.default_memory_pool().release_unused()
         if size:
             flat = np.concatenate([w.reshape(-1) for w in own.weights]).astype(np.float64) * size
-            parts = [flat[k : k + 4096].tobytes() for k in range(0, len(flat), 4096)]
+            parts = [flat[k : k + STRETCH].tobytes() for k in range(0, len(flat), STRETCH)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([size] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["part", "size", "sum"])
 
     def add(table: pa.Table) -> pa.Table:
@@ -370,7 +394,7 @@ def train_round(docs: DataFrame, text: str, corpus: Corpus, net: Network, rate:
 
     schema = "part int, size long, sum binary"
     trained = docs.select(text).mapInArrow(run, schema).withColumn("way", F.spark_partition_id() % 64)
-    # stretches of 4 096 weights are added up apart, and in two steps, so that no task sees all networks
+    # stretches of weights are added up apart, and in two steps, so that no task sees all networks
     some = trained.groupBy("part", "way").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema)
     got = sorted((r["part"], r["size"], bytes(r["sum"])) for r in some.collect())  # as large as one network
     if not got:
@@ -380,7 +404,7 @@ def train_round(docs: DataFrame, text: str, corpus: Corpus, net: Network, rate:
     return Network([flat[end - w.size : end].reshape(w.shape) for w, end in zip(net.weights, ends, strict=True)], net.class_of, net.starts)
 
 
-def fit(docs: DataFrame, text: str = "text", most_places: int = 4096, frequent_share: int = 2_000_000, rounds: int = 3, rate: float = 0.02) -> tuple[Corpus, Network]:
+def fit(docs: DataFrame, text: str = "text", most_places: int | None = None, frequent_share: int = 2_000_000, rounds: int = 3, rate: float = 0.02) -> tuple[Corpus, Network]:
     """Count all words of ``docs`` and train a network on all its texts, each in one of the rounds."""
     corpus = Corpus(materialise(count_words(docs, text), "counts"), frequent_share, most_places)
     net = Network.begin(corpus.place_counts)
