@@ -180,6 +180,21 @@ def test_warc_round_trip(spark):
     assert warc.read_warc(spark, empty).count() == 0
 
 
+def test_warc_long_pages_with_repeated_and_null_ids(spark):
+    rng = random.Random(4)
+    same = prose(rng, 900)
+    pages = [(k, "u", prose(rng, 900)) for k in (1, 1, 1, 2, None, None, None)] + [(3, "u", same), (3, "u", same), (None, "v", same + "."), (None, "w", same + ".")]
+    path = new_path(spark, "warc")
+    warc.write_warc(spark.createDataFrame(pages, "page_id long, url string, html string"), path, segment_bytes=1000, records_per_file=50)
+    got = warc.read_warc(spark, path).collect()
+    assert all(r["complete"] and r["type"] == "response" for r in got)
+    wanted = collections.Counter((f"<urn:page:{'null' if k is None else k}>", u, x) for k, u, x in pages)
+    assert collections.Counter((r["record_id"], r["uri"], bytes(r["payload"]).decode()) for r in got) == wanted
+    assert {r["payload_bytes"] for r in got} == {len(x) for _, _, x in pages}
+    records = [f for (x,) in spark.read.format("binaryFile").load(path).select("content").collect() for f, _ in warc.parse_archive(zlib.decompress(bytes(x), 31))]
+    assert len({f["warc-record-id"] for f in records}) == len(records) > len(pages)
+
+
 def test_warc_missing_segment_is_incomplete(spark):
     block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + warc.chunked(b"z" * 500, 100)
     parts = list(warc._records("<urn:page:1>", "u", "response", None, "00", block, 150))

@@ -79,18 +79,19 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", uri: str = "ur
 
     A null html is an empty payload and a null key the smallest of its group. Of equal payloads
     of at least 1000 bytes the largest key's rows are responses and others revisit it. An empty
-    table writes archives without records; other columns are ignored.
+    table writes archives without records; other columns are ignored. Record ids are those of the
+    page and a row number, so that rows with the same or no key stay apart; a revisit names the page.
     """
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).alias("k"), F.coalesce(F.col(uri), F.lit("")).alias("uri"), F.sha1(payload).alias("digest"), payload.alias("payload"))
-    decided = rows.alias("a").join(revisits(pages, key, payload).alias("b"), F.col("a.k").eqNullSafe(F.col("b.k")) & (F.col("a.digest") == F.col("b.digest")), "left").select("a.*", "b.refers_to")
+    decided = rows.alias("a").join(revisits(pages, key, payload).alias("b"), F.col("a.k").eqNullSafe(F.col("b.k")) & (F.col("a.digest") == F.col("b.digest")), "left").select("a.*", "b.refers_to", F.monotonically_increasing_id().alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, held = [], 0
-            for k, address, digest, body, refers in zip(*(batch.column(i) for i in range(5)), strict=True):
+            for k, address, digest, body, refers, row in zip(*(batch.column(i) for i in range(6)), strict=True):
                 body, refers = body.as_py(), refers.as_py()
-                record_id = f"<urn:page:{'null' if k.as_py() is None else k.as_py()}>"
+                record_id = f"<urn:page:{'null' if k.as_py() is None else k.as_py()};row={row.as_py()}>"
                 head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
                 if refers is None:
                     block = head + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(body)
@@ -129,7 +130,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     Segments are put together; ``complete`` is false, and the payload null, where one is missing
     or repeated or the total length differs. A revisit has no payload of its own; its
-    payload_bytes are those its HTTP header states. Archives without records give no rows.
+    payload_bytes are those its HTTP header states. Row numbers that ``write_warc`` gave are taken
+    off the ids. Archives without records give no rows.
     """
     names = ["record_id", "type", "uri", "refers_to", "digest", "segment", "total", "block"]
     types = [pa.string()] * 5 + [pa.int32(), pa.int64(), pa.binary()]
@@ -170,7 +172,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     sizes.append(len(payload) if own else int(fields[b"content-length"]) if b"content-length" in fields else None)
                 yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(5)), some.column(6), pa.array(payloads, pa.binary()), pa.array(sizes, pa.int64())], ["record_id", "type", "uri", "refers_to", "digest", "complete", "payload", "payload_bytes"])
 
-    return whole.unionByName(parts).mapInArrow(decode, "record_id string, type string, uri string, refers_to string, digest string, complete boolean, payload binary, payload_bytes long")
+    page = F.regexp_replace("record_id", "^(<urn:page:.*);row=[0-9]+>$", "$1>")
+    return whole.unionByName(parts).withColumn("record_id", page).mapInArrow(decode, "record_id string, type string, uri string, refers_to string, digest string, complete boolean, payload binary, payload_bytes long")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
