@@ -226,6 +226,30 @@ def test_chunked_framing():
         warc.dechunked(b"5\r\nabc")
 
 
+# --- row keys
+
+
+def test_row_keys_hold_when_later_jobs_split_the_input_otherwise(spark):
+    rng = random.Random(12)
+    texts = [prose(rng, 30) for _ in range(60)]
+    passage = " ".join(texts[7].split()[5:20])
+    path = new_path(spark, "input")
+    documents(spark, texts + texts[:3]).repartition(12).write.parquet(path)
+    docs = spark.read.parquet(path)
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    corpus, net = language_model.fit(docs, most_places=20, rounds=1)
+    results = [decontamination.contamination(docs, items), language_model.score(docs, corpus, net), jaccard.one_of_each_group(docs)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        hit, scored, kept = (x.collect() for x in results)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r["doc_id"] for r in hit if r["contaminated"]} == {r["doc_id"] for r in hit if passage in r["text"]} and len(hit) == 63
+    assert all(r["n_tokens"] == len(r["text"].split()) + 1 for r in scored) and len(scored) == 63
+    assert sorted(r["text"] for r in kept) == sorted(texts)
+
+
 # --- HTML
 
 PARA = "This is a paragraph of the article, which is long enough to count, and has commas, too."

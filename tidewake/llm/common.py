@@ -48,10 +48,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_row_key(df: DataFrame) -> DataFrame:
-    """Add ``ROW``, unique for each row, so that repeated rows and null or repeated ids stay apart."""
+    """Add ``ROW``, unique for each row, so that repeated rows and null or repeated ids stay apart.
+
+    The values hold within one job only, since they follow the splits of its scan; see ``keyed_rows``.
+    """
     return df.withColumn(ROW, F.monotonically_increasing_id())
 
 
+def keyed_rows(df: DataFrame) -> DataFrame:
+    """``df`` with ``ROW``, written once: later jobs read the same keys however they split the input."""
+    return materialise(with_row_key(df), "rows")
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only, whatever the locale or other letters."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

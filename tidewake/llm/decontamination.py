@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import ROW, Bloom, WordHashes, bloom_of, byte_values, gram_hashes, materialise, with_row_key, words
+from tidewake.llm.common import ROW, Bloom, WordHashes, bloom_of, byte_values, gram_hashes, keyed_rows, materialise, words
 
 WINDOW, SHINGLE = 10, 5
 
@@ -111,7 +111,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     have no words; repeated rows are rows of their own; null item ids count as no item but their
     windows still hit; either table may be empty. New columns replace ones of the same name.
     """
-    keyed = with_row_key(docs)
+    keyed = keyed_rows(docs)
     sizes, passages = find_passages(keyed, items, text, **options)
     stretch = passages.groupBy(ROW, "start", "m").agg(F.flatten(F.collect_list("items")).alias("items"))
     before = Window.partitionBy(ROW).orderBy("start", "m").rowsBetween(Window.unboundedPreceding, -1)

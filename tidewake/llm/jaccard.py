@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import ROW, Bloom, WordHashes, bloom_of, byte_values, materialise, shingle_hashes, with_row_key, words
+from tidewake.llm.common import ROW, Bloom, WordHashes, bloom_of, byte_values, keyed_rows, materialise, shingle_hashes, words
 from tidewake.llm.graph import components
 
 SHINGLE, BANDS, BAND_ROWS, STEP = 5, 24, 4, 16
@@ -183,7 +183,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
 
     A component of more than ``block`` sets is cut into blocks and each pair of blocks is a task's
     group, so memory is bounded whatever a group's size; nothing is capped or sampled. ``docs``
-    is read more than once and must be a stable table, such as files.
+    is read more than once, so its keys must be written ones (``keyed_rows``).
     """
     rows = materialise(_described(docs, text), "signatures")
     texts = rows.where("n > 0").groupBy("set_hash", "text_hash").agg(F.min(F.struct(ROW, "sig")).alias("x"))
@@ -214,13 +214,13 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
 
 def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` without the rows that are near or exact copies of another that stays."""
-    keyed = with_row_key(docs)
+    keyed = keyed_rows(docs)
     gone = jaccard_join(keyed, key, text, **options).where(~F.col("first")).select(ROW)
     return keyed.join(gone, ROW, "left_anti").drop(ROW)
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_row_key(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = keyed_rows(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return jaccard_join(docs).select("doc_id", "class_id", "n_links")
 
 

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import ROW, crc_mod, materialise, with_row_key
+from tidewake.llm.common import ROW, crc_mod, keyed_rows, materialise
 
 END = b""  # no word is empty
 OTHER = 1  # place of the words without one of their own; 0 is the end of a text
@@ -419,10 +419,10 @@ def score(docs: DataFrame, corpus: Corpus, net: Network, text: str = "text") ->
     base_score: add-one unigram log10 probability. score: the network's log10 probability, over the
     same words: an unplaced word has the chance of its place times (c + 1) over the sum of those.
     Null and empty texts hold the end alone; repeated rows are rows of their own; columns of the
-    new names are replaced. ``docs`` must be a stable table, such as files.
+    new names are replaced. The rows are written with their keys first.
     """
     new = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    keyed = with_row_key(docs.drop(*new))
+    keyed = keyed_rows(docs.drop(*new))
     shared = docs.sparkSession.sparkContext.broadcast((corpus.plain(), net.weights, net.class_of, net.starts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
