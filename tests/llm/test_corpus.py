@@ -275,6 +275,16 @@ def test_main_text(page, expected):
     assert html_text.main_text(page) == expected
 
 
+def test_sections_without_an_article():
+    long = "".join(f"<p>{c * 74}, {c * 73}, {c * 73}, {c * 73}</p>" for c in "abcde")
+    texts = [f"{c * 74}, {c * 73}, {c * 73}, {c * 73}" for c in "abcde"]
+    links = "<ul><li><a href=a>one more page</a><li><a href=b>and another page</a></ul>"
+    rest = f"<section><h3>Part two</h3><p>{PARA}</p></section><h3>Steps</h3><ul><li>first<li>second</ul><pre>x = 1</pre><table><tr><td>cell</table><p>end</p>"
+    wanted = "\n".join([*texts, "Part two", PARA, "Steps", "first", "second", "x = 1", "cell", "end"])
+    assert html_text.main_text(f"<nav>menu</nav><div class=content><section>{long}</section>{rest}{links}</div><footer>foot</footer>") == wanted
+    assert html_text.main_text(f"<body><nav>menu</nav><section>{long}</section>{rest}{links}</body>") == wanted
+
+
 def test_extract_text_rows(spark):
     df = spark.createDataFrame([(1, "u", None, 3), (1, "u", None, 3), (None, None, "<p>é🙂</p>", 4)], "page_id long, url string, html string, n_chars int")
     got = sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in html_text.extract_text(df).collect())

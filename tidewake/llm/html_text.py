@@ -2,7 +2,8 @@
 
 A page becomes a tree of elements and text blocks. Each paragraph passes points for its length
 and commas to its ancestors, less with distance; an element's points are discounted by the share
-of its text inside links. The best container and its worthy siblings are kept.
+of its text inside links. The best container, text around it with few links,
+and its worthy siblings are kept.
 """
 
 from __future__ import annotations
@@ -168,6 +169,9 @@ def main_text(page: str) -> str:
     rank = lambda x: (x.points + 25 * (x.tag in ("article", "main")) + 5 * x.wanted) * (1 - x.link_density)
     best = max(candidates.values(), key=rank)
     best = next((x for x in best.line() if x.tag == "article"), best)
+    # without an article, the text around the best container belongs to it unless much of it is links
+    while best.tag not in ("article", "main", "body", "#root") and best.parent.tag not in ("html", "body", "#root") and best.parent.link_density < 0.25:
+        best = best.parent
     least = max(10.0, 0.2 * rank(best))
 
     def kept(owner: Element, body: str, linked: int) -> bool:
@@ -183,6 +187,8 @@ def main_text(page: str) -> str:
         sibling = line[place - 1]
         if sibling.tag in ("h1", "h2"):
             return True
+        if best.tag != "main" and sibling.link_density < 0.25:
+            return True
         if sibling.tag == "p":
             return len(body) > 80 and linked < 0.25 * len(body)
         return id(sibling) in candidates and rank(sibling) >= least
