@@ -2,31 +2,35 @@
 
 Exact word counts come from the whole training corpus. The words above a frequency that falls
 with the corpus's size get places of their own in a gated recurrent network with a class-factored
-softmax; the others share one place and are told apart by their counts. Training is truncated backpropagation in numpy: in each round
-every task trains on its documents from common parameters, and the results are averaged by
-tokens. Scoring carries the state across windows, so a document's score covers all its words.
+softmax; the others share one place and are told apart by their counts. Texts become places once,
+in a written table. Training is truncated backpropagation in numpy: in each round every task
+trains on its documents from common parameters, and the results are averaged by tokens. Training
+and scoring carry the state across windows, so a score covers all words of a document.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewake.llm.common import ROW, crc_mod, keyed_rows, materialise
 
 END = b""  # no word is empty
+NEW = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+OWN = "__lm_"  # begins the names of the columns that ``encode`` adds
 OTHER = 1  # place of the words without one of their own; 0 is the end of a text
 EMBED, HIDDEN, WINDOW = 16, 24, 32
 CLASSES, PLACES = 48, 4096  # at least, with so many words
-SHARE = 64  # a word of a frequency of 1 / (SHARE * sqrt(all tokens)) or more has a place
+SHARE = 16  # a word of a frequency of 1 / (SHARE * sqrt(all tokens)) or more has a place
 STRETCH = 32_768  # weights that are added up as one
+ROW_PACE = 20  # the rate of rows that go by their own gradients, as a multiple of Adam's
 
 
 class Words:
@@ -46,14 +50,6 @@ class Words:
         """Position of each word among the known ones, or -1."""
         return pc.fill_null(pc.index_in(self.flat, value_set=known), -1).to_numpy(zero_copy_only=False)
 
-    def parts(self, most: int = 3_000_000) -> Iterator[tuple[int, int]]:
-        """Ranges of texts with at most ``most`` words (or of a single longer text)."""
-        low, count = 0, len(self.starts) - 1
-        while low < count:
-            high = max(low + 1, int(np.searchsorted(self.starts, self.starts[low] + most, "right")) - 1)
-            yield low, min(high, count)
-            low = high
-
 
 class Lanes:
     """Texts laid end to end in parallel lanes of about equal length, the state reset where one begins.
@@ -95,7 +91,11 @@ class Lanes:
 
 
 class Network:
-    """Embedding, gated recurrent layer, and a softmax over classes and then over a class's words."""
+    """Embedding, gated recurrent layer, and a softmax over classes and then over a class's words.
+
+    Weights: embedding, the layer's input, recurrent and bias weights, and the output weights of
+    classes and of words, whose last column is the bias (a state's last entry is 1).
+    """
 
     def __init__(self, weights: list[np.ndarray], class_of: np.ndarray, starts: np.ndarray):
         self.weights = weights
@@ -107,20 +107,22 @@ class Network:
         rng = np.random.default_rng(seed)
         order = np.argsort(-counts, kind="stable")
         root = np.sqrt(counts[order] / counts.sum())
-        classes = max(CLASSES, round(len(counts) ** 0.5))
+        # about as many classes as a token's class then has words, which makes the fewest scores a token
+        classes = max(CLASSES, round(0.6 * len(counts) ** 0.5))
         binned = np.minimum((np.cumsum(root) - root) / root.sum() * classes, classes - 1).astype(np.int64)
         binned = np.unique(binned, return_inverse=True)[1]
         class_of = np.empty(len(counts), np.int64)
         class_of[order] = binned
         mass = np.bincount(class_of, weights=counts)
         n, c = len(counts), len(mass)
-        normal = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-        recur = rng.normal(0, HIDDEN**-0.5, (HIDDEN, 3 * HIDDEN)).astype(np.float32)
+        normal = lambda scale, *shape: rng.normal(0, scale, shape).astype(np.float32)
         bias = np.zeros(3 * HIDDEN, np.float32)
         bias[HIDDEN : 2 * HIDDEN] = 1.0
         by_class = np.argsort(class_of, kind="stable")
-        word_bias = np.log(counts / mass[class_of])[by_class].astype(np.float32)
-        weights = [normal(n, EMBED), rng.normal(0, EMBED**-0.5, (EMBED, 3 * HIDDEN)).astype(np.float32), recur, bias, np.zeros((HIDDEN, c), np.float32), np.log(mass / mass.sum()).astype(np.float32), np.zeros((n, HIDDEN), np.float32), word_bias]
+        class_w, word_w = np.zeros((c, HIDDEN + 1), np.float32), np.zeros((n, HIDDEN + 1), np.float32)
+        class_w[:, -1] = np.log(mass / mass.sum())
+        word_w[:, -1] = np.log(counts / mass[class_of])[by_class]
+        weights = [normal(0.1, n, EMBED), normal(EMBED**-0.5, EMBED, 3 * HIDDEN), normal(HIDDEN**-0.5, HIDDEN, 3 * HIDDEN), bias, class_w, word_w]
         return Network(weights, class_of, np.searchsorted(np.sort(class_of), np.arange(c + 1)))
 
     def prepared(self) -> Network:
@@ -164,77 +166,103 @@ class Network:
 
     @staticmethod
     def by_token(states: np.ndarray) -> np.ndarray:
-        """(steps, HIDDEN, lanes) as one row for each token."""
-        return states.transpose(0, 2, 1).reshape(-1, states.shape[1])
-
-    def log_likelihood(self, states: np.ndarray, targets: np.ndarray, grads: list[np.ndarray] | None = None, weight: np.ndarray | None = None):
-        """Natural log probability of each target, and with ``grads`` the states' gradient of the mean loss."""
-        class_w, class_b, word_w, word_b = self.weights[4:]
-        steep = lambda w, b, axis: (np.abs(w).sum(axis=axis) + b).max() > 60  # states lie within -1 and 1, so this bounds all scores
+        """(steps, HIDDEN, lanes) as one row for each token, with a 1 at its end."""
+        steps, hidden, lanes = states.shape
+        out = np.ones((steps, lanes, hidden + 1), states.dtype)
+        out[:, :, :-1] = states.transpose(0, 2, 1)
+        return out.reshape(-1, hidden + 1)
+
+    def steepest(self) -> float:
+        """No score exceeds this, as states lie within -1 and 1."""
+        return max(float(np.abs(w).sum(axis=1).max()) for w in self.weights[4:])
+
+    def log_likelihood(self, states: np.ndarray, targets: np.ndarray, weight: np.ndarray | None = None, steep: bool = True):
+        """Natural log probability of each target.
+
+        With ``weight`` of each token also the gradients of the weighted loss: of the states, of
+        the classes' weights, of some rows of the words' weights, and which rows. ``steep``: scores
+        might overflow and are clipped.
+        """
+        class_w, word_w = self.weights[4:]
         target = self.rank[targets]
         order = np.argsort(target, kind="stable")  # by class, then by word
         states, target = states[order], target[order]
-        kind, at = self.rank_class[target], np.arange(len(target))
-        logits = states @ class_w
-        logits += class_b
-        if steep(class_w, class_b, 0):
-            np.minimum(logits, 60, out=logits)
-        cell = at * logits.shape[1] + kind
-        found = logits.reshape(-1)[cell]
-        np.exp(logits, out=logits)
-        total = logits @ np.ones(logits.shape[1], np.float32)
-        found -= np.log(total)
-        back = None
-        if grads is not None:
-            weight = weight[order]
-            logits *= (weight / total)[:, None]
-            logits.reshape(-1)[cell] -= weight
-            grads[4] += states.T @ logits
-            grads[5] += logits.sum(axis=0)
-            back = logits @ class_w.T
+        kind = self.rank_class[target]
+        dtype = states.dtype
+        found = np.einsum("ij,ij->i", states, class_w[kind] + word_w[target])  # both scores of the target
+        scores = states @ class_w.T
+        if steep:
+            np.minimum(scores, 60, out=scores)
+            found = np.minimum(found, 60)
+        np.exp(scores, out=scores)
+        total = scores @ np.ones(scores.shape[1], dtype)
+        within = np.ones(len(target), dtype)
+        sizes = np.diff(self.starts)
         ends = np.searchsorted(kind, np.arange(len(self.starts)))
-        for c in range(len(self.starts) - 1):
-            lo, hi = self.starts[c], self.starts[c + 1]
-            some = slice(ends[c], ends[c + 1])
-            if ends[c] == ends[c + 1] or hi - lo == 1:
-                continue
-            seen, w = states[some], word_w[lo:hi]
-            scores = seen @ w.T
-            scores += word_b[lo:hi]
-            if steep(w, word_b[lo:hi], 1):
+        present = np.flatnonzero((np.diff(ends) > 0) & (sizes > 1))
+        if weight is not None:
+            weight = weight[order]
+            part = weight / total
+            scaled = states * part[:, None]
+            class_grad = scores.T @ scaled
+            back = scores @ class_w
+            back *= part[:, None]
+            rows = np.concatenate([np.arange(self.starts[c], self.starts[c + 1]) for c in present]) if len(present) else np.empty(0, np.int64)
+            word_grad, at = np.zeros((len(rows), HIDDEN + 1), dtype), 0
+        ones = np.ones(int(sizes.max(initial=1)), dtype)
+        room = np.empty(int(max((np.diff(ends) * sizes)[present], default=0)), dtype)
+        for c in present:
+            lo, hi, a, b = self.starts[c], self.starts[c + 1], ends[c], ends[c + 1]
+            seen, w = states[a:b], word_w[lo:hi]
+            scores = np.dot(seen, w.T, out=room[: (b - a) * (hi - lo)].reshape(b - a, hi - lo))
+            if steep:
                 np.minimum(scores, 60, out=scores)
-            cell = at[: ends[c + 1] - ends[c]] * (hi - lo) + (target[some] - lo)
-            found[some] += scores.reshape(-1)[cell]
             np.exp(scores, out=scores)
-            total = scores @ np.ones(hi - lo, np.float32)
-            found[some] -= np.log(total)
-            if grads is not None:
-                scores *= (weight[some] / total)[:, None]
-                scores.reshape(-1)[cell] -= weight[some]
-                grads[6][lo:hi] = scores.T @ seen
-                grads[7][lo:hi] = scores.sum(axis=0)
-                back[some] += scores @ w
-        out = np.empty(len(targets), np.float32)
+            np.dot(scores, ones[: hi - lo], out=within[a:b])
+            if weight is not None:
+                part = (weight[a:b] / within[a:b])[:, None]
+                np.dot(scores.T, seen * part, out=word_grad[at : at + hi - lo])
+                at += hi - lo
+                pulled = np.dot(scores, w)
+                pulled *= part
+                back[a:b] += pulled
+        single = sizes[kind] == 1
+        found -= np.log(total)
+        found -= np.where(single, np.einsum("ij,ij->i", states, word_w[target]) if single.any() else 0, np.log(within))
+        out = np.empty(len(targets), dtype)
         out[order] = found
-        if back is not None:
-            unsorted = np.empty_like(back)
-            unsorted[order] = back
-            back = unsorted
-        return out, back
-
-    def gradients(self, inputs: np.ndarray, targets: np.ndarray, keep: np.ndarray, real: np.ndarray, state: np.ndarray):
-        """Gradients of a window's mean loss, by backpropagation to its first step, and the state after it."""
+        if weight is None:
+            return out
+        weighted = states * weight[:, None]
+        firsts = np.flatnonzero(np.r_[True, np.diff(kind) > 0])
+        class_grad[kind[firsts]] -= np.add.reduceat(weighted, firsts, axis=0)
+        back -= class_w[kind] * weight[:, None]
+        many = np.flatnonzero(~single)
+        if len(many):
+            firsts = np.flatnonzero(np.r_[True, np.diff(target[many]) > 0])
+            word_grad[np.searchsorted(rows, target[many][firsts])] -= np.add.reduceat(weighted[many], firsts, axis=0)
+            back[many] -= word_w[target[many]] * weight[many, None]
+        unsorted = np.empty((len(back), HIDDEN), dtype)
+        unsorted[order] = back[:, :-1]
+        return out, unsorted, class_grad, word_grad, rows
+
+    def gradients(self, inputs: np.ndarray, targets: np.ndarray, keep: np.ndarray, real: np.ndarray, state: np.ndarray, steep: bool = True):
+        """Gradients of a window's mean loss, by backpropagation to its first step; the rows of each; the state after it.
+
+        Rows are those that the window touches of the embedding and of the words' weights, so that
+        a step's work follows its words.
+        """
         embed, into, recur, *_ = self.weights
         steps, lanes = inputs.shape
-        grads = [np.zeros(w.shape, w.dtype) for w in self.weights]
         first = state
         states, state, kept = self.run(inputs, keep, state, True)
         weight = (real / max(1, real.sum())).astype(embed.dtype).reshape(-1)
-        _, back = self.log_likelihood(self.by_token(states), targets.reshape(-1), grads, weight)
+        _, back, class_grad, word_grad, rows = self.log_likelihood(self.by_token(states), targets.reshape(-1), weight, steep)
         back = np.ascontiguousarray(back.reshape(steps, lanes, HIDDEN).transpose(0, 2, 1))
         one, two, three = HIDDEN, 2 * HIDDEN, 3 * HIDDEN
         d_given = np.empty((steps, three, lanes), embed.dtype)
         d_pulled = np.empty((three, lanes), embed.dtype)
+        recur_grad = np.zeros_like(recur)
         later = np.zeros((HIDDEN, lanes), embed.dtype)
         for t in range(steps - 1, -1, -1):
             k, g = kept[t], d_given[t]
@@ -258,63 +286,68 @@ class Network:
             np.subtract(1, r, out=rest)
             d_r *= rest
             d_pulled[:two] = g[:two]
-            grads[2] += before @ d_pulled.T
+            recur_grad += before @ d_pulled.T
             later = recur @ d_pulled
             later += through
             later *= keep[t]
-        flat = self.by_token(d_given)
+        flat = np.ascontiguousarray(d_given.transpose(0, 2, 1)).reshape(-1, three)
         ids = inputs.reshape(-1)
-        grads[1] += embed[ids].T @ flat
-        grads[3] += flat.sum(axis=0)
         order = np.argsort(ids, kind="stable")
         firsts = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
-        grads[0][ids[order][firsts]] = np.add.reduceat((flat @ into.T)[order], firsts, axis=0)
-        return grads, state
-
-    def touched(self, inputs: np.ndarray, targets: np.ndarray) -> list[np.ndarray | slice]:
-        """Rows of each weight whose gradients a window can make; the others' steps wait, so that its work follows its words."""
-        kinds = np.unique(self.class_of[np.unique(targets)])
-        sizes = self.starts[kinds + 1] - self.starts[kinds]
-        rows: slice | np.ndarray = slice(None)
-        if 2 * sizes.sum() < len(self.class_of):
-            rows = np.repeat(self.starts[kinds] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        return [np.unique(inputs), *[slice(None)] * 5, rows, rows]
+        given = ids[order][firsts]
+        embed_grad = np.add.reduceat((flat @ into.T)[order], firsts, axis=0)
+        return [embed_grad, embed[ids].T @ flat, recur_grad, flat.sum(axis=0), class_grad, word_grad], [given, *[slice(None)] * 4, rows], state
 
     def train(self, texts: list[np.ndarray], moments: list[list[np.ndarray]], step: list[int], rate: float) -> int:
-        """Adam steps over all windows of the texts; the number of tokens."""
+        """Descend over all windows of the texts; the number of tokens.
+
+        The layer and the classes take Adam steps; a row of the embedding or of a word's weights
+        goes by the mean square of its own gradients so far.
+        """
         size = sum(len(x) + 1 for x in texts)
-        lanes = Lanes(texts, int(np.clip(size // 4096, 8, 384)))
+        lanes = Lanes(texts, int(np.clip(size // max(4096, *(len(x) + 1 for x in texts)), 8, 384)))  # all about as long as the longest text
         state = np.zeros((HIDDEN, lanes.count), np.float32)
+        steep = True
         for span, live in lanes.windows():
             real = lanes.text[span, live] < len(texts)
-            grads, state = self.gradients(lanes.inputs[span, live], lanes.targets[span, live], lanes.keep[span, :, live], real, state[:, live])
-            rows = self.touched(lanes.inputs[span, live], lanes.targets[span, live])
-            grads = [g[k] for g, k in zip(grads, rows, strict=True)]
-            norm = float(np.sqrt(sum(float((g * g).sum()) for g in grads)))
-            clip = min(1.0, 1.0 / max(norm, 1e-9))
+            if step[0] % 8 == 0:
+                steep = self.steepest() > 30
+            grads, rows, state = self.gradients(lanes.inputs[span, live], lanes.targets[span, live], lanes.keep[span, :, live], real, state[:, live], steep)
+            norm = float(np.sqrt(sum(float(np.vdot(g, g)) for g in grads)))
+            clip = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
             step[0] += 1
-            scale = rate * min(1.0, step[0] / 20) * np.sqrt(1 - 0.99 ** step[0]) / (1 - 0.9 ** step[0])
+            warm = rate * min(1.0, step[0] / 20)
+            scale = np.float32(warm * np.sqrt(1 - 0.99 ** step[0]) / (1 - 0.9 ** step[0]))
             for w, g, k, m, v in zip(self.weights, grads, rows, *moments, strict=True):
                 g *= clip
-                one, two = m[k], v[k]
-                one += 0.1 * (g - one)
-                two += 0.01 * (g * g - two)
-                w[k] -= scale * one / (np.sqrt(two) + 1e-7)
-                if not isinstance(k, slice):
-                    m[k], v[k] = one, two
+                if isinstance(k, slice):
+                    m += np.float32(0.1) * (g - m)
+                    v += np.float32(0.01) * (g * g - v)
+                    w -= scale * m / (np.sqrt(v) + np.float32(1e-7))
+                else:
+                    seen = m[k] + np.einsum("ij,ij->i", g, g) / np.float32(g.shape[1])
+                    m[k] = seen
+                    g *= (np.float32(ROW_PACE * warm) / (np.sqrt(seen) + np.float32(1e-7)))[:, None]
+                    w[k] -= g
         return size
 
+    def blank_moments(self) -> list[list[np.ndarray]]:
+        """Zeros that ``train`` keeps its averages in."""
+        by_row = lambda i, w: np.zeros(len(w) if i in (0, 5) else w.shape, w.dtype)
+        return [[by_row(i, w) for i, w in enumerate(self.weights)] for _ in range(2)]
+
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
         """Natural log probability of each whole text."""
         if not texts:
             return np.empty(0)
-        lanes = Lanes(texts, int(np.clip(sum(len(x) + 1 for x in texts) // 4096, 1, 384)))
+        lanes = Lanes(texts, int(np.clip(sum(len(x) + 1 for x in texts) // max(1024, *(len(x) + 1 for x in texts)), 1, 384)))
         state, out = np.zeros((HIDDEN, lanes.count), np.float32), np.zeros(len(texts) + 1)
+        steep = self.steepest() > 60
         for span, live in lanes.windows():
             states, state, _ = self.run(lanes.inputs[span, live], lanes.keep[span, :, live], state[:, live])
             which = lanes.text[span, live].reshape(-1)
             real = np.flatnonzero(which < len(texts))
-            found, _ = self.log_likelihood(self.by_token(states)[real], lanes.targets[span, live].reshape(-1)[real])
+            found = self.log_likelihood(self.by_token(states)[real], lanes.targets[span, live].reshape(-1)[real], steep=steep)
             out += np.bincount(which[real], weights=found, minlength=len(texts) + 1)
         return out[:-1]
 
@@ -366,23 +399,70 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def train_round(docs: DataFrame, text: str, corpus: Corpus, net: Network, rate: float) -> Network:
+def encode(docs: DataFrame, corpus: Corpus, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """A written table of ``docs`` (the columns ``carry``, all by default) with what training and scoring need.
+
+    That is a row key, the places of each whole text's words and sums over its words' counts, so
+    that texts are split and looked up once.
+    """
+    carried = [c for c in (docs.columns if carry is None else carry) if c not in NEW]
+    shared = docs.sparkSession.sparkContext.broadcast(corpus.plain())
+    own = {f"{OWN}places": pa.binary(), f"{OWN}tokens": pa.int64(), f"{OWN}known": pa.int64(), f"{OWN}base": pa.float64(), f"{OWN}other": pa.float64(), f"{OWN}rare": pa.list_(pa.binary())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        known = pa.array(c["words"].decode().split(" ") if c["words"] else [], pa.string())
+        logs = np.r_[np.log10(c["numbers"] + 1.0), 0.0]  # the last: words not at hand
+        in_base, in_other = np.log10(c["total"] + c["distinct"] + 1.0), np.log10(float(c["other_mass"]))
+        end_log = np.log10(c["ends"] + 1.0)
+        for whole in batches:
+            for k in range(0, whole.num_rows, 2048):
+                batch = whole.slice(k, 2048)
+                found = Words(batch.column(len(carried)))
+                rows, id_ = batch.num_rows, found.places(known)
+                n = np.diff(found.starts)
+                whose = np.repeat(np.arange(rows, dtype=np.int32), n)
+                have, unplaced = id_ >= 0, (id_ < 0) | (id_ >= c["placed"])
+                log = logs[id_]
+                total = lambda w, whose=whose, rows=rows: np.bincount(whose, weights=w, minlength=rows)
+                place = np.where(unplaced, OTHER, id_ + 2).astype(np.int32)
+                offsets = pa.array(4 * found.starts, pa.int32())
+                places = pa.Array.from_buffers(pa.binary(), rows, [None, offsets.buffers()[1], pa.py_buffer(place)])
+                rare = found.flat.filter(pa.array(~have)).cast(pa.binary())
+                ends = np.r_[0, np.cumsum(np.bincount(whose[~have], minlength=rows))].astype(np.int32)
+                columns = [places, pa.array(n + 1), pa.array(total(have).astype(np.int64) + (c["ends"] > 0)), pa.array(total(log) + end_log - (n + 1) * in_base), pa.array(total(np.where(unplaced, log - in_other, 0.0))), pa.ListArray.from_arrays(pa.array(ends), rare)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], *columns], [*carried, *own])
+            pa.default_memory_pool().release_unused()
+
+    types = [T.BinaryType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.ArrayType(T.BinaryType())]
+    schema = T.StructType([*(docs.schema[c] for c in carried), *(T.StructField(n, t) for n, t in zip(own, types, strict=True))])
+    return keyed_rows(docs.select(*carried, F.col(text).alias(f"{OWN}text")).mapInArrow(run, schema))
+
+
+def _place_lists(column: pa.Array, most: int = 3_000_000) -> Iterator[list[np.ndarray]]:
+    """The texts of a column of places, in lists of about ``most`` words (or of a single longer text)."""
+    some, held = [], 0
+    for value in column:
+        some.append(np.frombuffer(value.as_buffer(), np.int32))
+        held += len(some[-1]) + 1
+        if held >= most:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
+
+
+def train_round(encoded: DataFrame, net: Network, rate: float) -> Network:
     """The token-weighted mean of the networks that the tasks train on their texts, from ``net``."""
-    shared = docs.sparkSession.sparkContext.broadcast((b" ".join(corpus.placed), net.weights, net.class_of, net.starts))
+    shared = encoded.sparkSession.sparkContext.broadcast((net.weights, net.class_of, net.starts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        placed, weights, class_of, starts = shared.value
-        known = pa.array(placed.decode().split(" ") if placed else [], pa.string())
+        weights, class_of, starts = shared.value
         own = Network([w.copy() for w in weights], class_of, starts).prepared()
-        moments, step, size = [[np.zeros_like(w) for w in weights] for _ in range(2)], [0], 0
+        moments, step, size = own.blank_moments(), [0], 0
         for batch in batches:
-            found = Words(batch.column(0))
-            place = found.places(known)
-            place = np.where(place >= 0, place + 2, OTHER).astype(np.int32)
-            for low, high in found.parts():
-                size += own.train([place[a:b] for a, b in pairwise(found.starts[low : high + 1])], moments, step, rate)
-            del found, place
-            pa.default_memory_pool().release_unused()
+            for texts in _place_lists(batch.column(0)):
+                size += own.train(texts, moments, step, rate)
         if size:
             flat = np.concatenate([w.reshape(-1) for w in own.weights]).astype(np.float64) * size
             parts = [flat[k : k + STRETCH].tobytes() for k in range(0, len(flat), STRETCH)]
@@ -393,7 +473,7 @@ def train_round(docs: DataFrame, text: str, corpus: Corpus, net: Network, rate:
         return pa.table({"part": table["part"][:1], "size": pa.array([sum(table["size"].to_pylist())], pa.int64()), "sum": pa.array([total.tobytes()], pa.binary())})
 
     schema = "part int, size long, sum binary"
-    trained = docs.select(text).mapInArrow(run, schema).withColumn("way", F.spark_partition_id() % 64)
+    trained = encoded.select(f"{OWN}places").mapInArrow(run, schema).withColumn("way", F.spark_partition_id() % 64)
     # stretches of weights are added up apart, and in two steps, so that no task sees all networks
     some = trained.groupBy("part", "way").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema)
     got = sorted((r["part"], r["size"], bytes(r["sum"])) for r in some.collect())  # as large as one network
@@ -404,69 +484,76 @@ def train_round(docs: DataFrame, text: str, corpus: Corpus, net: Network, rate:
     return Network([flat[end - w.size : end].reshape(w.shape) for w, end in zip(net.weights, ends, strict=True)], net.class_of, net.starts)
 
 
-def fit(docs: DataFrame, text: str = "text", most_places: int | None = None, frequent_share: int = 2_000_000, rounds: int = 3, rate: float = 0.02) -> tuple[Corpus, Network]:
-    """Count all words of ``docs`` and train a network on all its texts, each in one of the rounds."""
-    corpus = Corpus(materialise(count_words(docs, text), "counts"), frequent_share, most_places)
+def train(encoded: DataFrame, corpus: Corpus, rounds: int = 3, rate: float = 0.01) -> Network:
+    """A network trained on all texts of ``encoded``, each in one of the rounds.
+
+    Each task of a round trains on its rows from common weights, so the weights depend on how the
+    table is cut into tasks; every row is used whatever the cut.
+    """
     net = Network.begin(corpus.place_counts)
     for k in range(rounds):
-        net = train_round(docs.where(F.pmod(F.xxhash64(text), F.lit(rounds)) == k), text, corpus, net, rate * 0.5**k)
-    return corpus, net
+        net = train_round(encoded.where(F.pmod(F.xxhash64(ROW), F.lit(rounds)) == k), net, rate * 0.5**k)
+    return net
 
 
-def score(docs: DataFrame, corpus: Corpus, net: Network, text: str = "text") -> DataFrame:
-    """``docs`` with n_tokens, n_known, train_tokens, base_score and score of each whole text.
+def count(docs: DataFrame, text: str = "text", most_places: int | None = None, frequent_share: int = 2_000_000) -> Corpus:
+    """The word counts of all texts of ``docs``, in a written table."""
+    return Corpus(materialise(count_words(docs, text), "counts"), frequent_share, most_places)
 
-    base_score: add-one unigram log10 probability. score: the network's log10 probability, over the
-    same words: an unplaced word has the chance of its place times (c + 1) over the sum of those.
-    Null and empty texts hold the end alone; repeated rows are rows of their own; columns of the
-    new names are replaced. The rows are written with their keys first.
-    """
-    new = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    keyed = keyed_rows(docs.drop(*new))
-    shared = docs.sparkSession.sparkContext.broadcast((corpus.plain(), net.weights, net.class_of, net.starts))
+
+def fit(docs: DataFrame, text: str = "text", most_places: int | None = None, frequent_share: int = 2_000_000, rounds: int = 3, rate: float = 0.01) -> tuple[Corpus, Network]:
+    """Count all words of ``docs`` and train a network on all its texts (see ``train``)."""
+    corpus = count(docs, text, most_places, frequent_share)
+    return corpus, train(encode(docs, corpus, text, []), corpus, rounds, rate)
+
+
+def score_encoded(encoded: DataFrame, corpus: Corpus, net: Network) -> DataFrame:
+    """What ``encode`` carried with the scores of ``score``."""
+    shared = encoded.sparkSession.sparkContext.broadcast((net.weights, net.class_of, net.starts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, weights, class_of, starts = shared.value
-        own = Network(weights, class_of, starts).prepared()
-        known = pa.array(c["words"].decode().split(" ") if c["words"] else [], pa.string())
-        logs = np.log10(c["numbers"] + 1.0)
-        in_base, in_other = np.log10(c["total"] + c["distinct"] + 1.0), np.log10(float(c["other_mass"]))
-        end_log = np.log10(c["ends"] + 1.0)
+        own = Network(*shared.value).prepared()
         for batch in batches:
-            found = Words(batch.column(1))
-            id_ = found.places(known)
-            for low, high in found.parts():
-                starts = found.starts[low : high + 1]
-                first, last, n = starts[0], starts[-1], np.diff(starts)
-                some = id_[first:last]
-                whose = np.repeat(np.arange(high - low, dtype=np.int32), n)
-                have, placed = some >= 0, (some >= 0) & (some < c["placed"])
-                log = np.where(have, logs[np.maximum(some, 0)] if len(logs) else 0.0, 0.0)
-                total = lambda w, whose=whose, size=high - low: np.bincount(whose, weights=w, minlength=size)
-                base = total(log) + end_log - (n + 1) * in_base
-                place = np.where(placed, some + 2, OTHER).astype(np.int32)
-                model = own.scores([place[a - first : b - first] for a, b in pairwise(starts)]) / np.log(10)
-                model += total(np.where(placed, 0.0, log - in_other))
-                rare = found.flat.slice(first, last - first).filter(pa.array(~have)).cast(pa.binary())
-                ends = np.r_[0, np.cumsum(np.bincount(whose[~have], minlength=high - low))].astype(np.int32)
-                columns = [batch.column(0).slice(low, high - low), pa.array(n + 1), pa.array(total(have).astype(np.int64) + (c["ends"] > 0)), pa.array(base), pa.array(model), pa.ListArray.from_arrays(pa.array(ends), rare)]
-                yield pa.RecordBatch.from_arrays(columns, [ROW, "n_tokens", "n", "base", "model", "rare"])
-                del columns, rare, some, whose, have, placed, log, place
-            del found, id_
-            pa.default_memory_pool().release_unused()
+            found = [own.scores(texts) for texts in _place_lists(batch.column(1))]
+            model = np.concatenate(found) / np.log(10) if found else np.empty(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model)], [ROW, "model"])
 
-    scored = materialise(keyed.select(ROW, text).mapInArrow(run, f"{ROW} long, n_tokens long, n long, base double, model double, rare array<binary>"), "scores")
+    model = encoded.select(ROW, f"{OWN}places").mapInArrow(run, f"{ROW} long, model double")
     # words too rare to be at hand were counted as unseen; the table of all counts makes up for it
-    rare = scored.select(ROW, F.explode("rare").alias("word")).join(corpus.counts.where(F.col("n") < corpus.least).select("word", F.col("n").alias("c")), "word")
+    rare = encoded.select(ROW, F.explode(f"{OWN}rare").alias("word")).join(corpus.counts.where(F.col("n") < corpus.least).select("word", F.col("n").alias("c")), "word")
     more = rare.groupBy(ROW).agg(F.count(F.lit(1)).alias("seen"), F.sum(F.log10(F.col("c") + 1.0)).alias("gain"))
     gain = F.coalesce("gain", F.lit(0.0))
-    whole = scored.drop("rare").join(more, ROW, "left").select(ROW, "n_tokens", (F.col("n") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(corpus.total).cast("long").alias("train_tokens"), (F.col("base") + gain).alias("base_score"), (F.col("model") + gain).alias("score"))
-    return keyed.join(whole, ROW).drop(ROW)
+    own = [c for c in encoded.columns if c.startswith(OWN)]
+    return (
+        encoded.join(model, ROW)
+        .join(more, ROW, "left")
+        .withColumns({
+            "n_tokens": F.col(f"{OWN}tokens"),
+            "n_known": F.col(f"{OWN}known") + F.coalesce("seen", F.lit(0)),
+            "train_tokens": F.lit(corpus.total).cast("long"),
+            "base_score": F.col(f"{OWN}base") + gain,
+            "score": F.col("model") + F.col(f"{OWN}other") + gain,
+        })
+        .drop(ROW, "model", "seen", "gain", *own)
+    )
+
+
+def score(docs: DataFrame, corpus: Corpus, net: Network, text: str = "text") -> DataFrame:
+    """``docs`` with n_tokens, n_known, train_tokens, base_score and score of each whole text.
+
+    base_score: add-one unigram log10 probability. score: the network's log10 probability, over the
+    same words: an unplaced word has the chance of its place times (c + 1) over the sum of those.
+    Null and empty texts hold the end alone; repeated rows are rows of their own; columns of the
+    new names are replaced. The rows are written with their keys first.
+    """
+    return score_encoded(encode(docs, corpus, text), corpus, net)
 
 
 def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of those outside the held-out remainder of the id's crc32."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held_out = F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False))
-    corpus, net = fit(docs.where(~held_out))
-    scored = score(docs, corpus, net)
+    corpus = count(docs.where(~held_out))
+    encoded = encode(docs, corpus, carry=["doc_id"])
+    scored = score_encoded(encoded, corpus, train(encoded.where(~held_out), corpus))
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
