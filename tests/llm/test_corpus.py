@@ -331,18 +331,31 @@ def test_deep_and_long_html():
 # --- near copies
 
 
-def brute_links(texts, t=0.8):
+def brute_pairs(texts, t=0.8):
     sets = {}
     for x in {x for x in texts if x is not None}:
         w = words(x.encode())
         n = min(5, len(w))
         sets[x] = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
-    links = collections.Counter()
-    for a, b in itertools.combinations(sets, 2):
-        if sets[a] and sets[b] and len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b]) - 1e-12:
-            links[a] += 1
-            links[b] += 1
-    return links
+    return [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b]) - 1e-12]
+
+
+def brute_links(texts, t=0.8):
+    return collections.Counter(x for pair in brute_pairs(texts, t) for x in pair)
+
+
+def least_of_each(pairs):
+    parent = {x: x for e in pairs for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {x: find(x) for x in parent}
 
 
 def near_copies(rng):
@@ -371,12 +384,25 @@ def test_jaccard_against_brute_force(spark, block):
     for i, t in enumerate(texts):
         first.setdefault(t if t is not None else ("null", i), i)
     assert [r["n_links"] for r in got] == [links[t] for t in texts]
-    assert [r["class_id"] for r in got] == [first[t if t is not None else ("null", i)] for i, t in enumerate(texts)]
+    assert [r["text_id"] for r in got] == [first[t if t is not None else ("null", i)] for i, t in enumerate(texts)]
     kept = jaccard.one_of_each_group(documents(spark, texts), block=block)
     assert kept.columns == DOC.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
     left = [r["text"] for r in kept.collect()]
     assert not brute_links(left) and left.count(None) == 2
-    assert {r["group_id"] for r in got} == {r["doc_id"] for r in kept.select("doc_id").collect()}
+    assert {r["class_id"] for r in got} == {r["doc_id"] for r in kept.select("doc_id").collect()}
+    least = least_of_each([(first[a], first[b]) for a, b in brute_pairs(texts)])
+    assert [r["class_id"] for r in got] == [least.get(r["text_id"], r["text_id"]) for r in got] and len(least) > 30
+
+
+def test_jaccard_of_many_different_near_copies(spark):
+    rng = random.Random(8)
+    words_ = prose(rng, 200).split()
+    texts = [" ".join([*words_[:k], rng.choice(WORDS), *words_[k + 1 :]]) for k in range(200)] + [prose(rng, 200) for _ in range(20)]
+    docs = with_row_key(documents(spark, texts))
+    got = sorted(jaccard.jaccard_join(docs, block=16, block_shingles=2000).collect(), key=lambda r: r[ROW])
+    links = brute_links(texts)
+    assert [r["n_links"] for r in got] == [links[t] for t in texts]
+    assert len({r["class_id"] for r in got[:200]}) == 1 and len({r["class_id"] for r in got}) == 21
 
 
 def test_jaccard_empty_and_null_ids(spark):
@@ -394,21 +420,18 @@ def test_pruning_keeps_what_can_reach_the_threshold():
 
 def test_components(spark):
     rng = random.Random(1)
-    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]
+    path = list(range(300, 600))
+    mixed_path = rng.sample(range(700, 900), 200)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + list(itertools.pairwise(path)) + list(itertools.pairwise(mixed_path)) + [(1000, 1000 + k) for k in range(1, 300)] + [(5, 5)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    parent = {x: x for e in edges for x in e}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in edges:
-        a, b = find(a), find(b)
-        parent[max(a, b)] = min(a, b)
-    alone = {x for x in parent if all(a == b for a, b in edges if x in (a, b))}
-    assert got == {x: find(x) for x in parent if x not in alone}
+    least = least_of_each([e for e in edges if e[0] != e[1]])
+    assert set(got) == set(least)
+    roots = collections.defaultdict(set)
+    for x, r in got.items():
+        roots[least[x]].add(r)
+    assert all(len(r) == 1 and least[next(iter(r))] == x for x, r in roots.items())
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+    assert components(spark.createDataFrame([(3, 3)], "u long, v long")).count() == 0
 
 
 # --- segmentation

@@ -22,9 +22,11 @@ ROW = "__row_key"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``); a temporary one where it is unset, as in tests."""
+    """The folder that the cluster shares (``spark.checkpoint.dir``); in local mode, as in tests, a temporary one where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = getattr(spark, "_tidewake_shared", None)
         if base is None:
             base = spark._tidewake_shared = tempfile.mkdtemp(prefix="spark-tidewake-")
@@ -122,7 +124,7 @@ def shingle_hashes(word_hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 class Bloom:
-    """A bit set of 2**bits places and two probes for each hash; its size does not depend on what it holds."""
+    """A bit set of 2**bits places and two probes for each hash."""
 
     def __init__(self, bits: int, seen: np.ndarray | None = None):
         self.bits = bits
@@ -134,11 +136,17 @@ class Bloom:
         return ((self.seen[one >> 3] >> (one & 7)) & (self.seen[two >> 3] >> (two & 7)) & 1).astype(bool)
 
 
-def bloom_of(tokens: DataFrame, bits: int) -> Bloom:
-    """The filter of a column of hashes, put together in tasks as sorted distinct places and read in parts."""
-    places = tokens.select(F.explode(F.array(F.shiftrightunsigned("hash", 64 - bits), F.col("hash").bitwiseAND((1 << bits) - 1))).alias("p")).distinct()
-    out = Bloom(bits)
-    bytes_ = places.groupBy(F.shiftright("p", 3).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(p & 7 as int))")).alias("b"))
-    got = bytes_.toArrow()  # at most 2**bits / 8 rows
-    out.seen[got["at"].to_numpy()] = got["b"].to_numpy().astype(np.uint8)
-    return out
+def bloom_bits(count: int, most: int = 26) -> int:
+    """Bits, as a power of two, for so many hashes: 16 or more for each, up to 2**26 (8 MiB), beyond which more others pass."""
+    return min(most, max(16, (16 * count - 1).bit_length()))
+
+
+def bloom_of(hashes: DataFrame) -> Bloom:
+    """The filter of the column ``hash``, put together in tasks as words of 64 places."""
+    bits = bloom_bits(hashes.count())
+    places = hashes.select(F.explode(F.array(F.shiftrightunsigned("hash", 64 - bits), F.col("hash").bitwiseAND((1 << bits) - 1))).alias("p"))
+    held = places.groupBy(F.shiftright("p", 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
+    got = held.toArrow()  # at most 2**bits / 64 rows
+    out = np.zeros(1 << (bits - 6), "<i8")
+    out[got["at"].to_numpy()] = got["b"].to_numpy()
+    return Bloom(bits, out.view(np.uint8))

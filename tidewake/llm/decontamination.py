@@ -3,7 +3,7 @@
 An item's windows of ten consecutive words must be found whole in a document. The tokens of a
 window are its word shingles. A document that contains a window holds all its tokens, so one
 token suffices as the necessary prefix: the rarest in the documents. Documents look their
-shingles up in a Bloom filter of fixed size, the survivors meet the prefix tokens in a shuffle
+shingles up in a Bloom filter that follows the items' size, the survivors meet the prefix tokens in a shuffle
 join, bounds on position and length drop windows that would not fit, and the words themselves
 are compared last.
 """
@@ -37,47 +37,56 @@ def item_windows(items: DataFrame, key: str, text: str, window: int, shingle: in
                 count = m - min(shingle, m) + 1
                 for i in range(len(found) - m + 1 if m else 0):
                     out.append((item, m, b" ".join(found[i : i + m]).decode("utf-8", "replace"), tokens[i : i + count].tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64())))], ["item", "m", "body", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.list_(pa.int64())))], ["item", "m", "body", "tokens"])
 
-    return items.select(F.col(key).cast("long").alias("item"), text).mapInArrow(run, "item long, m int, body string, tokens array<long>")
+    return items.select(F.col(key).cast("string").alias("item"), text).mapInArrow(run, "item string, m int, body string, tokens array<long>")
 
 
 def _scan(docs: DataFrame, text: str, lengths: list[int], bloom: Bloom, count_only: bool, reach: int) -> DataFrame:
     """What the documents hold of the filter's tokens: counts of each, or a row per document with its places."""
     shared = docs.sparkSession.sparkContext.broadcast((bloom.bits, bloom.seen))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, total = WordHashes(), Bloom(*shared.value), Counter()
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(total.keys()), pa.int64()), pa.array(list(total.values()), pa.int64())], ["hash", "n"])
         for batch in batches:
-            rows = {ROW: batch.column(0), "n_words": [], "hits": []}
             for data in byte_values(batch.column(1)):
+                hashes = known.of(words(data))
+                for length in lengths:
+                    grams = gram_hashes(hashes, length)
+                    if len(grams):
+                        total.update(np.unique(grams[held.holds(grams)]).view(np.int64).tolist())
+                if len(total) > 200_000:
+                    yield flush()
+                    total.clear()
+        yield flush()
+
+    near = pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int32()), ("first", pa.int32()), ("near", pa.list_(pa.string()))]))
+
+    def found_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held = WordHashes(), Bloom(*shared.value)
+        for batch in batches:
+            rows, pending = ([], [], []), 0
+            for k, data in enumerate(byte_values(batch.column(1))):
                 found = words(data)
                 hashes, hits = known.of(found), []
                 for length in lengths:
                     grams = gram_hashes(hashes, length)
-                    at = np.flatnonzero(held.holds(grams)) if len(grams) else ()
-                    if count_only:
-                        total.update(np.unique(grams[at]).view(np.int64).tolist() if len(at) else ())
-                    else:
-                        for p in at:
-                            first = max(0, int(p) - reach)
-                            near = [w.decode("utf-8", "replace") for w in found[first : p + reach + length]]
-                            hits.append({"hash": int(grams[p].view(np.int64)), "at": int(p), "first": first, "near": near})
-                rows["n_words"].append(len(found))
-                rows["hits"].append(hits)
-            if not count_only:
-                yield pa.RecordBatch.from_arrays([rows[ROW], pa.array(rows["n_words"], pa.int64()), pa.array(rows["hits"], pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int32()), ("first", pa.int32()), ("near", pa.list_(pa.string()))])))], [ROW, "n_words", "hits"])
-            elif len(total) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], ["hash", "n"])
-                total.clear()
-        if count_only:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total.keys()), pa.int64()), pa.array(list(total.values()), pa.int64())], ["hash", "n"])
+                    for p in np.flatnonzero(held.holds(grams)).tolist() if len(grams) else ():
+                        first = max(0, p - reach)
+                        hits.append({"hash": int(grams[p].view(np.int64)), "at": p, "first": first, "near": [w.decode("utf-8", "replace") for w in found[first : p + reach + length]]})
+                for column, value in zip(rows, (batch.column(0)[k].as_py(), len(found), hits), strict=True):
+                    column.append(value)
+                pending += len(hits)
+                if pending > 20_000 or k == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int64(), near), strict=True)], [ROW, "n_words", "hits"])
+                    rows, pending = ([], [], []), 0
 
     schema = "hash long, n long" if count_only else f"{ROW} long, n_words long, hits array<struct<hash: long, at: int, first: int, near: array<string>>>"
-    return docs.select(ROW, text).mapInArrow(run, schema)
+    return docs.select(ROW, text).mapInArrow(counted if count_only else found_in, schema)
 
 
-def find_passages(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, bits: int = 23) -> tuple[DataFrame, DataFrame]:
+def find_passages(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """(documents, passages): (row key, n_words) and (row key, item, start, m) of windows found.
 
     ``docs`` has the column ``ROW``. Words: A-Z lowered, runs of letters, digits and non-ASCII
@@ -86,12 +95,12 @@ def find_passages(docs: DataFrame, items: DataFrame, text: str = "text", item_ke
     parts = materialise(item_windows(items, item_key, item_text, window, shingle), "windows")
     lengths = sorted(r.n for r in parts.select(F.least("m", F.lit(shingle)).alias("n")).distinct().collect())
     tokens = parts.select(F.explode("tokens").alias("hash"))
-    counts = _scan(docs, text, lengths, bloom_of(tokens, bits), True, 0).groupBy("hash").agg(F.sum("n").alias("df"))
+    counts = _scan(docs, text, lengths, bloom_of(tokens), True, 0).groupBy("hash").agg(F.sum("n").alias("df"))
     exploded = parts.withColumn("window", F.monotonically_increasing_id()).select("window", "item", "m", "body", F.posexplode("tokens").alias("offset", "hash"))
     # hash order settles ties, so that neighbouring windows choose the same token
     rarest = exploded.join(counts, "hash", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), "hash", "offset", "item", "m", "body")).alias("x"))
     prefix = materialise(rarest.select("x.*").groupBy("hash", "body", "offset", "m").agg(F.collect_set("item").alias("items")).groupBy("hash").agg(F.collect_list(F.struct("items", "offset", "m", "body")).alias("windows")), "prefix")
-    hits = materialise(_scan(docs, text, lengths, bloom_of(prefix.select("hash"), bits), False, window), "hits")
+    hits = materialise(_scan(docs, text, lengths, bloom_of(prefix.select("hash")), False, window), "hits")
     met = hits.select(ROW, "n_words", F.explode("hits").alias("hit")).select(ROW, "n_words", "hit.*").join(prefix, "hash")
     fits = F.filter(
         "windows",
@@ -108,15 +117,15 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 
     n_words, n_hit (words inside any occurrence of a window), n_items, items_sha256 (of the items'
     ids, sorted as text, comma-joined; of nothing if none) and contaminated. Null and empty texts
-    have no words; repeated rows are rows of their own; null item ids count as no item but their
-    windows still hit; either table may be empty. New columns replace ones of the same name.
+    have no words; repeated rows are rows of their own; item ids may be of any type and are compared
+    as text; null ones count as no item but their windows still hit; either table may be empty. New columns replace ones of the same name.
     """
     keyed = keyed_rows(docs)
     sizes, passages = find_passages(keyed, items, text, **options)
     stretch = passages.groupBy(ROW, "start", "m").agg(F.flatten(F.collect_list("items")).alias("items"))
     before = Window.partitionBy(ROW).orderBy("start", "m").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("start") + F.col("m") - F.greatest("start", F.coalesce(F.max(F.col("start") + F.col("m")).over(before), F.lit(0))))
-    per_row = stretch.withColumn("fresh", fresh).groupBy(ROW).agg(F.sum("fresh").alias("n_hit"), F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_list("items"))), lambda x: x.cast("string"))).alias("found"))
+    per_row = stretch.withColumn("fresh", fresh).groupBy(ROW).agg(F.sum("fresh").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("found"))
     found = F.coalesce("found", F.array().cast("array<string>"))
     verdict = sizes.join(per_row, ROW, "left").select(
         ROW,
@@ -130,6 +139,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document shares with the benchmark's windows of ten words."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text")
 

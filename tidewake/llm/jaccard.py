@@ -1,11 +1,12 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
 Equal texts are one class and texts with equal shingles one set, so copies cost nothing more.
-MinHash bands propose pairs of sets. Components of sets that share bands are compared block by
-block: a pair's MinHash values are compared a few at a time, and it is dropped as soon as the
-posterior probability that its similarity reaches the threshold, given the matches so far and a
-uniform prior, falls below the tolerance; what remains is verified on the shingles themselves.
-Pairs never become rows: each block yields every set's number of links and a spanning forest.
+MinHash bands propose pairs of sets. Within a bucket of a band a pair's MinHash values are compared
+a few at a time, and it is dropped as soon as the posterior probability that its similarity
+reaches the threshold, given the matches so far and a uniform prior, falls below the tolerance.
+The survivors make components, in which pairs are verified on the shingles themselves, block by
+block. Pairs never become rows: buckets yield a spanning forest of their survivors, and blocks
+every set's number of links and a forest of those.
 """
 
 from __future__ import annotations
@@ -51,11 +52,11 @@ def fewest_matches(compared: int, threshold: float, tolerance: float) -> int:
     return compared
 
 
-def prune(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, tolerance: float) -> np.ndarray:
+def prune(sigs: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, tolerance: float) -> np.ndarray:
     """Positions of the pairs (left, right) of signature rows that survive every step."""
     alive, matches = np.arange(len(left)), np.zeros(len(left), np.int64)
     for done in range(0, VALUES, STEP):
-        matches = matches + (a[left[alive], done : done + STEP] == b[right[alive], done : done + STEP]).sum(axis=1)
+        matches = matches + (sigs[left[alive], done : done + STEP] == sigs[right[alive], done : done + STEP]).sum(axis=1)
         ok = matches >= fewest_matches(done + STEP, threshold, tolerance)
         alive, matches = alive[ok], matches[ok]
         if not len(alive):
@@ -104,9 +105,74 @@ def _described(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(ROW, text).mapInArrow(run, f"{ROW} long, text_hash binary, set_hash binary, n int, sig binary")
 
 
+def first_of(count: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each of ``count`` places the least one that it is linked with, directly or not."""
+    first = np.arange(count)
+    while True:
+        a, b = first[left], first[right]
+        if (a == b).all():
+            return first
+        np.minimum.at(first, np.maximum(a, b), np.minimum(a, b))
+        while (first != first[first]).any():
+            first = first[first]
+
+
+def _band_numbers(sigs: np.ndarray) -> np.ndarray:
+    """Numbers (sets, BANDS) that are equal where bands are."""
+    bands = sigs.view(np.dtype((np.void, 4 * BAND_ROWS))).reshape(len(sigs), BANDS)
+    return np.stack([np.unique(bands[:, k], return_inverse=True)[1].reshape(-1) for k in range(BANDS)], axis=1)
+
+
+def _alike_in_size(size: np.ndarray, one: np.ndarray, two: np.ndarray, least: Fraction) -> np.ndarray:
+    """Whether the sizes of each pair permit the similarity, which cannot exceed their ratio."""
+    small, large = np.minimum(size[one][:, None], size[two][None, :]), np.maximum(size[one][:, None], size[two][None, :])
+    return small * least.denominator >= large * least.numerator
+
+
+def _signatures(column: pa.ChunkedArray) -> np.ndarray:
+    return np.stack([np.frombuffer(x.as_py(), np.uint32) for x in column])
+
+
+def _survivors(sets: DataFrame, threshold: float, tolerance: float, block: int) -> DataFrame:
+    """(u, v): a forest of the pairs of sets that share a band and survive the pruning.
+
+    A bucket of more than ``block`` sets is cut into blocks. A pair is compared in the first of
+    the bands that it shares.
+    """
+    least = Fraction(str(threshold))
+    numbered = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("sig", k * 4 * BAND_ROWS + 1, F.lit(4 * BAND_ROWS))))).alias("band", "bucket")
+    bands = sets.select(ROW, numbered)
+    # written, so that the join may split the sets of a large bucket
+    shared = materialise(bands.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("held")).where("held > 1").select("bucket", "blocks"), "buckets")
+    dealt = bands.join(shared, "bucket").withColumn("b", F.pmod(F.xxhash64(ROW, "bucket"), F.col("blocks")).cast("int"))
+    members = dealt.join(sets.select(ROW, "n", "sig"), ROW).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.select("bucket", "band", "b", ROW, "n", "sig", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        i, j, band = (table[c][0].as_py() for c in ("i", "j", "band"))
+        table = table.sort_by(ROW)
+        rows, at, size = table[ROW].to_numpy(), table["b"].to_numpy(), table["n"].to_numpy()
+        sigs = _signatures(table["sig"])
+        one, two = np.flatnonzero(at == i), np.flatnonzero(at == j)
+        meet = _alike_in_size(size, one, two, least)
+        if i == j:
+            meet = np.triu(meet, 1)
+        if meet.any():
+            numbers = _band_numbers(sigs)
+            for k in range(band):
+                meet &= numbers[one, k][:, None] != numbers[two, k][None, :]
+        left, right = (x[y] for x, y in zip((one, two), np.nonzero(meet), strict=True))
+        alive = prune(sigs, left, right, threshold, tolerance)
+        first = first_of(len(rows), left[alive], right[alive])
+        linked = np.flatnonzero(first != np.arange(len(rows)))
+        return pa.table({"u": rows[first[linked]], "v": rows[linked]})
+
+    return members.groupBy("bucket", "i", "j").applyInArrow(compare, "u long, v long")
+
+
 def _shingles_of(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     """(row, shingles) of the rows in ``wanted``, through a Bloom filter so that other texts stay where they are."""
-    held = bloom_of(wanted.select(F.xxhash64(ROW).alias("hash")), 23)
+    held = bloom_of(wanted.select(F.xxhash64(ROW).alias("hash")))
     shared = docs.sparkSession.sparkContext.broadcast((held.bits, held.seen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,39 +188,28 @@ def _shingles_of(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
 
 
 def _links(members: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """(row, links, root) of each set with links in each pair of blocks; root: one of its links' forest."""
+    """(row, links, root) of each set with links in each pair of blocks; root: the first of those that the links join."""
     least = Fraction(str(threshold))
 
     def compare(table: pa.Table) -> pa.Table:
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         table = table.sort_by(ROW)
         rows, block, texts = table[ROW].to_numpy(), table["b"].to_numpy(), table["texts"].to_numpy()
-        sigs = np.stack([np.frombuffer(x.as_py(), np.uint32) for x in table["sig"]])
-        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table["shingles"]]
+        sigs = _signatures(table["sig"])
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]]
         size = np.array([len(x) for x in sets])
         one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        parent = np.arange(len(rows))
-        links = np.zeros(len(rows), np.int64)
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        bands = sigs.view(np.dtype((np.void, 4 * BAND_ROWS))).reshape(len(rows), BANDS)
-        keys = np.stack([np.unique(bands[:, k], return_inverse=True)[1].reshape(-1) for k in range(BANDS)], axis=1)
+        numbers = _band_numbers(sigs)
         meet = np.zeros((len(one), len(two)), bool)
         for k in range(BANDS):
-            meet |= keys[one, k][:, None] == keys[two, k][None, :]
-        # similarity cannot exceed the ratio of the sizes
-        small, large = np.minimum(size[one][:, None], size[two][None, :]), np.maximum(size[one][:, None], size[two][None, :])
-        meet &= small * least.denominator >= large * least.numerator
+            meet |= numbers[one, k][:, None] == numbers[two, k][None, :]
+        meet &= _alike_in_size(size, one, two, least)
+        if i == j:
+            meet = np.triu(meet, 1)
         left, right = (x[at] for x, at in zip((one, two), np.nonzero(meet), strict=True))
-        ordered = left < right if i == j else np.ones(len(left), bool)
-        left, right = left[ordered], right[ordered]
-        alive = prune(sigs, sigs, left, right, threshold, tolerance)
+        alive = prune(sigs, left, right, threshold, tolerance)
         left, right = left[alive], right[alive]
+        links = np.zeros(len(rows), np.int64)
         if len(left):
             inter = overlaps(sets, left, right)
             union = size[left] + size[right] - inter
@@ -162,38 +217,36 @@ def _links(members: DataFrame, threshold: float, tolerance: float) -> DataFrame:
             left, right = left[linked], right[linked]
             np.add.at(links, left, texts[right])
             np.add.at(links, right, texts[left])
-            for x, y in zip(left.tolist(), right.tolist(), strict=True):
-                p, q = root(x), root(y)
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
         have = np.flatnonzero(links)
-        return pa.table({ROW: rows[have], "links": links[have], "root": rows[[root(int(x)) for x in have]] if len(have) else np.empty(0, np.int64)})
+        return pa.table({ROW: rows[have], "links": links[have], "root": rows[first_of(len(rows), left, right)[have]]})
 
     return members.groupBy("component", "i", "j").applyInArrow(compare, f"{ROW} long, links long, root long")
 
 
-def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, tolerance: float = 1e-7, block: int = 256) -> DataFrame:
-    """(row key, class_id, n_links, group_id, first) of each row of ``docs``, which has ``ROW``.
+def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, tolerance: float = 1e-7, block: int = 256, block_shingles: int = 1 << 20) -> DataFrame:
+    """(row key, key, text_id, class_id, n_links, first) of each row of ``docs``, which has ``ROW``.
 
     Words are runs of letters, digits and non-ASCII characters with A-Z lowered; shingles five
-    words, or all of a text with fewer. class_id: the least key among equal texts. n_links: how
-    many other texts have a similarity of at least ``threshold``. group_id: the least key of the
-    class's component of links; ``first`` marks one row of each. Texts without words link with
-    nothing but equal texts; a null text is a class of its own; empty tables give no rows.
-
-    A component of more than ``block`` sets is cut into blocks and each pair of blocks is a task's
-    group, so memory is bounded whatever a group's size; nothing is capped or sampled. ``docs``
-    is read more than once, so its keys must be written ones (``keyed_rows``).
+    words, or all of a text with fewer. text_id: the least key among equal texts. n_links: how
+    many other texts have a similarity of at least ``threshold``. class_id: the least key among
+    the texts that links join, directly or through others; ``first`` marks one row of each class.
+    Texts without words link with nothing but equal texts; a null text is a class of its own;
+    empty tables give no rows.
+
+    Two texts meet if they share a band; those that survive the pruning on their MinHash values
+    join components, whose sets are compared on their shingles. A component of more than ``block``
+    sets or ``block_shingles`` shingles, and a bucket of more than four times ``block`` sets, is cut
+    into blocks and each pair of blocks is a task's group, so memory is bounded whatever a group's
+    size; nothing is capped or sampled. ``docs`` is read more than once, so its keys must be
+    written ones (``keyed_rows``).
     """
     rows = materialise(_described(docs, text), "signatures")
-    texts = rows.where("n > 0").groupBy("set_hash", "text_hash").agg(F.min(F.struct(ROW, "sig")).alias("x"))
+    texts = rows.where("n > 0").groupBy("set_hash", "text_hash").agg(F.min(F.struct(ROW, "n", "sig")).alias("x"))
     sets = materialise(texts.groupBy("set_hash").agg(F.min("x").alias("x"), F.count(F.lit(1)).alias("texts")).select("set_hash", "texts", "x.*"), "sets")
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("sig", k * 4 * BAND_ROWS + 1, F.lit(4 * BAND_ROWS)))))
-    bands = sets.select(ROW, band.alias("key"))
-    hubs = bands.groupBy("key").agg(F.min(ROW).alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "v")
-    near = materialise(components(bands.join(hubs, "key").select(F.col(ROW).alias("u"), "v")), "components")
-    sizes = near.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = near.join(sizes, "root").select(F.col("node").alias(ROW), F.col("root").alias("component"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("b"))
+    near = materialise(components(_survivors(sets, threshold, tolerance, 4 * block)).select(F.col("node").alias(ROW), F.col("root").alias("component")).join(sets.select(ROW, "n"), ROW), "components")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / block_shingles)).cast("int")
+    sizes = materialise(near.groupBy("component").agg(blocks.alias("blocks")), "component-sizes")
+    dealt = near.join(sizes, "component").select(ROW, "component", "blocks", F.pmod(F.xxhash64(ROW), F.col("blocks")).cast("int").alias("b"))
     found = _shingles_of(docs, dealt.select(ROW), text).join(dealt, ROW).join(sets.select(ROW, "texts", "sig"), ROW)
     members = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(ROW, "component", "b", "texts", "sig", "shingles", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"))
     links = materialise(_links(members, threshold, tolerance), "links")
@@ -204,12 +257,12 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     member = rows.where("n > 0").select(ROW, "text_hash", "set_hash").join(per_set, "set_hash").select(ROW, "text_hash", "n_links", "root")
     lone = rows.where("n = 0").select(ROW, "text_hash", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("root"))
     all_rows = materialise(member.unionByName(lone).join(keys, ROW), "members")
-    classes = all_rows.groupBy("text_hash").agg(F.min("k").alias("class_id"), F.min(ROW).alias("head"), F.first("root").alias("root"))
-    classes = classes.withColumn("root", F.coalesce("root", "head"))
-    groups = classes.groupBy("root").agg(F.min("class_id").alias("group_id"), F.min("head").alias("first_row"))
-    # written apart, so that the join may split the rows of a text with many copies
-    classes = materialise(classes.join(groups, "root").select("text_hash", "class_id", "group_id", "first_row"), "classes")
-    return all_rows.join(classes, "text_hash").select(ROW, F.col("k").alias(key), "class_id", "n_links", "group_id", (F.col(ROW) == F.col("first_row")).alias("first"))
+    by_text = all_rows.groupBy("text_hash").agg(F.min("k").alias("text_id"), F.min(ROW).alias("head"), F.first("root").alias("root"))
+    # written, as are the classes of texts, so that the joins may split texts and classes of many rows
+    by_text = materialise(by_text.withColumn("root", F.coalesce("root", "head")), "texts")
+    classes = materialise(by_text.groupBy("root").agg(F.min("text_id").alias("class_id"), F.min("head").alias("first_row")), "classes")
+    of_text = materialise(by_text.join(classes, "root").select("text_hash", "text_id", "class_id", "first_row"), "text-classes")
+    return all_rows.join(of_text, "text_hash").select(ROW, F.col("k").alias(key), "text_id", "class_id", "n_links", (F.col(ROW) == F.col("first_row")).alias("first"))
 
 
 def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -220,12 +273,13 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's class of near copies, class of equal texts and number of other texts that it is similar to."""
     docs = keyed_rows(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return jaccard_join(docs).select("doc_id", "class_id", "n_links")
+    return jaccard_join(docs).select("doc_id", "class_id", "text_id", "n_links")
 
 
 OP4_SQL = r"""
-WITH t AS (
+WITH RECURSIVE t AS (
   SELECT text, min(doc_id) AS class_id,
          regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents WHERE text IS NOT NULL GROUP BY text
@@ -234,10 +288,12 @@ WITH t AS (
   FROM (SELECT class_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS p FROM t WHERE len(w) > 0)
 ), n AS (SELECT class_id, count(*) AS n FROM s GROUP BY class_id),
 i AS (SELECT a.class_id AS x, b.class_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.class_id <> b.class_id GROUP BY 1, 2),
-l AS (
-  SELECT x, count(*) AS n_links FROM i JOIN n p ON p.class_id = x JOIN n q ON q.class_id = y
-  WHERE 5 * c >= 4 * (p.n + q.n - c) GROUP BY x
-)
-SELECT d.doc_id, coalesce(t.class_id, d.doc_id) AS class_id, coalesce(l.n_links, 0) AS n_links
-FROM documents d LEFT JOIN t ON d.text = t.text LEFT JOIN l ON l.x = t.class_id
+p AS (
+  SELECT x, y FROM i JOIN n p ON p.class_id = x JOIN n q ON q.class_id = y
+  WHERE 5 * c >= 4 * (p.n + q.n - c)
+), l AS (SELECT x, count(*) AS n_links FROM p GROUP BY x),
+reach AS (SELECT class_id AS x, class_id AS y FROM t UNION SELECT r.x, p.y FROM reach r JOIN p ON p.x = r.y),
+g AS (SELECT x, min(y) AS class_id FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(g.class_id, d.doc_id) AS class_id, coalesce(t.class_id, d.doc_id) AS text_id, coalesce(l.n_links, 0) AS n_links
+FROM documents d LEFT JOIN t ON d.text = t.text LEFT JOIN l ON l.x = t.class_id LEFT JOIN g ON g.x = t.class_id
 """
