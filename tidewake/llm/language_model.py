@@ -30,6 +30,8 @@ EMBED, HIDDEN, WINDOW = 16, 24, 32
 CLASSES, PLACES = 48, 4096  # at least, with so many words
 SHARE = 16  # a word of a frequency of 1 / (SHARE * sqrt(all tokens)) or more has a place
 STRETCH = 32_768  # weights that are added up as one
+CHUNK = 1024  # tokens whose class scores are worked on at a time, so that they stay in the cache
+TOKENS_A_WEIGHT = 4  # of a trainer at least, so that the networks that are averaged stay small against the texts
 ROW_PACE = 20  # the rate of rows that go by their own gradients, as a multiple of Adam's
 
 
@@ -190,23 +192,29 @@ class Network:
         kind = self.rank_class[target]
         dtype = states.dtype
         found = np.einsum("ij,ij->i", states, class_w[kind] + word_w[target])  # both scores of the target
-        scores = states @ class_w.T
         if steep:
-            np.minimum(scores, 60, out=scores)
             found = np.minimum(found, 60)
-        np.exp(scores, out=scores)
-        total = scores @ np.ones(scores.shape[1], dtype)
+        total = np.empty(len(target), dtype)
+        class_ones = np.ones(len(class_w), dtype)
+        if weight is not None:
+            weight = weight[order]
+            class_grad, back = np.zeros_like(class_w), np.empty_like(states)
+        for a in range(0, len(target), CHUNK):
+            some = states[a : a + CHUNK]
+            scores = some @ class_w.T
+            if steep:
+                np.minimum(scores, 60, out=scores)
+            np.exp(scores, out=scores)
+            np.dot(scores, class_ones, out=total[a : a + CHUNK])
+            if weight is not None:
+                part = (weight[a : a + CHUNK] / total[a : a + CHUNK])[:, None]
+                class_grad += scores.T @ (some * part)
+                np.multiply(np.dot(scores, class_w), part, out=back[a : a + CHUNK])
         within = np.ones(len(target), dtype)
         sizes = np.diff(self.starts)
         ends = np.searchsorted(kind, np.arange(len(self.starts)))
         present = np.flatnonzero((np.diff(ends) > 0) & (sizes > 1))
         if weight is not None:
-            weight = weight[order]
-            part = weight / total
-            scaled = states * part[:, None]
-            class_grad = scores.T @ scaled
-            back = scores @ class_w
-            back *= part[:, None]
             rows = np.concatenate([np.arange(self.starts[c], self.starts[c + 1]) for c in present]) if len(present) else np.empty(0, np.int64)
             word_grad, at = np.zeros((len(rows), HIDDEN + 1), dtype), 0
         ones = np.ones(int(sizes.max(initial=1)), dtype)
@@ -464,22 +472,23 @@ def train_round(encoded: DataFrame, net: Network, rate: float) -> Network:
             for texts in _place_lists(batch.column(0)):
                 size += own.train(texts, moments, step, rate)
         if size:
-            flat = np.concatenate([w.reshape(-1) for w in own.weights]).astype(np.float64) * size
+            flat = np.concatenate([w.reshape(-1) for w in own.weights])
             parts = [flat[k : k + STRETCH].tobytes() for k in range(0, len(flat), STRETCH)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([size] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["part", "size", "sum"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([size] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["part", "size", "mean"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.float64) for x in table["sum"])
-        return pa.table({"part": table["part"][:1], "size": pa.array([sum(table["size"].to_pylist())], pa.int64()), "sum": pa.array([total.tobytes()], pa.binary())})
+        sizes = table["size"].to_pylist()
+        mean = sum(np.frombuffer(x.as_py(), np.float32) * (n / sum(sizes)) for x, n in zip(table["mean"], sizes, strict=True))
+        return pa.table({"part": table["part"][:1], "size": pa.array([sum(sizes)], pa.int64()), "mean": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
 
-    schema = "part int, size long, sum binary"
+    schema = "part int, size long, mean binary"
     trained = encoded.select(f"{OWN}places").mapInArrow(run, schema).withColumn("way", F.spark_partition_id() % 64)
     # stretches of weights are added up apart, and in two steps, so that no task sees all networks
     some = trained.groupBy("part", "way").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema)
-    got = sorted((r["part"], r["size"], bytes(r["sum"])) for r in some.collect())  # as large as one network
+    got = sorted((r["part"], r["size"], bytes(r["mean"])) for r in some.collect())  # as large as one network
     if not got:
         return net
-    flat = np.concatenate([np.frombuffer(x, np.float64) / n for _, n, x in got]).astype(np.float32)
+    flat = np.concatenate([np.frombuffer(x, np.float32) for _, _, x in got])
     ends = np.cumsum([w.size for w in net.weights])
     return Network([flat[end - w.size : end].reshape(w.shape) for w, end in zip(net.weights, ends, strict=True)], net.class_of, net.starts)
 
@@ -488,20 +497,26 @@ def train(encoded: DataFrame, corpus: Corpus, rounds: int = 3, rate: float = 0.0
     """A network trained on all texts of ``encoded``, each in one of the rounds.
 
     Each task of a round trains on its rows from common weights, so the weights depend on how the
-    table is cut into tasks; every row is used whatever the cut.
+    table is cut into tasks; every row is used whatever the cut. Tasks are joined until each has
+    several tokens for each weight: the networks that a round shuffles stay below its texts.
     """
     net = Network.begin(corpus.place_counts)
+    trainers = max(1, corpus.total // (rounds * TOKENS_A_WEIGHT * sum(w.size for w in net.weights)))
     for k in range(rounds):
-        net = train_round(encoded.where(F.pmod(F.xxhash64(ROW), F.lit(rounds)) == k), net, rate * 0.5**k)
+        net = train_round(encoded.where(F.pmod(F.xxhash64(ROW), F.lit(rounds)) == k).coalesce(trainers), net, rate * 0.5**k)
     return net
 
 
-def count(docs: DataFrame, text: str = "text", most_places: int | None = None, frequent_share: int = 2_000_000) -> Corpus:
-    """The word counts of all texts of ``docs``, in a written table."""
+def count(docs: DataFrame, text: str = "text", most_places: int | None = 1_000_000, frequent_share: int = 2_000_000) -> Corpus:
+    """The word counts of all texts of ``docs``, in a written table.
+
+    ``most_places`` bounds the network (41 numbers a place, broadcast and held by each task); it is
+    reached at some 10**12 tokens.
+    """
     return Corpus(materialise(count_words(docs, text), "counts"), frequent_share, most_places)
 
 
-def fit(docs: DataFrame, text: str = "text", most_places: int | None = None, frequent_share: int = 2_000_000, rounds: int = 3, rate: float = 0.01) -> tuple[Corpus, Network]:
+def fit(docs: DataFrame, text: str = "text", most_places: int | None = 1_000_000, frequent_share: int = 2_000_000, rounds: int = 3, rate: float = 0.01) -> tuple[Corpus, Network]:
     """Count all words of ``docs`` and train a network on all its texts (see ``train``)."""
     corpus = count(docs, text, most_places, frequent_share)
     return corpus, train(encode(docs, corpus, text, []), corpus, rounds, rate)
