@@ -3,7 +3,8 @@
 Records longer than a segment are written as a first record and continuation records. Reading
 parses each archive by its records' lengths, groups segments by origin identifier, orders them by
 segment number, verifies numbers and total length, and decodes chunked transfer framing. An
-archive file holds a bounded number of records of bounded length, so it fits in a task.
+archive file that is written here holds a bounded number of records of bounded length, each a
+gzip member of its own; a file is inflated and parsed piece by piece.
 """
 
 from __future__ import annotations
@@ -48,8 +49,13 @@ def dechunked(body: bytes) -> bytes:
 
 
 def _record(fields: list[tuple[str, str]], block: bytes) -> bytes:
+    """A record as a gzip member without its last byte, which is 0 and which the text sink adds."""
     head = "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("Content-Length", str(len(block)))])
-    return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r"  # the text sink adds the last \n
+    deflate = zlib.compressobj(1, zlib.DEFLATED, 31)
+    out = deflate.compress(b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n") + deflate.flush()
+    if out[-1]:
+        raise ValueError("a record of 16 MiB or more must be segmented")
+    return out[:-1]
 
 
 def _records(record_id: str, uri: str, kind: str, refers: str | None, digest: str, block: bytes, segment: int) -> Iterator[bytes]:
@@ -67,37 +73,45 @@ def _records(record_id: str, uri: str, kind: str, refers: str | None, digest: st
         yield _record(more + [("WARC-Segment-Total-Length", str(len(block)))] * (n == len(pieces)), piece)
 
 
-def revisits(pages: DataFrame, key: str, payload: Column, least: int = REVISIT_BYTES) -> DataFrame:
-    """(key, digest, refers_to) of pages whose payload of ``least`` bytes or more is also that of a larger key."""
-    light = pages.select(F.col(key).alias("k"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n")).where(F.col("n") >= least)
-    groups = light.groupBy("digest", "n").agg(F.max("k").alias("refers_to"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    return light.join(groups, ["digest", "n"]).where("k is null or k < refers_to").where("refers_to is not null").select("k", "digest", "refers_to").distinct()
+def decisions(pages: DataFrame, key: str, payload: Column, least: int = REVISIT_BYTES) -> DataFrame:
+    """(key, digest, refers_to, repeated) of the pages that are no plain response.
+
+    refers_to: the largest key with the same payload of ``least`` bytes or more, if it is another.
+    repeated: several rows have the key and the payload.
+    """
+    light = pages.select(F.col(key).alias("k"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n"))
+    pairs = light.groupBy("digest", "n", "k").agg(F.count(F.lit(1)).alias("copies"))
+    top = light.where(F.col("n") >= least).groupBy("digest", "n").agg(F.max("k").alias("top"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
+    found = pairs.join(top, ["digest", "n"], "left").select("k", "digest", F.when(F.col("k").isNull() | (F.col("k") < F.col("top")), F.col("top")).alias("refers_to"), (F.col("copies") > 1).alias("repeated"))
+    return found.where("repeated or refers_to is not null")
 
 
 def write_warc(pages: DataFrame, path: str, key: str = "page_id", uri: str = "url", html: str = "html", segment_bytes: int = SEGMENT_BYTES, records_per_file: int = RECORDS_PER_FILE) -> None:
     """Write an archive record for each row: its html as a chunked HTTP response, or a revisit.
 
-    A null html is an empty payload and a null key the smallest of its group. Of equal payloads
-    of at least 1000 bytes the largest key's rows are responses and others revisit it. An empty
-    table writes archives without records; other columns are ignored. Record ids are those of the
-    page and a row number, so that rows with the same or no key stay apart; a revisit names the page.
+    Each record is a gzip member of its own, and records above ``segment_bytes`` (below 16 MiB) are
+    segmented. A null html is an empty payload and a null key the smallest of its group. Of equal
+    payloads of at least 1000 bytes the largest key's rows are responses and others revisit it. An
+    empty table writes archives without records; other columns are ignored. Record ids are made
+    of the key and the digest, which a revisit names; rows that repeat both get a row number
+    besides, so that each has an id of its own.
     """
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).alias("k"), F.coalesce(F.col(uri), F.lit("")).alias("uri"), F.sha1(payload).alias("digest"), payload.alias("payload"))
-    decided = rows.alias("a").join(revisits(pages, key, payload).alias("b"), F.col("a.k").eqNullSafe(F.col("b.k")) & (F.col("a.digest") == F.col("b.digest")), "left").select("a.*", "b.refers_to", F.monotonically_increasing_id().alias("row"))
+    decided = rows.alias("a").join(decisions(pages, key, payload).alias("b"), F.col("a.k").eqNullSafe(F.col("b.k")) & (F.col("a.digest") == F.col("b.digest")), "left").select("a.*", "b.refers_to", F.when(F.col("b.repeated"), F.monotonically_increasing_id()).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, held = [], 0
             for k, address, digest, body, refers, row in zip(*(batch.column(i) for i in range(6)), strict=True):
-                body, refers = body.as_py(), refers.as_py()
-                record_id = f"<urn:page:{'null' if k.as_py() is None else k.as_py()};row={row.as_py()}>"
+                body, refers, digest = body.as_py(), refers.as_py(), digest.as_py()
+                record_id = f"<urn:page:{'null' if k.as_py() is None else k.as_py()};sha1={digest}{'' if row.as_py() is None else f';row={row.as_py()}'}>"
                 head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
                 if refers is None:
                     block = head + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(body)
                 else:
                     block = head + b"Content-Length: %d\r\n\r\n" % len(body)
-                for r in _records(record_id, address.as_py(), "response" if refers is None else "revisit", None if refers is None else f"<urn:page:{refers}>", digest.as_py(), block, segment_bytes):
+                for r in _records(record_id, address.as_py(), "response" if refers is None else "revisit", None if refers is None else f"<urn:page:{refers};sha1={digest}>", digest, block, segment_bytes):
                     out.append(r)
                     held += len(r)
                 if held > 16 << 20:
@@ -106,23 +120,61 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", uri: str = "ur
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     lines = decided.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
-    lines.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", records_per_file).text(path)
+    # the separator is the last byte of each member, so that a file is its members and nothing else
+    lines.write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", records_per_file).text(path)
+
+
+def inflated(raw: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """An archive's bytes in pieces: all gzip members in turn, or the bytes themselves if it is not compressed."""
+    view, at = memoryview(raw), 0
+    if raw[:2] != b"\x1f\x8b":
+        yield raw
+        return
+    while at < len(view):
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            if at >= len(view):
+                raise ValueError("the archive ends within a gzip member")
+            given = view[at : at + step]
+            yield member.decompress(given)
+            at += len(given) - len(member.unused_data)
 
 
-def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields by lower-case name, block) of each record of an archive, by the lengths they state."""
-    at = 0
-    while at < len(data):
-        if data[at : at + 5] != b"WARC/":
-            raise ValueError(f"no record begins at byte {at}")
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")[1:]
+def parse_archive(pieces: Iterator[bytes] | bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(fields by lower-case name, block) of each record of an archive given in pieces, by the lengths they state.
+
+    No more than a record and a piece is held at a time.
+    """
+    source, data, done = iter([pieces] if isinstance(pieces, bytes) else pieces), bytearray(), 0
+
+    def more() -> bool:
+        piece = next(source, None)
+        if piece is not None:
+            data.extend(piece)
+        return piece is not None
+
+    while True:
+        while len(data) < 5 and more():
+            pass
+        if not data:
+            return
+        if data[:5] != b"WARC/":
+            raise ValueError(f"no record begins at byte {done}")
+        seen = 0
+        while (end := data.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(data)
+            if not more():
+                raise ValueError(f"the record at byte {done} ends within its header")
+        lines = bytes(data[:end]).decode("utf-8", "replace").split("\r\n")[1:]
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
         stop = end + 4 + int(fields["content-length"])
+        while len(data) < stop + 4 and more():
+            pass
         if data[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} is cut or longer than it states")
-        yield fields, data[end + 4 : stop]
-        at = stop + 4
+            raise ValueError(f"the record at byte {done} is cut or longer than it states")
+        yield fields, bytes(data[end + 4 : stop])
+        del data[: stop + 4]
+        done += stop + 4
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -130,8 +182,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     Segments are put together; ``complete`` is false, and the payload null, where one is missing
     or repeated or the total length differs. A revisit has no payload of its own; its
-    payload_bytes are those its HTTP header states. Row numbers that ``write_warc`` gave are taken
-    off the ids. Archives without records give no rows.
+    payload_bytes are those its HTTP header states. Archives may be plain or gzip files of any number
+    of members; those without records give no rows.
     """
     names = ["record_id", "type", "uri", "refers_to", "digest", "segment", "total", "block"]
     types = [pa.string()] * 5 + [pa.int32(), pa.int64(), pa.binary()]
@@ -141,7 +193,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 raw, out, held = content.as_py(), [], 0
-                for f, block in parse_archive(zlib.decompress(raw, 31) if raw[:2] == b"\x1f\x8b" else raw):
+                for f, block in parse_archive(inflated(raw)):
                     number = f.get("warc-segment-number")
                     out.append((f.get("warc-segment-origin-id", f["warc-record-id"]), f["warc-type"], f.get("warc-target-uri"), f.get("warc-refers-to"), f.get("warc-payload-digest", "").rpartition(":")[2], None if number is None else int(number), None if (t := f.get("warc-segment-total-length")) is None else int(t), block))
                     held += len(block)
@@ -172,14 +224,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     sizes.append(len(payload) if own else int(fields[b"content-length"]) if b"content-length" in fields else None)
                 yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(5)), some.column(6), pa.array(payloads, pa.binary()), pa.array(sizes, pa.int64())], ["record_id", "type", "uri", "refers_to", "digest", "complete", "payload", "payload_bytes"])
 
-    page = F.regexp_replace("record_id", "^(<urn:page:.*);row=[0-9]+>$", "$1>")
-    return whole.unionByName(parts).withColumn("record_id", page).mapInArrow(decode, "record_id string, type string, uri string, refers_to string, digest string, complete boolean, payload binary, payload_bytes long")
+    return whole.unionByName(parts).mapInArrow(decode, "record_id string, type string, uri string, refers_to string, digest string, complete boolean, payload binary, payload_bytes long")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive record of each page, written and read back."""
     path = new_path(spark, "warc")
     write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(-?[0-9]+)>$', 1) as bigint)")
+    page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(-?[0-9]+);', 1) as bigint)")
     return read_warc(spark, path).select(
         page("record_id").alias("page_id"),
         "payload_bytes",
