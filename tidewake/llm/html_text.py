@@ -33,174 +33,218 @@ share sharing social related recommended recommendations newsletter subscribe su
 widget toolbar skip toc complementary contentinfo""".split())
 WANTED = frozenset("article content main post entry story body text".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|<[!?/][^>]*+(?:>|\Z)", re.S)
+MARKUP = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)|<[!?/]")
+QUOTE_OR_END = re.compile(r"[\"'>]")
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "dropped", "points", "chars", "linked", "wanted")
+    """``block``: the nearest element, from itself, that is not inline; ``depth``: of its place in the tree."""
 
-    def __init__(self, tag: str, parent: Element | None, dropped: bool, wanted: bool = False):
-        self.tag, self.parent, self.dropped, self.wanted = tag, parent, dropped, wanted
+    __slots__ = ("tag", "parent", "depth", "block", "in_article", "dropped", "wanted", "points", "chars", "linked")
+
+    def __init__(self, tag: str, parent: Element | None):
+        self.tag, self.parent = tag, parent
+        self.depth = parent.depth + 1 if parent else 0
+        self.block = parent.block if parent and tag in INLINE else self
+        self.in_article = tag in ("article", "main") or bool(parent and parent.in_article)
+        self.dropped = bool(parent and parent.dropped)
+        self.wanted = tag in ("article", "main")
         self.points = 0.0
         self.chars = self.linked = 0
 
-    def line(self) -> Iterator[Element]:
-        x: Element | None = self
-        while x is not None:
-            yield x
-            x = x.parent
-
     @property
     def link_density(self) -> float:
         return self.linked / self.chars if self.chars else 0.0
 
+    @property
+    def rank(self) -> float:
+        return (self.points + 25 * (self.tag in ("article", "main")) + 5 * self.wanted) * (1 - self.link_density)
+
 
 def _element(tag: str, attributes: str, parent: Element) -> Element:
-    in_article = any(x.tag in ("article", "main") for x in parent.line())
+    out = Element(tag, parent)
     if tag in ("html", "body", "article", "main"):
-        return Element(tag, parent, parent.dropped, tag in ("article", "main"))
-    dropped = parent.dropped or tag in DROPPED or (tag == "header" and not in_article)
-    wanted = False
-    if attributes and not dropped and tag not in INLINE:
-        found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
-        named = {p.lower() for k in ("class", "id", "role") if k in found for p in NAME_PARTS.findall(found[k])}
+        if tag == "article" and parent.in_article and attributes and not out.dropped:  # comments are often articles within one
+            out.dropped = bool(_names(attributes)[1] & UNWANTED)
+        return out
+    out.dropped = out.dropped or tag in DROPPED or (tag == "header" and not parent.in_article)
+    if attributes and not out.dropped and tag not in INLINE:
+        found, named = _names(attributes)
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-        dropped = hidden or bool(named & UNWANTED) or ("header" in named and not in_article)
-        wanted = bool(named & WANTED)
-    return Element(tag, parent, dropped, wanted)
-
-
-def blocks_of(page: str) -> list[tuple[Element, str, int]]:
-    """(innermost element, text, characters inside links) of each block of text, in page order."""
-    root = Element("#root", None, False)
-    node, out, pieces, inside, at, end = root, [], [], 0, 0, len(page)
-    links = 0
-
-    def text(raw: str) -> None:
-        nonlocal inside
-        if raw and not node.dropped:
-            pieces.append(raw)
-            if links:
-                inside += len(raw.strip())
-
-    def flush(owner: Element) -> None:
-        nonlocal pieces, inside
-        if pieces:
-            joined = " ".join(html.unescape("".join(pieces)).split())
+        out.dropped = hidden or bool(named & UNWANTED) or ("header" in named and not parent.in_article)
+        out.wanted = bool(named & WANTED)
+    return out
+
+
+def _names(attributes: str) -> tuple[dict[str, str], set[str]]:
+    """The attributes, and the words in its class, id and role."""
+    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
+    return found, {p.lower() for k in ("class", "id", "role") if k in found for p in NAME_PARTS.findall(found[k])}
+
+
+class Page:
+    """The elements and blocks of text of a page, in page order; its work is in proportion to the page."""
+
+    def __init__(self, page: str):
+        self.page, self.node = page, Element("#root", None)
+        self.elements, self.blocks = [self.node], []  # blocks: innermost element, text, characters inside links
+        self.open: dict[str, list[Element]] = {}
+        self.pieces: list[str] = []
+        self.inside = 0
+        self.wasted = 0  # tags whose quotes ran to the end of the page
+        self.last_end = page.rfind(">")
+        self._read()
+        for x in self.elements[:0:-1]:
+            x.parent.chars += x.chars
+            x.parent.linked += x.linked
+
+    def _text(self, raw: str) -> None:
+        if raw and not self.node.dropped:
+            raw = html.unescape(raw)
+            self.pieces.append(raw)
+            if self.open.get("a"):
+                self.inside += len(raw.strip())
+
+    def _flush(self) -> None:
+        if self.pieces:
+            joined = " ".join("".join(self.pieces).split())
             if joined:
-                out.append((owner, joined, min(inside, len(joined))))
-            pieces, inside = [], 0
-
-    def owner() -> Element:
-        return next(x for x in node.line() if x.tag not in INLINE)
-
-    def close(to: Element) -> None:
-        nonlocal node, links
-        while node is not to.parent:
-            links -= node.tag == "a"
-            node = node.parent
-
-    while at < end:
-        m = TAG.search(page, at)
-        if m is None:
-            text(page[at:])
-            break
-        text(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
-            continue
-        if m[1] or m[4]:
-            target = next((x for x in node.line() if x.tag == tag), None)
-            if tag not in INLINE:
-                flush(owner())
-            if target is not None:
-                close(target)
-            continue
-        attributes = m[3] or m[6] or ""
-        if tag == "br":
-            text(" ")
-            continue
+                owner, linked = self.node.block, min(self.inside, len(joined))
+                self.blocks.append((owner, joined, linked))
+                owner.chars += len(joined)
+                owner.linked += linked
+            self.pieces, self.inside = [], 0
+
+    def _innermost(self, *tags: str) -> Element | None:
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), key=lambda x: x.depth, default=None)
+
+    def _close(self, to: Element) -> None:
+        while self.node is not to.parent:
+            self.open[self.node.tag].pop()
+            self.node = self.node.parent
+
+    def _tag_end(self, at: int) -> int:
+        """Where the tag ends whose name ends at ``at``: a > outside quotes, or the first if quotes are never closed."""
+        page, first, here = self.page, -1, at
+        while self.wasted < 32:
+            m = QUOTE_OR_END.search(page, here)
+            if m is None or m[0] == ">":
+                if m is not None:
+                    return m.start()
+                break
+            here = page.find(m[0], m.end()) + 1
+            if not here:
+                break
+        else:
+            return page.find(">", at)
+        self.wasted += 1
+        first = page.find(">", at)
+        return first
+
+    def _read(self) -> None:
+        page, at, end = self.page, 0, len(self.page)
+        while at < end:
+            m = MARKUP.search(page, at)
+            if m is None or (m[2] and m.end() > self.last_end):
+                self._text(page[at:])
+                break
+            self._text(page[at : m.start()])
+            if not m[2]:
+                close = "-->" if m[0] == "<!--" else ">"
+                stop = page.find(close, m.end())
+                at = end if stop < 0 else stop + len(close)
+                continue
+            stop = self._tag_end(m.end())
+            attributes, tag = page[m.end() : stop], m[2].lower()
+            at = stop + 1
+            if m[1]:
+                if tag not in INLINE:
+                    self._flush()
+                if target := self._innermost(tag):
+                    self._close(target)
+            elif tag == "br":
+                self._text(" ")
+            else:
+                at = self._start(tag, attributes, at)
+        self._flush()
+
+    def _start(self, tag: str, attributes: str, at: int) -> int:
         if tag not in INLINE:
-            flush(owner())
-            open_p = next((x for x in node.line() if x.tag == "p"), None)
-            if open_p is not None:
-                close(open_p)
+            self._flush()
+            if paragraph := self._innermost("p"):
+                self._close(paragraph)
             if tag in ENDS_ITSELF:
-                for x in node.line():
-                    if x.tag == tag:
-                        close(x)
-                        break
-                    if x.tag in ENDS_ITSELF[tag]:
-                        break
-        if tag in VOID:
-            continue
+                same, around = self._innermost(tag), self._innermost(*ENDS_ITSELF[tag])
+                if same and (around is None or same.depth > around.depth):
+                    self._close(same)
+        if tag in VOID or (attributes.rstrip().endswith("/") and tag in ("svg", "path", "use")):
+            return at
         if tag in RAW:
-            stop = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
-            at = stop.end() if stop else end
-            continue
-        if attributes.rstrip().endswith("/") and tag in ("svg", "path", "use"):
-            continue
-        node = _element(tag, attributes, node)
-        links += tag == "a"
-    flush(owner())
-    return out
+            stop = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(self.page, at)
+            return stop.end() if stop else len(self.page)
+        self.node = _element(tag, attributes, self.node)
+        self.elements.append(self.node)
+        self.open.setdefault(tag, []).append(self.node)
+        return at
 
 
 def main_text(page: str) -> str:
     """The article's blocks joined by newlines; empty if there are none."""
-    blocks = blocks_of(page)
-    for owner, body, linked in blocks:
-        for x in owner.line():
-            x.chars += len(body)
-            x.linked += linked
+    read = Page(page)
     candidates: dict[int, Element] = {}
-    for owner, body, linked in blocks:
+    for owner, body, linked in read.blocks:
         if owner.tag in PARAGRAPHS or owner.tag in ("#root", "body"):
             points = (1 + body.count(",") + min(len(body) / 100, 3)) * (1 - linked / len(body))
-            above = [x for x in (owner if owner.tag not in ("p", "pre", "td", "li", "dd", "blockquote") else owner.parent or owner).line() if x.tag != "#root"] or [owner]
-            for depth, x in enumerate(above[:6]):
-                x.points += points / (1, 2, 6, 9, 12, 15)[depth]
+            x = owner if owner.tag not in ("p", "pre", "td", "li", "dd", "blockquote") else owner.parent or owner
+            x = owner if x.tag == "#root" else x
+            for share in (1, 2, 6, 9, 12, 15):
+                x.points += points / share
                 candidates[id(x)] = x
+                x = x.parent
+                if x is None or x.tag == "#root":
+                    break
     if not candidates:
         return ""
-    rank = lambda x: (x.points + 25 * (x.tag in ("article", "main")) + 5 * x.wanted) * (1 - x.link_density)
-    best = max(candidates.values(), key=rank)
-    best = next((x for x in best.line() if x.tag == "article"), best)
+    best = max(candidates.values(), key=lambda x: x.rank)
+    x = best
+    while x is not None and x.tag != "article":
+        x = x.parent
+    best = x or best
     # without an article, the text around the best container belongs to it unless much of it is links
     while best.tag not in ("article", "main", "body", "#root") and best.parent.tag not in ("html", "body", "#root") and best.parent.link_density < 0.25:
         best = best.parent
-    least = max(10.0, 0.2 * rank(best))
-
-    def kept(owner: Element, body: str, linked: int) -> bool:
-        line = list(owner.line())
-        if best in line:
-            child = line[: line.index(best)]
-            return not any(x.tag in ("ul", "ol", "div", "table", "section", "dl") and x.link_density > 0.6 for x in child)
-        if best.tag in ("article", "body", "#root") or best.parent not in line:
-            return False
-        place = line.index(best.parent)
-        if place == 0:
+    least = max(10.0, 0.2 * best.rank)
+
+    def worthy(x: Element) -> bool:
+        """Whether a sibling of the best container is kept; beside an article, only another one."""
+        if best.tag == "article":
+            return x.tag == "article" and id(x) in candidates and x.rank >= least
+        if best.tag in ("body", "#root"):
             return False
-        sibling = line[place - 1]
-        if sibling.tag in ("h1", "h2"):
-            return True
-        if best.tag != "main" and sibling.link_density < 0.25:
-            return True
-        if sibling.tag == "p":
-            return len(body) > 80 and linked < 0.25 * len(body)
-        return id(sibling) in candidates and rank(sibling) >= least
+        return x.tag in ("h1", "h2") or (best.tag != "main" and x.link_density < 0.25) or (id(x) in candidates and x.rank >= least)
 
-    return "\n".join(body for owner, body, linked in blocks if kept(owner, body, linked))
+    # an element is kept with its parent, but for lists and boxes of links outside articles
+    kept = {id(best)}
+    for x in read.elements[1:]:
+        if x is best:
+            continue
+        if x.parent is best.parent:
+            keep = worthy(x)
+        else:
+            keep = id(x.parent) in kept and not (best.tag != "article" and x.tag in ("ul", "ol", "div", "table", "section", "dl") and x.link_density > 0.6)
+        if keep:
+            kept.add(id(x))
+    return "\n".join(body for owner, body, linked in read.blocks if id(owner) in kept)
 
 
 def extract_text(pages: DataFrame, column: str = "html") -> DataFrame:
     """``pages`` with the main ``text`` of each row's whole html and its length ``n_chars`` in code points.
 
     Character references are decoded, white space within a block becomes one space and blocks are
-    joined by a newline. A null or empty html, or one without an article, gives an empty text.
+    joined by a newline. Of several articles side by side those of a fifth of the best one's points
+    or more are kept. A null or empty html, or one without text, gives an empty text.
     The html column is left out; columns named text or n_chars are replaced; repeated rows stay.
     """
     rest = [c for c in pages.columns if c not in (column, "text", "n_chars")]
@@ -215,5 +259,6 @@ def extract_text(pages: DataFrame, column: str = "html") -> DataFrame:
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of each page."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return extract_text(pages)
