@@ -428,7 +428,8 @@ class PlainTree(html.parser.HTMLParser):
             if x is not best:
                 high = id(x) in ranks and ranks[id(x)][0] >= least
                 if best[0] == "article":
-                    if x[0] != "article" or not high:
+                    own, whole = (self.points(y)[0] * (1 - self.density(y)) for y in (x, best))
+                    if x[0] != "article" or not own or own < 0.2 * whole:
                         continue
                 elif best[0] in ("body", "#root") or not (x[0] in ("h1", "h2") or (best[0] != "main" and self.density(x) < 0.25) or high):
                     continue

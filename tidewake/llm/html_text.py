@@ -220,7 +220,7 @@ def main_text(page: str) -> str:
     def worthy(x: Element) -> bool:
         """Whether a sibling of the best container is kept; beside an article, only another one."""
         if best.tag == "article":
-            return x.tag == "article" and id(x) in candidates and x.rank >= least
+            return x.tag == "article" and 0 < x.points and x.points * (1 - x.link_density) >= 0.2 * best.points * (1 - best.link_density)
         if best.tag in ("body", "#root"):
             return False
         return x.tag in ("h1", "h2") or (best.tag != "main" and x.link_density < 0.25) or (id(x) in candidates and x.rank >= least)
