@@ -837,9 +837,9 @@ def test_topk_against_brute_force(spark):
 
 
 def test_topk_repeated_ids(spark):
-    df = spark.createDataFrame([(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
-    got = [(r["query_id"], r["vec_id"]) for r in topk.exact_topk(df, k=1).collect()]
-    assert got == [(0, 1)]
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [1.0, 1.0]), (20, [2.0, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in topk.exact_topk(df, k=2).collect())
+    assert got == [(0, 1, 0), (0, 1, 0), (0, 2, 1), (0, 2, 1), (20, 1, 0), (20, 2, 0)]  # each row is a query, and a candidate of the other
 
 
 def test_threshold_algorithm_stops_early():
