@@ -31,28 +31,45 @@ def counter_coverage(declared: DataFrame, listed: DataFrame) -> DataFrame:
     return one.unionByName(two)
 
 
-def counter_rate(samples: DataFrame, span_seconds: int) -> DataFrame:
+def counter_rate(samples: DataFrame, span_seconds: int, times: DataFrame | None = None) -> DataFrame:
     """(metric, ts, rate): increase a second over the trailing span, summed over series.
 
-    A value below the one before it means that the counter began again from 0. Series are
-    partitions of their own, and a sample's increase lies between it and the one before.
+    Only samples within the span count, its begin excluded: an increase counts where the sample
+    before it is in the span too. A value below the one before it means that the counter began
+    again from 0. ``times`` (metric, ts) says when to evaluate, by default at a metric's samples;
+    every series counts at every time. Exact for whole-number counters.
+
+    An increase holds from its sample until the one before leaves the span, so rates are running
+    sums of a step up and a step down for each, added up over series before they are ordered.
     """
     series = Window.partitionBy("metric", "series").orderBy("ts")
-    before = F.lag("value").over(series)
-    grown = samples.withColumn("__up", F.when(before.isNull(), 0.0).when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before))
-    span = Window.partitionBy("metric", "series").orderBy(F.col("ts").cast("long")).rangeBetween(-span_seconds + 1, 0)
-    rated = grown.withColumn("__rate", F.sum("__up").over(span) / span_seconds)
-    return rated.groupBy("metric", "ts").agg(F.sum("__rate").alias("rate"))
+    pairs = samples.select("metric", "ts", "value", F.lag("value").over(series).alias("p"), F.lag("ts").over(series).alias("p_ts")).where("p is not null")
+    pairs = pairs.select("metric", "ts", (F.col("p_ts") + F.expr(f"interval {int(span_seconds)} seconds")).alias("gone"), F.when(F.col("value") < F.col("p"), F.col("value")).otherwise(F.col("value") - F.col("p")).alias("up")).where("gone > ts and up > 0")
+    steps = pairs.select("metric", F.explode(F.array(F.struct("ts", F.col("up").alias("step")), F.struct(F.col("gone").alias("ts"), (-F.col("up")).alias("step")))).alias("x")).select("metric", "x.*", F.lit(False).alias("asked"))
+    asked = (samples if times is None else times).select("metric", "ts", F.lit(0.0).alias("step"), F.lit(True).alias("asked"))
+    summed = steps.unionByName(asked).groupBy("metric", "ts").agg(F.sum("step").alias("step"), F.max("asked").alias("asked"))
+    so_far = F.sum("step").over(Window.partitionBy("metric").orderBy("ts"))
+    return summed.withColumn("rate", so_far / span_seconds).where("asked").select("metric", "ts", "rate")
+
 
+def rates_wide(samples: DataFrame, spans: dict[str, int], metrics: list[str], step_seconds: int | None = None) -> DataFrame:
+    """One row for each time with a column metric_span for each rate, 0 without samples.
 
-def rates_wide(samples: DataFrame, spans: dict[str, int], metrics: list[str]) -> DataFrame:
-    """One row for each time with a column metric_span for each rate; a missing rate is 0."""
+    Times are those of any of the metrics' samples, or, with ``step_seconds``, a grid from the first to the last.
+    """
+    samples = samples.where(F.col("metric").isin(metrics))
+    if step_seconds is None:
+        times = samples.select("ts").distinct()
+    else:
+        ends = samples.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).where("a is not null")
+        times = ends.select(F.explode(F.sequence("a", "b", F.expr(f"interval {int(step_seconds)} seconds"))).alias("ts"))
+    times = times.select(F.explode(F.array(*map(F.lit, metrics))).alias("metric"), "ts")
     long = None
     for name, seconds in spans.items():
-        one = counter_rate(samples, seconds).select("ts", F.concat("metric", F.lit(f"_{name}")).alias("m"), "rate")
+        one = counter_rate(samples, seconds, times).select("ts", F.concat("metric", F.lit(f"_{name}")).alias("m"), "rate")
         long = one if long is None else long.unionByName(one)
     columns = [f"{m}_{s}" for m in metrics for s in spans]
-    return long.where(F.col("m").isin(columns)).groupBy("ts").pivot("m", columns).agg(F.first("rate")).fillna(0.0, columns)
+    return long.groupBy("ts").pivot("m", columns).agg(F.first("rate")).fillna(0.0, columns)
 
 
 def ingest_failure_ratio(samples: DataFrame, span_seconds: int) -> DataFrame:
@@ -105,13 +122,12 @@ def alert_states(wide: DataFrame, rules: list[tuple[str, str, int]] = ALERTS) ->
     return runs.withColumn("state", F.when(held >= F.col("hold"), "firing").otherwise("pending")).select("rule", "ts", "state")
 
 
-def alerts(samples: DataFrame, lag: DataFrame | None = None, rules: list[tuple[str, str, int]] = ALERTS, spans: dict[str, int] = SPANS) -> DataFrame:
-    """States of the alert rules at the times of the samples."""
-    wide = rates_wide(samples, spans, ALERT_METRICS)
+def alerts(samples: DataFrame, lag: DataFrame, rules: list[tuple[str, str, int]] = ALERTS, spans: dict[str, int] = SPANS, step_seconds: int | None = 30) -> DataFrame:
+    """States of the alert rules every ``step_seconds``, or at the samples' times if none are given; ``lag`` (ts, lag) counts at its own times."""
+    wide = rates_wide(samples, spans, ALERT_METRICS, step_seconds)
     ok, bad, unknown = (F.col(f"http_ingest_{n}_5m") for n in ("accepted", "rejected", "unauthenticated"))
     wide = wide.withColumn("failure_ratio_5m", (bad + unknown) / F.greatest(ok + bad + unknown, F.lit(1.0)))
-    wide = wide.withColumn("lag", F.lit(0.0)) if lag is None else wide.join(lag, "ts", "left").fillna(0.0, ["lag"])
-    return alert_states(wide, rules)
+    return alert_states(wide.join(lag, "ts", "left").fillna(0.0, ["lag"]), rules)
 
 
 def flood_report(requests: DataFrame, limit: int = 600, span_seconds: int = 10, at: str = "ts_unix") -> DataFrame:

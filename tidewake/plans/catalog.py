@@ -518,41 +518,55 @@ def _(spark, sf):
     return rates.counter_coverage(fx.samples(spark, sf).select(F.concat("metric", F.lit("_x")).alias("name")), listed)
 
 
-RATE = """grown AS (SELECT *, CASE WHEN p IS NULL THEN 0 WHEN value < p THEN value ELSE value - p END AS up FROM (SELECT *, lag(value) OVER (PARTITION BY metric, series ORDER BY ts) AS p FROM samples)),
-rated AS (SELECT metric, ts, sum(r) AS rate FROM (SELECT metric, series, ts, sum(up) OVER (PARTITION BY metric, series ORDER BY CAST(epoch(ts) AS BIGINT) RANGE BETWEEN 10799 PRECEDING AND CURRENT ROW) / 10800 AS r FROM grown) GROUP BY metric, ts)
-"""
+def _pairs(samples: str = "samples") -> str:
+    return f"pairs AS (SELECT metric, ts, p_ts, CASE WHEN value < p THEN value ELSE value - p END AS up FROM (SELECT *, lag(value) OVER w AS p, lag(ts) OVER w AS p_ts FROM {samples} WINDOW w AS (PARTITION BY metric, series ORDER BY ts)) WHERE p IS NOT NULL)"
+
+
+def _rated(times: str, seconds: int, name: str = "rated") -> str:
+    return f"{name} AS (SELECT t.metric, t.ts, coalesce(sum(up), 0) / {seconds} AS rate FROM ({times}) t LEFT JOIN pairs p ON p.metric = t.metric AND p.ts <= t.ts AND p.p_ts > t.ts - INTERVAL {seconds} SECOND GROUP BY 1, 2)"
+
+
+def _wide(metrics: list[str], name: str = "wide", rated: str = "rated") -> str:
+    return f"{name} AS (SELECT ts, " + ", ".join(f"coalesce(max(rate) FILTER (metric = '{m}'), 0) AS {m}" for m in metrics) + f" FROM {rated} GROUP BY ts)"
+
+
+OWN_TIMES = "SELECT DISTINCT metric, ts FROM samples"
+
 
+def _all_times(metrics: list[str]) -> str:
+    names = ", ".join(f"('{m}')" for m in metrics)
+    return f"SELECT metric, ts FROM (VALUES {names}) m(metric), (SELECT DISTINCT ts FROM samples WHERE metric IN (SELECT * FROM (VALUES {names})))"
 
-@query("win_5_counter_rate", duck_with("samples").rstrip() + ",\n" + RATE + "SELECT metric, epoch_us(ts) AS at_us, round(rate * 1000000) AS micro_rate FROM rated")
+
+@query("win_5_counter_rate", duck_with("samples").rstrip() + f", {_pairs()}, {_rated(OWN_TIMES, 10_800)} SELECT metric, epoch_us(ts) AS at_us, round(rate * 1000000) AS micro_rate FROM rated")
 def _(spark, sf):
     return rates.counter_rate(fx.samples(spark, sf), 10_800).select("metric", F.unix_micros("ts").alias("at_us"), F.round(F.col("rate") * 1_000_000).alias("micro_rate"))
 
 
-WIDE = "wide AS (SELECT ts, " + ", ".join(f"coalesce(max(rate) FILTER (metric = '{m}'), 0) AS {m}" for m in ("http_ingest_accepted", "http_ingest_rejected", "aggregator_batches_consumed", "aggregator_windows_emitted", "windows_applied")) + " FROM rated GROUP BY ts)\n"
+INGEST = ["http_ingest_accepted", "http_ingest_rejected", "http_ingest_unauthenticated"]
 
 
-@query("win_6_ingest_failure_ratio", duck_with("samples").rstrip() + ",\n" + RATE + ",\n" + WIDE + "SELECT epoch_us(ts) AS at_us, round(http_ingest_rejected / greatest(http_ingest_accepted + http_ingest_rejected, 1) * 1000000000) AS ratio FROM wide WHERE ts IN (SELECT ts FROM samples WHERE metric LIKE 'http%')")
+@query("win_6_ingest_failure_ratio", duck_with("samples").rstrip() + f", {_pairs()}, {_rated(_all_times(INGEST), 10_800)}, {_wide(INGEST)} SELECT epoch_us(ts) AS at_us, round((http_ingest_rejected + http_ingest_unauthenticated) / greatest(http_ingest_accepted + http_ingest_rejected + http_ingest_unauthenticated, 1) * 1000000000) AS ratio FROM wide")
 def _(spark, sf):
     return rates.ingest_failure_ratio(fx.samples(spark, sf), 10_800).select(F.unix_micros("ts").alias("at_us"), F.round(F.col("ratio") * 1_000_000_000).alias("ratio"))
 
 
-@query("win_7_drain_time", duck_with("samples").rstrip() + ",\n" + RATE + "SELECT epoch_us(ts) AS at_us, round(lag / greatest(rate, 1) * 1000) AS millis FROM (SELECT ts, CAST(sum(value) AS DOUBLE) AS lag FROM samples WHERE metric = 'http_ingest_accepted' GROUP BY ts) JOIN (SELECT * FROM rated WHERE metric = 'aggregator_batches_consumed') USING (ts)")
+@query("win_7_drain_time", duck_with("samples").rstrip() + f", {_pairs()}, {_rated(OWN_TIMES, 10_800)} SELECT epoch_us(ts) AS at_us, round(lag / greatest(rate, 1) * 1000) AS millis FROM (SELECT ts, CAST(sum(value) AS DOUBLE) AS lag FROM samples WHERE metric = 'http_ingest_accepted' GROUP BY ts) JOIN (SELECT * FROM rated WHERE metric = 'aggregator_batches_consumed') USING (ts)")
 def _(spark, sf):
     s = fx.samples(spark, sf)
     lag = s.where("metric = 'http_ingest_accepted'").groupBy("ts").agg(F.sum("value").alias("lag"))
     return rates.drain_time(lag, s, "aggregator_batches_consumed", 10_800).select(F.unix_micros("ts").alias("at_us"), F.round(F.col("seconds") * 1000).alias("millis"))
 
 
+STATES = """runs AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY rule ORDER BY ts) AS run FROM (SELECT *, is_on <> coalesce(lag(is_on) OVER (PARTITION BY rule ORDER BY ts), false) AS fresh FROM marks))
+SELECT rule, epoch_us(ts) AS at_us, CASE WHEN epoch(ts) - epoch(min(ts) OVER (PARTITION BY rule, run)) >= hold THEN 'firing' ELSE 'pending' END AS state FROM runs WHERE is_on"""
 ALERT_SQL = (
     duck_with("samples").rstrip()
-    + ",\n"
-    + RATE
-    + ",\n"
-    + WIDE
+    + f", {_pairs()}, {_rated(_all_times(rates.ALERT_METRICS), 10_800)}, {_wide(rates.ALERT_METRICS)}"
     + """, f AS (SELECT *, http_ingest_rejected / greatest(http_ingest_accepted + http_ingest_rejected, 1) AS ratio FROM wide),
 marks AS (SELECT ts, 'IngestErrorBudgetBurningFast' AS rule, ratio > 0.0001 AS is_on, 7200 AS hold FROM f UNION ALL SELECT ts, 'WindowEmissionStalled', aggregator_batches_consumed > 0 AND aggregator_windows_emitted = 0, 3600 FROM f UNION ALL SELECT ts, 'HotStateWritesStopped', aggregator_windows_emitted > 0 AND windows_applied = 0, 3600 FROM f),
-runs AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY rule ORDER BY ts) AS run FROM (SELECT *, is_on <> coalesce(lag(is_on) OVER (PARTITION BY rule ORDER BY ts), false) AS fresh FROM marks))
-SELECT rule, epoch_us(ts) AS at_us, CASE WHEN epoch(ts) - epoch(min(ts) OVER (PARTITION BY rule, run)) >= hold THEN 'firing' ELSE 'pending' END AS state FROM runs WHERE is_on"""
+"""
+    + STATES
 )
 
 
@@ -569,10 +583,25 @@ def _(spark, sf):
     return rates.alert_states(wide, rules).select("rule", F.unix_micros("ts").alias("at_us"), "state")
 
 
-@query("win_8_alert_rules")
+def _all_rules_sql() -> str:
+    """Every rule over rates at each half minute, each rate a sum over the pairs of samples in its span."""
+    names = ", ".join(f"('{m}')" for m in rates.ALERT_METRICS)
+    grid = f"SELECT metric, ts FROM (VALUES {names}) m(metric), (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 30 SECOND)) AS ts FROM fast_samples)"
+    parts = [_rated(grid, seconds, f"rated_{name}") for name, seconds in rates.SPANS.items()]
+    rated = "rated AS (" + " UNION ALL ".join(f"SELECT metric || '_{name}' AS metric, ts, rate FROM rated_{name}" for name in rates.SPANS) + ")"
+    marks = " UNION ALL ".join(f"SELECT ts, '{rule}' AS rule, {predicate.replace('1D', '1.0')} AS is_on, {hold} AS hold FROM f" for rule, predicate, hold in rates.ALERTS)
+    lag = "lags AS (SELECT ts, CAST(sum(value) AS DOUBLE) AS lag FROM fast_samples WHERE metric = 'http_ingest_accepted' GROUP BY ts)"
+    bad = "http_ingest_rejected_5m + http_ingest_unauthenticated_5m"
+    f = f"f AS (SELECT wide.*, coalesce(lags.lag, 0) AS lag, ({bad}) / greatest(http_ingest_accepted_5m + {bad}, 1.0) AS failure_ratio_5m FROM wide LEFT JOIN lags USING (ts))"
+    return duck_with("fast_samples").rstrip() + ", " + ", ".join([_pairs("fast_samples"), *parts, rated, _wide([f"{m}_{s}" for m in rates.ALERT_METRICS for s in rates.SPANS]), lag, f, f"marks AS ({marks})", STATES])
+
+
+@query("win_8_alert_rules", _all_rules_sql())
 def _(spark, sf):
-    """All fourteen rules with their own spans; the samples are hourly, so most rates of minutes are 0."""
-    return rates.alerts(fx.samples(spark, sf)).select("rule", F.unix_micros("ts").alias("at_us"), "state")
+    """All fourteen rules with their own spans and times, every half minute."""
+    s = fx.fast_samples(spark, sf)
+    lag = s.where("metric = 'http_ingest_accepted'").groupBy("ts").agg(F.sum("value").alias("lag"))
+    return rates.alerts(s, lag).select("rule", F.unix_micros("ts").alias("at_us"), "state")
 
 
 @query("win_2_flood_report", duck_with("telemetry") + "SELECT arrival, count(*) OVER w AS in_span, count(*) OVER w > 3 AS denied FROM (SELECT *, observed_at_unix_nanos // 1000000000 AS ts_unix FROM telemetry) WINDOW w AS (PARTITION BY device_id ORDER BY ts_unix RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)")

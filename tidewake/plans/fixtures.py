@@ -80,6 +80,23 @@ def samples_sql(duck: bool) -> str:
     's' || CAST(user_id % 3 AS STRING) AS series, date_trunc('hour', {ts}) AS ts, count(*) AS n FROM {e} GROUP BY 1, 2, 3)"""
 
 
+def fast_samples_sql(duck: bool) -> str:
+    """Counters of all alert rules every 30 seconds: an hour of the events becomes half a minute; two of them pause."""
+    e = "events" if duck else "{events}"
+    ts = "ts" if duck else "CAST(ts AS TIMESTAMP)"
+    slot = f"date_diff('hour', TIMESTAMP '2024-01-01 00:00:00', {ts})" if duck else f"CAST((unix_timestamp({ts}) - unix_timestamp(TIMESTAMP '2024-01-01 00:00:00')) DIV 3600 AS BIGINT)"
+    at = "TIMESTAMP '2024-01-01 00:00:00' + to_seconds(slot * 30)" if duck else "timestamp_seconds(unix_timestamp(TIMESTAMP '2024-01-01 00:00:00') + slot * 30)"
+    return f"""SELECT metric, series, {at} AS ts, CAST(100 * sum(n) OVER (PARTITION BY metric, series, CAST(floor(slot / 24) AS BIGINT) ORDER BY slot) AS DOUBLE) AS value FROM (
+  SELECT CASE event_type
+    WHEN 'click' THEN CASE event_id % 4 WHEN 0 THEN 'http_ingest_unauthenticated' WHEN 1 THEN 'aggregator_events_shed' ELSE 'http_ingest_accepted' END
+    WHEN 'error' THEN CASE event_id % 4 WHEN 0 THEN 'kafka_dead_letter' WHEN 1 THEN 'runtime_stage_failures' ELSE 'http_ingest_rejected' END
+    WHEN 'view' THEN CASE event_id % 4 WHEN 0 THEN 'agent_batches_spooled' WHEN 1 THEN 'agent_spool_dropped' ELSE 'aggregator_batches_consumed' END
+    WHEN 'purchase' THEN CASE event_id % 4 WHEN 0 THEN 'watch_updates_dropped' ELSE 'aggregator_windows_emitted' END
+    ELSE CASE event_id % 4 WHEN 0 THEN 'postgres_windows_persisted' WHEN 1 THEN 'aggregator_windows_retained' ELSE 'windows_applied' END END AS metric,
+    's' || CAST(user_id % 3 AS STRING) AS series, slot, count(*) AS n FROM (SELECT *, {slot} AS slot FROM {e}) GROUP BY 1, 2, 3)
+  WHERE NOT (metric = 'aggregator_windows_emitted' AND slot BETWEEN 200 AND 300) AND NOT (metric = 'windows_applied' AND slot BETWEEN 400 AND 500)"""
+
+
 def freshness_sql(duck: bool, source: str) -> str:
     return f"SELECT device_id, arrival AS round, observed_at_unix_nanos AS sent_nanos, CASE WHEN k % 50 = 0 THEN NULL ELSE observed_at_unix_nanos + latency_nanos END AS visible_nanos FROM {source}"
 
@@ -142,6 +159,10 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derived(spark, sf_dir, samples_sql(False), "events")
 
 
+def fast_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derived(spark, sf_dir, fast_samples_sql(False), "events")
+
+
 def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(freshness_sql(False, "{t}"), t=telemetry(spark, sf_dir))
 
@@ -202,6 +223,7 @@ def duck_with(*names: str) -> str:
         "principals": principals_sql(True),
         "trace": trace_sql(True, "telemetry"),
         "samples": samples_sql(True),
+        "fast_samples": fast_samples_sql(True),
         "freshness": freshness_sql(True, "telemetry"),
         "backlog": backlog_sql(True),
         "outcomes": outcomes_sql(True),
