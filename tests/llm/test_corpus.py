@@ -744,7 +744,43 @@ def test_minimax_cuts_against_brute_force(spark, bits):
         loads = collections.Counter()
         for a, b in zip(h, sizes, strict=True):
             loads[sum(c is not None and a >= c for c in cuts)] += b
-        assert max(loads.values()) <= capacity and len(cuts) == shards - 1
+        assert max(loads.values()) <= capacity and len(cuts) <= shards - 1
+
+
+def test_heavy_groups_stay_in_their_place(spark):
+    rng = random.Random(18)
+    for groups, shards, heavy in ((120, 9, [0, 40, 41, 119]), (60, 8, [30]), (3, 6, [0, 1]), (2, 5, [0, 1])):
+        h = sorted({rng.randrange(-(1 << 63), 1 << 63) for _ in range(groups)})
+        sizes = [rng.randint(16, 300) for _ in h]
+        for k in heavy:
+            sizes[k] = 100_000 + k
+        df = spark.createDataFrame(list(zip(h, sizes, strict=True)), "h long, size long")
+        alone = sharding.heavy_groups(df, shards)
+        assert set(alone) >= {h[k] for k in heavy}
+        capacity, cuts = sharding.minimax_cuts(df, shards, 4, 3, alone)
+        shard = [sum(a >= c for c in cuts) for a in h]
+        assert shard == sorted(shard) and set(shard) == set(range(len(cuts) + 1)) and len(cuts) < shards
+        loads = collections.defaultdict(list)
+        for a, b, k in zip(h, sizes, shard, strict=True):
+            loads[k].append(b if a not in alone else None)
+        assert all(len(x) == 1 for x in loads.values() if None in x)
+        light = [x for x in loads.values() if None not in x]
+        assert max(map(sum, light), default=0) <= capacity
+        runs = [[b for _, b in g] for k, g in itertools.groupby(zip(h, sizes, strict=True), key=lambda x: x[0] in alone) if not k]
+
+        def needed(most, runs=runs):
+            total = 0
+            for run in runs:
+                room = -1
+                for b in run:
+                    if b > room:
+                        total, room = total + 1, most
+                    room -= b
+            return total
+
+        left = shards - len(alone)
+        lower = max([-(-sum(map(sum, runs)) // left), *itertools.chain(*runs)], default=0) if runs else 0
+        assert capacity == next(c for c in itertools.count(lower) if needed(c) <= left) if runs else capacity == 0
 
 
 def test_shards(spark):

@@ -19,22 +19,27 @@ LOWEST = -(1 << 63)
 
 
 class Bars:
-    """Consecutive hash ranges with their bytes; ``whole`` marks bars that hold a single group."""
+    """Consecutive hash ranges with their bytes; ``whole`` marks bars that hold a single group.
 
-    def __init__(self, lows: np.ndarray, weights: np.ndarray, whole: np.ndarray):
+    No shard goes on across a fence; bars lie on one side of each.
+    """
+
+    def __init__(self, lows: np.ndarray, weights: np.ndarray, whole: np.ndarray, fences: list[int]):
         self.lows, self.whole = lows, whole
         self.ends = np.concatenate([[0], np.cumsum(weights)])
         self.total = int(self.ends[-1])
+        self.fences = np.array([self.ends[np.searchsorted(lows, x)] for x in fences] + [self.total], np.int64)
 
     def cuts(self, capacity: int, shards: int) -> tuple[list[int], list[int]]:
         """Least and greatest byte position of each greedy cut at this capacity."""
         low = high = 0
         lows, highs = [], []
+        fence = lambda x: int(self.fences[min(np.searchsorted(self.fences, x, "right"), len(self.fences) - 1)])
         for _ in range(shards):
-            low = int(self.ends[np.searchsorted(self.ends, low + capacity, "right") - 1])
+            low = min(fence(low), int(self.ends[np.searchsorted(self.ends, low + capacity, "right") - 1]))
             aim = high + capacity
             at = int(np.searchsorted(self.ends, aim, "right")) - 1
-            high = self.total if at >= len(self.whole) else int(self.ends[at]) if self.whole[at] else aim
+            high = min(fence(high), self.total if at >= len(self.whole) else int(self.ends[at]) if self.whole[at] else aim)
             lows.append(low)
             highs.append(high)
         return lows, highs
@@ -52,20 +57,27 @@ class Bars:
         return low
 
 
-def _bars(rows: DataFrame, bits: int) -> list:
-    bar = F.shiftright("h", 64 - bits)
-    return rows.groupBy(bar.alias("bar")).agg(F.sum("size").alias("w"), F.min("h").alias("lo"), F.max("h").alias("hi")).collect()
+def _bars(rows: DataFrame, bits: int, fences: list[int]) -> list:
+    run = sum(((F.col("h") > F.lit(x)).cast("int") for x in fences), F.lit(0))
+    return rows.groupBy(F.shiftright("h", 64 - bits).alias("bar"), run.alias("run")).agg(F.sum("size").alias("w"), F.min("h").alias("lo"), F.max("h").alias("hi")).collect()
 
 
-def minimax_cuts(rows: DataFrame, shards: int, first_bits: int = 12, step_bits: int = 6) -> tuple[int, list[int]]:
-    """(capacity, for each cut the first hash of the next shard) for ``rows`` (h, size)."""
-    found = {(r.lo, r.hi): r.w for r in _bars(rows, first_bits)}
+def minimax_cuts(rows: DataFrame, shards: int, first_bits: int = 12, step_bits: int = 6, alone: list[int] | None = None) -> tuple[int, list[int]]:
+    """(capacity, for each cut the first hash of the next shard) for ``rows`` (h, size).
+
+    Each of the groups ``alone`` fills a shard in its place in the order; the capacity is the
+    smallest with which the groups between them fit into the other shards.
+    """
+    fences = sorted(alone or [])
+    rest = rows.where(~F.col("h").isin(fences)) if fences else rows
+    shards -= len(fences)
+    found = {(r.lo, r.hi): r.w for r in _bars(rest, first_bits, fences)}
     bits = first_bits
     while True:
         keys = sorted(found)
-        bars = Bars(np.array([k[0] for k in keys], np.int64), np.array([found[k] for k in keys], np.int64), np.array([k[0] == k[1] for k in keys], bool))
+        bars = Bars(np.array([k[0] for k in keys], np.int64), np.array([found[k] for k in keys], np.int64), np.array([k[0] == k[1] for k in keys], bool), fences)
         if not keys:
-            return 0, []
+            return 0, fences[1:]
         possible, sure = bars.least(shards, False), bars.least(shards, True)
         lows, highs = bars.cuts(possible, shards)[0], bars.cuts(sure, shards)[1]
         spans: list[list[int]] = []  # one for each cut whose place is open, merged where they meet
@@ -78,8 +90,14 @@ def minimax_cuts(rows: DataFrame, shards: int, first_bits: int = 12, step_bits:
                 else:
                     spans.append([first, last])
         if not spans or (possible == sure and lows == highs):
-            at = [int(np.searchsorted(bars.ends, x, "left")) for x in bars.cuts(sure, shards)[0][:-1]]
-            return sure, [int(bars.lows[k]) if k < len(keys) else None for k in at]
+            at = {x for x in bars.cuts(sure, shards)[0] if x < bars.total} - set(bars.fences.tolist())
+            cuts = [int(bars.lows[np.searchsorted(bars.ends, x, "left")]) for x in at]
+            for k, (x, place) in enumerate(zip(fences, bars.fences, strict=False)):
+                if k or place:  # something stands before it
+                    cuts.append(x)
+                if bars.fences[k + 1] > place:  # and after it, before the next
+                    cuts.append(x + 1)
+            return sure, sorted(cuts)
         bits = min(64, bits + step_bits)
         ranges = [(keys[first][0], keys[last][1]) for first, last in spans]
         for first, last in spans:
@@ -88,7 +106,7 @@ def minimax_cuts(rows: DataFrame, shards: int, first_bits: int = 12, step_bits:
         inside = F.lit(False)
         for lo, hi in ranges:
             inside = inside | F.col("h").between(lo, hi)
-        found |= {(r.lo, r.hi): r.w for r in _bars(rows.where(inside), bits)}
+        found |= {(r.lo, r.hi): r.w for r in _bars(rest.where(inside), bits, fences)}
 
 
 def heavy_groups(rows: DataFrame, shards: int) -> list[int]:
@@ -105,23 +123,18 @@ def heavy_groups(rows: DataFrame, shards: int) -> list[int]:
     return alone
 
 
-def shard_of(h: Column, alone: list[int], cuts: list[int], shards: int) -> Column:
-    """Shard of a hash: the number of cuts at or below it; heavy groups take the last shards."""
-    shard = F.lit(0)
-    for c in cuts:
-        if c is not None:
-            shard = shard + (h >= F.lit(c)).cast("int")
-    for k, x in enumerate(alone):
-        shard = F.when(h == F.lit(x), F.lit(shards - 1 - k)).otherwise(shard)
-    return shard.cast("int")
+def shard_of(h: Column, cuts: list[int]) -> Column:
+    """Shard of a hash: the number of cuts at or below it."""
+    return sum(((h >= F.lit(c)).cast("int") for c in cuts), F.lit(0)).cast("int")
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "text", cells: int = 1024) -> DataFrame:
     """Put every row of ``docs`` into a shard so that the fullest shard is as light as it can be.
 
     size: UTF-8 bytes of the text plus 16. Equal texts share a shard, null being one text of no
-    bytes and apart from the empty one. A group heavier than an even share fills a shard alone,
-    and the others are cut contiguously at the smallest feasible capacity. ``slot`` numbers the
+    bytes and apart from the empty one. Shards are contiguous in the order of the groups. A group
+    heavier than an even share fills a shard in its place, as no cut can make that lighter, and
+    the groups between such ones are cut at the smallest feasible capacity. ``slot`` numbers the
     rows of a shard from 0 without gaps. Repeated rows and null keys each keep a slot; an empty
     table gives no rows; other columns are ignored.
 
@@ -137,9 +150,8 @@ def shard_documents(docs: DataFrame, shards: int = 40, key: str = "doc_id", text
     )
     light = materialise(light.withColumn("cell", F.pmod(F.xxhash64("k", "h"), F.lit(cells)).cast("int")), "shard-rows")
     alone = heavy_groups(light, shards)
-    rest = light.where(~F.col("h").isin(alone)) if alone else light
-    _, cuts = minimax_cuts(rest.select("h", "size"), shards - len(alone))
-    dealt = light.withColumn("shard", shard_of(F.col("h"), alone, cuts, shards))
+    _, cuts = minimax_cuts(light.select("h", "size"), shards, alone=alone)
+    dealt = light.withColumn("shard", shard_of(F.col("h"), cuts))
     # at most shards * cells rows, whatever the number of documents: safe to broadcast
     counts = dealt.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -161,4 +173,5 @@ def shard_documents(docs: DataFrame, shards: int = 40, key: str = "doc_id", text
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near equal bytes."""
     return shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), 40)
