@@ -703,7 +703,7 @@ def test_licenses(spark):
     texts = [*odd_texts(rng)[:6], "x " * 300 + t["apache-2.0-header"] + " y" * 50, prose(rng, 40) + "\n" + t["mit-notice"], "#" + "\n# ".join(t["gpl-header"].split()), " ".join(broken), " ".join(t["mit-permission"].split()[:35])]
     docs = documents(spark, texts).withColumnRenamed("extra", "matches")
     got = {r["doc_id"]: {m["name"] for m in r["matches"]} for r in licenses.scan_licenses(docs).collect()}
-    split = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (x or "").lower())
+    split = lambda x: [w.decode() for w in words((x or "").encode())]
     grams = lambda x: {tuple(w[i : i + 5]) for w in [split(x)] for i in range(len(w) - 4)}
     for i, x in enumerate(texts):
         assert got[i] == {k for k, v in t.items() if len(grams(v) & grams(x)) >= 0.8 * len(grams(v))}
@@ -711,6 +711,23 @@ def test_licenses(spark):
     assert all(not r["matches"] for r in licenses.scan_licenses(docs, {"short": "two words"}).collect())
 
 
+def test_damaged_full_licenses_are_found(spark):
+    rng = random.Random(17)
+    grams = lambda x: {tuple(w[i : i + 5]) for w in [words(x.encode())] for i in range(len(w) - 4)}
+    texts, wanted = [], []
+    for name, body in licenses.TEMPLATES.items():
+        for share in (0, 0.01, 0.02, 0.04):
+            w = body.split()
+            for k in range(len(w)):
+                if rng.random() < share:
+                    w[k] = rng.choice(WORDS)
+            texts.append(f"{prose(rng, rng.randint(5, 300))} {' '.join(w)} {prose(rng, 60)}")
+            wanted.append(len(grams(texts[-1]) & grams(body)) >= 0.8 * len(grams(body)))
+    got = {r["doc_id"]: {m["name"] for m in r["matches"]} for r in licenses.scan_licenses(documents(spark, texts)).collect()}
+    names = [n for n in licenses.TEMPLATES for _ in range(4)]
+    assert [names[i] in got[i] for i in range(len(texts))] == wanted and sum(wanted) > 100
+
+
 def test_license_bands_collide_with_high_probability():
     # a template just over half its class, at the least containment, in the widest window
     worst = min((0.8 * n) / (1.5 * m + n - 0.8 * n) for m in (1, 2, 4, 8, 64) for n in (m // 2 + 1,))

@@ -3,30 +3,21 @@
 Texts are cut into overlapping windows of word shingles, with widths that follow the sizes of the
 templates. MinHash bands of a window retrieve templates, and exact containment of the template's
 shingles in the window verifies them. A window without any template shingle cannot verify, so
-only windows that hold one are hashed. Everything happens within a row: nothing is shuffled.
+only windows that hold one are hashed; of the templates, bands alone decide which are verified
+there. Everything happens within a row: nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Short notices and openings of well-known licenses.
-TEMPLATES = {
-    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "mit-notice": "Released under the MIT License.",
-    "mit-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions.",
-    "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "bsd-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
-    "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "cc-by-4.0-notice": "Licensed under CC BY 4.0 International.",
-    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-}
+from tidewake.llm.common import ascii_lower
+from tidewake.llm.license_texts import TEMPLATES
+
 SHINGLE, BANDS, THRESHOLD = 5, 32, 0.8
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -44,7 +35,7 @@ class Template:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), lambda w: w != "")
+    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), lambda w: w != "")
 
 
 def shingles_of(words: Column) -> Column:
@@ -70,7 +61,8 @@ def _class_matches(shingles: Column, places: Column, reach: int, templates: list
     """Matches in the windows of one size class: array of (name, first_word, n_words, contained)."""
     step = max(1, reach // 2)
     width = reach + step if reach > 1 else 1  # any run of ``reach`` shingles lies in a window
-    known = F.array(*(F.struct(F.lit(t.name).alias("name"), F.array(*map(F.lit, t.shingles)).alias("shingles"), F.array(*map(F.lit, t.bands)).alias("bands")) for t in templates))
+    rows = [{"name": t.name, "shingles": t.shingles, "bands": t.bands} for t in templates]
+    known = F.from_json(F.lit(json.dumps(rows)), "array<struct<name: string, shingles: array<bigint>, bands: array<bigint>>>")  # one constant of the plan
     first = lambda p: F.greatest(F.lit(0), F.ceil((p - (width - 1)) / step).cast("int"))
     numbers = F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(first(p), F.floor(p / step).cast("int")))))
     windows = F.transform(numbers, lambda k: F.struct((k * step).alias("at"), F.array_distinct(F.slice(shingles, k * step + 1, F.lit(width))).alias("held")))
@@ -94,7 +86,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, text:
     A match is (name, first_word, n_words, contained): the earliest of the windows with the
     greatest share, at least 0.8, of the template's shingles. Null and empty texts and texts of
     under five words have no matches; repeated rows stay; columns of the new names are replaced.
-    The templates become constants of the plan, so they should number hundreds at most.
+    Words are those of the other operators: A-Z lowered. The templates and their bands become a
+    constant of the plan, so they should number hundreds at most.
     """
     known = prepare(docs.sparkSession, templates)
     everything = sorted({h for t in known for h in t.shingles})
@@ -118,6 +111,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, text:
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    """The licenses that each document contains, and where the first begins."""
     found = scan_licenses(docs)
     return found.select(
         "doc_id",
