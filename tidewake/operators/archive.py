@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +49,8 @@ def write_archive(emissions: DataFrame, path: str) -> tuple[int, int]:
             held = scan_archive(spark, path, days)
         fresh = new_rows(emissions, held).persist()
         inserted = fresh.count()
-        fresh.repartition("window_day").sortWithinPartitions("user_id", "device_id").write.mode("append").partitionBy("window_day").parquet(path)
+        # a day of many rows is split over several tasks and files
+            fresh.hint("rebalance", "window_day").write.mode("append").partitionBy("window_day").parquet(path)
         fresh.unpersist()
         return inserted, total - inserted
     finally:
@@ -81,7 +84,7 @@ def erase_device_files(spark: SparkSession, path: str, user_id: str, device_id:
         days = [r["window_day"] for r in touched]
         kept, _ = erase_device(scan_archive(spark, path, days), user_id, device_id)
         # a day's files are read while they are replaced, so the new rows are written aside first
-        aside = f"{path.rstrip('/')}_rewrite"
+        aside = f"{path.rstrip('/')}_rewrite_{uuid.uuid4().hex}"  # of this erasure alone
         kept.write.mode("overwrite").partitionBy("window_day").parquet(aside)
         spark.read.schema(kept.schema).parquet(aside).withColumn("window_day", F.col("window_day").cast("string")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("window_day").parquet(path)
         left = {r[0] for r in spark.read.schema(kept.schema).parquet(aside).select(F.col("window_day").cast("string")).distinct().collect()}

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a temporary folder where it is unset, as in tests."""
+    """``spark.checkpoint.dir``; in local mode, as in tests, a temporary folder where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = getattr(spark, "_tidewake_base", None)
         if base is None:
             base = spark._tidewake_base = tempfile.mkdtemp(prefix="spark-tidewake-")
