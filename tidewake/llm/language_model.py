@@ -31,7 +31,8 @@ CLASSES, PLACES = 48, 4096  # at least, with so many words
 SHARE = 16  # a word of a frequency of 1 / (SHARE * sqrt(all tokens)) or more has a place
 STRETCH = 32_768  # weights that are added up as one
 CHUNK = 1024  # tokens whose class scores are worked on at a time, so that they stay in the cache
-TOKENS_A_WEIGHT = 4  # of a trainer at least, so that the networks that are averaged stay small against the texts
+TOKENS_A_WEIGHT = 1  # of a trainer at least, so that the networks that are averaged stay small against the texts
+WAYS = 64  # of adding networks up side by side
 ROW_PACE = 20  # the rate of rows that go by their own gradients, as a multiple of Adam's
 
 
@@ -460,8 +461,8 @@ def _place_lists(column: pa.Array, most: int = 3_000_000) -> Iterator[list[np.nd
         yield some
 
 
-def train_round(encoded: DataFrame, net: Network, rate: float) -> Network:
-    """The token-weighted mean of the networks that the tasks train on their texts, from ``net``."""
+def train_round(encoded: DataFrame, net: Network, rate: float, trainers: int) -> Network:
+    """The token-weighted mean of the networks that at most ``trainers`` tasks train on their texts, from ``net``."""
     shared = encoded.sparkSession.sparkContext.broadcast((net.weights, net.class_of, net.starts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -482,10 +483,12 @@ def train_round(encoded: DataFrame, net: Network, rate: float) -> Network:
         return pa.table({"part": table["part"][:1], "size": pa.array([sum(sizes)], pa.int64()), "mean": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
 
     schema = "part int, size long, mean binary"
-    trained = encoded.select(f"{OWN}places").mapInArrow(run, schema).withColumn("way", F.spark_partition_id() % 64)
-    # stretches of weights are added up apart, and in two steps, so that no task sees all networks
-    some = trained.groupBy("part", "way").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema)
-    got = sorted((r["part"], r["size"], bytes(r["mean"])) for r in some.collect())  # as large as one network
+    trained = encoded.select(f"{OWN}places").coalesce(trainers).mapInArrow(run, schema)
+    # stretches of weights are added up apart, and many networks in two steps, so that no task sees all of them
+    if trainers > WAYS:
+        trained = trained.withColumn("way", F.spark_partition_id() % WAYS).groupBy("part", "way").applyInArrow(add, schema)
+    mean = trained.groupBy("part").applyInArrow(add, schema)
+    got = sorted((r["part"], r["size"], bytes(r["mean"])) for r in mean.collect())  # as large as one network
     if not got:
         return net
     flat = np.concatenate([np.frombuffer(x, np.float32) for _, _, x in got])
@@ -498,12 +501,12 @@ def train(encoded: DataFrame, corpus: Corpus, rounds: int = 3, rate: float = 0.0
 
     Each task of a round trains on its rows from common weights, so the weights depend on how the
     table is cut into tasks; every row is used whatever the cut. Tasks are joined until each has
-    several tokens for each weight: the networks that a round shuffles stay below its texts.
+    a token for each weight: the networks that a round shuffles stay in proportion to its texts.
     """
     net = Network.begin(corpus.place_counts)
     trainers = max(1, corpus.total // (rounds * TOKENS_A_WEIGHT * sum(w.size for w in net.weights)))
     for k in range(rounds):
-        net = train_round(encoded.where(F.pmod(F.xxhash64(ROW), F.lit(rounds)) == k).coalesce(trainers), net, rate * 0.5**k)
+        net = train_round(encoded.where(F.pmod(F.xxhash64(ROW), F.lit(rounds)) == k), net, rate * 0.5**k, trainers)
     return net
 
 
