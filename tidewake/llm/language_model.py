@@ -31,7 +31,7 @@ CLASSES, PLACES = 48, 4096  # at least, with so many words
 SHARE = 16  # a word of a frequency of 1 / (SHARE * sqrt(all tokens)) or more has a place
 STRETCH = 32_768  # weights that are added up as one
 CHUNK = 1024  # tokens whose class scores are worked on at a time, so that they stay in the cache
-TOKENS_A_WEIGHT = 1  # of a trainer at least, so that the networks that are averaged stay small against the texts
+TOKENS_A_WEIGHT = 4  # of a trainer at least, so that the networks that are averaged stay small against the texts
 WAYS = 64  # of adding networks up side by side
 ROW_PACE = 20  # the rate of rows that go by their own gradients, as a multiple of Adam's
 
@@ -383,7 +383,7 @@ class Corpus:
         self.numbers = np.array(list(found.values()), np.int64)
         self.least_placed = max(self.least, -(-self.total // max(1, int(SHARE * self.total**0.5))))
         places = max(PLACES, int(np.count_nonzero(self.numbers >= self.least_placed)))
-        self.placed = self.words[: places if most_places is None else most_places]
+        self.placed = self.words[: places if most_places is None else min(places, most_places)]
         own = self.numbers[: len(self.placed)]
         # words without a place: each its count plus one, and one more for all that were never seen
         others = self.distinct - (self.ends > 0) - len(self.placed)
@@ -501,7 +501,7 @@ def train(encoded: DataFrame, corpus: Corpus, rounds: int = 3, rate: float = 0.0
 
     Each task of a round trains on its rows from common weights, so the weights depend on how the
     table is cut into tasks; every row is used whatever the cut. Tasks are joined until each has
-    a token for each weight: the networks that a round shuffles stay in proportion to its texts.
+    several tokens for each weight: the networks that a round shuffles stay below its texts.
     """
     net = Network.begin(corpus.place_counts)
     trainers = max(1, corpus.total // (rounds * TOKENS_A_WEIGHT * sum(w.size for w in net.weights)))
