@@ -224,6 +224,28 @@ def test_fan_out_reaches_later_sinks_and_raises_the_first(spark):
     assert seen == [3]
 
 
+@pytest.mark.parametrize(("failures", "kept"), [(2, True), (3, False)])
+def test_a_batch_has_three_attempts_before_the_dead_letters(spark, failures, kept):
+    source, good, dead = (new_path(spark, x) for x in ("in", "good", "dead"))
+    messages = spark.createDataFrame([("a", '{"x": 1}'), ("b", "{"), ("c", None)], "key string, value string")
+    messages.coalesce(1).write.parquet(source)
+    tries = []
+
+    def handler(batch, batch_id):
+        tries.append(batch_id)
+        if len(tries) <= failures:
+            raise RuntimeError("no luck")
+        sinks.append_parquet(good)(batch, batch_id)
+
+    stream = spark.readStream.schema(messages.schema).parquet(source)
+    jobs.split_poison(stream, "x long", handler, sinks.append_parquet(dead), "raw", new_path(spark, "check")).awaitTermination()
+    reasons = {r["key"]: r["reason"] for r in spark.read.parquet(dead).collect()}
+    lost = {"b": "malformed", "c": "malformed"}
+    assert len(tries) == 3 and reasons == (lost if kept else lost | {"a": "RuntimeError: no luck"})
+    if kept:
+        assert [tuple(r) for r in spark.read.parquet(good).select("key", "x").collect()] == [("a", 1)]
+
+
 def test_snapshots_survive_a_retry(spark):
     s = sinks.StateSnapshots(new_path(spark, "snapshots"))
     s(emissions(spark, emission(1, 10, arrival=1)), 0)

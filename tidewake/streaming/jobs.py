@@ -61,10 +61,10 @@ class _ClosedWindows(StatefulProcessor):
         held = self.totals.get() if self.totals.exists() else None
         count, errors, size, most = held or (0, 0, 0, 0)
         for frame in rows:
-            for bucket, n, e, b, m in frame[["bucket", "n", "e", "b", "m"]].itertuples(index=False):
+            for bucket, n in frame.groupby("bucket")["n"].sum().items():
                 seen = self.cells.getValue((int(bucket),))[0] if self.cells.containsKey((int(bucket),)) else 0
                 self.cells.updateValue((int(bucket),), (seen + int(n),))
-                count, errors, size, most = count + int(n), errors + int(e), size + int(b), max(most, int(m))
+            count, errors, size, most = count + int(frame["n"].sum()), errors + int(frame["e"].sum()), size + int(frame["b"].sum()), max(most, int(frame["m"].max()))
         self.totals.update((count, errors, size, most))
         if held is None:
             now = timerValues.getCurrentProcessingTimeInMs()
@@ -163,17 +163,29 @@ def live_device_state(changes: DataFrame) -> DataFrame:
     return changes.groupBy("user_id", "device_id").agg(F.max_by(F.struct(*rest), "arrival").alias("x")).select("user_id", "device_id", "x.*")
 
 
-def split_poison(messages: DataFrame, schema: str, good: Sink, dead: Sink, origin: str, checkpoint: str) -> StreamingQuery:
+ATTEMPTS = 3
+
+
+def split_poison(messages: DataFrame, schema: str, good: Sink, dead: Sink, origin: str, checkpoint: str, attempts: int = ATTEMPTS) -> StreamingQuery:
     """Messages that parse go to ``good``, the others with reason and origin to ``dead``; then the batch is done.
 
-    A failure of a sink fails the batch, which the checkpoint repeats; a bad message never does.
+    ``good`` has ``attempts`` tries at a batch and must write it whole again at each; when the last
+    fails, the batch's messages go to ``dead`` too, with the failure as their reason. A failure of
+    ``dead`` fails the batch, which the checkpoint repeats; a bad message never does.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         parsed = batch.withColumn("__v", F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})).persist()
         bad = F.col("__v").isNull() | F.col("__v._corrupt").isNotNull()
-        good(parsed.where(~bad).select("key", "__v.*").drop("_corrupt"), batch_id)
-        dead(parsed.where(bad).select("key", "value", F.lit(origin).alias("origin"), F.lit("malformed").alias("reason")), batch_id)
+        reason = F.when(bad, "malformed")
+        for left in reversed(range(attempts)):
+            try:
+                good(parsed.where(~bad).select("key", "__v.*").drop("_corrupt"), batch_id)
+                break
+            except Exception as problem:  # noqa: BLE001  the last one is written beside the messages
+                if not left:
+                    reason = reason.otherwise(f"{type(problem).__name__}: {problem}"[:500])
+        dead(parsed.select("key", "value", F.lit(origin).alias("origin"), reason.alias("reason")).where("reason IS NOT NULL"), batch_id)
         parsed.unpersist()
 
     return messages.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
