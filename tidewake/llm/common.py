@@ -62,6 +62,24 @@ def keyed_rows(df: DataFrame) -> DataFrame:
     return materialise(with_row_key(df), "rows")
 
 
+def global_order(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with ``name``, each row's place from 0 in the order of ``order`` over the whole table.
+
+    Rows are dealt by ranges of ``order``, so that one frequent value spreads over tasks as long as
+    later columns tell its rows apart, and written; only the rows' number in each partition is summed up.
+    """
+    spark = df.sparkSession
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    within = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    dealt = materialise(dealt.withColumns({"__part": F.spark_partition_id(), "__within": within}), "ordered")
+    begin, starts = 0, []
+    for part, n in sorted(dealt.groupBy("__part").count().collect()):  # a row for each partition
+        starts.append((part, begin))
+        begin += n
+    starts = spark.createDataFrame(starts, "__part int, __begin long")
+    return dealt.join(F.broadcast(starts), "__part").withColumn(name, F.col("__begin") + F.col("__within")).drop("__part", "__within", "__begin")
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only, whatever the locale or other letters."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
