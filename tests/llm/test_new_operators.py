@@ -10,7 +10,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tidewake.llm import merkle
+from tidewake.llm import merkle, trie
 
 # --- Merkle manifest
 
@@ -81,3 +81,104 @@ def test_manifest_query_with_nulls_in_every_column(spark, tmp_path):
         want.append((key, own, subroot, root, h("".join(a + b for a, b in path)), folded, folded == root))
     got = [tuple(r) for r in merkle.op13_merkle(spark, str(tmp_path)).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want)) and {r[-1] for r in got} == {True, False}
+
+
+# --- conversation trie
+
+
+def plain_rebuilt(rows):
+    """Rebuilt turns of each conversation, from (conv_id, turn, role, text)."""
+    turns = collections.defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            turns[c].append((turn is not None, turn or 0, role or "", text or ""))
+    turns = {c: [x[2:] for x in sorted(t)] for c, t in turns.items()}
+    out = {}
+    for c, own in turns.items():
+        borrowed = zlib.crc32(str(c).encode()) % 9
+        base = c - int(c - 5 * int(c / 5))
+        out[c] = turns.get(base, [])[:borrowed] + own[borrowed:]
+    return out
+
+
+def plain_trie(rebuilt):
+    members = collections.defaultdict(set)
+    for c, turns in rebuilt.items():
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].add(c)
+    kids, below = collections.Counter(), collections.defaultdict(lambda: [0, 0])
+    for key in members:
+        if key:
+            kids[key[:-1]] += 1
+    for key, convs in members.items():
+        saved = (len(convs) - 1) * len(key[-1][1].encode()) if key else 0
+        for d in range(len(key) + 1):
+            below[key[:d]][0] += key not in kids
+            below[key[:d]][1] += saved
+    out = []
+    for key, convs in members.items():
+        ends = ",".join(str(c) for c in sorted(convs) if len(rebuilt[c]) == len(key))
+        out.append((min(convs), len(key), min(members[key[:-1]]) if key else None, len(convs), kids[key], *below[key], h(ends)))
+    return out
+
+
+CONV = "conv_id long, turn long, role string, text string, depth string, n int"
+TRIE = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+
+
+@pytest.mark.parametrize(("segment", "most", "chunk"), [(64, 100_000, 4096), (3, 20, 2)])
+def test_trie_against_a_plain_one(spark, tmp_path, monkeypatch, segment, most, chunk):
+    monkeypatch.setattr(trie, "SEGMENT", segment)
+    monkeypatch.setattr(trie, "CHUNK", chunk)
+    rng = random.Random(segment)
+    texts = ["", "é", "hello", "hello there", "ok"]
+    rows = []
+    for c in [*range(-7, 60), 1000, 1001, 1004, 2003, 3001, 911, 912, 913, 914]:
+        for t in range(1 if 910 < c < 915 else rng.choice([1, 2, 5, 9, 14, 30])):
+            rows.append((c, t, rng.choice(["user", None]), rng.choice(texts)))
+    rows += [(70 + 5 * k, t, "user", "same") for k in range(40) for t in range(20)]  # one hot conversation
+    rows += [(401, t, "user", f"turn {t}") for t in range(300)] + [(405, None, None, None), (407, 3, "a", "late"), (407, None, "b", "first"), (None, 1, "user", "nobody")]
+    df = spark.createDataFrame([(*r, "mine", 1) for r in rows], CONV)
+    rebuilt = plain_rebuilt(rows)
+    assert [] in rebuilt.values()  # a conversation without turns
+    turns = trie.rebuilt_turns(trie.numbered_turns(df.repartition(5)))
+    got = [tuple(r) for r in trie.prefix_trie(turns).select(*TRIE).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, plain_trie(rebuilt)))
+
+
+def test_radix_tree_changes_layouts_and_splits_paths():
+    rng = random.Random(4)
+    ids = [bytes([k]) + rng.randbytes(15) for k in range(256)] + [b"\x07" * 8 + rng.randbytes(8) for _ in range(30)]
+    keys = [[rng.choice(ids[:n]) for _ in range(rng.randint(0, 4))] for n in (3, 12, 40, 286) for _ in range(300)]
+    for part in (keys[:300], keys[:600], keys[:900], keys):
+        forest = trie.Forest()
+        kinds = set()
+        for conv, key in enumerate(part):
+            lanes = [int.from_bytes(x[8:]) >> 1 for x in key]
+            forest.add(conv, 0, 0, 0, key, lanes, [2 * (d + 1) for d in range(len(key))], [1] * len(key), 1 << 62, 0, 0)
+        root = forest.roots[0, 0, 0]
+        todo = [root]
+        while todo:
+            node = todo.pop()
+            kinds.add((type(node.branches).__name__, getattr(node.branches, "room", 0)))
+            todo += node.branches.kids
+        counts = collections.Counter()
+        least = {}
+        for conv, key in enumerate(part):
+            for d in range(len(key) + 1):
+                counts[tuple(key[:d])] += 1
+                least.setdefault(tuple(key[:d]), conv)
+        rows = list(forest.rows())
+        assert sorted((r[5], r[6], r[2]) for r in rows) == sorted((counts[k], least[k], len(k)) for k in counts)
+        assert sum(r[2] == 0 for r in rows) == 1
+    assert {("Small", 4), ("Full", 0)} <= kinds
+    few = trie.Node(b"", 0, 0)
+    for k, key in enumerate(ids[:40]):
+        trie.insert(few, key, k, k, 0, 0, 0)
+        assert [x for x in few.branches.kids if x.path == key]
+    assert isinstance(few.branches, trie.Indexed)
+
+
+def test_trie_of_no_conversations(spark):
+    empty = spark.createDataFrame([], CONV)
+    assert trie.prefix_trie(trie.rebuilt_turns(trie.numbered_turns(empty))).count() == 0
