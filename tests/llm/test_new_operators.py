@@ -10,7 +10,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tidewake.llm import merkle, trie
+from tidewake.llm import merkle, repeats, trie
 
 # --- Merkle manifest
 
@@ -182,3 +182,79 @@ def test_radix_tree_changes_layouts_and_splits_paths():
 def test_trie_of_no_conversations(spark):
     empty = spark.createDataFrame([], CONV)
     assert trie.prefix_trie(trie.rebuilt_turns(trie.numbered_turns(empty))).count() == 0
+
+
+# --- repeated passages
+
+
+def plain_repeats(rows, width):
+    """(kept text, words, removed) of each row, from all windows of all rows."""
+    first, texts = {}, []
+    for i, text in rows:
+        found = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        texts.append(found)
+        for k in range(len(found) - width + 1):
+            window, rank = tuple(found[k : k + width]), (i is not None, i or 0)
+            first[window] = min(first.get(window, rank), rank)
+    out = []
+    for (i, _), found in zip(rows, texts, strict=True):
+        gone, seen = set(), set()
+        for k in range(len(found) - width + 1):
+            window = tuple(found[k : k + width])
+            if first[window] < (i is not None, i or 0) or window in seen:
+                gone |= set(range(k, k + width))
+            seen.add(window)
+        out.append((" ".join(w for k, w in enumerate(found) if k not in gone), len(found), len(gone)))
+    return out
+
+
+def repeat_rows(rng, words, n):
+    prose = lambda k: [rng.choice(words) for _ in range(k)]
+    passages = [prose(rng.randint(4, 70)) for _ in range(6)]
+    rows = [(i, " \n".join(itertools.chain.from_iterable(rng.choice([prose(rng.randint(0, 15)), rng.choice(passages)]) for _ in range(rng.randint(0, 9))))) for i in range(n)]
+    rows += [(n + i, rows[3][1]) for i in range(15)] + [(2, rows[5][1]), (2, rows[2][1]), (None, rows[4][1]), (None, None), (n + 50, ""), (n + 51, None)]
+    period = ["a", "b", "b", "a", "c"]
+    rows += [(n + 60, " ".join(["x"] * 90)), (n + 61, " ".join(period * 30)), (n + 62, "\x0b\x1c ".join(period * 20)), (n + 63, "É\u00a0é 漢字\u2003🙂 " * 30)]
+    rows += [(n + 64, " ".join(prose(3000) + passages[0] + prose(2000) + passages[1]))]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize(("width", "stretch", "alphabet"), [(20, 1 << 17, 300), (20, 50, 3), (7, 1 << 17, 2), (3, 10, 40)])
+def test_repeats_against_all_windows(spark, width, stretch, alphabet):
+    rng = random.Random(width + stretch)
+    rows = repeat_rows(rng, [f"W{k}" for k in range(alphabet)], 60)
+    df = spark.createDataFrame([(k, i, t, "mine") for k, (i, t) in enumerate(rows)], "k int, doc_id long, text string, gone string").repartition(6)
+    got = repeats.without_repeats(df, width=width, stretch=stretch).orderBy("k").collect()
+    assert all(r["gone"] == "mine" for r in got)
+    want = plain_repeats(rows, width)
+    assert [(r["kept_text"], r["kept_words"], r["removed_words"]) for r in got] == want
+    assert sum(x[2] for x in want) > 0
+
+
+def test_symbols_of_equal_words_are_equal():
+    """Wherever a passage stands, the symbols whose spans lie in it are the same."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for alphabet in (2, 5, 1000):
+        names = rng.integers(0, 1 << 63, alphabet).astype(np.uint64)
+        passage = names[rng.integers(0, alphabet, 40)]
+        found = []
+        for before, after in ((0, 0), (3, 50), (60, 1), (17, 17)):
+            words = np.concatenate([names[rng.integers(0, alphabet, before)], passage, names[rng.integers(0, alphabet, after)]])
+            at = repeats.Symbols(words, np.zeros(len(words), np.int64), np.array([0]), np.array([len(words)]))
+            levels = []
+            for turn in range(3):
+                at = at.runs().pairs(turn)
+                assert (np.diff(at.lo) >= 0).all() and (np.diff(at.hi) >= 0).all()
+                inside = (at.lo >= before) & (at.hi <= before + 40)
+                levels.append(list(zip(at.names[inside].tolist(), (at.lo[inside] - before).tolist(), (at.hi[inside] - before).tolist(), strict=True)))
+            found.append(levels)
+        assert all(x == found[0] for x in found) and found[0][0]
+
+
+def test_repeats_of_no_documents(spark):
+    assert repeats.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    few = spark.createDataFrame([("b", "one two three one two"), ("a", "one two"), (None, "two three")], "doc_id string, text string")
+    assert {(r["doc_id"], r["kept_text"]) for r in repeats.without_repeats(few, width=2).collect()} == {("b", ""), ("a", "one two"), (None, "two three")}

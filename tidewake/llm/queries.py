@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewake.llm import decontamination, html_text, jaccard, language_model, licenses, merkle, pieces, quality, sharding, topk, trie, warc
+from tidewake.llm import decontamination, html_text, jaccard, language_model, licenses, merkle, pieces, quality, repeats, sharding, topk, trie, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_model": language_model.op1_language_model,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": sharding.op8_sharding,
     "op9_quality": quality.op9_quality,
     "op10_topk": topk.op10_topk,
+    "op11_repeats": repeats.op11_repeats,
     "op12_prefix_trie": trie.op12_prefix_trie,
     "op13_merkle": merkle.op13_merkle,
 }
@@ -28,6 +29,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_jaccard": jaccard.OP4_SQL,
     "op6_decontamination": decontamination.OP6_SQL,
     "op10_topk": topk.OP10_SQL,
+    "op11_repeats": repeats.OP11_SQL,
     "op12_prefix_trie": trie.OP12_SQL,
     "op13_merkle": merkle.OP13_SQL,
 }
