@@ -187,14 +187,14 @@ def _signed(values: np.ndarray) -> pa.Array:
 
 
 def _anchors(width: int, stretch: int = STRETCH) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Key and signature of every group of windows."""
+    """Key and signature of every group of windows, and its row's rank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHashes()
         for batch in batches:
-            for words, lengths, _, _ in _stretches(batch["text"], seen, width, stretch):
+            for words, lengths, rows, _ in _stretches(batch["text"], seen, width, stretch):
                 p = Passages(words, lengths, width)
-                yield pa.RecordBatch.from_arrays([_signed(p.key), _signed(p.signature)], ["key", "signature"])
+                yield pa.RecordBatch.from_arrays([_signed(p.key), _signed(p.signature), batch["rank"].take(pa.array(rows[p.part]))], ["key", "signature", "rank"])
 
     return run
 
@@ -209,11 +209,19 @@ def _again(rows: np.ndarray, keys: np.ndarray, values: np.ndarray, earlier: set[
     return out
 
 
-GROUP = "rank {0}, text_hash long, key long, signature long, start int, fresh array<int>, windows array<long>, n int"
+GROUP = "rank {0}, text_hash long, key long, start int, n int, stale array<int>, signature long, windows array<long>"
 
 
-def _candidates(width: int, stretch: int, held: Bloom) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Groups of windows whose key may have come more than once; ``fresh``: windows that did not stand earlier in the same text."""
+def _lists(values: np.ndarray, ends: np.ndarray, some: np.ndarray) -> pa.Array:
+    """Lists of the values up to each end, null where ``some`` is false; the values of those lists only."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32), mask=np.concatenate([~some, [False]])), values)
+
+
+def _candidates(width: int, stretch: int, held: Bloom, divided: Bloom) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Groups of windows whose key may have come more than once; ``stale``: windows that stood earlier in the same text, if any.
+
+    Signature and windows are given for keys that may have several signatures.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHashes()
@@ -227,54 +235,64 @@ def _candidates(width: int, stretch: int, held: Bloom) -> Callable[[Iterator[pa.
                 count = p.count[groups]
                 ends = np.cumsum(count)
                 within = np.arange(ends[-1]) - np.repeat(ends - count, count)
-                windows = np.repeat(p.begin[groups], count) + within
-                row = rows[p.part[groups]]
-                values = p.of_window[windows]
-                again = _again(np.repeat(row, count), np.repeat(p.key[groups], count), values, earlier)
+                row, of_group = rows[p.part[groups]], np.repeat(np.arange(len(groups)), count)
+                values = p.of_window[np.repeat(p.begin[groups], count) + within]
+                again = _again(row[of_group], p.key[groups][of_group], values, earlier)
                 if places[-1] or lengths[-1] > stretch:  # the last text is longer than a stretch
-                    last = np.repeat(row, count) == rows[-1]
-                    earlier = {x for x in earlier if x[0] == rows[-1]} | set(map(tuple, np.stack([np.repeat(row, count).astype(np.uint64), np.repeat(p.key[groups], count), values], 1)[last].tolist()))
-                first = np.concatenate([[0], np.cumsum(~again)])
-                offsets = pa.array(np.concatenate([[0], first[ends]]).astype(np.int32))
+                    last = row[of_group] == rows[-1]
+                    earlier = {x for x in earlier if x[0] == rows[-1]} | set(map(tuple, np.stack([row[of_group].astype(np.uint64), p.key[groups][of_group], values], 1)[last].tolist()))
+                stale = np.bincount(of_group[again], minlength=len(groups))
+                several = divided.holds(p.key[groups])
                 starts = p.first[groups] - (np.cumsum(lengths) - lengths)[p.part[groups]] + places[p.part[groups]]
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch["rank"].take(take), batch["text_hash"].take(take), _signed(p.key[groups]), _signed(p.signature[groups]), pa.array(starts.astype(np.int32)),
-                        pa.ListArray.from_arrays(offsets, pa.array(within[~again].astype(np.int32))), pa.ListArray.from_arrays(offsets, _signed(values[~again])), pa.array(count.astype(np.int32)),
+                        batch["rank"].take(take), batch["text_hash"].take(take), _signed(p.key[groups]), pa.array(starts.astype(np.int32)), pa.array(count.astype(np.int32)),
+                        _lists(pa.array(within[again].astype(np.int32)), np.cumsum(stale), stale > 0),
+                        pa.array(p.signature[groups].view(np.int64), mask=~several), _lists(_signed(values[several[of_group]]), np.cumsum(count * several), several),
                     ],
-                    ["rank", "text_hash", "key", "signature", "start", "fresh", "windows", "n"],
+                    ["rank", "text_hash", "key", "start", "n", "stale", "signature", "windows"],
                 )
 
     return run
 
 
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, stretch: int = STRETCH) -> DataFrame:
-    """(rank, text_hash, start, n): windows ``start`` to ``start`` + ``n`` - 1 of a text whose words also start earlier.
+    """(rank, text_hash, gone): of each text with any, stretches of windows, by start and number, whose words also start earlier.
 
     Earlier means in a row of smaller ``key`` (a null one is smaller than all, and its rank null), or
     earlier in the same text. Rows of equal key do not come before each other. Words are what white
-    space of ASCII separates, unchanged. Stretches around an anchor that stands in many rows are
-    aggregated before they are shuffled, and joins with them can be split.
+    space of ASCII separates, unchanged. Anchors are aggregated before they are shuffled, so one that
+    stands in very many rows is few rows, and the joins can be split.
     """
     given = docs.select(F.col(key).alias("rank"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    anchors = given.select("text").mapInArrow(_anchors(width, stretch), "key long, signature long")
-    common = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("signature").alias("a"), F.max("signature").alias("b")).where("n > 1")
-    common = materialise(common.select("key", (F.col("a") != F.col("b")).alias("several")), "repeat-keys")
-    held = bloom_of(common.select(F.col("key").alias("hash")))
-    groups = given.mapInArrow(_candidates(width, stretch, held), GROUP.format(given.schema["rank"].dataType.simpleString()))
-    groups = materialise(groups.join(common, "key"), "repeat-groups")
-    later = (F.col("rank") > F.col("first")) | (F.col("first_null") & F.col("rank").isNotNull())
+    kind = given.schema["rank"].dataType.simpleString()
     lowest = [F.min("rank").alias("first"), F.max(F.col("rank").isNull()).alias("first_null")]
-    marked = groups.join(groups.groupBy("key", "signature").agg(*lowest), ["key", "signature"]).withColumn("later", F.coalesce(later, F.lit(False)))
-    # of the first group with a signature: windows that stand earlier in its own text, and those that another signature has earlier
-    whole = marked.where("later").select("rank", "text_hash", "start", "n")
-    own = marked.where("not later")
-    within = own.select("rank", "text_hash", "start", F.explode(F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda k: ~F.array_contains("fresh", k))).alias("k"))
-    single = own.where("several").select("rank", "text_hash", "key", "start", F.explode(F.arrays_zip("fresh", "windows")).alias("x")).select("rank", "text_hash", "key", (F.col("start") + F.col("x.fresh")).alias("start"), F.col("x.windows").alias("window"))
-    single = single.join(single.groupBy("key", "window").agg(*lowest), ["key", "window"]).where(F.coalesce(later, F.lit(False)))
-    one = F.lit(1).alias("n")
-    return whole.unionByName(within.select("rank", "text_hash", (F.col("start") + F.col("k")).alias("start"), one)).unionByName(single.select("rank", "text_hash", "start", one))
+    later = F.coalesce((F.col("rank") > F.col("first")) | (F.col("first_null") & F.col("rank").isNotNull()), F.lit(False))
+    interval = lambda start, n: F.struct(start.cast("int").alias("start"), n.cast("int").alias("n"))
+    whole = F.array(interval(F.col("start"), F.col("n")))
+    stale = F.transform(F.coalesce("stale", F.array().cast("array<int>")), lambda k: interval(F.col("start") + k, F.lit(1)))
+
+    anchors = given.select("rank", "text").mapInArrow(_anchors(width, stretch), f"key long, signature long, rank {kind}")
+    common = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("signature").alias("a"), F.max("signature").alias("b"), *lowest).where("times > 1")
+    common = materialise(common.select("key", (F.col("a") != F.col("b")).alias("several"), "first", "first_null"), "repeat-keys")
+    held, divided = (bloom_of(x.select(F.col("key").alias("hash"))) for x in (common, common.where("several")))
+    groups = given.mapInArrow(_candidates(width, stretch, held, divided), GROUP.format(kind)).join(common, "key")
+    # a key with one signature is settled at once, the others keep what tells their windows apart
+    groups = groups.select(
+        "rank", "text_hash", F.when(~F.col("several"), F.when(later, whole).otherwise(stale)).alias("gone"),
+        *(F.when(F.col("several"), F.col(c)).alias(c) for c in ("key", "signature", "start", "n", "stale", "windows")),
+    ).where("key is not null or size(gone) > 0")
+    groups = materialise(groups, "repeat-groups")
+    divided_rows = groups.where("key is not null").drop("gone")
+    marked = divided_rows.join(divided_rows.groupBy("key", "signature").agg(*lowest), ["key", "signature"]).withColumn("later", later).drop("first", "first_null")
+    # of the first row with a signature: the windows that another signature has in an earlier row
+    windows = marked.where("not later").select("rank", "text_hash", "key", "start", F.posexplode("windows").alias("at", "window"))
+    single = windows.join(windows.groupBy("key", "window").agg(*lowest), ["key", "window"]).where(later)
+    found = groups.where("size(gone) > 0").select("rank", "text_hash", "gone")
+    found = found.unionByName(marked.select("rank", "text_hash", F.when(F.col("later"), whole).otherwise(stale).alias("gone")).where("size(gone) > 0"))
+    found = found.unionByName(single.select("rank", "text_hash", F.array(interval(F.col("start") + F.col("at"), F.lit(1))).alias("gone")))
+    return found.groupBy("rank", "text_hash").agg(F.flatten(F.collect_list("gone")).alias("gone"))
 
 
 def _keep(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -314,8 +332,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     Windows are judged on the input. Kept words are joined by one space. Null and empty texts have no
     words; texts of fewer words than a window keep all. See ``repeated_passages`` for null and repeated keys.
     """
-    found = repeated_passages(docs, key, text, width, stretch)
-    gone = found.groupBy(F.col("rank").alias("__rank"), F.col("text_hash").alias("__hash")).agg(F.collect_list(F.struct("start", "n")).alias("gone"))
+    gone = repeated_passages(docs, key, text, width, stretch).withColumnsRenamed({"rank": "__rank", "text_hash": "__hash"})
     rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("rank"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     rows = rows.join(gone, F.col("rank").eqNullSafe(F.col("__rank")) & (F.col("text_hash") == F.col("__hash")), "left").select("row", "text", "gone")
     schema = f"row {rows.schema['row'].dataType.simpleString()}, kept string, n_words long, n_removed long"
