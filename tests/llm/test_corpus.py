@@ -764,40 +764,39 @@ def test_minimax_cuts_against_brute_force(spark, bits):
         assert max(loads.values()) <= capacity and len(cuts) <= shards - 1
 
 
-def test_heavy_groups_stay_in_their_place(spark):
-    rng = random.Random(18)
-    for groups, shards, heavy in ((120, 9, [0, 40, 41, 119]), (60, 8, [30]), (3, 6, [0, 1]), (2, 5, [0, 1])):
-        h = sorted({rng.randrange(-(1 << 63), 1 << 63) for _ in range(groups)})
-        sizes = [rng.randint(16, 300) for _ in h]
-        for k in heavy:
-            sizes[k] = 100_000 + k
-        df = spark.createDataFrame(list(zip(h, sizes, strict=True)), "h long, size long")
-        alone = sharding.heavy_groups(df, shards)
-        assert set(alone) >= {h[k] for k in heavy}
-        capacity, cuts = sharding.minimax_cuts(df, shards, 4, 3, alone)
+@pytest.mark.parametrize(("sizes", "shards"), [([30, 1, 30, 1], 3), ([5000, 20] * 25, 40), ([20] * 300 + [600_000] * 39, 40), ([600_000, 20, 20] * 30, 40), ([7, 600_000], 5)])
+def test_heavy_groups_are_atoms_of_one_search(spark, sizes, shards):
+    """However many groups are heavier than an even share, shards stay in range and as light as can be."""
+    rng = random.Random(len(sizes))
+    for order in (sizes, rng.sample(sizes, len(sizes))):
+        h = sorted({rng.randrange(-(1 << 63), 1 << 63) for _ in order})
+        df = spark.createDataFrame(list(zip(h, order, strict=True)), "h long, size long")
+        capacity, cuts = sharding.minimax_cuts(df, shards, 4, 3)
         shard = [sum(a >= c for c in cuts) for a in h]
         assert shard == sorted(shard) and set(shard) == set(range(len(cuts) + 1)) and len(cuts) < shards
-        loads = collections.defaultdict(list)
-        for a, b, k in zip(h, sizes, shard, strict=True):
-            loads[k].append(b if a not in alone else None)
-        assert all(len(x) == 1 for x in loads.values() if None in x)
-        light = [x for x in loads.values() if None not in x]
-        assert max(map(sum, light), default=0) <= capacity
-        runs = [[b for _, b in g] for k, g in itertools.groupby(zip(h, sizes, strict=True), key=lambda x: x[0] in alone) if not k]
-
-        def needed(most, runs=runs):
-            total = 0
-            for run in runs:
-                room = -1
-                for b in run:
-                    if b > room:
-                        total, room = total + 1, most
-                    room -= b
-            return total
-
-        left = shards - len(alone)
-        lower = max([-(-sum(map(sum, runs)) // left), *itertools.chain(*runs)], default=0) if runs else 0
-        assert capacity == next(c for c in itertools.count(lower) if needed(c) <= left) if runs else capacity == 0
+        loads = collections.Counter()
+        for b, k in zip(order, shard, strict=True):
+            loads[k] += b
+        assert capacity == max(least_capacity(order, shards), -(-sum(order) // shards)) and max(loads.values()) <= capacity
+
+
+@pytest.mark.parametrize("heavy", [25, 39])
+def test_shards_of_huge_texts_between_small_ones(spark, heavy):
+    rng = random.Random(heavy)
+    texts = [f"{k} " * 400_000 for k in range(heavy)] + [prose(rng, rng.randint(1, 9)) for _ in range(200)] + ["copy"] * 50
+    got = sharding.shard_documents(documents(spark, texts), 40, cells=4).select("doc_id", "size", "shard", "slot").collect()
+    by_hash = {r["doc_id"]: r["h"] for r in documents(spark, texts).select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    assert len(got) == len(texts) and {r["shard"] for r in got} <= set(range(40))
+    groups, loads, slots = collections.Counter(), collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        groups[by_hash[r["doc_id"]]] += r["size"]
+        loads[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    in_order = sorted(got, key=lambda r: by_hash[r["doc_id"]])
+    assert [r["shard"] for r in in_order] == sorted(r["shard"] for r in got)  # contiguous
+    sizes = [groups[k] for k in sorted(groups)]
+    assert max(loads.values()) <= max(least_capacity(sizes, 40), -(-sum(sizes) // 40))
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
 
 
 def test_shards(spark):

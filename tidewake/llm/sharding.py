@@ -19,34 +19,29 @@ LOWEST = -(1 << 63)
 
 
 class Bars:
-    """Consecutive hash ranges with their bytes; ``whole`` marks bars that hold a single group.
+    """Consecutive hash ranges with their bytes; ``whole`` marks bars that hold a single group."""
 
-    No shard goes on across a fence; bars lie on one side of each.
-    """
-
-    def __init__(self, lows: np.ndarray, weights: np.ndarray, whole: np.ndarray, fences: list[int]):
+    def __init__(self, lows: np.ndarray, weights: np.ndarray, whole: np.ndarray):
         self.lows, self.whole = lows, whole
         self.ends = np.concatenate([[0], np.cumsum(weights)])
         self.total = int(self.ends[-1])
-        self.fences = np.array([self.ends[np.searchsorted(lows, x)] for x in fences] + [self.total], np.int64)
 
     def cuts(self, capacity: int, shards: int) -> tuple[list[int], list[int]]:
         """Least and greatest byte position of each greedy cut at this capacity."""
         low = high = 0
         lows, highs = [], []
-        fence = lambda x: int(self.fences[min(np.searchsorted(self.fences, x, "right"), len(self.fences) - 1)])
         for _ in range(shards):
-            low = min(fence(low), int(self.ends[np.searchsorted(self.ends, low + capacity, "right") - 1]))
+            low = int(self.ends[np.searchsorted(self.ends, low + capacity, "right") - 1])
             aim = high + capacity
             at = int(np.searchsorted(self.ends, aim, "right")) - 1
-            high = min(fence(high), self.total if at >= len(self.whole) else int(self.ends[at]) if self.whole[at] else aim)
+            high = self.total if at >= len(self.whole) else int(self.ends[at]) if self.whole[at] else aim
             lows.append(low)
             highs.append(high)
         return lows, highs
 
-    def least(self, shards: int, surely: bool) -> int:
-        """Smallest capacity that surely (or possibly) suffices, by binary search."""
-        low, high = max(1, -(-self.total // shards)), max(1, self.total)
+    def least(self, shards: int, surely: bool, heaviest: int) -> int:
+        """Smallest capacity, no group being heavier, that surely (or possibly) suffices, by binary search."""
+        low, high = max(1, heaviest, -(-self.total // shards)), max(1, self.total)
         while low < high:
             mid = (low + high) // 2
             lows, highs = self.cuts(mid, shards)
@@ -57,28 +52,23 @@ class Bars:
         return low
 
 
-def _bars(rows: DataFrame, bits: int, fences: list[int]) -> list:
-    run = sum(((F.col("h") > F.lit(x)).cast("int") for x in fences), F.lit(0))
-    return rows.groupBy(F.shiftright("h", 64 - bits).alias("bar"), run.alias("run")).agg(F.sum("size").alias("w"), F.min("h").alias("lo"), F.max("h").alias("hi")).collect()
+def _bars(rows: DataFrame, bits: int) -> list:
+    return rows.groupBy(F.shiftright("h", 64 - bits).alias("bar")).agg(F.sum("size").alias("w"), F.min("h").alias("lo"), F.max("h").alias("hi")).collect()
 
 
-def minimax_cuts(rows: DataFrame, shards: int, first_bits: int = 12, step_bits: int = 6, alone: list[int] | None = None) -> tuple[int, list[int]]:
+def minimax_cuts(rows: DataFrame, shards: int, first_bits: int = 12, step_bits: int = 6) -> tuple[int, list[int]]:
     """(capacity, for each cut the first hash of the next shard) for ``rows`` (h, size).
 
-    Each of the groups ``alone`` fills a shard in its place in the order; the capacity is the
-    smallest with which the groups between them fit into the other shards.
+    Rows of one hash are a group that no cut divides, however heavy. The capacity is the least with
+    which a greedy pass over the groups needs no more than ``shards``.
     """
-    fences = sorted(alone or [])
-    rest = rows.where(~F.col("h").isin(fences)) if fences else rows
-    shards -= len(fences)
-    found = {(r.lo, r.hi): r.w for r in _bars(rest, first_bits, fences)}
+    heaviest = rows.groupBy("h").agg(F.sum("size").alias("w")).agg(F.max("w")).first()[0] or 0
+    found = {(r.lo, r.hi): r.w for r in _bars(rows, first_bits)}
     bits = first_bits
     while True:
         keys = sorted(found)
-        bars = Bars(np.array([k[0] for k in keys], np.int64), np.array([found[k] for k in keys], np.int64), np.array([k[0] == k[1] for k in keys], bool), fences)
-        if not keys:
-            return 0, fences[1:]
-        possible, sure = bars.least(shards, False), bars.least(shards, True)
+        bars = Bars(np.array([k[0] for k in keys], np.int64), np.array([found[k] for k in keys], np.int64), np.array([k[0] == k[1] for k in keys], bool))
+        possible, sure = bars.least(shards, False, heaviest), bars.least(shards, True, heaviest)
         lows, highs = bars.cuts(possible, shards)[0], bars.cuts(sure, shards)[1]
         spans: list[list[int]] = []  # one for each cut whose place is open, merged where they meet
         for low, high in zip(lows, highs, strict=True):
@@ -90,14 +80,11 @@ def minimax_cuts(rows: DataFrame, shards: int, first_bits: int = 12, step_bits:
                 else:
                     spans.append([first, last])
         if not spans or (possible == sure and lows == highs):
-            at = {x for x in bars.cuts(sure, shards)[0] if x < bars.total} - set(bars.fences.tolist())
-            cuts = [int(bars.lows[np.searchsorted(bars.ends, x, "left")]) for x in at]
-            for k, (x, place) in enumerate(zip(fences, bars.fences, strict=False)):
-                if k or place:  # something stands before it
-                    cuts.append(x)
-                if bars.fences[k + 1] > place:  # and after it, before the next
-                    cuts.append(x + 1)
-            return sure, sorted(cuts)
+            ends = bars.cuts(sure, shards)[0]
+            cuts = sorted({int(bars.lows[np.searchsorted(bars.ends, x, "left")]) for x in ends if x < bars.total})
+            if ends[-1] < bars.total or len(cuts) >= shards:
+                raise RuntimeError(f"{len(cuts) + 1} shards of {sure} bytes do not hold all groups")
+            return sure, cuts
         bits = min(64, bits + step_bits)
         ranges = [(keys[first][0], keys[last][1]) for first, last in spans]
         for first, last in spans:
@@ -106,21 +93,7 @@ def minimax_cuts(rows: DataFrame, shards: int, first_bits: int = 12, step_bits:
         inside = F.lit(False)
         for lo, hi in ranges:
             inside = inside | F.col("h").between(lo, hi)
-        found |= {(r.lo, r.hi): r.w for r in _bars(rest.where(inside), bits, fences)}
-
-
-def heavy_groups(rows: DataFrame, shards: int) -> list[int]:
-    """Hashes of groups heavier than an even share of what is left: each gets a shard of its own."""
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    top = rows.groupBy("h").agg(F.sum("size").alias("w")).orderBy(F.desc("w"), "h").limit(shards).collect()
-    alone: list[int] = []
-    for r in top:
-        left = shards - len(alone)
-        if left <= 1 or r.w * left <= total:
-            break
-        alone.append(r.h)
-        total -= r.w
-    return alone
+        found |= {(r.lo, r.hi): r.w for r in _bars(rows.where(inside), bits)}
 
 
 def shard_of(h: Column, cuts: list[int]) -> Column:
@@ -132,10 +105,9 @@ def shard_documents(docs: DataFrame, shards: int = 40, key: str = "doc_id", text
     """Put every row of ``docs`` into a shard so that the fullest shard is as light as it can be.
 
     size: UTF-8 bytes of the text plus 16. Equal texts share a shard, null being one text of no
-    bytes and apart from the empty one. Shards are contiguous in the order of the groups. A group
-    heavier than an even share fills a shard in its place, as no cut can make that lighter, and
-    the groups between such ones are cut at the smallest feasible capacity. ``slot`` numbers the
-    rows of a shard from 0 without gaps. Repeated rows and null keys each keep a slot; an empty
+    bytes and apart from the empty one. Shards are contiguous in the order of the groups and
+    numbered below ``shards``; the fullest is as light as it can be, and no lighter than the
+    heaviest group. ``slot`` numbers the rows of a shard from 0 without gaps. Repeated rows and null keys each keep a slot; an empty
     table gives no rows; other columns are ignored.
 
     Rows are numbered in ``cells`` parts of a shard, dealt by key and text hash, so a shard of
@@ -149,8 +121,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, key: str = "doc_id", text
         F.xxhash64(value).alias("h"),
     )
     light = materialise(light.withColumn("cell", F.pmod(F.xxhash64("k", "h"), F.lit(cells)).cast("int")), "shard-rows")
-    alone = heavy_groups(light, shards)
-    _, cuts = minimax_cuts(light.select("h", "size"), shards, alone=alone)
+    _, cuts = minimax_cuts(light.select("h", "size"), shards)
     dealt = light.withColumn("shard", shard_of(F.col("h"), cuts))
     # at most shards * cells rows, whatever the number of documents: safe to broadcast
     counts = dealt.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n"))
