@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -220,7 +221,7 @@ def _lists(values: np.ndarray, ends: np.ndarray, some: np.ndarray) -> pa.Array:
 def _candidates(width: int, stretch: int, held: Bloom, divided: Bloom) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Groups of windows whose key may have come more than once; ``stale``: windows that stood earlier in the same text, if any.
 
-    Signature and windows are given for keys that may have several signatures.
+    Signature and windows are given for keys that may have several signatures, unless all windows are stale.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +243,7 @@ def _candidates(width: int, stretch: int, held: Bloom, divided: Bloom) -> Callab
                     last = row[of_group] == rows[-1]
                     earlier = {x for x in earlier if x[0] == rows[-1]} | set(map(tuple, np.stack([row[of_group].astype(np.uint64), p.key[groups][of_group], values], 1)[last].tolist()))
                 stale = np.bincount(of_group[again], minlength=len(groups))
-                several = divided.holds(p.key[groups])
+                several = divided.holds(p.key[groups]) & (stale < count)
                 starts = p.first[groups] - (np.cumsum(lengths) - lengths)[p.part[groups]] + places[p.part[groups]]
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
@@ -278,17 +279,19 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     common = materialise(common.select("key", (F.col("a") != F.col("b")).alias("several"), "first", "first_null"), "repeat-keys")
     held, divided = (bloom_of(x.select(F.col("key").alias("hash"))) for x in (common, common.where("several")))
     groups = given.mapInArrow(_candidates(width, stretch, held, divided), GROUP.format(kind)).join(common, "key")
-    # a key with one signature is settled at once, the others keep what tells their windows apart
-    groups = groups.select(
-        "rank", "text_hash", F.when(~F.col("several"), F.when(later, whole).otherwise(stale)).alias("gone"),
-        *(F.when(F.col("several"), F.col(c)).alias(c) for c in ("key", "signature", "start", "n", "stale", "windows")),
-    ).where("key is not null or size(gone) > 0")
+    # a key with one signature is settled at once, as are windows of the same text; the others keep what tells their windows apart
+    settled = F.when(F.size("stale") == F.col("n"), whole).when(~F.col("several"), F.when(later, whole).otherwise(stale))
+    open_ = F.col("several") & F.col("windows").isNotNull()
+    groups = groups.select("rank", "text_hash", F.when(~open_, settled).alias("gone"), *(F.when(open_, F.col(c)).alias(c) for c in ("key", "signature", "start", "n", "stale", "windows"))).where("key is not null or size(gone) > 0")
     groups = materialise(groups, "repeat-groups")
     divided_rows = groups.where("key is not null").drop("gone")
-    marked = divided_rows.join(divided_rows.groupBy("key", "signature").agg(*lowest), ["key", "signature"]).withColumn("later", later).drop("first", "first_null")
+    # the lowest rows are written, or moved under another key: only a join of two shuffles can split a key of very many rows
+    lowest_rows = materialise(divided_rows.groupBy("key", "signature").agg(*lowest), "repeat-signatures")
+    marked = divided_rows.join(lowest_rows, ["key", "signature"]).withColumn("later", later).drop("first", "first_null")
     # of the first row with a signature: the windows that another signature has in an earlier row
-    windows = marked.where("not later").select("rank", "text_hash", "key", "start", F.posexplode("windows").alias("at", "window"))
-    single = windows.join(windows.groupBy("key", "window").agg(*lowest), ["key", "window"]).where(later)
+    windows = marked.where("not later").select("rank", "text_hash", F.posexplode("windows").alias("at", "window"), "key", "start")
+    moved = windows.groupBy("key", "window").agg(*lowest).select(F.xxhash64("key", "window").alias("both"), F.col("key").alias("k"), F.col("window").alias("w"), "first", "first_null")
+    single = windows.withColumn("both", F.xxhash64("key", "window")).join(moved, "both").where("key = k and window = w").where(later)
     found = groups.where("size(gone) > 0").select("rank", "text_hash", "gone")
     found = found.unionByName(marked.select("rank", "text_hash", F.when(F.col("later"), whole).otherwise(stale).alias("gone")).where("size(gone) > 0"))
     found = found.unionByName(single.select("rank", "text_hash", F.array(interval(F.col("start") + F.col("at"), F.lit(1))).alias("gone")))
@@ -332,11 +335,15 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     Windows are judged on the input. Kept words are joined by one space. Null and empty texts have no
     words; texts of fewer words than a window keep all. See ``repeated_passages`` for null and repeated keys.
     """
-    gone = repeated_passages(docs, key, text, width, stretch).withColumnsRenamed({"rank": "__rank", "text_hash": "__hash"})
-    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("rank"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    rows = rows.join(gone, F.col("rank").eqNullSafe(F.col("__rank")) & (F.col("text_hash") == F.col("__hash")), "left").select("row", "text", "gone")
+    gone = materialise(repeated_passages(docs, key, text, width, stretch), "repeat-gone").withColumnsRenamed({"rank": "__rank", "text_hash": "__hash"})
+    held = bloom_of(gone.select(F.col("__hash").alias("hash")))
+    may_lose = F.pandas_udf(lambda h: pd.Series(held.holds(h.to_numpy().view(np.uint64))), "boolean")
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("rank"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).withColumn("may", may_lose("text_hash"))
+    # texts that keep all are not shuffled
+    whole = rows.where("not may").select("row", "text", F.lit(None).cast("array<struct<start: int, n: int>>").alias("gone"))
+    cut = rows.where("may").join(gone, F.col("rank").eqNullSafe(F.col("__rank")) & (F.col("text_hash") == F.col("__hash")), "left").select("row", "text", "gone")
     schema = f"row {rows.schema['row'].dataType.simpleString()}, kept string, n_words long, n_removed long"
-    return rows.mapInArrow(_keep(width), schema).select("row.*", F.col("kept").alias("kept_text"), F.col("n_words").alias("kept_words"), F.col("n_removed").alias("removed_words"))
+    return whole.unionByName(cut).mapInArrow(_keep(width), schema).select("row.*", F.col("kept").alias("kept_text"), F.col("n_words").alias("kept_words"), F.col("n_removed").alias("removed_words"))
 
 
 def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
