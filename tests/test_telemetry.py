@@ -11,7 +11,7 @@ from tidewake.functions import keys, sketch
 from tidewake.operators import archive, capture, freshness, rates, state, validate, windows
 from tidewake.sources import codec, sinks
 from tidewake.sources.shared import new_path
-from tidewake.streaming import jobs
+from tidewake.streaming import applied, jobs, ticks
 
 EVENT = "device_id string, user_id string, process_id int, pod_id string, kind int, observed_at_unix_nanos long, latency_nanos long, bytes long, failed boolean, arrival long"
 S = 1_000_000_000
@@ -246,12 +246,12 @@ def test_a_batch_has_three_attempts_before_the_dead_letters(spark, failures, kep
         assert [tuple(r) for r in spark.read.parquet(good).select("key", "x").collect()] == [("a", 1)]
 
 
-def test_snapshots_survive_a_retry(spark):
-    s = sinks.StateSnapshots(new_path(spark, "snapshots"))
+def test_state_survives_a_retry(spark):
+    s = applied.StateTable(new_path(spark, "states"))
     s(emissions(spark, emission(1, 10, arrival=1)), 0)
     s(emissions(spark, emission(2, 5, arrival=2)), 1)
     s(emissions(spark, emission(2, 5, arrival=2)), 1)
-    r = s.newest(spark).first()
+    r = s.read(spark).first()
     assert (r["count"], r["last_window_id"], r["p95_nanos"]) == (15, 2, 2000)
 
 

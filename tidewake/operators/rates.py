@@ -122,12 +122,31 @@ def alert_states(wide: DataFrame, rules: list[tuple[str, str, int]] = ALERTS) ->
     return runs.withColumn("state", F.when(held >= F.col("hold"), "firing").otherwise("pending")).select("rule", "ts", "state")
 
 
+def as_of(times: DataFrame, gauge: DataFrame, value: str, seconds: int = 300) -> DataFrame:
+    """``times`` (ts) with ``value``: of each series of ``gauge`` its last sample in the ``seconds`` up to the time, summed; null without any.
+
+    Series are told apart by a column ``series`` where there is one. Times and samples meet by
+    stretches of ``seconds``, so neither is ordered as a whole.
+    """
+    stretch = lambda c: F.floor(c.cast("double") / seconds).cast("long")
+    series = F.col("series") if "series" in gauge.columns else F.lit("")
+    samples = gauge.select(F.col("ts").alias("__at"), F.col(value).alias("__v"), series.alias("__s"))
+    samples = samples.withColumn("__k", F.explode(F.array(stretch(F.col("__at")), stretch(F.col("__at")) + 1)))
+    near = times.select("ts", stretch(F.col("ts")).alias("__k")).join(samples, "__k")
+    near = near.where((F.col("__at") <= F.col("ts")) & (F.col("__at") > F.col("ts") - F.expr(f"interval {int(seconds)} seconds")))
+    found = near.groupBy("ts", "__s").agg(F.max_by("__v", "__at").alias("v")).groupBy("ts").agg(F.sum("v").alias(value))
+    return times.join(found, "ts", "left")
+
+
 def alerts(samples: DataFrame, lag: DataFrame, rules: list[tuple[str, str, int]] = ALERTS, spans: dict[str, int] = SPANS, step_seconds: int | None = 30) -> DataFrame:
-    """States of the alert rules every ``step_seconds``, or at the samples' times if none are given; ``lag`` (ts, lag) counts at its own times."""
+    """States of the alert rules every ``step_seconds``, or at the samples' times if none are given.
+
+    ``lag`` (ts, lag, and series if there are several) is a gauge: its last sample within five minutes counts, else 0.
+    """
     wide = rates_wide(samples, spans, ALERT_METRICS, step_seconds)
     ok, bad, unknown = (F.col(f"http_ingest_{n}_5m") for n in ("accepted", "rejected", "unauthenticated"))
     wide = wide.withColumn("failure_ratio_5m", (bad + unknown) / F.greatest(ok + bad + unknown, F.lit(1.0)))
-    return alert_states(wide.join(lag, "ts", "left").fillna(0.0, ["lag"]), rules)
+    return alert_states(as_of(wide, lag, "lag").fillna(0.0, ["lag"]), rules)
 
 
 def flood_report(requests: DataFrame, limit: int = 600, span_seconds: int = 10, at: str = "ts_unix") -> DataFrame:

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.functions import keys, sketch
 from tidewake.operators import access, archive, capture, freshness, rates, state, validate, windows
+from tidewake.operators.archive_files import ArchiveFiles
 from tidewake.plans import fixtures as fx
 from tidewake.plans.fixtures import SIZE, duck_with, duck_windows
 from tidewake.sources import codec, sinks
-from tidewake.sources.shared import new_path
-from tidewake.streaming import jobs
+from tidewake.sources.shared import new_path, written
+from tidewake.streaming import applied, jobs, ticks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -435,6 +437,41 @@ def _(spark, sf):
     return archive.erase_device(archive.with_day(fx.emissions(spark, sf)), "user-003", "device-003")[0].select(*keys.IDENTITY)
 
 
+def _archive_files(spark: SparkSession, sf: str) -> ArchiveFiles:
+    """All emissions in an archive of files; a third of the windows stand under a day that is not theirs."""
+    files, rows = ArchiveFiles(spark, new_path(spark, "archive")), fx.emissions(spark, sf)
+    files.append(rows.where("window_id % 3 <> 0"))
+    files.append(rows.where("window_id % 3 = 0"), day="20240101")
+    return files
+
+
+FILED = "user_id, device_id, process_id, pod_id, window_id, sequence, strftime(make_timestamp(window_start_unix_nanos // 1000), '%Y%m%d') AS window_day"
+
+
+@query("arc_1_refile_files", duck_with("telemetry", "emissions") + f"SELECT {FILED} FROM emissions")
+def _(spark, sf):
+    files = _archive_files(spark, sf)
+    files.refile()
+    return files.read().select(*keys.IDENTITY, "window_day")
+
+
+@query("arc_2_drop_day_files", duck_with("telemetry", "emissions") + f", kept AS (SELECT {FILED} FROM emissions) SELECT *, (SELECT count(DISTINCT window_day) FROM kept WHERE window_day < '20240115') AS days_dropped FROM kept WHERE window_day >= '20240115'")
+def _(spark, sf):
+    """Whole days dropped by their folders, with their number beside the rows that stay."""
+    files = _archive_files(spark, sf)
+    files.refile()
+    dropped = files.drop_days_before("20240115")
+    return files.read().select(*keys.IDENTITY, "window_day", F.lit(dropped).cast("long").alias("days_dropped"))
+
+
+@query("arc_3_erase_device_files", duck_with("telemetry", "emissions") + f"SELECT {FILED}, (SELECT count(*) FROM emissions WHERE user_id = 'user-003' AND device_id = 'device-003') AS erased FROM emissions WHERE NOT (user_id = 'user-003' AND device_id = 'device-003')")
+def _(spark, sf):
+    files = _archive_files(spark, sf)
+    files.refile()
+    erased = files.erase_device("user-003", "device-003")
+    return files.read().select(*keys.IDENTITY, "window_day", F.lit(erased).cast("long").alias("erased"))
+
+
 @query("str_9_rebuild_state", duck_with("telemetry", "emissions", "state") + f"SELECT {STATE} FROM state")
 def _(spark, sf):
     path = new_path(spark, "archive")
@@ -583,16 +620,17 @@ def _(spark, sf):
     return rates.alert_states(wide, rules).select("rule", F.unix_micros("ts").alias("at_us"), "state")
 
 
-def _all_rules_sql() -> str:
-    """Every rule over rates at each half minute, each rate a sum over the pairs of samples in its span."""
+def _all_rules_sql(off: int = 0) -> str:
+    """Every rule over rates at each half minute, each rate a sum over the pairs of samples in its span; the gauge stands ``off`` seconds beside."""
     names = ", ".join(f"('{m}')" for m in rates.ALERT_METRICS)
     grid = f"SELECT metric, ts FROM (VALUES {names}) m(metric), (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 30 SECOND)) AS ts FROM fast_samples)"
     parts = [_rated(grid, seconds, f"rated_{name}") for name, seconds in rates.SPANS.items()]
     rated = "rated AS (" + " UNION ALL ".join(f"SELECT metric || '_{name}' AS metric, ts, rate FROM rated_{name}" for name in rates.SPANS) + ")"
     marks = " UNION ALL ".join(f"SELECT ts, '{rule}' AS rule, {predicate.replace('1D', '1.0')} AS is_on, {hold} AS hold FROM f" for rule, predicate, hold in rates.ALERTS)
-    lag = "lags AS (SELECT ts, CAST(sum(value) AS DOUBLE) AS lag FROM fast_samples WHERE metric = 'http_ingest_accepted' GROUP BY ts)"
+    lag = f"lags AS (SELECT ts + INTERVAL {off} SECOND AS ts, CAST(sum(value) AS DOUBLE) AS lag FROM fast_samples WHERE metric = 'http_ingest_accepted' GROUP BY ts)"
     bad = "http_ingest_rejected_5m + http_ingest_unauthenticated_5m"
-    f = f"f AS (SELECT wide.*, coalesce(lags.lag, 0) AS lag, ({bad}) / greatest(http_ingest_accepted_5m + {bad}, 1.0) AS failure_ratio_5m FROM wide LEFT JOIN lags USING (ts))"
+    asof = "seen AS (SELECT w.ts, max_by(lag, l.ts) AS lag FROM wide w JOIN lags l ON l.ts <= w.ts AND l.ts > w.ts - INTERVAL 300 SECOND GROUP BY w.ts)"
+    f = f"{asof}, f AS (SELECT wide.*, coalesce(seen.lag, 0) AS lag, ({bad}) / greatest(http_ingest_accepted_5m + {bad}, 1.0) AS failure_ratio_5m FROM wide LEFT JOIN seen USING (ts))"
     return duck_with("fast_samples").rstrip() + ", " + ", ".join([_pairs("fast_samples"), *parts, rated, _wide([f"{m}_{s}" for m in rates.ALERT_METRICS for s in rates.SPANS]), lag, f, f"marks AS ({marks})", STATES])
 
 
@@ -604,6 +642,15 @@ def _(spark, sf):
     return rates.alerts(s, lag).select("rule", F.unix_micros("ts").alias("at_us"), "state")
 
 
+@query("win_8_lag_beside_the_grid", _all_rules_sql(7) + " AND rule = 'AggregatorConsumerLagBreachingFreshness'")
+def _(spark, sf):
+    """The rule on the backlog, whose gauge is sampled seven seconds beside the times of evaluation."""
+    s = fx.fast_samples(spark, sf)
+    lag = s.where("metric = 'http_ingest_accepted'").groupBy((F.col("ts") + F.expr("interval 7 seconds")).alias("ts")).agg(F.sum("value").alias("lag"))
+    rules = [r for r in rates.ALERTS if r[0] == "AggregatorConsumerLagBreachingFreshness"]
+    return rates.alerts(s, lag, rules).select("rule", F.unix_micros("ts").alias("at_us"), "state")
+
+
 @query("win_2_flood_report", duck_with("telemetry") + "SELECT arrival, count(*) OVER w AS in_span, count(*) OVER w > 3 AS denied FROM (SELECT *, observed_at_unix_nanos // 1000000000 AS ts_unix FROM telemetry) WINDOW w AS (PARTITION BY device_id ORDER BY ts_unix RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)")
 def _(spark, sf):
     r = fx.telemetry(spark, sf).withColumn("ts_unix", F.expr("observed_at_unix_nanos div 1000000000"))
@@ -644,18 +691,46 @@ def _(spark, sf):
     return capture.capture_filter(fx.trace(spark, sf), modulus=4).select("seq", "kept")
 
 
-STATS = duck_with("telemetry", "trace").replace("trace AS (", "trace AS (SELECT * FROM (").rstrip()[:-1] + ") WHERE side = 'exit' OR tgid % 4 = 0),\n"
+FAST = duck_with("telemetry", "trace").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ", fast AS (SELECT * REPLACE (ts_ns // 10000 AS ts_ns) FROM trace),\n"
+
+
+def _capped(source: str, limit: int) -> str:
+    """Window starts by recursion, and the rows of ``source`` with whether they fit."""
+    return f"""nx AS (SELECT cpu, ts_ns, min(ts_ns) OVER (PARTITION BY cpu ORDER BY ts_ns RANGE BETWEEN 1000000000 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM (SELECT DISTINCT cpu, ts_ns FROM {source})),
+st AS (SELECT cpu, min(ts_ns) AS ts_ns FROM nx GROUP BY cpu UNION ALL SELECT nx.cpu, nx.nxt FROM st JOIN nx ON st.cpu = nx.cpu AND st.ts_ns = nx.ts_ns WHERE nx.nxt IS NOT NULL),
+placed AS (SELECT t.*, max(st.ts_ns) OVER (PARTITION BY t.cpu ORDER BY t.ts_ns) AS start FROM {source} t LEFT JOIN st ON t.cpu = st.cpu AND t.ts_ns = st.ts_ns),
+capped AS (SELECT *, row_number() OVER (PARTITION BY cpu, start ORDER BY ts_ns, seq) <= {limit} AS kept FROM placed)"""
+
+
+def _fast_trace(spark: SparkSession, sf: str) -> DataFrame:
+    """The trace at ten thousand times its pace, so that seconds hold many rows."""
+    return fx.trace(spark, sf).withColumn("ts_ns", F.expr("ts_ns div 10000"))
 
 
-@query("agg_12_capture_stats", STATS + PAIRS + ", s AS (SELECT CASE WHEN NOT paired THEN 'unpaired' WHEN latency_nanos < 5000000 THEN 'filtered' ELSE 'emitted' END AS stat FROM exits) SELECT stat, count(*) AS count FROM s GROUP BY stat UNION ALL SELECT 'observed', count(*) FROM s")
+STAT_SQL = (
+    FAST
+    + PAIRS.replace("pairs AS (", "every AS (").replace("exits AS (", "packed AS (").replace("FROM pairs", "FROM every").rstrip()
+    + ", "
+    + PAIRS.replace("FROM trace WINDOW", "FROM (SELECT * FROM fast WHERE side = 'exit' OR tgid % 4 = 0) WINDOW").rstrip()
+    + ", slow AS (SELECT * FROM exits WHERE paired AND latency_nanos >= 500), "
+    + _capped("slow", 2)
+    + """ SELECT 'observed' AS stat, count(*) FILTER (paired) AS count FROM exits UNION ALL SELECT 'unpaired', count(*) FILTER (NOT paired) FROM exits UNION ALL SELECT 'filtered', count(*) FILTER (paired AND latency_nanos < 500) FROM exits
+UNION ALL SELECT 'emitted', count(*) FILTER (kept) FROM capped UNION ALL SELECT 'rate_limited', count(*) FILTER (NOT kept) FROM capped UNION ALL SELECT 'decode_failures', count(*) FROM packed WHERE paired AND seq % 29 = 0"""
+)
+
+
+@query("agg_12_capture_stats", STAT_SQL)
 def _(spark, sf):
-    return capture.capture_stats(fx.trace(spark, sf), 5_000_000, modulus=4)
+    """What became of the exits of a trace after filter and cap, and how many of its packed records are cut short."""
+    short = F.when(F.col("seq") % 29 == 0, F.substring("raw", 1, 39)).otherwise(F.col("raw"))
+    records = capture.decode_kernel_records(_kernel_records(spark, sf).withColumn("raw", short))
+    return capture.capture_stats(_fast_trace(spark, sf), 500, 2, records, modulus=4)
 
 
-@query("win_3_cap_per_second")
+@query("win_3_cap_per_second", FAST + _capped("fast", 2) + " SELECT seq, cpu, ts_ns, kept FROM capped")
 def _(spark, sf):
-    """Whether each trace row fits its CPU's cap; tests hold it against a sequential version."""
-    return capture.cap_per_second(fx.trace(spark, sf), "cpu", 1).select("seq", "cpu", "ts_ns", "kept")
+    """Whether each trace row fits its CPU's cap."""
+    return capture.cap_per_second(_fast_trace(spark, sf), "cpu", 2).select("seq", "cpu", "ts_ns", "kept")
 
 
 # --- streams, run to the end of their input
@@ -666,15 +741,66 @@ def _stream_of(df: DataFrame, label: str, files: int, by: str | None = None) ->
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(_files(df, label, files, by))
 
 
-TOTALS = "SELECT user_id, device_id, process_id, pod_id, window_id, CAST(sum(count) AS BIGINT) AS count, CAST(sum(error_count) AS BIGINT) AS error_count, CAST(sum(bytes) AS BIGINT) AS bytes, max(max_nanos) AS max_nanos FROM emissions GROUP BY ALL"
+def _ticks(df: DataFrame, label: str, tick: str) -> DataFrame:
+    """A stream that brings the rows of each value of ``tick``, in their order, as a micro-batch."""
+    spark = df.sparkSession
+    rows, path = written(df, label), new_path(spark, f"{label}-ticks")
+    for (value,) in sorted(rows.select(tick).distinct().collect()):  # a few ticks; files are read by their time
+        rows.where(F.col(tick) == value).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-@query("str_1_emit_open_windows", duck_with("telemetry", "emissions") + TOTALS)
+@query("str_1_emit_open_windows", duck_with("telemetry", "emissions") + f"SELECT {EMISSION} FROM emissions")
 def _(spark, sf):
+    """Three ticks, each with some events of every window; the tick makes the sequence."""
     out, check = new_path(spark, "emitted"), new_path(spark, "check")
-    jobs.emit_open_windows(_stream_of(fx.telemetry(spark, sf), "telemetry", 3, "arrival"), SIZE, sinks.append_parquet(out), check).awaitTermination()
-    emitted = spark.read.parquet(out)
-    return emitted.groupBy(*keys.KEY, "window_id").agg(F.sum("count").alias("count"), F.sum("error_count").alias("error_count"), F.sum("bytes").alias("bytes"), F.max("max_nanos").alias("max_nanos"))
+    events = fx.telemetry(spark, sf).withColumn("tick", F.col("arrival") % 3)
+    jobs.emit_open_windows(_ticks(events, "telemetry", "tick"), SIZE, sinks.append_parquet(out), check).awaitTermination()
+    return spark.read.parquet(out).select(*windows.EMISSION)
+
+
+MOST = 12
+
+
+def _ticks_sql() -> str:
+    """Four ticks: a process has room for MOST windows, those that wait included; a third of new windows fail and pass at the next tick."""
+    parts = [f"t AS (SELECT *, observed_at_unix_nanos // {SIZE} AS window_id, arrival % 4 AS tick FROM telemetry)"]
+    key = "user_id, device_id, process_id, pod_id, window_id"
+    for k in range(4):
+        held = f"(SELECT pod_id, count(*) AS held FROM w{k - 1} GROUP BY pod_id)" if k else "(SELECT '' AS pod_id, 0 AS held)"
+        parts += [
+            f"r{k} AS (SELECT *, row_number() OVER (PARTITION BY pod_id ORDER BY first, {key}) AS r FROM (SELECT {key}, min(arrival) AS first, count(*) AS n FROM t WHERE tick = {k} GROUP BY {key}))",
+            f"a{k} AS (SELECT r.*, {k} AS tick FROM r{k} r LEFT JOIN {held} h USING (pod_id) WHERE r + coalesce(held, 0) <= {MOST})",
+            f"w{k} AS (SELECT * FROM a{k} WHERE (window_id + process_id) % 3 = 0)",
+        ]
+    parts.append("a AS (" + " UNION ALL ".join(f"SELECT * FROM a{k}" for k in range(4)) + ")")
+    return duck_with("telemetry").rstrip() + ",\n" + ",\n".join(parts) + "\n"
+
+
+def _run_ticks(spark: SparkSession, sf: str) -> tuple[str, str, ticks.Outbox]:
+    published, shed, outbox = new_path(spark, "published"), new_path(spark, "shed"), ticks.Outbox(new_path(spark, "outbox"))
+
+    def publish(out: DataFrame, tick: int) -> DataFrame:
+        passed = out.where(F.col("retained") | ((F.col("window_id") + F.col("process_id")) % 3 != 0))
+        sinks.append_parquet(published)(passed, tick)
+        return spark.read.parquet(f"{published}/batch={tick}")
+
+    events = fx.telemetry(spark, sf).withColumn("tick", F.col("arrival") % 4)
+    jobs_ = ticks.emit_ticks(_ticks(events, "telemetry", "tick").drop("tick"), SIZE, outbox, publish, new_path(spark, "check"), MOST, ["pod_id"], sinks.append_parquet(shed))
+    jobs_.awaitTermination()
+    return published, shed, outbox
+
+
+@query("lim_3_ceiling_over_ticks", _ticks_sql() + "SELECT arrival, CAST(t.tick AS INTEGER) AS batch FROM t LEFT JOIN a ON a.tick = t.tick AND a.user_id = t.user_id AND a.device_id = t.device_id AND a.process_id = t.process_id AND a.pod_id = t.pod_id AND a.window_id = t.window_id WHERE a.r IS NULL")
+def _(spark, sf):
+    """Events that found no room, by tick: windows that wait to be published count too."""
+    return spark.read.parquet(_run_ticks(spark, sf)[1]).select("arrival", "batch")
+
+
+@query("set_1_outbox", _ticks_sql() + "SELECT user_id, device_id, process_id, pod_id, window_id, tick + 1 AS sequence, n AS count, retained, CAST(tick + CAST(retained AS INTEGER) AS INTEGER) AS batch FROM (SELECT *, (window_id + process_id) % 3 = 0 AS retained FROM a) WHERE NOT (retained AND tick = 3)")
+def _(spark, sf):
+    """What each tick published: windows that failed come again at the next, unchanged."""
+    return spark.read.parquet(_run_ticks(spark, sf)[0]).select(*keys.IDENTITY, "count", "retained", "batch")
 
 
 @query("str_3_flush", duck_with("telemetry") + duck_windows("(SELECT *, CAST(1 AS BIGINT) AS sequence FROM telemetry)", "sequence"))
@@ -682,31 +808,54 @@ def _(spark, sf):
     return jobs.flush(fx.telemetry(spark, sf), SIZE)
 
 
-@query("str_4_dedupe_emissions", duck_with("telemetry", "emissions") + "SELECT user_id, device_id, process_id, pod_id, window_id, sequence, count FROM emissions")
+@contextmanager
+def _rocksdb(spark: SparkSession):
+    """Streams with state of any kind need this state store."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, jobs.ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+APPLIED = "first AS (SELECT user_id, device_id, process_id, pod_id, window_id, sequence, count, window_id % 2 * 2 AS hour FROM emissions)"
+
+
+@query("str_4_dedupe_emissions", duck_with("telemetry", "emissions").rstrip() + f", {APPLIED} SELECT * FROM first UNION ALL SELECT * REPLACE (hour + 7 AS hour) FROM first WHERE window_id % 3 = 0")
 def _(spark, sf):
-    rows = fx.redelivered(spark, sf).withColumn("applied_at", F.timestamp_seconds(F.lit(1_700_000_000)))
+    """Emissions of hours 0 and 2, again three hours later, when they count no more, and some after seven, when they do."""
+    one = fx.emissions(spark, sf).withColumn("hour", F.col("window_id") % 2 * 2)
+    rows = one.unionByName(one.where("window_id % 5 < 3").withColumn("hour", F.col("hour") + 3)).unionByName(one.where("window_id % 3 = 0").withColumn("hour", F.col("hour") + 7))
+    rows = rows.withColumn("applied_at", F.timestamp_seconds(1_700_000_000 + F.col("hour") * 3600))
     out, check = new_path(spark, "deduped"), new_path(spark, "check")
-    jobs.dedupe_emissions(_stream_of(rows, "redelivered", 3), "applied_at").writeStream.format("parquet").option("checkpointLocation", check).trigger(availableNow=True).start(out).awaitTermination()
-    return spark.read.schema(rows.schema).parquet(out).select(*keys.IDENTITY, "count")
+    with _rocksdb(spark):
+        applied.dedupe_emissions(_ticks(rows, "redelivered", "hour"), "applied_at").writeStream.format("parquet").option("checkpointLocation", check).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out).select(*keys.IDENTITY, "count", "hour")
 
 
 def _changes(spark: SparkSession, sf: str) -> DataFrame:
     events, resets = fx.log(spark, sf)
     marked = events.withColumn("reset", F.lit(False)).unionByName(resets.withColumn("reset", F.lit(True)), allowMissingColumns=True).fillna(0).fillna("", ["pod_id"])
     out, check = new_path(spark, "changes"), new_path(spark, "check")
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
-    try:
+    with _rocksdb(spark):
         feed = jobs.device_changes(_stream_of(marked, "log", 1))
         feed.writeStream.foreachBatch(sinks.append_parquet(out)).outputMode("update").option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return spark.read.schema(jobs.STATE).parquet(out)
 
 
 @query("str_5_live_device_state", RESET_SQL)
 def _(spark, sf):
-    return jobs.live_device_state(_changes(spark, sf)).select(*STATE.split(", "))
+    """State kept by a stream over three ticks of the log; what is delivered again does so within six hours."""
+    events, resets = fx.log(spark, sf)
+    marked = events.withColumn("reset", F.lit(False)).unionByName(resets.withColumn("reset", F.lit(True)), allowMissingColumns=True)
+    minute = F.expr("(arrival - 197230000) div 10000")
+    marked = marked.withColumns({"applied_at": F.timestamp_seconds(1_700_000_000 + minute * 60), "tick": F.expr("(arrival - 197230000) div 170000")})
+    table = applied.StateTable(new_path(spark, "state"), compact_every=2)
+    with _rocksdb(spark):
+        applied.live_device_state(_ticks(marked, "log", "tick"), table, new_path(spark, "check")).awaitTermination()
+    return table.read(spark).select(*STATE.split(", "))
 
 
 @query("str_6_device_changes", duck_with("telemetry", "emissions", "log", "resets") + "SELECT user_id, device_id, count(*) AS changes FROM (SELECT user_id, device_id, arrival FROM log UNION ALL SELECT user_id, device_id, arrival FROM resets) GROUP BY ALL")
@@ -714,12 +863,13 @@ def _(spark, sf):
     return _changes(spark, sf).groupBy("user_id", "device_id").agg(F.count(F.lit(1)).alias("changes"))
 
 
-@query("snk_4_upsert_device_state", duck_with("telemetry", "emissions", "state") + "SELECT user_id, device_id, count, error_count, bytes, last_window_id FROM state")
+@query("snk_4_upsert_device_state", duck_with("telemetry", "emissions", "state") + f"SELECT {STATE} FROM state")
 def _(spark, sf):
-    path, check = new_path(spark, "snapshots"), new_path(spark, "check")
-    snapshots = sinks.StateSnapshots(path)
-    _stream_of(fx.emissions(spark, sf), "emissions", 3, "window_id").writeStream.foreachBatch(snapshots).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
-    return snapshots.newest(spark).select("user_id", "device_id", "count", "error_count", "bytes", "last_window_id")
+    path, check = new_path(spark, "states"), new_path(spark, "check")
+    table = applied.StateTable(path, compact_every=2)
+    rows = fx.emissions(spark, sf).withColumns({"arrival": F.col("sequence") * 1000 + F.col("process_id"), "tick": F.expr("window_id div 8")})
+    _ticks(rows, "emissions", "tick").writeStream.foreachBatch(table).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    return table.read(spark).select(*STATE.split(", "))
 
 
 @query("snk_7_write_metrics", duck_with("samples") + f"SELECT name, CAST(sum(delta) AS BIGINT) AS value FROM ({DELTAS}) WHERE delta <> 0 GROUP BY name")
@@ -739,6 +889,22 @@ def _(spark, sf):
     return kept.unionByName(lost).groupBy("key", "dead").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("str_8_retries", duck_with("telemetry") + "SELECT device_id AS key, arrival, arrival % 4999 = 7 AS dead FROM telemetry")
+def _(spark, sf):
+    """Messages that the sink refuses are found among the others, which are kept once."""
+    good, dead, check = new_path(spark, "good"), new_path(spark, "dead"), new_path(spark, "check")
+    messages = fx.telemetry(spark, sf).select(F.col("device_id").alias("key"), F.to_json(F.struct("arrival", "latency_nanos")).alias("value"))
+
+    def handler(batch: DataFrame, batch_id: int) -> None:
+        refused = F.when(F.col("arrival") % 4999 == 7, F.raise_error(F.lit("refused")))
+        sinks.append_parquet(good)(batch.withColumn("latency_nanos", F.coalesce(refused.cast("long"), F.col("latency_nanos"))), batch_id)
+
+    jobs.split_poison(_stream_of(messages, "messages", 2), "arrival long, latency_nanos long", handler, sinks.append_parquet(dead), "events.raw", check).awaitTermination()
+    kept = spark.read.parquet(good).select("key", "arrival", F.lit(False).alias("dead"))
+    lost = spark.read.parquet(dead).where("reason like '%refused%'").select("key", F.get_json_object("value", "$.arrival").cast("long").alias("arrival"), F.lit(True).alias("dead"))
+    return kept.unionByName(lost)
+
+
 # --- pluggable summaries
 
 

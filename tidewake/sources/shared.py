@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,3 +31,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, label: str, name: str) -> DataFrame:
+    """``df`` written with ``name``, a number from 0 without gaps for each row; only counts of partitions are gathered."""
+    spark = df.sparkSession
+    within = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    rows = written(df.withColumns({"__part": F.spark_partition_id(), "__within": within}), label)
+    begin, starts = 0, []
+    for part, n in sorted(rows.groupBy("__part").count().collect()):
+        starts.append((part, begin))
+        begin += n
+    starts = spark.createDataFrame(starts, "__part int, __begin long")
+    return rows.join(F.broadcast(starts), "__part").withColumn(name, F.col("__begin") + F.col("__within")).drop("__part", "__within", "__begin")

@@ -1,4 +1,4 @@
-"""Sinks for micro-batches: fan-out, state snapshots, counters."""
+"""Sinks for micro-batches: fan-out, batches as folders, counters."""
 
 from __future__ import annotations
 
@@ -7,9 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.operators.archive import archive_exists
-from tidewake.operators.state import DEVICE, _order, apply_once
-
 Sink = Callable[[DataFrame, int], None]
 
 
@@ -45,43 +42,3 @@ def write_metrics(path: str) -> Sink:
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("name", "delta", F.col("batch_id").cast("long").alias("batch_id"))
-
-
-class StateSnapshots:
-    """Device state as one snapshot for each batch; the next batch is folded into the newest before it.
-
-    A retried batch writes its snapshot again from the one before, so it counts once.
-    Emissions must have been deduplicated over batches (see ``dedupe_emissions``).
-    """
-
-    def __init__(self, path: str):
-        self.path = path
-
-    def _at(self, batch_id: int) -> str:
-        return f"{self.path}/version={batch_id}"
-
-    def newest(self, spark: SparkSession, before: int | None = None) -> DataFrame | None:
-        jvm = spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        if not archive_exists(spark, self.path):
-            return None
-        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        names = [str(x.getPath().getName()) for x in fs.listStatus(root)]
-        done = [int(n.removeprefix("version=")) for n in names if n.startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        done = [n for n in done if before is None or n < before]
-        return spark.read.parquet(self._at(max(done))) if done else None
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        once = apply_once(batch)
-        rank = F.struct("window_id", "count", *(-F.col(c) for c in _order(once)))
-        fresh = once.groupBy(*DEVICE).agg(
-            F.sum("count").alias("count"), F.sum("error_count").alias("error_count"), F.sum("bytes").alias("bytes"), F.max("window_id").alias("last_window_id"),
-            F.max_by(F.struct(F.col("count").alias("sample"), "p95_nanos", "p99_nanos", F.col("window_end_unix_nanos").alias("last_seen_unix_nanos")), rank).alias("x"),
-        ).select(*DEVICE, "count", "error_count", "bytes", "last_window_id", "x.*").withColumn("turn", F.lit(batch_id))
-        held = self.newest(batch.sparkSession, batch_id)
-        if held is not None:
-            fresh = held.unionByName(fresh)
-        # on ties the earlier batch's percentiles stay
-        best = F.max_by(F.struct("sample", "p95_nanos", "p99_nanos", "last_seen_unix_nanos", "turn"), F.struct("last_window_id", "sample", -F.col("turn")))
-        out = fresh.groupBy(*DEVICE).agg(F.sum("count").alias("count"), F.sum("error_count").alias("error_count"), F.sum("bytes").alias("bytes"), F.max("last_window_id").alias("last_window_id"), best.alias("x"))
-        out.select(*DEVICE, "count", "error_count", "bytes", "last_window_id", "x.*").write.mode("overwrite").parquet(self._at(batch_id))

@@ -1,4 +1,4 @@
-"""Structured Streaming jobs: window emission, deduplication, live state, change feed, poison handling."""
+"""Structured Streaming jobs: window emission, change feed, poison handling."""
 
 from __future__ import annotations
 
@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from tidewake.functions.keys import IDENTITY, KEY, with_window
+from tidewake.functions.keys import KEY, with_window
 from tidewake.functions.sketch import ALPHA, bucket_of, value_of
 from tidewake.operators.windows import aggregate_windows
+from tidewake.sources.shared import numbered, written
 from tidewake.sources.sinks import Sink
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -38,11 +39,6 @@ def flush(events: DataFrame, size_nanos: int) -> DataFrame:
     return aggregate_windows(events.withColumn("sequence", F.lit(1).cast("long")), size_nanos, extra=("sequence",))
 
 
-def dedupe_emissions(emissions: DataFrame, applied_at: str, ttl: str = "6 hours") -> DataFrame:
-    """Each identity once; identities applied longer ago than ``ttl`` are forgotten."""
-    return emissions.withWatermark(applied_at, ttl).dropDuplicatesWithinWatermark(IDENTITY)
-
-
 CLOSED = "user_id string, device_id string, process_id int, pod_id string, window_id long, sequence long, count long, error_count long, bytes long, max_nanos long, buckets map<int, long>"
 
 
@@ -157,35 +153,74 @@ def device_changes(log: DataFrame) -> DataFrame:
     return log.groupBy("user_id", "device_id").transformWithStateInPandas(statefulProcessor=_LiveState(), outputStructType=STATE, outputMode="Update", timeMode="None")
 
 
-def live_device_state(changes: DataFrame) -> DataFrame:
-    """The newest state of each device in a table of its changes."""
-    rest = [c for c in changes.columns if c not in ("user_id", "device_id", "arrival")]
-    return changes.groupBy("user_id", "device_id").agg(F.max_by(F.struct(*rest), "arrival").alias("x")).select("user_id", "device_id", "x.*")
+ATTEMPTS = 3
 
 
-ATTEMPTS = 3
+def deliver(rows: DataFrame, n: int, number: str, good: Sink, batch_id: int, attempts: int = ATTEMPTS, most_refused: int = 10_000) -> dict[int, str]:
+    """Give ``rows``, ``n`` of them told apart by ``number``, to ``good`` and return why those fail that it refuses.
+
+    The rows go out as a whole. When that fails, halves are tried, and halves of halves that fail, down
+    to single rows, each of which has ``attempts`` tries; so k bad rows among n cost some k log n
+    tries, and the rows beside them are none the worse. Every call has the batch's number and must
+    replace what the calls before it wrote for that batch; the last one has all rows that are left.
+    If that one fails ``attempts`` times although each row passed, its failure is raised, and so is that
+    of a row when more than ``most_refused`` have failed before it: then the sink is at fault.
+    """
+
+    def tried(low: int, high: int, without: list[int] = []) -> Exception | None:  # noqa: B006
+        part = rows if (low, high) == (0, n) else rows.where(F.col(number).between(low, high - 1))
+        if without:
+            refused = rows.sparkSession.createDataFrame([(k,) for k in without], f"{number} long")
+            part = part.join(F.broadcast(refused), number, "left_anti")
+        try:
+            good(part.drop(number), batch_id)
+        except Exception as problem:  # noqa: BLE001  told to the caller
+            return problem
+        return None
+
+    bad: dict[int, str] = {}
+    todo: list[tuple[int, int]] = [(0, n)] if n else []
+    whole = False  # whether the last call that succeeded had all rows
+    while todo:
+        low, high = todo.pop()
+        problem = tried(low, high)
+        for _ in range(attempts - 1 if high - low == 1 else 0):
+            problem = problem and tried(low, high)
+        whole = not problem and (low, high) == (0, n)
+        if problem and high - low > 1:
+            middle = (low + high) // 2
+            todo += [(middle, high), (low, middle)]
+        elif problem:
+            if len(bad) == most_refused:
+                raise problem
+            bad[low] = f"{type(problem).__name__}: {problem}"[:500]
+    if len(bad) < n and not whole:
+        problem = tried(0, n, sorted(bad))
+        for _ in range(attempts - 1):
+            problem = problem and tried(0, n, sorted(bad))
+        if problem:
+            raise problem
+    return bad
 
 
 def split_poison(messages: DataFrame, schema: str, good: Sink, dead: Sink, origin: str, checkpoint: str, attempts: int = ATTEMPTS) -> StreamingQuery:
     """Messages that parse go to ``good``, the others with reason and origin to ``dead``; then the batch is done.
 
-    ``good`` has ``attempts`` tries at a batch and must write it whole again at each; when the last
-    fails, the batch's messages go to ``dead`` too, with the failure as their reason. A failure of
+    A message that ``good`` refuses ``attempts`` times goes to ``dead`` with its failure as the reason;
+    the batch's other messages are kept (see ``deliver`` for what ``good`` must allow). A failure of
     ``dead`` fails the batch, which the checkpoint repeats; a bad message never does.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        parsed = batch.withColumn("__v", F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})).persist()
-        bad = F.col("__v").isNull() | F.col("__v._corrupt").isNotNull()
-        reason = F.when(bad, "malformed")
-        for left in reversed(range(attempts)):
-            try:
-                good(parsed.where(~bad).select("key", "__v.*").drop("_corrupt"), batch_id)
-                break
-            except Exception as problem:  # noqa: BLE001  the last one is written beside the messages
-                if not left:
-                    reason = reason.otherwise(f"{type(problem).__name__}: {problem}"[:500])
-        dead(parsed.select("key", "value", F.lit(origin).alias("origin"), reason.alias("reason")).where("reason IS NOT NULL"), batch_id)
-        parsed.unpersist()
+        parsed = batch.withColumn("__v", F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+        malformed = F.col("__v").isNull() | F.col("__v._corrupt").isNotNull()
+        parsed = written(parsed.withColumn("__bad", malformed), "messages")
+        sound = numbered(parsed.where("not __bad"), "sound", "__number")
+        refused = deliver(sound.select("__number", "key", "__v.*").drop("_corrupt"), sound.count(), "__number", good, batch_id, attempts)
+        letters = parsed.where("__bad").select("key", "value", F.lit(origin).alias("origin"), F.lit("malformed").alias("reason"))
+        if refused:
+            reasons = batch.sparkSession.createDataFrame(list(refused.items()), "__number long, reason string")
+            letters = letters.unionByName(sound.join(F.broadcast(reasons), "__number").select("key", "value", F.lit(origin).alias("origin"), "reason"))
+        dead(letters, batch_id)
 
     return messages.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
