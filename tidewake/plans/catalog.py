@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from contextlib import contextmanager
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from tidewake.plans import fixtures as fx
 from tidewake.plans.fixtures import SIZE, duck_with, duck_windows
 from tidewake.sources import codec, sinks
 from tidewake.sources.shared import new_path, written
-from tidewake.streaming import applied, jobs, ticks
+from tidewake.streaming import applied, jobs, observed, ticks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -879,6 +880,65 @@ def _(spark, sf):
     return rates.pipeline_metrics(sinks.read_metrics(spark, path))
 
 
+@query("snk_7_observed_counters", duck_with("telemetry", "invalid") + f"SELECT CASE WHEN {REASON} IS NULL THEN 'ingest_events_accepted' ELSE 'kafka_dead_letter' END AS name, count(*) AS value FROM invalid GROUP BY 1 UNION ALL SELECT 'errors_counted', count(*) FROM invalid WHERE failed AND {REASON} IS NULL")
+def _(spark, sf):
+    """Counters that a stream observes while it writes the valid events."""
+    path, check = new_path(spark, "metrics"), new_path(spark, "check")
+    events = _stream_of(fx.invalid(spark, sf), "invalid", 2)
+    good = validate.event_reason().isNull()
+    counted = observed.observed(events, "ingest", {"ingest_events_accepted": good, "kafka_dead_letter": ~good, "errors_counted": good & F.col("failed")})
+    listener = observed.ObservedCounters(spark, "ingest", path)
+    spark.streams.addListener(listener)
+    try:
+        counted.where(good).writeStream.format("parquet").option("checkpointLocation", check).trigger(availableNow=True).start(new_path(spark, "valid")).awaitTermination()
+        listener.settled()
+    finally:
+        spark.streams.removeListener(listener)
+    return rates.pipeline_metrics(sinks.read_metrics(spark, path))
+
+
+@query("src_5_two_consumers", duck_with("telemetry", "emissions") + "SELECT device_id, CAST(sum(count) AS BIGINT) AS hot, CAST(sum(count) AS BIGINT) AS archived, CAST(0 AS BIGINT) AS diff, CAST(1 AS BIGINT) AS interrupted FROM emissions GROUP BY device_id")
+def _(spark, sf):
+    """Two consumers of one stream, each with its own progress; the archive's stops midway and goes on later."""
+    rows = fx.redelivered(spark, sf).withColumns({"arrival": F.col("sequence") * 1000 + F.col("process_id"), "tick": F.expr("window_id div 8")})
+    stream = _ticks(rows.dropDuplicates(keys.IDENTITY), "emissions", "tick").drop("tick")
+    table, path, check = applied.StateTable(new_path(spark, "states")), new_path(spark, "archive"), new_path(spark, "check")
+    stopped = []
+
+    def archived(batch: DataFrame, batch_id: int) -> None:
+        if batch_id == 1 and not stopped:
+            stopped.append(batch_id)
+            raise RuntimeError("stopped midway")
+        archive.write_archive(batch.drop("arrival"), path)
+
+    consume = lambda sink, check: stream.writeStream.foreachBatch(sink).option("checkpointLocation", check).trigger(availableNow=True).start()
+    try:
+        consume(archived, check).awaitTermination()
+    except StreamingQueryException:
+        pass
+    consume(table, new_path(spark, "check")).awaitTermination()
+    consume(archived, check).awaitTermination()
+    hot, cold = table.read(spark).withColumn("n", F.col("count")), archive.scan_archive(spark, path).withColumn("n", F.col("count"))
+    return freshness.reconcile({"hot": hot, "archived": cold}, ["device_id"]).withColumn("interrupted", F.lit(len(stopped)).cast("long"))
+
+
+FEED = duck_with("telemetry", "emissions", "log", "resets").rstrip() + """, own AS (SELECT arrival, count, error_count, bytes, window_id, false AS reset FROM log WHERE device_id = 'device-003' UNION ALL SELECT arrival, 0, 0, 0, NULL, true FROM resets WHERE device_id = 'device-003'),
+spans AS (SELECT *, count(*) FILTER (reset) OVER (ORDER BY arrival) AS span FROM own)
+SELECT arrival, CAST(sum(count) OVER w AS BIGINT) AS count, CAST(sum(error_count) OVER w AS BIGINT) AS error_count, CAST(sum(bytes) OVER w AS BIGINT) AS bytes, max(window_id) OVER (ORDER BY arrival) AS last_window_id FROM spans WINDOW w AS (PARTITION BY span ORDER BY arrival)"""
+
+
+@query("str_6_device_feed", FEED)
+def _(spark, sf):
+    """Every change of one device, row by row."""
+    return jobs.watch_device(_changes(spark, sf), "device-003").select("arrival", "count", "error_count", "bytes", "last_window_id")
+
+
+@query("str_6_slow_reader", duck_with("telemetry", "emissions", "log", "resets") + "SELECT user_id, device_id, max(arrival) AS arrival, count(*) - 1 AS skipped FROM (SELECT user_id, device_id, arrival FROM log UNION ALL SELECT user_id, device_id, arrival FROM resets) WHERE arrival > 197400000 GROUP BY ALL")
+def _(spark, sf):
+    """Of each device the newest change after a reader's place, and how many it passed over."""
+    return jobs.newest_changes(_changes(spark, sf), 197_400_000).select("user_id", "device_id", "arrival", "skipped")
+
+
 @query("str_8_poison", duck_with("telemetry") + "SELECT device_id AS key, (arrival // 500) % 11 = 0 AS dead, count(DISTINCT arrival // 500) AS n FROM telemetry GROUP BY ALL")
 def _(spark, sf):
     good, dead, check = new_path(spark, "good"), new_path(spark, "dead"), new_path(spark, "check")

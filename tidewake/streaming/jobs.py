@@ -153,6 +153,19 @@ def device_changes(log: DataFrame) -> DataFrame:
     return log.groupBy("user_id", "device_id").transformWithStateInPandas(statefulProcessor=_LiveState(), outputStructType=STATE, outputMode="Update", timeMode="None")
 
 
+def watch_device(changes: DataFrame, device_id: str, after: int | None = None) -> DataFrame:
+    """The changes of one device after a reader's place, the arrival of the last one that it has seen."""
+    own = changes.where(F.col("device_id") == device_id)
+    return own if after is None else own.where(F.col("arrival") > after)
+
+
+def newest_changes(changes: DataFrame, after: int) -> DataFrame:
+    """For slow readers: of each device its newest change after ``after``, and how many changes that skips."""
+    rest = [c for c in changes.columns if c not in ("user_id", "device_id", "batch")]
+    newer = changes.where(F.col("arrival") > after).groupBy("user_id", "device_id")
+    return newer.agg(F.max_by(F.struct(*rest), "arrival").alias("x"), (F.count(F.lit(1)) - 1).alias("skipped")).select("user_id", "device_id", "x.*", "skipped")
+
+
 ATTEMPTS = 3
 
 
