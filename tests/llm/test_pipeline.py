@@ -35,17 +35,17 @@ def test_stages(spark):
 def test_run_equals_its_stages_and_is_registered(spark):
     entry = importlib.import_module("__spark_entry__")
     assert entry.queries()["pipeline"] is corpus_pipeline.run
-    assert {n.split("_")[0] for n in entry.queries() if n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in entry.queries() if n.startswith("op")} == {f"op{k}" for k in range(1, 14)}
     assert corpus_pipeline.run(spark, DATA).count() > 0
 
 
-@pytest.mark.parametrize("name", ["op2_warc", "op4_jaccard", "op6_decontamination", "op10_topk"])
+@pytest.mark.parametrize("name", ["op2_warc", "op4_jaccard", "op6_decontamination", "op10_topk", "op11_repeats", "op12_prefix_trie", "op13_merkle"])
 def test_sql(spark, name):
     import duckdb
 
     entry = importlib.import_module("__spark_entry__")
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "embeddings"):
+    for t in ("documents", "pages", "benchmark", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     df = entry.queries()[name](spark, DATA)
     columns = sorted(df.columns)
