@@ -350,19 +350,36 @@ class PlainTree(html.parser.HTMLParser):
         self.at, self.nodes, self.blocks, self.buffer = ("#root", {}, None), [], [], []
         self.feed(page)
         self.flush()
+        self.leave_out()
 
     def up(self, x):
         return [] if x is None else [x, *self.up(x[2])]
 
     def dropped(self, x):
         line = self.up(x)
-        for k, (tag, attrs, _) in enumerate(line):
-            names = set(re.findall("[a-z]+", " ".join(attrs.get(a, "") for a in ("class", "id"))))
+        for k, (tag, _, _) in enumerate(line):
             inner = any(y[0] in ("article", "main") for y in line[k + 1 :])
-            if tag in html_text.DROPPED or (tag == "header" and not inner) or (names & html_text.UNWANTED and tag not in (*html_text.INLINE, "html", "body", "main") and (tag != "article" or inner)):
+            if tag in ("nav", "aside", "footer") or (tag == "header" and not inner):
                 return True
         return False
 
+    def doubted(self, x):
+        return x[1].get("class") == "sidebar" and x[0] not in (*html_text.INLINE, "main")
+
+    def leave_out(self):
+        """Without the sidebars, but for those that hold an article or most of the text of a page with no other article."""
+        size = lambda x: sum(len(b) - k for o, b, k in self.blocks if any(y is x for y in self.up(o)))
+        some = lambda x: any(y is x for o, _, _ in self.blocks for y in self.up(o))
+        articles = [x for x in self.nodes if x[0] in ("article", "main") and some(x) and not self.doubted(x)]
+        whole = sum(len(b) - k for _, b, k in self.blocks)
+        clear = any(not any(map(self.doubted, self.up(x))) for x in articles)
+        bad = []
+        for x in filter(self.doubted, self.nodes):
+            holds = any(y is x for a in articles for y in self.up(a)[1:])
+            if clear or size(x) <= whole / 2 or (articles and not holds):
+                bad.append(x)
+        self.blocks = [b for b in self.blocks if not any(y is x for x in bad for y in self.up(b[0]))]
+
     def flush(self):
         body = " ".join("".join(t for t, _ in self.buffer).split())
         if body:
@@ -462,6 +479,30 @@ def test_main_text_against_a_plain_version():
     assert compared > 350 and several > 10
 
 
+FULL = f"<h1>Heading</h1><p>{PARA}</p><p>{PARA} {PARA}</p>"
+FULL_TEXT = f"Heading\n{PARA}\n{PARA} {PARA}"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div id='page' class='site has-sidebar'><nav>menu</nav><article>{FULL}</article><div class=sidebar><p>{PARA}</p></div></div>",
+        f"<form id='aspnetForm'><input name=x><article>{FULL}</article><button>Go</button></form>",
+        f"<body><form id='aspnetForm'><div>{FULL}</div><select><option>one</select></form></body>",
+        f"<div class='social-science-paper'>{FULL}</div><div class=sidebar><p>{PARA}</p></div>",
+        f"<div class='related-work section'>{FULL}</div><footer>{PARA}</footer>",
+        f"<article><h1>Heading</h1><section id='notice-of-default'><p>{PARA}</p></section><p>{PARA} {PARA}</p></article>",
+        f"<div class='post'><div class='entry-header'><h1>Heading</h1></div><p>{PARA}</p><p>{PARA} {PARA}</p></div><div class='site-header'>{PARA}</div>",
+        f"<div class='ad'><article>{FULL}</article></div>",
+        f"<div class='comments-open'><main>{FULL}<ol class='comment-list'><li>{PARA * 9}</li></ol></main></div>",
+        f"<article>{FULL}<div class='share-buttons'>Share {PARA}</div><div class='newsletter-box'><form>{PARA}</form></div><article class='comment'>{PARA * 20}</article></article>",
+        f"<div>{FULL}</div><div class='cookie-banner'>{PARA}</div><ul class='related-links'><li>{PARA}</ul><form>{PARA} <input></form><div class='social'>{PARA}</div>",
+    ],
+)
+def test_names_weigh_but_do_not_delete_the_article(page):
+    assert html_text.main_text(page) == FULL_TEXT
+
+
 def test_articles_side_by_side_and_lists_in_articles():
     links = "<ul><li><a href=a>one source</a></li><li><a href=b>another source</a></li></ul>"
     big = "".join(f"<p>{PARA}, and, so, on</p>" for _ in range(6))
@@ -471,6 +512,18 @@ def test_articles_side_by_side_and_lists_in_articles():
     assert html_text.main_text(f"<article><p>&am<b>p;</b> {PARA}</p></article>") == f"&amp; {PARA}"
 
 
+def test_open_quotes_are_read_by_one_rule():
+    """However many tags before have quotes that never close, a > inside closed quotes ends no tag."""
+    for n in (1, 31, 32, 40):
+        page = "<p title='>x</p>" * n + f'<p title="a > b">{PARA}</p>'
+        assert html_text.main_text(page).split("\n")[-1] == PARA
+    began = time.perf_counter()
+    html_text.main_text("<p a=\"'" * 50_000 + ">" + "<b '\"" * 50_000)
+    html_text.main_text("<p a='>" * 50_000)
+    html_text.main_text("<p a='" * 50_000 + "'")
+    assert time.perf_counter() - began < 5
+
+
 def test_deep_and_long_html():
     assert html_text.main_text("<div>" * 3000 + f"<p>{PARA}</p>") == PARA
     assert len(html_text.main_text("<article>" + f"<p>{PARA}</p>" * 3000 + "</article>")) == 3000 * (len(PARA) + 1) - 1

@@ -1,6 +1,8 @@
 """Main text of web pages by tree scoring.
 
-A page becomes a tree of elements and text blocks. Each paragraph passes points for its length
+A page becomes a tree of elements and text blocks. What is no text by its element, such as menus,
+footers and scripts, is left out; elements whose names say that they are no part of the article are
+left out too, unless the article is inside them (see ``Page``). Each paragraph passes points for its length
 and commas to its ancestors, less with distance; an element's points are discounted by the share
 of its text inside links. The best container, text around it with few links,
 and its worthy siblings are kept.
@@ -20,7 +22,9 @@ from pyspark.sql import types as T
 # Element names by what they mean for the text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-DROPPED = frozenset("head nav footer aside form button select option input textarea script style noscript template svg math iframe object embed canvas audio video map dialog menu title fieldset label".split())
+DROPPED = frozenset("head nav footer aside button select option input textarea script style noscript template svg math iframe object embed canvas audio video map dialog menu title label".split())
+#: Left out unless the article is inside, as some pages are a form as a whole.
+FORMS = frozenset("form fieldset".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 PARAGRAPHS = frozenset("p pre blockquote td li dd section div article main".split())
 #: Start tags that end an open <p>; a few end their own kind.
@@ -32,6 +36,10 @@ comment comments disqus reply replies respond discussion notice notices alert co
 share sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager
 widget toolbar skip toc complementary contentinfo""".split())
 WANTED = frozenset("article content main post entry story body text".split())
+# Words that go with those above in the names of such parts.
+PLAIN = frozenset("""box wrap wrapper container list area block link links bar button buttons icon icons item items group panel section widget inner outer
+top bottom left right center primary secondary global site page header title row col column module region latest recent popular more user reader our your
+js wp id el""".split())
 
 MARKUP = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)|<[!?/]")
 QUOTE_OR_END = re.compile(r"[\"'>]")
@@ -42,7 +50,7 @@ NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 class Element:
     """``block``: the nearest element, from itself, that is not inline; ``depth``: of its place in the tree."""
 
-    __slots__ = ("tag", "parent", "depth", "block", "in_article", "dropped", "wanted", "points", "chars", "linked")
+    __slots__ = ("tag", "parent", "depth", "block", "in_article", "dropped", "doubt", "holds", "wanted", "points", "chars", "linked")
 
     def __init__(self, tag: str, parent: Element | None):
         self.tag, self.parent = tag, parent
@@ -50,6 +58,8 @@ class Element:
         self.block = parent.block if parent and tag in INLINE else self
         self.in_article = tag in ("article", "main") or bool(parent and parent.in_article)
         self.dropped = bool(parent and parent.dropped)
+        self.doubt = 0  # whether its names speak against it: 1 by a part of a name, 2 by a whole one
+        self.holds = False  # an article or main element
         self.wanted = tag in ("article", "main")
         self.points = 0.0
         self.chars = self.linked = 0
@@ -65,27 +75,50 @@ class Element:
 
 def _element(tag: str, attributes: str, parent: Element) -> Element:
     out = Element(tag, parent)
-    if tag in ("html", "body", "article", "main"):
-        if tag == "article" and parent.in_article and attributes and not out.dropped:  # comments are often articles within one
-            out.dropped = bool(_names(attributes)[1] & UNWANTED)
+    if tag in ("html", "body", "main"):
+        return out
+    if tag == "article":
+        if attributes and not out.dropped:  # comments are often articles
+            out.doubt = 2 * (_names(attributes)[2] == 2)
         return out
     out.dropped = out.dropped or tag in DROPPED or (tag == "header" and not parent.in_article)
+    out.doubt = 2 * (tag in FORMS)
     if attributes and not out.dropped and tag not in INLINE:
-        found, named = _names(attributes)
-        hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-        out.dropped = hidden or bool(named & UNWANTED) or ("header" in named and not parent.in_article)
+        found, named, doubt = _names(attributes)
+        out.dropped = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
         out.wanted = bool(named & WANTED)
+        out.doubt = max(out.doubt, doubt)
+        if "header" in named and not parent.in_article and not out.wanted:
+            out.doubt = 2
     return out
 
 
-def _names(attributes: str) -> tuple[dict[str, str], set[str]]:
-    """The attributes, and the words in its class, id and role."""
+def _names(attributes: str) -> tuple[dict[str, str], set[str], int]:
+    """The attributes, the words in its class, id and role, and what they say against it.
+
+    A name such as ``sidebar`` or ``related-links`` does so as a whole, one such as ``has-sidebar`` or
+    ``notice-of-default`` by a part.
+    """
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
-    return found, {p.lower() for k in ("class", "id", "role") if k in found for p in NAME_PARTS.findall(found[k])}
+    named, doubt = set(), 0
+    for k in ("class", "id", "role"):
+        for name in found.get(k, "").split():
+            words = {p.lower() for p in NAME_PARTS.findall(name)}
+            named |= words
+            if words & UNWANTED:
+                doubt = max(doubt, 1 if any(len(w) > 1 and not w.isdigit() for w in words - UNWANTED - PLAIN) else 2)
+    return found, named, doubt
 
 
 class Page:
-    """The elements and blocks of text of a page, in page order; its work is in proportion to the page."""
+    """The elements and blocks of text of a page, in page order; its work is in proportion to the page.
+
+    An element whose names speak against it is left out with all that is in it, unless it is the
+    article's own surroundings or part of it. Where an article (or main element) stands in no such
+    element, that is those inside it of which only a part of a name speaks so. Else it is those with
+    more than half of the page's text outside links, which must hold an article if there is one;
+    of those with only a part of a name, any that hold an article or a fifth of the text.
+    """
 
     def __init__(self, page: str):
         self.page, self.node = page, Element("#root", None)
@@ -93,12 +126,47 @@ class Page:
         self.open: dict[str, list[Element]] = {}
         self.pieces: list[str] = []
         self.inside = 0
-        self.wasted = 0  # tags whose quotes ran to the end of the page
+        self.lost: set[int] = set()  # quotes behind which no tag ends
+        self.last_quote = {q: page.rfind(q) for q in "\"'"}
         self.last_end = page.rfind(">")
         self._read()
+        self._add_up()
+        if any(x.doubt for x in self.elements):
+            self._leave_out()
+
+    def _add_up(self) -> None:
         for x in self.elements[:0:-1]:
             x.parent.chars += x.chars
             x.parent.linked += x.linked
+            x.parent.holds = x.parent.holds or x.holds or (x.tag in ("article", "main") and x.doubt < 2 and x.chars > 0)
+
+    def _leave_out(self) -> None:
+        """Leave out elements that names speak against, and add up the text that stays."""
+        doubted: set[int] = set()  # elements in doubt, and all in them
+        clear = False
+        for x in self.elements[1:]:
+            if x.doubt or id(x.parent) in doubted:
+                doubted.add(id(x))
+            else:
+                clear = clear or (x.tag in ("article", "main") and x.chars > 0)
+        some = self.elements[0].holds
+        whole = self.elements[0].chars - self.elements[0].linked
+        for x in self.elements[1:]:
+            x.dropped = x.dropped or x.parent.dropped
+            if x.doubt and not x.dropped:
+                if clear:
+                    x.dropped = x.doubt == 2 or not x.parent.in_article
+                elif x.doubt == 2:
+                    x.dropped = x.chars - x.linked <= whole / 2 or (some and not x.holds)
+                else:
+                    x.dropped = x.chars - x.linked <= whole / 5 and not (x.holds or x.in_article)
+        self.blocks = [b for b in self.blocks if not b[0].dropped]
+        for x in self.elements:
+            x.chars = x.linked = 0
+        for owner, joined, linked in self.blocks:
+            owner.chars += len(joined)
+            owner.linked += linked
+        self._add_up()
 
     def _text(self, raw: str) -> None:
         if raw and not self.node.dropped:
@@ -126,22 +194,20 @@ class Page:
             self.node = self.node.parent
 
     def _tag_end(self, at: int) -> int:
-        """Where the tag ends whose name ends at ``at``: a > outside quotes, or the first if quotes are never closed."""
-        page, first, here = self.page, -1, at
-        while self.wasted < 32:
-            m = QUOTE_OR_END.search(page, here)
-            if m is None or m[0] == ">":
-                if m is not None:
-                    return m.start()
+        """Where the tag ends whose name ends at ``at``: a > outside quotes, or the first if its quotes lead nowhere.
+
+        Quotes that have led nowhere are remembered, so that each is followed once.
+        """
+        page, here, seen = self.page, at, []
+        while m := QUOTE_OR_END.search(page, here):
+            if m[0] == ">":
+                return m.start()
+            seen.append(m.start())
+            if m.start() in self.lost or m.start() >= self.last_quote[m[0]]:
                 break
             here = page.find(m[0], m.end()) + 1
-            if not here:
-                break
-        else:
-            return page.find(">", at)
-        self.wasted += 1
-        first = page.find(">", at)
-        return first
+        self.lost.update(seen)
+        return page.find(">", at)
 
     def _read(self) -> None:
         page, at, end = self.page, 0, len(self.page)
