@@ -859,6 +859,31 @@ def _(spark, sf):
     return table.read(spark).select(*STATE.split(", "))
 
 
+@query("str_9_rebuild_by_replay", RESET_SQL)
+def _(spark, sf):
+    """A second query replays the log from its start while the live one goes on, and takes its place once it has caught up."""
+    events, resets = fx.log(spark, sf)
+    marked = events.withColumn("reset", F.lit(False)).unionByName(resets.withColumn("reset", F.lit(True)), allowMissingColumns=True)
+    minute = F.expr("(arrival - 197230000) div 10000")
+    rows = written(marked.withColumns({"applied_at": F.timestamp_seconds(1_700_000_000 + minute * 60), "tick": F.expr("(arrival - 197230000) div 260000")}), "log")
+    source, current = new_path(spark, "log-ticks"), applied.CurrentTable(spark, new_path(spark, "current"))
+    live, rebuilt, checks = applied.StateTable(new_path(spark, "live")), applied.StateTable(new_path(spark, "rebuilt")), [new_path(spark, "check") for _ in range(2)]
+    arrive = lambda tick: rows.where(F.col("tick") == tick).coalesce(1).write.mode("append").parquet(source)
+    stream = lambda: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    ticks_ = sorted(r[0] for r in rows.select("tick").distinct().collect())
+    with _rocksdb(spark):
+        arrive(ticks_[0])
+        applied.live_device_state(stream(), live, checks[0]).awaitTermination()
+        current.switch(live.path)
+        for tick in ticks_[1:]:
+            arrive(tick)
+        behind = applied.rebuild(stream(), live, rebuilt, checks[1], current, rounds=1)  # the live one has not seen the rest yet
+        applied.live_device_state(stream(), live, checks[0]).awaitTermination()
+        if behind or not applied.rebuild(stream(), live, rebuilt, checks[1], current):
+            raise RuntimeError("the replay has not caught up as it should")
+    return applied.StateTable(current.name()).read(spark).select(*STATE.split(", "))
+
+
 @query("str_6_device_changes", duck_with("telemetry", "emissions", "log", "resets") + "SELECT user_id, device_id, count(*) AS changes FROM (SELECT user_id, device_id, arrival FROM log UNION ALL SELECT user_id, device_id, arrival FROM resets) GROUP BY ALL")
 def _(spark, sf):
     return _changes(spark, sf).groupBy("user_id", "device_id").agg(F.count(F.lit(1)).alias("changes"))

@@ -172,3 +172,57 @@ def live_device_state(log: DataFrame, table: StateTable, checkpoint: str, applie
     both = once.unionByName(log.where("reset"))
     writer = both.writeStream.foreachBatch(table).outputMode("append").option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=tick) if tick else writer.trigger(availableNow=True)).start()
+
+
+class CurrentTable:
+    """The name of the state table that readers use, as a numbered file; the newest counts, and one rename makes it so."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._jvm = spark.sparkContext._jvm
+        self._fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _newest(self) -> int:
+        if not self._fs.exists(self._at("")):
+            return 0
+        names = [str(x.getPath().getName()) for x in self._fs.listStatus(self._at(""))]
+        return max((int(n) for n in names if n.isdigit()), default=0)
+
+    def name(self) -> str | None:
+        newest = self._newest()
+        return self.spark.read.text(f"{self.path}/{newest}").first()[0] if newest else None
+
+    def switch(self, name: str) -> None:
+        newest, aside = self._newest(), self._at("_next")  # readers look at numbers only
+        out = self._fs.create(aside, True)
+        out.write(bytearray(name.encode()))
+        out.close()
+        if not self._fs.rename(aside, self._at(str(newest + 1))):
+            raise RuntimeError("the current table has changed meanwhile")
+
+
+def caught_up(live: StateTable, rebuilt: StateTable, spark: SparkSession) -> bool:
+    """Whether both tables hold the same state of every device, whatever batches it came in."""
+    states = [t.read(spark) for t in (live, rebuilt)]
+    if None in states:
+        return states[0] is states[1]
+    columns = [c for c in states[0].columns if c != "turn"]
+    one, two = (x.select(*columns) for x in states)
+    return one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
+
+
+def rebuild(log: DataFrame, live: StateTable, rebuilt: StateTable, checkpoint: str, current: CurrentTable, rounds: int = 10, **options) -> bool:
+    """Replay ``log`` from its earliest row into ``rebuilt`` beside the live query, and switch readers to it once it has caught up.
+
+    The replay has a checkpoint of its own, so it goes on where it stopped; each round takes what has
+    arrived meanwhile. False if it is still behind after ``rounds``, with readers where they were.
+    """
+    for _ in range(rounds):
+        live_device_state(log, rebuilt, checkpoint, **options).awaitTermination()
+        if caught_up(live, rebuilt, log.sparkSession):
+            current.switch(rebuilt.path)
+            return True
+    return False
