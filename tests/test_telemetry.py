@@ -11,7 +11,7 @@ from tidewake.functions import keys, sketch
 from tidewake.operators import archive, capture, freshness, rates, state, validate, windows
 from tidewake.sources import codec, sinks
 from tidewake.sources.shared import new_path
-from tidewake.streaming import applied, jobs, ticks
+from tidewake.streaming import applied, jobs
 
 EVENT = "device_id string, user_id string, process_id int, pod_id string, kind int, observed_at_unix_nanos long, latency_nanos long, bytes long, failed boolean, arrival long"
 S = 1_000_000_000
