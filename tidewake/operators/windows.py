@@ -11,6 +11,43 @@ from tidewake.functions.sketch import ALPHA, QUANTILE_METHODS, bucket_of, collec
 EMISSION = [*IDENTITY, "window_start_unix_nanos", "window_end_unix_nanos", "count", "error_count", "bytes", "p95_nanos", "p99_nanos", "max_nanos"]
 
 
+def window_cells(events: DataFrame, size_nanos: int, alpha: float = ALPHA, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Counts and sums of each key, window and latency bucket; Spark combines them before the shuffle."""
+    latency = F.col("latency_nanos")
+    return with_window(events, size_nanos).groupBy(*KEY, *extra, "window_id", bucket_of(latency, alpha).alias("__bucket")).agg(
+        F.count(F.lit(1)).alias("__n"), F.min(latency).alias("__min"), F.max(latency).alias("__max"), F.count_if("failed").alias("__e"), F.sum("bytes").alias("__b")
+    )
+
+
+def merge_cells(cells: DataFrame) -> DataFrame:
+    """Cells of the same key, window and bucket added up."""
+    by = [c for c in cells.columns if c not in ("__n", "__min", "__max", "__e", "__b")]
+    return cells.groupBy(*by).agg(F.sum("__n").alias("__n"), F.min("__min").alias("__min"), F.max("__max").alias("__max"), F.sum("__e").alias("__e"), F.sum("__b").alias("__b"))
+
+
+def windows_of_cells(cells: DataFrame, size_nanos: int, alpha: float = ALPHA, extra: tuple[str, ...] = (), keep_sketch: bool = False, percentiles: bool = True) -> DataFrame:
+    """One row for each key and window of cells that differ in their buckets."""
+    sums = [F.sum("__n").alias("count"), F.sum("__e").alias("error_count"), F.sum("__b").alias("bytes"), F.max("__max").alias("max_nanos")]
+    if keep_sketch:
+        sums.append(collect_sketch(alpha).alias("sketch"))
+    if percentiles:
+        entries = F.collect_list(F.when(F.col("__bucket").isNotNull(), F.struct(F.col("__bucket").alias("key"), F.col("__n").alias("value"))))
+        sums += [F.sort_array(entries).alias("__cells"), F.coalesce(F.sum(F.when(F.col("__bucket").isNull(), F.col("__n"))), F.lit(0)).alias("__zeros")]
+    out = cells.groupBy(*KEY, *extra, "window_id").agg(*sums)
+    if percentiles:
+        own = F.col("__cells"), F.col("__zeros"), F.col("count"), F.col("max_nanos")
+        out = out.withColumns({"p95_nanos": entries_quantile(*own, 0.95, alpha), "p99_nanos": entries_quantile(*own, 0.99, alpha)}).drop("__cells", "__zeros")
+    return _bounded(out, size_nanos, extra)
+
+
+def _bounded(windows: DataFrame, size_nanos: int, extra: tuple[str, ...]) -> DataFrame:
+    """Windows with their start and end, and their columns in order."""
+    start = F.col("window_id") * size_nanos
+    out = windows.withColumns({"window_start_unix_nanos": start, "window_end_unix_nanos": start + size_nanos})
+    columns = [c for c in EMISSION if c in out.columns]
+    return out.select(*columns, *(c for c in extra if c not in columns), *(["sketch"] if "sketch" in out.columns else []))
+
+
 def aggregate_windows(events: DataFrame, size_nanos: int, alpha: float = ALPHA, extra: tuple[str, ...] = (), keep_sketch: bool = False, method: str = "ddsketch") -> DataFrame:
     """One row for each key and window: count, errors, bytes, p95, p99 and greatest latency.
 
@@ -22,30 +59,13 @@ def aggregate_windows(events: DataFrame, size_nanos: int, alpha: float = ALPHA,
         raise ValueError("alpha must lie between 0 and 1")
     if method not in QUANTILE_METHODS:
         raise ValueError(f"method must be one of {QUANTILE_METHODS}")
-    by = [*KEY, *extra, "window_id"]
-    numbered = with_window(events, size_nanos)
-    latency = F.col("latency_nanos")
-    cells = numbered.groupBy(*by, bucket_of(latency, alpha).alias("__bucket")).agg(
-        F.count(F.lit(1)).alias("__n"), F.min(latency).alias("__min"), F.max(latency).alias("__max"), F.count_if("failed").alias("__e"), F.sum("bytes").alias("__b")
-    )
-    sums = [F.sum("__n").alias("count"), F.sum("__e").alias("error_count"), F.sum("__b").alias("bytes"), F.max("__max").alias("max_nanos")]
-    if keep_sketch:
-        sums.append(collect_sketch(alpha).alias("sketch"))
-    if method == "ddsketch":
-        entries = F.collect_list(F.when(F.col("__bucket").isNotNull(), F.struct(F.col("__bucket").alias("key"), F.col("__n").alias("value"))))
-        sums += [F.sort_array(entries).alias("__cells"), F.coalesce(F.sum(F.when(F.col("__bucket").isNull(), F.col("__n"))), F.lit(0)).alias("__zeros")]
-    out = cells.groupBy(*by).agg(*sums)
-    if method == "ddsketch":
-        own = F.col("__cells"), F.col("__zeros"), F.col("count"), F.col("max_nanos")
-        out = out.withColumns({"p95_nanos": entries_quantile(*own, 0.95, alpha), "p99_nanos": entries_quantile(*own, 0.99, alpha)})
-    else:
-        both = {"p95_nanos": 0.95, "p99_nanos": 0.99}
+    out = windows_of_cells(window_cells(events, size_nanos, alpha, extra), size_nanos, alpha, extra, keep_sketch, method == "ddsketch")
+    if method != "ddsketch":
+        by, both = [*KEY, *extra, "window_id"], {"p95_nanos": 0.95, "p99_nanos": 0.99}
+        numbered = with_window(events, size_nanos)
         own = exact_quantiles(numbered, by, "latency_nanos", both) if method == "exact" else quantiles(numbered, by, "latency_nanos", both, method, alpha)
-        out = out.join(own, by)
-    start = F.col("window_id") * size_nanos
-    out = out.withColumns({"window_start_unix_nanos": start, "window_end_unix_nanos": start + size_nanos})
-    columns = [c for c in EMISSION if c in out.columns]
-    return out.select(*columns, *(c for c in extra if c not in columns), *(["sketch"] if keep_sketch else []))
+        out = _bounded(out.join(own, by), size_nanos, extra)
+    return out
 
 
 def number_emissions(windows: DataFrame, seed: int = 0) -> DataFrame:

@@ -16,7 +16,7 @@ from tidewake.plans import fixtures as fx
 from tidewake.plans.fixtures import SIZE, duck_with, duck_windows
 from tidewake.sources import codec, sinks
 from tidewake.sources.shared import new_path, written
-from tidewake.streaming import applied, jobs, observed, ticks
+from tidewake.streaming import applied, closing, jobs, observed, ticks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -760,6 +760,20 @@ def _(spark, sf):
     return spark.read.parquet(out).select(*windows.EMISSION)
 
 
+#: The clock at each of three ticks: 11, 21 and 29 January 2024, so that the last days stay open.
+CLOCKS = (1_704_931_200_000_000_000, 1_705_795_200_000_000_000, 1_706_486_400_000_000_000)
+CLOSES = "CASE " + " ".join(f"WHEN arrival % 3 <= {k} AND (observed_at_unix_nanos // {SIZE} + 1) * {SIZE} <= {now} THEN CAST({k + 1} AS BIGINT)" for k, now in enumerate(CLOCKS)) + " END"
+
+
+@query("str_2_emit_closed_windows", duck_with("telemetry").rstrip() + f", t AS (SELECT *, {CLOSES} AS sequence FROM telemetry) " + duck_windows("(SELECT * FROM t WHERE sequence IS NOT NULL)", "sequence"))
+def _(spark, sf):
+    """Three ticks of a given clock: windows leave when it has passed them, and again for events that come later."""
+    out, check, store = new_path(spark, "closed"), new_path(spark, "check"), ticks.Outbox(new_path(spark, "open"))
+    events = fx.telemetry(spark, sf).withColumn("tick", F.col("arrival") % 3)
+    closing.close_windows(_ticks(events, "telemetry", "tick"), SIZE, sinks.append_parquet(out), store, check, CLOCKS.__getitem__).awaitTermination()
+    return spark.read.parquet(out).select(*windows.EMISSION)
+
+
 MOST = 12
 
 

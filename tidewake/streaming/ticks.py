@@ -42,6 +42,14 @@ class Outbox:
     def commit(self, left: DataFrame, tick: int) -> None:
         left.write.mode("overwrite").parquet(f"{self.path}/tick={tick}")
 
+    def forget(self, spark: SparkSession, before: int) -> None:
+        """Remove what ticks before ``before`` left; a tick needs no more than the one before it."""
+        jvm = spark.sparkContext._jvm
+        fs = jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for n in self._committed(spark):
+            if n < before:
+                fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/tick={n}"), True)
+
 
 def publish_with_outbox(new: DataFrame, outbox: Outbox, publish: Publisher, tick: int) -> None:
     """Publish what waits, unchanged and first, and the new windows; what fails waits for the next tick, and holds up no other."""
