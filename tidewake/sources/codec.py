@@ -9,6 +9,8 @@ from tidewake.operators.windows import EMISSION
 
 EVENT_FIELDS = "device_id string, user_id string, process_id int, pod_id string, kind int, observed_at_unix_nanos bigint, latency_nanos bigint, bytes bigint, failed boolean"
 BATCH_SCHEMA = "device_id string, created_at_unix_nanos bigint, events array<struct<" + ", ".join(f"{n}: {t}" for n, t in (x.split(" ") for x in EVENT_FIELDS.split(", "))) + ">>"
+#: As on the wire, where numbers may be out of range.
+WIDE_BATCH_SCHEMA = BATCH_SCHEMA.replace("process_id: int", "process_id: bigint").replace("kind: int", "kind: bigint")
 WINDOW_SCHEMA = ", ".join(f"{c} {'string' if c in ('user_id', 'device_id', 'pod_id') else 'int' if c == 'process_id' else 'bigint'}" for c in EMISSION)
 COMMAND_SCHEMA = "kind int, user_id string, device_id string, actor string, issued_at_unix_nanos bigint"
 
@@ -40,12 +42,22 @@ def encode_batches(batches: DataFrame, fmt: str = "json", descriptor: str | None
     return batches.select(*_message(F.struct("device_id", "created_at_unix_nanos", "events"), "device_id", fmt, "Batch", descriptor))
 
 
+def in_range(events: Column) -> Column:
+    """Whether every event's kind fits 8 bits without sign and every process id 32 bits with one."""
+    fits = lambda e, name, low, high: F.coalesce(e[name], F.lit(0)).between(low, high)
+    return F.coalesce(F.forall(events, lambda e: fits(e, "kind", 0, 255) & fits(e, "process_id", -(1 << 31), (1 << 31) - 1)), F.lit(True))
+
+
 def decode_batches(messages: DataFrame, fmt: str = "json", descriptor: str | None = None) -> DataFrame:
-    """Events of (key, value) messages, one row each; absent numbers are zero, messages that do not parse give none."""
-    batch = messages.select(_decoded(F.col("value"), BATCH_SCHEMA, fmt, "Batch", descriptor).alias("b"))
+    """Events of (key, value) messages, one row each; absent numbers are zero.
+
+    Messages that do not parse give none, and neither do those of which any event has a kind or
+    process id out of range.
+    """
+    batch = messages.select(_decoded(F.col("value"), WIDE_BATCH_SCHEMA, fmt, "Batch", descriptor).alias("b")).where(in_range(F.col("b.events")))
     events = batch.select(F.col("b.device_id").alias("batch_device_id"), F.explode("b.events").alias("e"))
     zero = {"process_id": 0, "kind": 0, "latency_nanos": 0, "bytes": 0, "failed": False, "device_id": "", "user_id": "", "pod_id": ""}
-    return events.select("batch_device_id", "e.*").fillna(zero)
+    return events.select("batch_device_id", "e.*").withColumns({c: F.col(c).cast("int") for c in ("process_id", "kind")}).fillna(zero)
 
 
 def encode_windows(emissions: DataFrame, fmt: str = "json", descriptor: str | None = None) -> DataFrame:
