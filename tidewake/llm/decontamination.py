@@ -21,15 +21,16 @@ from pyspark.sql import functions as F
 from tidewake.llm.common import ROW, Bloom, WordHashes, bloom_of, byte_values, gram_hashes, keyed_rows, materialise, words
 
 WINDOW, SHINGLE = 10, 5
+HELD = 20_000  # windows of items that a task holds at a time
 
 
 def item_windows(items: DataFrame, key: str, text: str, window: int, shingle: int) -> DataFrame:
     """(item, m, body, tokens): each window's word count, words and shingle hashes in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known, out = WordHashes(), []
+        packed = lambda: pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.list_(pa.int64())))], ["item", "m", "body", "tokens"])
         for batch in batches:
-            out = []
             for item, data in zip(batch.column(0).to_pylist(), byte_values(batch.column(1)), strict=True):
                 found = words(data)
                 m = min(window, len(found))
@@ -37,7 +38,10 @@ def item_windows(items: DataFrame, key: str, text: str, window: int, shingle: in
                 count = m - min(shingle, m) + 1
                 for i in range(len(found) - m + 1 if m else 0):
                     out.append((item, m, b" ".join(found[i : i + m]).decode("utf-8", "replace"), tokens[i : i + count].tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.list_(pa.int64())))], ["item", "m", "body", "tokens"])
+                    if len(out) == HELD:
+                        yield packed()
+                        out = []
+        yield packed()
 
     return items.select(F.col(key).cast("string").alias("item"), text).mapInArrow(run, "item string, m int, body string, tokens array<long>")
 
