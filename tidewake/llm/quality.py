@@ -100,7 +100,7 @@ class Voters:
 
 
 def fit_voters(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", usable: Column | None = None, most_labelled: int = 4000, dims: int = 48, neighbours: int = 25, sharpness: float = 12.0) -> Voters:
-    """Learn from at most ``most_labelled`` labelled texts, half of each label, chosen by id hash.
+    """Learn from at most ``most_labelled`` labelled texts, half of each label, chosen by id hash; ids may be of any type.
 
     Labels other than 0 and 1 and null ids are ignored; of several labels of one id the larger
     mean wins. The bound keeps the broadcast vectors at ``most_labelled * dims`` numbers.
@@ -121,7 +121,8 @@ def fit_voters(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], ["k", "y", "x"])
 
     # the sample is bounded, so its ids are safe to broadcast; repeated ids keep one row
-    texts = held.join(F.broadcast(sample), "k").select("k", "t", "y").mapInArrow(run, "k long, y int, x binary")
+    found = held.join(F.broadcast(sample), "k").select("k", "t", "y")
+    texts = found.mapInArrow(run, T.StructType([found.schema["k"], T.StructField("y", T.IntegerType()), T.StructField("x", T.BinaryType())]))
     got = texts.groupBy("k").agg(F.min(F.struct("y", "x")).alias("v")).select("k", "v.*").orderBy("k").toArrow()
     y = np.array(got["y"].to_pylist(), np.int64)
     counts = np.expm1(np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(len(y), TERMS).astype(np.float32))
@@ -165,6 +166,7 @@ def score_quality(docs: DataFrame, voters: Voters, text: str = "text", block: in
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's quality, voted by labelled texts outside the held-out third."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     voters = fit_voters(docs, labels, usable=crc_mod(F.col("doc_id"), 3) != 1)
