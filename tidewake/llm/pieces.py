@@ -408,6 +408,7 @@ def decode_pieces(rows: DataFrame, column: str = "pieces", model: str | None = N
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of each document, a row each: their pieces, scores and round trip."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     samples = sample_segmentations(docs)
     one = F.posexplode("samples").alias("rank", "s")
