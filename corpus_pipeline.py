@@ -1,9 +1,14 @@
-"""A pipeline over ``documents`` in stages, each written as Parquet and read by the next."""
+"""A pipeline over ``documents`` in stages, each written as Parquet and read by the next.
+
+Every stage takes null and empty texts, null and repeated ids, repeated rows and empty tables; extra
+columns pass through the stages that return documents, whatever their names.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.llm.common import new_path
@@ -13,25 +18,31 @@ from tidewake.llm.pieces import sample_segmentations
 from tidewake.llm.quality import fit_voters, score_quality
 
 
+def judged(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], condition: str, new: tuple[str, ...]) -> DataFrame:
+    """The rows of ``docs`` that meet the condition on the ``new`` columns of ``judge``; columns of ``docs`` with such names keep their values."""
+    own = {c: f"own__{c}" for c in docs.columns if c in new}
+    return judge(docs.withColumnsRenamed(own)).where(condition).select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts, learned from all labels."""
+    """Documents that the quality classifier accepts, learned from all labels; texts that say nothing stand by the share of good labels."""
     voters = fit_voters(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs, voters).where("predicted = 1").select(docs.columns)
+    return judged(docs, lambda rows: score_quality(rows, voters), "predicted = 1", ("score", "predicted"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near or exact copies."""
+    """One document of each group of near or exact copies; null texts are copies of nothing, empty ones of each other."""
     return one_of_each_group(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window of words with a benchmark item."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(~F.col("contaminated")).select(docs.columns)
+    """Documents that share no window of words with a benchmark item; texts without words share none."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return judged(docs, lambda rows: contamination(rows, items), "not contaminated", ("n_words", "n_hit", "n_items", "items_sha256", "contaminated"))
 
 
 def segmented(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two sampled segmentations of each document, a row each: ids, probabilities and the round trip."""
+    """Two sampled segmentations of each document, a row each: ids, probabilities and the round trip; null is taken as empty."""
     rows = sample_segmentations(docs.select("doc_id", "text")).select("doc_id", F.posexplode("samples").alias("rank", "s"))
     return rows.select("doc_id", (F.col("rank") + 1).alias("rank"), "s.*")
 
