@@ -93,3 +93,12 @@ def parse_principals(df: DataFrame, column: str = "spec") -> DataFrame:
     out = entries.select("__row", "at", F.get(parts, F.lit(0)).alias("token"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("user_id"), scopes.alias("scopes"))
     best = out.where("token <> '' and user_id <> ''").groupBy("__row", "token").agg(F.max_by(F.struct("user_id", "scopes"), "at").alias("x"))
     return best.select("token", "x.*")
+
+
+def shard(df: DataFrame, n: int, by: list[str], order: list[str]) -> DataFrame:
+    """Deal rows into ``n`` partitions, all rows of a key into one, each partition in the given order.
+
+    Consumers of a partition then see every key's rows as they came. Which partition a key has
+    follows Spark's own hash and ``n`` alone.
+    """
+    return df.repartition(n, *by).sortWithinPartitions(*order)

@@ -122,3 +122,21 @@ def sketch_error(df: DataFrame, by: list[str], value: str, q: dict[str, float],
     # a bucket's middle is rounded to a whole number
     ok = [(F.abs(F.col(n) - F.col(f"exact_{n}")) <= alpha * F.col(f"exact_{n}") + 0.5).alias(f"{n}_ok") for n in q]
     return joined.select(*by, *q, *(f"exact_{n}" for n in q), *ok)
+
+
+def rank_error(df: DataFrame, by: list[str], value: str, q: dict[str, float], method: str) -> DataFrame:
+    """How far, as a share of its group's rows, the rank of each quantile by ``method`` is from the wanted one.
+
+    A value that repeats has all the ranks that it covers. Values are counted before they meet the
+    quantiles, so a group's repeated values cost one row. Nulls count neither as rows nor as values.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+    found = quantiles(df, by, value, {f"__{n}": x for n, x in q.items()}, method)
+    same = [counted[c].eqNullSafe(found[c]) for c in by]
+    on = same[0]
+    for x in same[1:]:
+        on = on & x
+    joined = counted.join(found, on).select(*(counted[c] for c in by), value, "__n", *(f"__{n}" for n in q))
+    upto = lambda c: F.coalesce(F.sum(F.when(c, F.col("__n"))), F.lit(0)) / F.sum("__n")
+    off = lambda n, x: F.greatest(upto(F.col(value) < F.col(f"__{n}")) - x, x - upto(F.col(value) <= F.col(f"__{n}")), F.lit(0.0))
+    return joined.groupBy(*by).agg(*(off(n, _check(x)).alias(n) for n, x in q.items()))
