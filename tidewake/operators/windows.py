@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewake.functions.keys import IDENTITY, KEY, with_window
@@ -11,12 +13,18 @@ from tidewake.functions.sketch import ALPHA, QUANTILE_METHODS, bucket_of, collec
 EMISSION = [*IDENTITY, "window_start_unix_nanos", "window_end_unix_nanos", "count", "error_count", "bytes", "p95_nanos", "p99_nanos", "max_nanos"]
 
 
+@lru_cache
+def _cell_columns(alpha: float) -> tuple[Column, list[Column]]:
+    """Bucket and sums of a cell; made once, as making them takes longer than a small micro-batch's rows do."""
+    latency = F.col("latency_nanos")
+    sums = [F.count(F.lit(1)).alias("__n"), F.min(latency).alias("__min"), F.max(latency).alias("__max"), F.count_if("failed").alias("__e"), F.sum("bytes").alias("__b")]
+    return bucket_of(latency, alpha).alias("__bucket"), sums
+
+
 def window_cells(events: DataFrame, size_nanos: int, alpha: float = ALPHA, extra: tuple[str, ...] = ()) -> DataFrame:
     """Counts and sums of each key, window and latency bucket; Spark combines them before the shuffle."""
-    latency = F.col("latency_nanos")
-    return with_window(events, size_nanos).groupBy(*KEY, *extra, "window_id", bucket_of(latency, alpha).alias("__bucket")).agg(
-        F.count(F.lit(1)).alias("__n"), F.min(latency).alias("__min"), F.max(latency).alias("__max"), F.count_if("failed").alias("__e"), F.sum("bytes").alias("__b")
-    )
+    bucket, sums = _cell_columns(alpha)
+    return with_window(events, size_nanos).groupBy(*KEY, *extra, "window_id", bucket).agg(*sums)
 
 
 def merge_cells(cells: DataFrame) -> DataFrame:
@@ -25,18 +33,26 @@ def merge_cells(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*by).agg(F.sum("__n").alias("__n"), F.min("__min").alias("__min"), F.max("__max").alias("__max"), F.sum("__e").alias("__e"), F.sum("__b").alias("__b"))
 
 
-def windows_of_cells(cells: DataFrame, size_nanos: int, alpha: float = ALPHA, extra: tuple[str, ...] = (), keep_sketch: bool = False, percentiles: bool = True) -> DataFrame:
-    """One row for each key and window of cells that differ in their buckets."""
+@lru_cache
+def _window_columns(alpha: float, keep_sketch: bool, percentiles: bool) -> tuple[list[Column], dict[str, Column]]:
+    """Sums over a window's cells, and the percentiles that follow from them; made once."""
     sums = [F.sum("__n").alias("count"), F.sum("__e").alias("error_count"), F.sum("__b").alias("bytes"), F.max("__max").alias("max_nanos")]
     if keep_sketch:
         sums.append(collect_sketch(alpha).alias("sketch"))
-    if percentiles:
-        entries = F.collect_list(F.when(F.col("__bucket").isNotNull(), F.struct(F.col("__bucket").alias("key"), F.col("__n").alias("value"))))
-        sums += [F.sort_array(entries).alias("__cells"), F.coalesce(F.sum(F.when(F.col("__bucket").isNull(), F.col("__n"))), F.lit(0)).alias("__zeros")]
+    if not percentiles:
+        return sums, {}
+    entries = F.collect_list(F.when(F.col("__bucket").isNotNull(), F.struct(F.col("__bucket").alias("key"), F.col("__n").alias("value"))))
+    sums += [F.sort_array(entries).alias("__cells"), F.coalesce(F.sum(F.when(F.col("__bucket").isNull(), F.col("__n"))), F.lit(0)).alias("__zeros")]
+    own = F.col("__cells"), F.col("__zeros"), F.col("count"), F.col("max_nanos")
+    return sums, {"p95_nanos": entries_quantile(*own, 0.95, alpha), "p99_nanos": entries_quantile(*own, 0.99, alpha)}
+
+
+def windows_of_cells(cells: DataFrame, size_nanos: int, alpha: float = ALPHA, extra: tuple[str, ...] = (), keep_sketch: bool = False, percentiles: bool = True) -> DataFrame:
+    """One row for each key and window of cells that differ in their buckets."""
+    sums, found = _window_columns(alpha, keep_sketch, percentiles)
     out = cells.groupBy(*KEY, *extra, "window_id").agg(*sums)
-    if percentiles:
-        own = F.col("__cells"), F.col("__zeros"), F.col("count"), F.col("max_nanos")
-        out = out.withColumns({"p95_nanos": entries_quantile(*own, 0.95, alpha), "p99_nanos": entries_quantile(*own, 0.99, alpha)}).drop("__cells", "__zeros")
+    if found:
+        out = out.withColumns(found).drop("__cells", "__zeros")
     return _bounded(out, size_nanos, extra)
 
 
