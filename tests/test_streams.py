@@ -1,5 +1,6 @@
 """Retries by message, identities with a time to live, ceilings and outboxes over ticks, caps, gauges, archive files."""
 
+import os
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from tests.test_telemetry import EVENT, S, emission, emissions, events
 from tidewake.operators import capture, rates, state
 from tidewake.operators.archive_files import ArchiveFiles
+from tidewake.plans import catalog
 from tidewake.sources import sinks
 from tidewake.sources.codec import WINDOW_SCHEMA
 from tidewake.sources.shared import new_path
@@ -38,6 +40,39 @@ def test_only_the_failing_messages_of_a_batch_are_given_up(spark):
     assert calls[-1] == set(kept)
 
 
+def test_many_refused_messages_take_no_more_calls_of_the_sink(spark):
+    source, good, dead = (new_path(spark, x) for x in ("in", "good", "dead"))
+    messages = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"), F.when(F.col("id") == 5, "{").otherwise(F.to_json(F.struct(F.col("id").alias("x")))).alias("value"))
+    messages.coalesce(1).write.parquet(source)
+    calls, tries = [], new_path(spark, "tries").removeprefix("file:")
+    os.makedirs(tries)
+
+    def handler(message):
+        if message["x"] % 10 == 3:
+            with open(f"{tries}/{message['key']}", "a") as f:
+                f.write("x")
+            raise ValueError(f"refused {message['x']}")
+
+    def sink(batch, batch_id):
+        calls.append(batch_id)
+        sinks.append_parquet(good)(batch, batch_id)
+
+    stream = spark.readStream.schema(messages.schema).parquet(source)
+    jobs.split_poison(stream, "x long", sink, sinks.append_parquet(dead), "raw", new_path(spark, "check"), handle=handler).awaitTermination()
+    assert calls == [0]
+    assert sorted(r["x"] for r in spark.read.parquet(good).collect()) == [k for k in range(3000) if k % 10 != 3 and k != 5]
+    lost = {r["key"]: r["reason"] for r in spark.read.parquet(dead).collect()}
+    assert lost == {f"k{k}": f"ValueError: refused {k}" for k in range(3, 3000, 10)} | {"k5": "malformed"}
+    assert {open(f"{tries}/{name}").read() for name in os.listdir(tries)} == {"xxx"} and len(os.listdir(tries)) == 300
+
+
+def test_retries_do_not_call_the_sink_for_each_bad_message(spark, monkeypatch):
+    calls, append = [], sinks.append_parquet
+    monkeypatch.setattr(sinks, "append_parquet", lambda path: lambda batch, batch_id: (calls.append(path), append(path)(batch, batch_id)))
+    rows = catalog.QUERIES["str_8_retries"](spark, "/root/testdata/sf0.01")
+    assert len(calls) == 4 and rows.count() == 10_000 and rows.where("dead").count() == 2
+
+
 def test_a_sink_without_luck_loses_no_message(spark):
     rows = spark.range(20).select(F.col("id").alias("n"), F.col("id").alias("x")).cache()
     path, calls = new_path(spark, "good"), []

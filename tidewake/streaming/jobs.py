@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tidewake.functions.keys import KEY, with_window
@@ -216,24 +218,59 @@ def deliver(rows: DataFrame, n: int, number: str, good: Sink, batch_id: int, att
     return bad
 
 
-def split_poison(messages: DataFrame, schema: str, good: Sink, dead: Sink, origin: str, checkpoint: str, attempts: int = ATTEMPTS) -> StreamingQuery:
+def handled(rows: DataFrame, message: str, handle: Callable[[dict], None], attempts: int = ATTEMPTS) -> DataFrame:
+    """``rows`` with ``reason``: why ``handle`` failed for a row's ``message``, in the last of ``attempts`` tries; null if one passed.
+
+    Tasks hand each message over by itself, so any number of bad ones takes one pass. Tasks may run
+    again, so ``handle`` must bear to have a message more than once.
+    """
+
+    def failure(value: dict) -> str | None:
+        said = None
+        for _ in range(attempts):
+            try:
+                handle(value)
+            except Exception as problem:  # noqa: BLE001  told to the caller
+                said = f"{type(problem).__name__}: {problem}"[:500]
+            else:
+                return None
+        return said
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reasons = pa.array(map(failure, batch[message].to_pylist()), pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, reasons], [*batch.schema.names, "reason"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("reason", T.StringType())]))
+
+
+def split_poison(messages: DataFrame, schema: str, good: Sink, dead: Sink, origin: str, checkpoint: str, attempts: int = ATTEMPTS, handle: Callable[[dict], None] | None = None) -> StreamingQuery:
     """Messages that parse go to ``good``, the others with reason and origin to ``dead``; then the batch is done.
 
-    A message that ``good`` refuses ``attempts`` times goes to ``dead`` with its failure as the reason;
-    the batch's other messages are kept (see ``deliver`` for what ``good`` must allow). A failure of
-    ``dead`` fails the batch, which the checkpoint repeats; a bad message never does.
+    Each message that parses is first given to ``handle``, if any, in tasks (see ``handled``); one
+    that fails ``attempts`` times goes to ``dead`` with its failure as the reason. So does one that
+    ``good`` refuses as often; the batch's other messages are kept. That search takes some calls of
+    ``good`` for every bad message (see ``deliver``, also for what ``good`` must allow), so work that
+    fails by message belongs in ``handle``. A failure of ``dead`` fails the batch, which the checkpoint
+    repeats; a bad message never does.
     """
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
+    def handle_batch(batch: DataFrame, batch_id: int) -> None:
         parsed = batch.withColumn("__v", F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
         malformed = F.col("__v").isNull() | F.col("__v._corrupt").isNotNull()
         parsed = written(parsed.withColumn("__bad", malformed), "messages")
-        sound = numbered(parsed.where("not __bad"), "sound", "__number")
-        refused = deliver(sound.select("__number", "key", "__v.*").drop("_corrupt"), sound.count(), "__number", good, batch_id, attempts)
-        letters = parsed.where("__bad").select("key", "value", F.lit(origin).alias("origin"), F.lit("malformed").alias("reason"))
+        sound = parsed.where("not __bad")
+        if handle is None:
+            sound = sound.withColumn("reason", F.lit(None).cast("string"))
+        else:  # written, so that each message is handed over in one pass
+            sound = written(handled(sound.withColumn("__m", F.struct("key", "__v.*").dropFields("_corrupt")), "__m", handle, attempts).drop("__m"), "handled")
+        passed = numbered(sound.where("reason is null").drop("reason"), "sound", "__number")
+        refused = deliver(passed.select("__number", "key", "__v.*").drop("_corrupt"), passed.count(), "__number", good, batch_id, attempts)
+        letter = lambda rows, reason: rows.select("key", "value", F.lit(origin).alias("origin"), reason.alias("reason"))
+        letters = letter(parsed.where("__bad"), F.lit("malformed")).unionByName(letter(sound.where("reason is not null"), F.col("reason")))
         if refused:
             reasons = batch.sparkSession.createDataFrame(list(refused.items()), "__number long, reason string")
-            letters = letters.unionByName(sound.join(F.broadcast(reasons), "__number").select("key", "value", F.lit(origin).alias("origin"), "reason"))
+            letters = letters.unionByName(letter(passed.join(F.broadcast(reasons), "__number"), F.col("reason")))
         dead(letters, batch_id)
 
-    return messages.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return messages.writeStream.foreachBatch(handle_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
