@@ -10,6 +10,7 @@ from tests.test_telemetry import EVENT, S, emission, emissions, events
 from tidewake.operators import capture, rates, state
 from tidewake.operators.archive_files import ArchiveFiles
 from tidewake.plans import catalog
+from tidewake.plans import fixtures as fx
 from tidewake.sources import sinks
 from tidewake.sources.codec import WINDOW_SCHEMA
 from tidewake.sources.shared import new_path
@@ -299,3 +300,10 @@ def test_of_two_changes_at_once_the_later_fails(spark):
     with pytest.raises(RuntimeError, match="meanwhile"):
         files.erase_device("u", "d1")
     assert len(held(files)) == 6
+
+
+def test_the_log_aggregates_events_once(spark):
+    events, resets = fx.log(spark, "/root/testdata/sf0.001")
+    plan = events.unionByName(resets, allowMissingColumns=True)._jdf.queryExecution().executedPlan().toString()
+    assert "events.parquet" not in plan
+    assert events.count() > 0 and resets.count() > 0

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewake.functions.keys import DAY_NANOS
 from tidewake.operators.windows import aggregate_windows
+from tidewake.sources.shared import written
 
 SIZE = DAY_NANOS
 G = 1.01 / 0.99
@@ -189,7 +190,7 @@ def redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(emissions with arrival, some redelivered later; resets with arrival)."""
     arrival = F.col("window_id") * 10_000 + F.col("sequence") * 1_000 + F.col("process_id")
-    one = emissions(spark, sf_dir).withColumn("arrival", arrival)
+    one = written(emissions(spark, sf_dir).withColumn("arrival", arrival), "emissions")  # so that events are aggregated once
     again = one.where("window_id % 5 = 0").withColumn("arrival", F.col("arrival") + 150_000)
     resets = one.select("user_id", "device_id").distinct().where("CAST(right(device_id, 3) AS INT) % 3 = 0").withColumn("arrival", F.lit(19_740 * 10_000 + 1_999).cast("long"))
     return one.unionByName(again), resets
