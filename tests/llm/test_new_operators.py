@@ -7,10 +7,12 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidewake.llm import merkle, repeats, trie
+from tidewake.llm.common import bloom_of
 
 # --- Merkle manifest
 
@@ -258,3 +260,30 @@ def test_repeats_of_no_documents(spark):
     assert repeats.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     few = spark.createDataFrame([("b", "one two three one two"), ("a", "one two"), (None, "two three")], "doc_id string, text string")
     assert {(r["doc_id"], r["kept_text"]) for r in repeats.without_repeats(few, width=2).collect()} == {("b", ""), ("a", "one two"), (None, "two three")}
+
+
+def test_repeats_hold_few_texts_and_one_python_worker_a_task(spark, monkeypatch):
+    name, held = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, write = spark.conf.get(name), repeats.materialise
+
+    def noted(df, label):
+        held.append((label, int(spark.conf.get(name))))
+        return write(df, label)
+
+    monkeypatch.setattr(repeats, "materialise", noted)
+    docs = spark.createDataFrame([(k, f"a b c {k % 7} {k}") for k in range(5000)], "doc_id long, text string")
+    out = repeats.without_repeats(docs, width=2)
+    sizes = dict(held)
+    assert sizes["repeat-keys"] <= repeats.ROWS and sizes["repeat-groups"] <= repeats.ROWS and spark.conf.get(name) == before
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+    assert out.agg(F.sum("removed_words")).first()[0] == 3 * 4999 + 4993
+
+
+def test_the_filter_of_hashes_in_columns(spark):
+    rows = spark.range(3000).select("id", F.xxhash64("id").alias("h"))
+    held = bloom_of(rows.where("id < 300").select(F.col("h").alias("hash")))
+    found = rows.join(F.broadcast(held.row(spark)), held.holds_column("h"), "left_semi").toPandas()
+    all_ = rows.toPandas()
+    want = all_[held.holds(all_["h"].to_numpy().view(np.uint64))]
+    assert sorted(found["id"]) == sorted(want["id"]) and len(want) >= 300

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,21 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """Jobs that run inside hand at most so many rows at a time to Python.
+
+    A batch of whole texts stands in the buffers of both sides at once, for every task of an executor.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(most, int(before)) if int(before) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def with_row_key(df: DataFrame) -> DataFrame:
     """Add ``ROW``, unique for each row, so that repeated rows and null or repeated ids stay apart.
 
@@ -154,6 +170,17 @@ class Bloom:
         return ((self.seen[one >> 3] >> (one & 7)) & (self.seen[two >> 3] >> (two & 7)) & 1).astype(bool)
 
 
+    def row(self, spark: SparkSession) -> DataFrame:
+        """One row with all places as the binary ``places``, to broadcast."""
+        return spark.createDataFrame([(bytearray(self.seen.tobytes()),)], "places binary")
+
+    def holds_column(self, h: str) -> Column:
+        """``holds`` for a long column, where ``row`` is joined."""
+        held = lambda at: f"(shiftright(cast(conv(hex(substring(places, cast(({at}) div 8 as int) + 1, 1)), 16, 10) as int), cast(({at}) & 7 as int)) & 1)"
+        one, two = f"shiftrightunsigned({h}, {64 - self.bits})", f"({h} & {(1 << self.bits) - 1}L)"
+        return F.expr(f"{held(one)} & {held(two)} = 1")
+
+
 def bloom_bits(count: int, most: int = 26) -> int:
     """Bits, as a power of two, for so many hashes: 16 or more for each, up to 2**26 (8 MiB), beyond which more others pass."""
     return min(most, max(16, (16 * count - 1).bit_length()))

@@ -17,16 +17,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import Bloom, WordHashes, bloom_of, byte_values, materialise, mixed
+from tidewake.llm.common import Bloom, WordHashes, arrow_rows, bloom_of, byte_values, materialise, mixed
 
 WIDTH = 20
 ROUNDS = 2  # a symbol's span after more rounds seldom fits into 20 words
-STRETCH = 1 << 17  # words that are compressed at a time
+STRETCH = 1 << 16  # words that are compressed at a time
+WORDS = 1 << 16  # whose hashes a task holds
+ROWS = 1024  # texts that a task holds at a time
 SLICE = 1 << 22  # bytes that are split into words at a time
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -191,11 +192,12 @@ def _anchors(width: int, stretch: int = STRETCH) -> Callable[[Iterator[pa.Record
     """Key and signature of every group of windows, and its row's rank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = WordHashes()
+        seen = WordHashes(WORDS)
         for batch in batches:
             for words, lengths, rows, _ in _stretches(batch["text"], seen, width, stretch):
                 p = Passages(words, lengths, width)
                 yield pa.RecordBatch.from_arrays([_signed(p.key), _signed(p.signature), batch["rank"].take(pa.array(rows[p.part]))], ["key", "signature", "rank"])
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -225,7 +227,7 @@ def _candidates(width: int, stretch: int, held: Bloom, divided: Bloom) -> Callab
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = WordHashes()
+        seen = WordHashes(WORDS)
         for batch in batches:
             earlier: set[tuple[int, int, int]] = set()
             for words, lengths, rows, places in _stretches(batch["text"], seen, width, stretch):
@@ -254,6 +256,7 @@ def _candidates(width: int, stretch: int, held: Bloom, divided: Bloom) -> Callab
                     ],
                     ["rank", "text_hash", "key", "start", "n", "stale", "signature", "windows"],
                 )
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -276,14 +279,16 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     anchors = given.select("rank", "text").mapInArrow(_anchors(width, stretch), f"key long, signature long, rank {kind}")
     common = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("signature").alias("a"), F.max("signature").alias("b"), *lowest).where("times > 1")
-    common = materialise(common.select("key", (F.col("a") != F.col("b")).alias("several"), "first", "first_null"), "repeat-keys")
+    with arrow_rows(docs.sparkSession, ROWS):
+        common = materialise(common.select("key", (F.col("a") != F.col("b")).alias("several"), "first", "first_null"), "repeat-keys")
     held, divided = (bloom_of(x.select(F.col("key").alias("hash"))) for x in (common, common.where("several")))
     groups = given.mapInArrow(_candidates(width, stretch, held, divided), GROUP.format(kind)).join(common, "key")
     # a key with one signature is settled at once, as are windows of the same text; the others keep what tells their windows apart
     settled = F.when(F.size("stale") == F.col("n"), whole).when(~F.col("several"), F.when(later, whole).otherwise(stale))
     open_ = F.col("several") & F.col("windows").isNotNull()
     groups = groups.select("rank", "text_hash", F.when(~open_, settled).alias("gone"), *(F.when(open_, F.col(c)).alias(c) for c in ("key", "signature", "start", "n", "stale", "windows"))).where("key is not null or size(gone) > 0")
-    groups = materialise(groups, "repeat-groups")
+    with arrow_rows(docs.sparkSession, ROWS):
+        groups = materialise(groups, "repeat-groups")
     divided_rows = groups.where("key is not null").drop("gone")
     # the lowest rows are written, or moved under another key: only a join of two shuffles can split a key of very many rows
     lowest_rows = materialise(divided_rows.groupBy("key", "signature").agg(*lowest), "repeat-signatures")
@@ -300,7 +305,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 def _keep(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
             kept, total, removed = [], [], []
             for data, gone in zip(byte_values(batch["text"]), batch["gone"], strict=True):
                 out, n, lost = [], 0, 0
@@ -325,6 +330,7 @@ def _keep(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
                 removed.append(lost)
             text = pa.array(kept, pa.large_binary()).cast(pa.large_string()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([batch["row"], text, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], ["row", "kept", "n_words", "n_removed"])
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -337,11 +343,11 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """
     gone = materialise(repeated_passages(docs, key, text, width, stretch), "repeat-gone").withColumnsRenamed({"rank": "__rank", "text_hash": "__hash"})
     held = bloom_of(gone.select(F.col("__hash").alias("hash")))
-    may_lose = F.pandas_udf(lambda h: pd.Series(held.holds(h.to_numpy().view(np.uint64))), "boolean")
-    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("rank"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).withColumn("may", may_lose("text_hash"))
-    # texts that keep all are not shuffled
-    whole = rows.where("not may").select("row", "text", F.lit(None).cast("array<struct<start: int, n: int>>").alias("gone"))
-    cut = rows.where("may").join(gone, F.col("rank").eqNullSafe(F.col("__rank")) & (F.col("text_hash") == F.col("__hash")), "left").select("row", "text", "gone")
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("rank"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    # texts that keep all are not shuffled; Spark looks them up, as a UDF beside ``_keep`` would double the Python workers
+    filter_, may = F.broadcast(held.row(docs.sparkSession)), held.holds_column("text_hash")
+    whole = rows.join(filter_, may, "left_anti").select("row", "text", F.lit(None).cast("array<struct<start: int, n: int>>").alias("gone"))
+    cut = rows.join(filter_, may, "left_semi").join(gone, F.col("rank").eqNullSafe(F.col("__rank")) & (F.col("text_hash") == F.col("__hash")), "left").select("row", "text", "gone")
     schema = f"row {rows.schema['row'].dataType.simpleString()}, kept string, n_words long, n_removed long"
     return whole.unionByName(cut).mapInArrow(_keep(width), schema).select("row.*", F.col("kept").alias("kept_text"), F.col("n_words").alias("kept_words"), F.col("n_removed").alias("removed_words"))
 
