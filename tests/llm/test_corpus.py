@@ -165,6 +165,54 @@ def test_language_model_against_a_plain_version():
     assert np.allclose(net.scores(texts), [plain_score(net, t.tolist()) for t in texts], rtol=1e-4)
 
 
+def test_language_model_work_follows_tokens_not_calls(monkeypatch):
+    rng = np.random.default_rng(6)
+    net = language_model.Network.begin(rng.integers(1, 1000, 300).astype(float)).prepared()
+    inputs, targets = rng.integers(0, 300, (2, 32, 200)).astype(np.int32)
+    grads, rows, _ = net.gradients(inputs, targets, np.ones((32, 1, 200), np.float32), np.ones((32, 200), bool), np.zeros((language_model.HIDDEN, 200), np.float32))
+    assert isinstance(rows[-1], slice) and len(grads[-1]) == rows[-1].stop - rows[-1].start  # all at hand: no row is looked up
+    calls, whole = [], language_model.Network.log_likelihood
+    monkeypatch.setattr(language_model.Network, "log_likelihood", lambda self, states, *a, **b: calls.append(len(states)) or whole(self, states, *a, **b))
+    net.scores([rng.integers(0, 300, 3199).astype(np.int32) for _ in range(4)])
+    assert calls == [12800]  # of 100 windows at once
+
+
+def test_language_model_slices_of_rows_with_missing_classes():
+    rng = np.random.default_rng(7)
+    net = language_model.Network.begin(rng.integers(1, 1000, 900).astype(float)).prepared()
+    states = np.c_[rng.uniform(-1, 1, (900, language_model.HIDDEN)), np.ones(900)].astype(np.float32)
+    gone = len(net.starts) // 2
+    targets = np.flatnonzero(net.class_of != gone)
+    weight = rng.uniform(0, 1, len(targets)).astype(np.float32)
+    states = states[: len(targets)]
+    _, back, class_grad, word_grad, rows = net.log_likelihood(states, targets, weight)
+    assert isinstance(rows, slice)
+    wanted_word, wanted_class, wanted_back = np.zeros_like(net.weights[5]), np.zeros_like(net.weights[4]), np.zeros_like(states)
+    for x, t, u, b in zip(states, targets, weight, wanted_back, strict=True):  # chances less one at the target
+        c, at = net.class_of[t], net.rank[t]
+        lo, hi = net.starts[c], net.starts[c + 1]
+        for w, out, k in ((net.weights[4], wanted_class, c), (net.weights[5][lo:hi], wanted_word[lo:hi], at - lo)):
+            p = np.exp(w @ x)
+            p /= p.sum()
+            p[k] -= 1
+            out += u * p[:, None] * x
+            b += u * (p @ w)
+    got = np.zeros_like(wanted_word)
+    got[rows] = word_grad
+    assert not got[net.starts[gone] : net.starts[gone + 1]].any()
+    for x, y in ((got, wanted_word), (class_grad, wanted_class), (back, wanted_back)):
+        assert np.allclose(x, y, rtol=1e-3, atol=1e-5)
+
+
+def test_language_model_steep_scores_of_class_and_word():
+    net = language_model.Network.begin(np.arange(1.0, 200)).prepared()
+    net.weights[4][:, -1], net.weights[5][:, -1] = 1, 1
+    target = int(np.flatnonzero(net.class_of == 3)[0])
+    net.weights[4][3, -1] = net.weights[5][net.rank[target], -1] = 45  # each is far ahead of the others
+    states = np.c_[np.zeros((1, language_model.HIDDEN)), 1].astype(np.float32)
+    assert net.log_likelihood(states, np.array([target]))[0] == pytest.approx(0, abs=1e-4)
+
+
 def test_language_model_learns_beyond_counts(spark):
     rng = random.Random(4)
     texts = []

@@ -31,8 +31,10 @@ CLASSES, PLACES = 48, 4096  # at least, with so many words
 SHARE = 16  # a word of a frequency of 1 / (SHARE * sqrt(all tokens)) or more has a place
 STRETCH = 32_768  # weights that are added up as one
 CHUNK = 1024  # tokens whose class scores are worked on at a time, so that they stay in the cache
+AT_ONCE = 16_384  # tokens whose probabilities are found together where no gradient is needed
 TOKENS_A_WEIGHT = 4  # of a trainer at least, so that the networks that are averaged stay small against the texts
 WAYS = 64  # of adding networks up side by side
+BY_ROW = (0, 5)  # weights whose rows go by their own gradients: the embedding and the words' output
 ROW_PACE = 20  # the rate of rows that go by their own gradients, as a multiple of Adam's
 
 
@@ -142,23 +144,27 @@ class Network:
         """
         embed, into, recur, bias, *_ = self.weights
         steps, lanes = inputs.shape
-        given = np.matmul(into.T, embed[inputs].transpose(0, 2, 1))
-        given += bias[:, None]
+        one, two, three = HIDDEN, 2 * HIDDEN, 3 * HIDDEN
+        sign = np.ones(three, embed.dtype)
+        sign[:two] = -1  # a gate is 1 / (1 + exp(-x)), so what leads to the gates is computed as -x
+        given = np.matmul((into * sign).T, embed.take(inputs, axis=0).transpose(0, 2, 1))
+        given += (bias * sign)[:, None]
         out = np.empty((steps, HIDDEN, lanes), embed.dtype)
         kept = np.empty((steps if trace else 1, 4 * HIDDEN, lanes), embed.dtype)
-        turned = np.ascontiguousarray(recur.T)
-        one, two, three = HIDDEN, 2 * HIDDEN, 3 * HIDDEN
+        turned = np.ascontiguousarray((recur * sign).T)
+        pulled = np.empty((three, lanes), embed.dtype)
+        begins = self.beginnings(keep)
         for t in range(steps):
             k, g = kept[t if trace else 0], given[t]
-            before = state * keep[t]
-            pulled = turned @ before
+            before = state * keep[t] if begins[t] else np.ascontiguousarray(state)
+            np.dot(turned, before, out=pulled)
             gates, new, state = k[:two], k[two:three], out[t]
             np.add(g[:two], pulled[:two], out=gates)
-            np.negative(gates, out=gates)
             np.exp(gates, out=gates)
             gates += 1
             np.reciprocal(gates, out=gates)
-            k[three:] = pulled[two:]
+            if trace:
+                k[three:] = pulled[two:]
             np.multiply(gates[:one], pulled[two:], out=new)
             new += g[two:]
             np.tanh(new, out=new)
@@ -167,6 +173,11 @@ class Network:
             state += new
         return out, state.copy(), kept
 
+    @staticmethod
+    def beginnings(keep: np.ndarray) -> list[bool]:
+        """Whether a text begins in any lane, for each step."""
+        return (keep == 0).any(axis=(1, 2)).tolist()
+
     @staticmethod
     def by_token(states: np.ndarray) -> np.ndarray:
         """(steps, HIDDEN, lanes) as one row for each token, with a 1 at its end."""
@@ -182,78 +193,77 @@ class Network:
     def log_likelihood(self, states: np.ndarray, targets: np.ndarray, weight: np.ndarray | None = None, steep: bool = True):
         """Natural log probability of each target.
 
-        With ``weight`` of each token also the gradients of the weighted loss: of the states, of
-        the classes' weights, of some rows of the words' weights, and which rows. ``steep``: scores
-        might overflow and are clipped.
+        With ``weight`` of each token also the gradients of the weighted loss: of the states (and of
+        their last 1), of the classes' weights, of some rows of the words' weights, and which rows.
+        ``steep``: scores might overflow and are clipped.
         """
         class_w, word_w = self.weights[4:]
-        target = self.rank[targets]
-        order = np.argsort(target, kind="stable")  # by class, then by word
-        states, target = states[order], target[order]
-        kind = self.rank_class[target]
-        dtype = states.dtype
-        found = np.einsum("ij,ij->i", states, class_w[kind] + word_w[target])  # both scores of the target
-        if steep:
-            found = np.minimum(found, 60)
-        total = np.empty(len(target), dtype)
-        class_ones = np.ones(len(class_w), dtype)
-        if weight is not None:
-            weight = weight[order]
-            class_grad, back = np.zeros_like(class_w), np.empty_like(states)
-        for a in range(0, len(target), CHUNK):
-            some = states[a : a + CHUNK]
-            scores = some @ class_w.T
-            if steep:
-                np.minimum(scores, 60, out=scores)
-            np.exp(scores, out=scores)
-            np.dot(scores, class_ones, out=total[a : a + CHUNK])
-            if weight is not None:
-                part = (weight[a : a + CHUNK] / total[a : a + CHUNK])[:, None]
-                class_grad += scores.T @ (some * part)
-                np.multiply(np.dot(scores, class_w), part, out=back[a : a + CHUNK])
-        within = np.ones(len(target), dtype)
+        target = self.rank.take(targets)
+        order = np.argsort(target.astype(np.uint16) if len(word_w) <= 1 << 16 else target, kind="stable")  # by class, then by word
+        states, target = states.take(order, axis=0), target.take(order)
+        kind = self.rank_class.take(target)
+        count, dtype = len(target), states.dtype
         sizes = np.diff(self.starts)
         ends = np.searchsorted(kind, np.arange(len(self.starts)))
         present = np.flatnonzero((np.diff(ends) > 0) & (sizes > 1))
+        of_class, of_word, total, within = np.empty(count, dtype), np.zeros(count, dtype), np.empty(count, dtype), np.ones(count, dtype)
+        own = (np.arange(count) - ends[kind]) * sizes[kind] + target - self.starts[kind]  # place of a target's score among its class's
         if weight is not None:
-            rows = np.concatenate([np.arange(self.starts[c], self.starts[c + 1]) for c in present]) if len(present) else np.empty(0, np.int64)
-            word_grad, at = np.zeros((len(rows), HIDDEN + 1), dtype), 0
+            weight, back = weight.take(order), np.zeros_like(states)
+            rows, first = self.rows_of(present), 0
+            word_grad = np.zeros((rows.stop - rows.start if isinstance(rows, slice) else len(rows), HIDDEN + 1), dtype)
         ones = np.ones(int(sizes.max(initial=1)), dtype)
         room = np.empty(int(max((np.diff(ends) * sizes)[present], default=0)), dtype)
-        for c in present:
-            lo, hi, a, b = self.starts[c], self.starts[c + 1], ends[c], ends[c + 1]
-            seen, w = states[a:b], word_w[lo:hi]
-            scores = np.dot(seen, w.T, out=room[: (b - a) * (hi - lo)].reshape(b - a, hi - lo))
+        for lo, hi, a, b in zip(*(x.tolist() for x in (self.starts[present], self.starts[present + 1], ends[present], ends[present + 1])), strict=True):
+            flat, seen, w, at = room[: (b - a) * (hi - lo)], states[a:b], word_w[lo:hi], own[a:b]
+            scores = np.dot(seen, w.T, out=flat.reshape(b - a, hi - lo))
             if steep:
                 np.minimum(scores, 60, out=scores)
+            of_word[a:b] = flat.take(at)
             np.exp(scores, out=scores)
             np.dot(scores, ones[: hi - lo], out=within[a:b])
             if weight is not None:
-                part = (weight[a:b] / within[a:b])[:, None]
-                np.dot(scores.T, seen * part, out=word_grad[at : at + hi - lo])
-                at += hi - lo
-                pulled = np.dot(scores, w)
-                pulled *= part
-                back[a:b] += pulled
-        single = sizes[kind] == 1
+                scores *= (weight[a:b] / within[a:b])[:, None]
+                flat[at] -= weight[a:b]  # what is left is the gradient of the scores
+                if isinstance(rows, slice):
+                    first = lo - rows.start
+                np.dot(scores.T, seen, out=word_grad[first : first + hi - lo])
+                first += hi - lo
+                np.dot(scores, w, out=back[a:b])
+        ones, class_grad, starts = np.ones(len(class_w), dtype), np.zeros_like(class_w), np.arange(CHUNK) * len(class_w)
+        for a in range(0, count, CHUNK):
+            some = slice(a, min(a + CHUNK, count))
+            scores = states[some] @ class_w.T
+            if steep:
+                np.minimum(scores, 60, out=scores)
+            flat, at = scores.reshape(-1), starts[: len(scores)] + kind[some]
+            of_class[some] = flat.take(at)
+            np.exp(scores, out=scores)
+            np.dot(scores, ones, out=total[some])
+            if weight is not None:
+                scores *= (weight[some] / total[some])[:, None]
+                flat[at] -= weight[some]
+                class_grad += scores.T @ states[some]
+                back[some] += np.dot(scores, class_w)
+        found = of_class + of_word
         found -= np.log(total)
-        found -= np.where(single, np.einsum("ij,ij->i", states, word_w[target]) if single.any() else 0, np.log(within))
-        out = np.empty(len(targets), dtype)
+        found -= np.log(within)
+        out = np.empty(count, dtype)
         out[order] = found
         if weight is None:
             return out
-        weighted = states * weight[:, None]
-        firsts = np.flatnonzero(np.r_[True, np.diff(kind) > 0])
-        class_grad[kind[firsts]] -= np.add.reduceat(weighted, firsts, axis=0)
-        back -= class_w[kind] * weight[:, None]
-        many = np.flatnonzero(~single)
-        if len(many):
-            firsts = np.flatnonzero(np.r_[True, np.diff(target[many]) > 0])
-            word_grad[np.searchsorted(rows, target[many][firsts])] -= np.add.reduceat(weighted[many], firsts, axis=0)
-            back[many] -= word_w[target[many]] * weight[many, None]
-        unsorted = np.empty((len(back), HIDDEN), dtype)
-        unsorted[order] = back[:, :-1]
-        return out, unsorted, class_grad, word_grad, rows
+        place = np.empty(count, np.int64)
+        place[order] = np.arange(count)
+        return out, back.take(place, axis=0), class_grad, word_grad, rows
+
+    def rows_of(self, classes: np.ndarray) -> slice | np.ndarray:
+        """The words' rows of some classes; if few are missing between them, a slice of all from first to last, which is updated far faster."""
+        if not len(classes):
+            return np.empty(0, np.int64)
+        lo, hi = int(self.starts[classes[0]]), int(self.starts[classes[-1] + 1])
+        if 8 * (self.starts[classes + 1] - self.starts[classes]).sum() >= 7 * (hi - lo):
+            return slice(lo, hi)
+        return np.concatenate([np.arange(self.starts[c], self.starts[c + 1]) for c in classes])
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray, keep: np.ndarray, real: np.ndarray, state: np.ndarray, steep: bool = True):
         """Gradients of a window's mean loss, by backpropagation to its first step; the rows of each; the state after it.
@@ -267,16 +277,19 @@ class Network:
         states, state, kept = self.run(inputs, keep, state, True)
         weight = (real / max(1, real.sum())).astype(embed.dtype).reshape(-1)
         _, back, class_grad, word_grad, rows = self.log_likelihood(self.by_token(states), targets.reshape(-1), weight, steep)
-        back = np.ascontiguousarray(back.reshape(steps, lanes, HIDDEN).transpose(0, 2, 1))
+        back = np.ascontiguousarray(back.reshape(steps, lanes, HIDDEN + 1)[:, :, :-1].transpose(0, 2, 1))
         one, two, three = HIDDEN, 2 * HIDDEN, 3 * HIDDEN
         d_given = np.empty((steps, three, lanes), embed.dtype)
         d_pulled = np.empty((three, lanes), embed.dtype)
         recur_grad = np.zeros_like(recur)
         later = np.zeros((HIDDEN, lanes), embed.dtype)
+        begins = self.beginnings(keep)
         for t in range(steps - 1, -1, -1):
             k, g = kept[t], d_given[t]
             r, z, new, pulled = k[:one], k[one:two], k[two:three], k[three:]
-            before = (states[t - 1] if t else first) * keep[t]
+            before = states[t - 1] if t else first
+            if begins[t]:
+                before = before * keep[t]
             d = back[t]
             d += later
             d_r, d_z, d_new = g[:one], g[one:two], g[two:]
@@ -296,16 +309,21 @@ class Network:
             d_r *= rest
             d_pulled[:two] = g[:two]
             recur_grad += before @ d_pulled.T
-            later = recur @ d_pulled
+            np.dot(recur, d_pulled, out=later)
             later += through
-            later *= keep[t]
-        flat = np.ascontiguousarray(d_given.transpose(0, 2, 1)).reshape(-1, three)
+            if begins[t]:
+                later *= keep[t]
+        # each word's gradient is added up over its occurrences
         ids = inputs.reshape(-1)
-        order = np.argsort(ids, kind="stable")
-        firsts = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
-        given = ids[order][firsts]
-        embed_grad = np.add.reduceat((flat @ into.T)[order], firsts, axis=0)
-        return [embed_grad, embed[ids].T @ flat, recur_grad, flat.sum(axis=0), class_grad, word_grad], [given, *[slice(None)] * 4, rows], state
+        number = np.zeros(len(embed), np.int64)
+        number[ids] = 1
+        given = np.flatnonzero(number)
+        number[given] = np.arange(len(given))
+        number = number.take(ids)
+        each = np.matmul(into, d_given).transpose(1, 0, 2).reshape(EMBED, -1)
+        embed_grad = np.ascontiguousarray(np.array([np.bincount(number, x, len(given)) for x in each], embed.dtype).T)
+        into_grad = np.matmul(embed.take(inputs, axis=0).transpose(0, 2, 1), d_given.transpose(0, 2, 1)).sum(axis=0)
+        return [embed_grad, into_grad, recur_grad, d_given.sum(axis=2).sum(axis=0), class_grad, word_grad], [given, *[slice(None)] * 4, rows], state
 
     def train(self, texts: list[np.ndarray], moments: list[list[np.ndarray]], step: list[int], rate: float) -> int:
         """Descend over all windows of the texts; the number of tokens.
@@ -322,27 +340,28 @@ class Network:
             if step[0] % 8 == 0:
                 steep = self.steepest() > 30
             grads, rows, state = self.gradients(lanes.inputs[span, live], lanes.targets[span, live], lanes.keep[span, :, live], real, state[:, live], steep)
-            norm = float(np.sqrt(sum(float(np.vdot(g, g)) for g in grads)))
+            squares = [np.dot(g * g, np.ones(g.shape[1], g.dtype)) if i in BY_ROW else np.vdot(g, g) for i, g in enumerate(grads)]
+            norm = float(np.sqrt(sum(float(x.sum()) for x in squares)))
             clip = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
             step[0] += 1
             warm = rate * min(1.0, step[0] / 20)
             scale = np.float32(warm * np.sqrt(1 - 0.99 ** step[0]) / (1 - 0.9 ** step[0]))
-            for w, g, k, m, v in zip(self.weights, grads, rows, *moments, strict=True):
-                g *= clip
-                if isinstance(k, slice):
+            for i, (w, g, k, m, v) in enumerate(zip(self.weights, grads, rows, *moments, strict=True)):
+                if i in BY_ROW:
+                    seen = m[k] + squares[i] * (clip * clip / np.float32(g.shape[1]))
+                    m[k] = seen
+                    g *= (np.float32(ROW_PACE * warm) * clip / (np.sqrt(seen) + np.float32(1e-7)))[:, None]
+                    w[k] -= g
+                else:
+                    g *= clip
                     m += np.float32(0.1) * (g - m)
                     v += np.float32(0.01) * (g * g - v)
                     w -= scale * m / (np.sqrt(v) + np.float32(1e-7))
-                else:
-                    seen = m[k] + np.einsum("ij,ij->i", g, g) / np.float32(g.shape[1])
-                    m[k] = seen
-                    g *= (np.float32(ROW_PACE * warm) / (np.sqrt(seen) + np.float32(1e-7)))[:, None]
-                    w[k] -= g
         return size
 
     def blank_moments(self) -> list[list[np.ndarray]]:
         """Zeros that ``train`` keeps its averages in."""
-        by_row = lambda i, w: np.zeros(len(w) if i in (0, 5) else w.shape, w.dtype)
+        by_row = lambda i, w: np.zeros(len(w) if i in BY_ROW else w.shape, w.dtype)
         return [[by_row(i, w) for i, w in enumerate(self.weights)] for _ in range(2)]
 
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -352,12 +371,18 @@ class Network:
         lanes = Lanes(texts, int(np.clip(sum(len(x) + 1 for x in texts) // max(1024, *(len(x) + 1 for x in texts)), 1, 384)))
         state, out = np.zeros((HIDDEN, lanes.count), np.float32), np.zeros(len(texts) + 1)
         steep = self.steepest() > 60
+        held, size = [], 0
         for span, live in lanes.windows():
             states, state, _ = self.run(lanes.inputs[span, live], lanes.keep[span, :, live], state[:, live])
             which = lanes.text[span, live].reshape(-1)
-            real = np.flatnonzero(which < len(texts))
-            found = self.log_likelihood(self.by_token(states)[real], lanes.targets[span, live].reshape(-1)[real], steep=steep)
-            out += np.bincount(which[real], weights=found, minlength=len(texts) + 1)
+            held.append((self.by_token(states), lanes.targets[span, live].reshape(-1), which))
+            size += len(which)
+            if size >= AT_ONCE or span.stop == lanes.steps:
+                states, targets, which = (np.concatenate(x) for x in zip(*held, strict=True))
+                real = np.flatnonzero(which < len(texts))
+                found = self.log_likelihood(states.take(real, axis=0), targets.take(real), steep=steep)
+                out += np.bincount(which.take(real), weights=found, minlength=len(texts) + 1)
+                held, size = [], 0
         return out[:-1]
 
 
