@@ -63,36 +63,37 @@ class Lanes:
     """
 
     def __init__(self, texts: list[np.ndarray], count: int):
-        whole = [(np.concatenate([[0], x]), np.concatenate([x, [0]]), i) for i, x in enumerate(texts)]
-        whole.sort(key=lambda x: -len(x[0]))
+        whole = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         count = max(1, min(count, len(whole)))
         heap = [(0, k) for k in range(count)]
-        dealt: list[list[tuple]] = [[] for _ in range(count)]
-        for x in whole:
+        dealt: list[list[int]] = [[] for _ in range(count)]
+        for i in whole:
             length, k = heapq.heappop(heap)
-            dealt[k].append(x)
-            heapq.heappush(heap, (length + len(x[0]), k))
+            dealt[k].append(i)
+            heapq.heappush(heap, (length + len(texts[i]) + 1, k))
         order = sorted(heap, reverse=True)
         self.lengths = np.array([n for n, _ in order])
         self.steps, self.count = int(self.lengths[0]), count
-        self.inputs = np.zeros((self.steps, count), np.int32)
-        self.targets = np.zeros((self.steps, count), np.int32)
-        self.keep = np.ones((self.steps, 1, count), np.float32)
-        self.text = np.full((self.steps, count), len(texts), np.int32)  # len(texts): filling
+        self.inputs = np.zeros((count, self.steps), np.int32)
+        self.targets = np.zeros((count, self.steps), np.int32)
+        self.keep = np.ones((count, self.steps), np.float32)
+        self.text = np.full((count, self.steps), len(texts), np.int32)  # len(texts): filling
         for lane, (_, k) in enumerate(order):
             at = 0
-            for given, wanted, i in dealt[k]:
-                n = len(given)
-                self.inputs[at : at + n, lane] = given
-                self.targets[at : at + n, lane] = wanted
-                self.keep[at, 0, lane] = 0
-                self.text[at : at + n, lane] = i
-                at += n
-
-    def windows(self) -> Iterator[tuple[slice, slice]]:
-        """(steps, lanes still running) of each window."""
+            for i in dealt[k]:
+                n = len(texts[i])
+                self.inputs[lane, at + 1 : at + n + 1] = texts[i]
+                self.targets[lane, at : at + n] = texts[i]
+                self.keep[lane, at] = 0
+                self.text[lane, at : at + n + 1] = i
+                at += n + 1
+
+    def windows(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Each window of the lanes still running, first the lanes, then as (steps, lanes) inputs, targets, what keeps the state (steps, 1, lanes) and the texts."""
         for t in range(0, self.steps, WINDOW):
-            yield slice(t, min(t + WINDOW, self.steps)), slice(0, int(np.count_nonzero(self.lengths > t)))
+            live = slice(0, int(np.count_nonzero(self.lengths > t)))
+            inputs, targets, keep, text = (np.ascontiguousarray(x[live, t : t + WINDOW].T) for x in (self.inputs, self.targets, self.keep, self.text))
+            yield live, inputs, targets, keep[:, None], text
 
 
 class Network:
@@ -142,36 +143,44 @@ class Network:
 
         Lanes are the last axis, so that a step's operations run over unbroken memory.
         """
-        embed, into, recur, bias, *_ = self.weights
+        embed = self.weights[0]
         steps, lanes = inputs.shape
         one, two, three = HIDDEN, 2 * HIDDEN, 3 * HIDDEN
-        sign = np.ones(three, embed.dtype)
-        sign[:two] = -1  # a gate is 1 / (1 + exp(-x)), so what leads to the gates is computed as -x
-        given = np.matmul((into * sign).T, embed.take(inputs, axis=0).transpose(0, 2, 1))
-        given += (bias * sign)[:, None]
+        given, joined = embed.take(inputs, axis=0), self.joined()
+        joined[:two] *= -1  # a gate is 1 / (1 + exp(-x))
         out = np.empty((steps, HIDDEN, lanes), embed.dtype)
         kept = np.empty((steps if trace else 1, 4 * HIDDEN, lanes), embed.dtype)
-        turned = np.ascontiguousarray((recur * sign).T)
-        pulled = np.empty((three, lanes), embed.dtype)
+        fed = np.ones((steps if trace else 1, EMBED + HIDDEN + 1, lanes), embed.dtype)
         begins = self.beginnings(keep)
         for t in range(steps):
-            k, g = kept[t if trace else 0], given[t]
-            before = state * keep[t] if begins[t] else np.ascontiguousarray(state)
-            np.dot(turned, before, out=pulled)
+            k, f = kept[t if trace else 0], fed[t if trace else 0]
+            f[:EMBED] = given[t].T
+            before = f[EMBED:-1]
+            if begins[t]:
+                np.multiply(state, keep[t], out=before)
+            else:
+                before[:] = state
+            np.dot(joined, f, out=k)
             gates, new, state = k[:two], k[two:three], out[t]
-            np.add(g[:two], pulled[:two], out=gates)
             np.exp(gates, out=gates)
             gates += 1
             np.reciprocal(gates, out=gates)
-            if trace:
-                k[three:] = pulled[two:]
-            np.multiply(gates[:one], pulled[two:], out=new)
-            new += g[two:]
+            np.multiply(gates[:one], k[three:], out=state)
+            new += state
             np.tanh(new, out=new)
             np.subtract(before, new, out=state)
             state *= gates[one:]
             state += new
-        return out, state.copy(), kept
+        return out, state.copy(), (kept, fed)
+
+    def joined(self) -> np.ndarray:
+        """The layer's weights as one matrix over a word's vector, the state and a 1: those of both gates, then what the word and what the state gives to the new state."""
+        _, into, recur, bias, *_ = self.weights
+        two, three = 2 * HIDDEN, 3 * HIDDEN
+        out = np.zeros((4 * HIDDEN, EMBED + HIDDEN + 1), into.dtype)
+        out[:three, :EMBED], out[:three, -1] = into.T, bias
+        out[:two, EMBED:-1], out[three:, EMBED:-1] = recur[:, :two].T, recur[:, two:].T
+        return out
 
     @staticmethod
     def beginnings(keep: np.ndarray) -> list[bool]:
@@ -271,45 +280,42 @@ class Network:
         Rows are those that the window touches of the embedding and of the words' weights, so that
         a step's work follows its words.
         """
-        embed, into, recur, *_ = self.weights
+        embed = self.weights[0]
         steps, lanes = inputs.shape
-        first = state
-        states, state, kept = self.run(inputs, keep, state, True)
+        states, state, (kept, fed) = self.run(inputs, keep, state, True)
         weight = (real / max(1, real.sum())).astype(embed.dtype).reshape(-1)
         _, back, class_grad, word_grad, rows = self.log_likelihood(self.by_token(states), targets.reshape(-1), weight, steep)
         back = np.ascontiguousarray(back.reshape(steps, lanes, HIDDEN + 1)[:, :, :-1].transpose(0, 2, 1))
         one, two, three = HIDDEN, 2 * HIDDEN, 3 * HIDDEN
-        d_given = np.empty((steps, three, lanes), embed.dtype)
-        d_pulled = np.empty((three, lanes), embed.dtype)
-        recur_grad = np.zeros_like(recur)
-        later = np.zeros((HIDDEN, lanes), embed.dtype)
+        d_all = np.empty((4 * HIDDEN, lanes), embed.dtype)  # of what ``joined`` gives
+        joined = np.ascontiguousarray(self.joined().T[:-1])
+        joined_grad = np.zeros((EMBED + HIDDEN + 1, 4 * HIDDEN), embed.dtype)
+        each = np.empty((EMBED, steps, lanes), embed.dtype)
+        fed_back = np.zeros((EMBED + HIDDEN, lanes), embed.dtype)
+        later = fed_back[EMBED:]
         begins = self.beginnings(keep)
+        d_r, d_z, d_new, d_pulled = d_all[:one], d_all[one:two], d_all[two:three], d_all[three:]
         for t in range(steps - 1, -1, -1):
-            k, g = kept[t], d_given[t]
+            k = kept[t]
             r, z, new, pulled = k[:one], k[one:two], k[two:three], k[three:]
-            before = states[t - 1] if t else first
-            if begins[t]:
-                before = before * keep[t]
             d = back[t]
             d += later
-            d_r, d_z, d_new = g[:one], g[one:two], g[two:]
             np.multiply(new, new, out=d_new)
             np.subtract(1, d_new, out=d_new)
             d_new *= d
             through = d * z
-            d_z[:] = before
-            d_z -= new
+            np.subtract(fed[t, EMBED:-1], new, out=d_z)
             d_z *= through
             rest = 1 - z
             d_z *= rest
             d_new *= rest
-            np.multiply(d_new, r, out=d_pulled[two:])
-            np.multiply(d_pulled[two:], pulled, out=d_r)
+            np.multiply(d_new, r, out=d_pulled)
+            np.multiply(d_pulled, pulled, out=d_r)
             np.subtract(1, r, out=rest)
             d_r *= rest
-            d_pulled[:two] = g[:two]
-            recur_grad += before @ d_pulled.T
-            np.dot(recur, d_pulled, out=later)
+            joined_grad += fed[t] @ d_all.T
+            np.dot(joined, d_all, out=fed_back)
+            each[:, t] = fed_back[:EMBED]
             later += through
             if begins[t]:
                 later *= keep[t]
@@ -320,10 +326,9 @@ class Network:
         given = np.flatnonzero(number)
         number[given] = np.arange(len(given))
         number = number.take(ids)
-        each = np.matmul(into, d_given).transpose(1, 0, 2).reshape(EMBED, -1)
-        embed_grad = np.ascontiguousarray(np.array([np.bincount(number, x, len(given)) for x in each], embed.dtype).T)
-        into_grad = np.matmul(embed.take(inputs, axis=0).transpose(0, 2, 1), d_given.transpose(0, 2, 1)).sum(axis=0)
-        return [embed_grad, into_grad, recur_grad, d_given.sum(axis=2).sum(axis=0), class_grad, word_grad], [given, *[slice(None)] * 4, rows], state
+        embed_grad = np.ascontiguousarray(np.array([np.bincount(number, x, len(given)) for x in each.reshape(EMBED, -1)], embed.dtype).T)
+        recur_grad = np.concatenate([joined_grad[EMBED:-1, :two], joined_grad[EMBED:-1, three:]], axis=1)
+        return [embed_grad, joined_grad[:EMBED, :three], recur_grad, joined_grad[-1, :three], class_grad, word_grad], [given, *[slice(None)] * 4, rows], state
 
     def train(self, texts: list[np.ndarray], moments: list[list[np.ndarray]], step: list[int], rate: float) -> int:
         """Descend over all windows of the texts; the number of tokens.
@@ -335,11 +340,10 @@ class Network:
         lanes = Lanes(texts, int(np.clip(size // max(4096, *(len(x) + 1 for x in texts)), 8, 384)))  # all about as long as the longest text
         state = np.zeros((HIDDEN, lanes.count), np.float32)
         steep = True
-        for span, live in lanes.windows():
-            real = lanes.text[span, live] < len(texts)
+        for live, inputs, targets, keep, text in lanes.windows():
             if step[0] % 8 == 0:
                 steep = self.steepest() > 30
-            grads, rows, state = self.gradients(lanes.inputs[span, live], lanes.targets[span, live], lanes.keep[span, :, live], real, state[:, live], steep)
+            grads, rows, state = self.gradients(inputs, targets, keep, text < len(texts), state[:, live], steep)
             squares = [np.dot(g * g, np.ones(g.shape[1], g.dtype)) if i in BY_ROW else np.vdot(g, g) for i, g in enumerate(grads)]
             norm = float(np.sqrt(sum(float(x.sum()) for x in squares)))
             clip = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
@@ -371,13 +375,12 @@ class Network:
         lanes = Lanes(texts, int(np.clip(sum(len(x) + 1 for x in texts) // max(1024, *(len(x) + 1 for x in texts)), 1, 384)))
         state, out = np.zeros((HIDDEN, lanes.count), np.float32), np.zeros(len(texts) + 1)
         steep = self.steepest() > 60
-        held, size = [], 0
-        for span, live in lanes.windows():
-            states, state, _ = self.run(lanes.inputs[span, live], lanes.keep[span, :, live], state[:, live])
-            which = lanes.text[span, live].reshape(-1)
-            held.append((self.by_token(states), lanes.targets[span, live].reshape(-1), which))
-            size += len(which)
-            if size >= AT_ONCE or span.stop == lanes.steps:
+        held, size, steps = [], 0, 0
+        for live, inputs, targets, keep, text in lanes.windows():
+            states, state, _ = self.run(inputs, keep, state[:, live])
+            held.append((self.by_token(states), targets.reshape(-1), text.reshape(-1)))
+            size, steps = size + text.size, steps + len(text)
+            if size >= AT_ONCE or steps == lanes.steps:
                 states, targets, which = (np.concatenate(x) for x in zip(*held, strict=True))
                 real = np.flatnonzero(which < len(texts))
                 found = self.log_likelihood(states.take(real, axis=0), targets.take(real), steep=steep)
